@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_stream, line_dedup, token_counts, token_files
+from . import bpe_stream, embedding_dedup, knn_join, line_dedup, mixing, token_counts, token_files
 from .common import table
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -18,6 +22,15 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), weights=(1, 2, 3), cap=3)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn_join.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op8_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_stream.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -44,5 +57,41 @@ SELECT doc_id, count(*) AS n_lines, count(f.k) AS n_dropped,
 FROM lines LEFT JOIN frequent AS f ON lines.k = f.k GROUP BY doc_id
 """
 
-QUERIES = {f.__name__: f for f in (op3_token_files, op4_token_counts, op8_bpe_stream, op9_line_dedup)}
-ORACLES = {"op9_line_dedup": OP9_SQL}
+OP2_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v AS a JOIN v AS b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.95
+), reached AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reached AS r JOIN links AS l ON r.b = l.a
+), parts AS (
+  SELECT a AS vec_id, min(b) AS component_id FROM reached GROUP BY a
+), degrees AS (
+  SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a
+)
+SELECT p.vec_id, coalesce(n, 0) AS n_links, component_id, p.vec_id = component_id AS kept
+FROM parts AS p LEFT JOIN degrees AS d ON p.vec_id = d.vec_id
+"""
+
+OP7_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: floor(64 * x)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+  FROM v AS q JOIN v AS c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+QUERIES = {
+    f.__name__: f
+    for f in (op2_embedding_dedup, op3_token_files, op4_token_counts, op5_source_mix, op7_top_k, op8_bpe_stream, op9_line_dedup)
+}
+ORACLES = {"op2_embedding_dedup": OP2_SQL, "op7_top_k": OP7_SQL, "op9_line_dedup": OP9_SQL}
