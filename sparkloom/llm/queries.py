@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_stream, embedding_dedup, knn_join, line_dedup, mixing, token_counts, token_files
+from . import bpe_stream, embedding_dedup, knn_join, line_dedup, mixing, token_counts, token_files, toxicity
 from .common import table
 
 
@@ -27,6 +27,12 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", F.round("severity", 6).alias("severity"), "grade", "toxic")
+
+
 def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn_join.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
@@ -92,6 +98,6 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_embedding_dedup, op3_token_files, op4_token_counts, op5_source_mix, op7_top_k, op8_bpe_stream, op9_line_dedup)
+    for f in (op2_embedding_dedup, op3_token_files, op4_token_counts, op5_source_mix, op6_toxicity, op7_top_k, op8_bpe_stream, op9_line_dedup)
 }
 ORACLES = {"op2_embedding_dedup": OP2_SQL, "op7_top_k": OP7_SQL, "op9_line_dedup": OP9_SQL}
