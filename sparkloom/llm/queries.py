@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_stream, embedding_dedup, knn_join, line_dedup, mixing, ngram_join, token_counts, token_files, toxicity
+from . import bpe_stream, embedding_dedup, knn_join, line_dedup, mixing, ngram_join, suffix_dedup, token_counts, token_files, toxicity
 from .common import table
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=100).drop("spans")
+
+
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
 
@@ -122,6 +126,6 @@ FROM reached AS r LEFT JOIN n ON n.doc_id = r.a GROUP BY r.a
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_embedding_dedup, op3_token_files, op4_token_counts, op5_source_mix, op6_toxicity, op7_top_k, op8_bpe_stream, op9_line_dedup, op10_ngram_join)
+    for f in (op1_suffix_dedup, op2_embedding_dedup, op3_token_files, op4_token_counts, op5_source_mix, op6_toxicity, op7_top_k, op8_bpe_stream, op9_line_dedup, op10_ngram_join)
 }
 ORACLES = {"op2_embedding_dedup": OP2_SQL, "op7_top_k": OP7_SQL, "op9_line_dedup": OP9_SQL, "op10_ngram_join": OP10_SQL}
