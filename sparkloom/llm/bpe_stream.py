@@ -191,15 +191,17 @@ def encode_documents(docs: DataFrame, path: str, keep_ids: bool = False, keep_te
                 if keep_text:
                     kept.append(part)
             raw = ids.astype("<u4").tobytes()
-            rows.append((len(ids), hashlib.sha256(raw).hexdigest(), digest.hexdigest(), ids.tolist() if keep_ids else None, "".join(kept) if keep_text else None))
+            rows.append((len(ids), hashlib.sha256(raw).hexdigest(), digest.hexdigest(), ids if keep_ids else None, "".join(kept) if keep_text else None))
         columns = list(zip(*rows, strict=True))
         arrays = [batch.column("doc_id"), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())]
         names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
         if keep_ids:
-            arrays, names = [*arrays, pa.array(columns[3], pa.list_(pa.int64()))], [*names, "ids"]
+            offsets = np.concatenate([[0], np.cumsum(columns[0])]).astype(np.int32)
+            flat = pa.array(np.concatenate(columns[3]).astype(np.int32))
+            arrays, names = [*arrays, pa.ListArray.from_arrays(pa.array(offsets), flat)], [*names, "ids"]
         if keep_text:
             arrays, names = [*arrays, pa.array(columns[4], pa.string())], [*names, "decoded"]
         return pa.RecordBatch.from_arrays(arrays, names)
 
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<long>" if keep_ids else "") + (", decoded string" if keep_text else "")
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if keep_ids else "") + (", decoded string" if keep_text else "")
     return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), work, schema)

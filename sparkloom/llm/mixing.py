@@ -94,8 +94,9 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int = 0) -> DataFrame:
     return nodes.select(F.col("low").alias("shard"), "quota")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, shards: int = 16, block_words: int = 1 << 16, block_rows: int = 1 << 14, most_blocks: int = 1 << 14, seed: int = 0) -> DataFrame:
-    """docs(doc_id, source, text): one row per row with doc_id, source, size, source_size, target, taken, draws.
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, shards: int = 16, block_words: int = 1 << 16, block_rows: int = 1 << 14, most_blocks: int = 1 << 14, seed: int = 0, carry: tuple[str, ...] = ()) -> DataFrame:
+    """docs(doc_id, source, text): one row per row with doc_id, source, size, source_size, target, taken, draws, and the
+    columns named in carry.
 
     draws lists the times the document is taken: copy, words, shard, and the place that orders rows in the shard. A null
     or empty text has size 0 and is never taken; null is a source of its own. Repeated rows are documents of their own.
@@ -104,7 +105,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, sha
     """
     key = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
     size = F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long")
-    sized = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), key.alias("key"), size.alias("size"), F.xxhash64(F.lit(seed), "doc_id", "source", F.length("text")).alias("order"))
+    sized = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), key.alias("key"), size.alias("size"), F.xxhash64(F.lit(seed), "doc_id", "source", F.length("text")).alias("order"), *carry)
     sized = written(sized, "mix-sizes")
     sizes = sized.groupBy("key").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"), F.count("*").alias("n_rows"))
     sources = source_targets(sizes, weights, cap)
@@ -141,7 +142,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, sha
         lambda c: F.struct(c.cast("int").alias("copy"), F.when(c < F.col("passes"), F.col("size")).otherwise(last).alias("words"), F.element_at("shards", c.cast("int") + 1).alias("shard"), F.xxhash64(F.lit(seed + 1), c, "order").alias("place")),
     )
     draws = F.filter(copies, lambda d: d["words"] > 0)
-    return placed.select("doc_id", "source", "size", "source_size", "target", (F.col("passes") * F.col("size") + last).alias("taken"), draws.alias("draws"))
+    return placed.select("doc_id", "source", "size", "source_size", "target", (F.col("passes") * F.col("size") + last).alias("taken"), draws.alias("draws"), *carry)
 
 
 def write_shards(mixed: DataFrame, path: str) -> None:

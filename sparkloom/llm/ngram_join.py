@@ -123,7 +123,8 @@ def similar_pairs(sets: list[np.ndarray], others: list[np.ndarray] | None, perce
 
 
 def jaccard_classes(docs: DataFrame, n: int = 3, percent: int = 90, pair_run: int = 64, block: int = 1024) -> DataFrame:
-    """One row per row of docs(doc_id, text): doc_id, n_shingles, component_id.
+    """One row per row of docs(doc_id, text): doc_id, n_shingles, component_id, and row and class_row: a hash of id and
+    text, and the smallest such hash that links reach.
 
     Rows link when 100 * shared >= percent * joint shingles; component_id is the smallest doc_id reached by links. A null
     or empty text, or one without words, has no shingles, links with nothing and is its own component. Repeated rows are
@@ -157,9 +158,10 @@ def jaccard_classes(docs: DataFrame, n: int = 3, percent: int = 90, pair_run: in
     linked = connected_components(_verified(numbered, clusters, n, percent, block))
     named = classes.join(linked, F.col("speaker") == F.col("node"), "left").withColumn("class", F.coalesce("component", "speaker"))
     smallest = named.groupBy("class").agg(F.min("least").alias("component_id"))
-    ids = named.join(smallest, "class").select("fp", "n_shingles", "component_id")
-    mine = described.where("fp is not null").select("doc_id", "fp", "n_shingles").join(ids, ["fp", "n_shingles"]).select("doc_id", "n_shingles", "component_id")
-    return mine.union(described.where("fp is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    ids = named.join(smallest, "class").select("fp", "n_shingles", "component_id", F.col("class").alias("class_row"))
+    mine = described.where("fp is not null").select("row", "doc_id", "fp", "n_shingles").join(ids, ["fp", "n_shingles"]).select("doc_id", "n_shingles", "component_id", "row", "class_row")
+    alone = described.where("fp is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "row", F.col("row").alias("class_row"))
+    return mine.union(alone)
 
 
 def _met(keyed: DataFrame, pair_run: int) -> DataFrame:
