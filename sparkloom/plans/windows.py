@@ -1 +1,166 @@
-"""Queries."""
+"""Window functions and top-k over the given tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..operators import vectors
+from ..operators.ranking import ranked, top
+from .base import query, read
+from .filters import SEARCHED_SQL, searched
+from .joins import text_list
+
+
+@query("SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events WHERE event_type <> 'error') WHERE rn = 1")
+def win_01(spark: SparkSession, sf: str) -> DataFrame:
+    """Latest active ledger row per key."""
+    e = read(spark, sf, "events").where("event_type <> 'error'")
+    return top(e, ["user_id"], 1, F.desc("ts"), F.desc("event_id")).select("user_id", "event_id")
+
+
+@query("SELECT conv_id, turn, CAST(CASE WHEN role = 'system' THEN 0 ELSE row_number() OVER (PARTITION BY conv_id, role = 'system' ORDER BY turn) END AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role = 'system' ORDER BY turn DESC) AS rn FROM conversations) WHERE (role = 'system' AND rn = 1) OR (role <> 'system' AND rn <= 4)")
+def win_02(spark: SparkSession, sf: str) -> DataFrame:
+    """The last four messages of a session, oldest first, its newest summary in front."""
+    c = read(spark, sf, "conversations").withColumn("summary", F.col("role") == "system")
+    last = ranked(c, ["conv_id", "summary"], F.desc("turn")).where("(summary and rank = 1) or (not summary and rank <= 4)")
+    place = F.row_number().over(Window.partitionBy("conv_id", "summary").orderBy("turn"))
+    return last.select("conv_id", "turn", F.when(F.col("summary"), 0).otherwise(place).cast("int").alias("place"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN r = 1 THEN least(n, 300) ELSE n END AS used FROM (SELECT conv_id, turn, least(length(text), 220) + 1 AS n, row_number() OVER w AS r, sum(least(length(text), 220) + 1) OVER w AS total FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn DESC)) WHERE r = 1 OR (r <= 6 AND total <= 300)")
+def win_03(spark: SparkSession, sf: str) -> DataFrame:
+    """Context by budget: newest first, six messages and 300 characters at most; the newest always stays."""
+    w = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
+    c = read(spark, sf, "conversations").select("conv_id", "turn", (F.least(F.length("text"), F.lit(220)) + 1).alias("n"))
+    c = c.withColumns({"r": F.row_number().over(w), "total": F.sum("n").over(w)}).where("r = 1 or (r <= 6 and total <= 300)")
+    return c.select("conv_id", "turn", F.when(F.col("r") == 1, F.least("n", F.lit(300))).otherwise(F.col("n")).alias("used"))
+
+
+@query("SELECT conv_id, turn, n > 4 AND r <= n - 2 AS compacted FROM (SELECT conv_id, turn, count(*) OVER (PARTITION BY conv_id) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations)")
+def win_04(spark: SparkSession, sf: str) -> DataFrame:
+    """Compaction split: beyond four messages all but the newest two are compacted."""
+    w = Window.partitionBy("conv_id")
+    c = read(spark, sf, "conversations").withColumns({"n": F.count("*").over(w), "r": F.row_number().over(w.orderBy("turn"))})
+    return c.select("conv_id", "turn", ((F.col("n") > 4) & (F.col("r") <= F.col("n") - 2)).alias("compacted"))
+
+
+@query("SELECT event_id, CASE WHEN len(l) < 10 THEN 45.0 ELSE round(least(greatest(list_sort(l)[CAST(ceil(0.95 * len(l)) AS BIGINT)] * 1.3, 8), 45), 4) END AS timeout FROM (SELECT event_id, list(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS l FROM events)")
+def win_05(spark: SparkSession, sf: str) -> DataFrame:
+    """Adaptive timeout: nearest-rank p95 of the last fifty latencies, by 1.3, from 8 to 45; 45 below ten samples."""
+    w = Window.partitionBy("event_type").orderBy("ts", "event_id").rowsBetween(-49, 0)
+    e = read(spark, sf, "events").select("event_id", F.collect_list("value").over(w).alias("l"))
+    p95 = F.element_at(F.array_sort("l"), F.ceil(F.lit(0.95) * F.size("l")).cast("int"))
+    return e.select("event_id", F.when(F.size("l") < 10, 45.0).otherwise(F.round(F.least(F.greatest(p95 * 1.3, F.lit(8.0)), F.lit(45.0)), 4)).alias("timeout"))
+
+
+@query("SELECT user_id, event_id, streak FROM (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id, g, event_type = 'error' ORDER BY ts, event_id) AS streak FROM (SELECT *, count(*) FILTER (WHERE event_type NOT IN ('error', 'view')) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM events) WHERE event_type <> 'view') WHERE event_type = 'error' AND streak >= 3")
+def win_06(spark: SparkSession, sf: str) -> DataFrame:
+    """Failure streaks of three or more; a success resets, a view (a timeout) is ignored. Gaps and islands."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = read(spark, sf, "events").where("event_type <> 'view'")
+    e = e.withColumn("g", F.sum((F.col("event_type") != "error").cast("long")).over(w)).where("event_type = 'error'")
+    streak = F.row_number().over(Window.partitionBy("user_id", "g").orderBy("ts", "event_id")).cast("long")
+    return e.withColumn("streak", streak).where("streak >= 3").select("user_id", "event_id", "streak")
+
+
+@query("SELECT query_id, vec_id, rank FROM (SELECT q.vec_id AS query_id, v.vec_id, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY v.vec_id) AS INTEGER) AS rank FROM embeddings AS q JOIN embeddings AS v ON q.label = v.label AND q.vec_id < 20) WHERE rank <= 24")
+def win_07(spark: SparkSession, sf: str) -> DataFrame:
+    """Place of each result in its list."""
+    return text_list(spark, sf)
+
+
+LINES_SQL = "l AS (SELECT doc_id, unnest(s) AS line, generate_subscripts(s, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents))"
+
+
+@query(
+    "WITH " + LINES_SQL + """, h AS (SELECT doc_id, i, CASE WHEN i % 6 = 1 THEN 'A' || i END AS h1, CASE WHEN i % 3 = 2 THEN 'B' || i END AS h2 FROM l),
+    w AS (SELECT doc_id, i, last_value(h1 IGNORE NULLS) OVER p AS h1, last_value(CASE WHEN h1 IS NOT NULL THEN '' ELSE h2 END IGNORE NULLS) OVER p AS h2 FROM h WINDOW p AS (PARTITION BY doc_id ORDER BY i))
+    SELECT doc_id, CAST(i AS INTEGER) AS i, concat_ws(' > ', h1, nullif(h2, '')) AS path FROM w"""
+)
+def win_08(spark: SparkSession, sf: str) -> DataFrame:
+    """Section path of each line: the last heading of each level, deeper ones cleared by a higher one (injected)."""
+    lines = read(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "line")).select("doc_id", (F.col("p") + 1).alias("i"))
+    h1 = F.when(F.col("i") % 6 == 1, F.concat(F.lit("A"), F.col("i").cast("string")))
+    h2 = F.when(h1.isNotNull(), "").when(F.col("i") % 3 == 2, F.concat(F.lit("B"), F.col("i").cast("string")))
+    w = Window.partitionBy("doc_id").orderBy("i")
+    path = lines.select("doc_id", "i", F.last(h1, True).over(w).alias("h1"), F.last(h2, True).over(w).alias("h2"))
+    return path.select("doc_id", "i", F.concat_ws(" > ", "h1", F.nullif("h2", F.lit(""))).alias("path"))
+
+
+@query("WITH " + LINES_SQL + ", w AS (SELECT doc_id, i, line, list(line) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS b, list(line) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING) AS a FROM l) SELECT doc_id, CAST(i AS INTEGER) AS i, sha256(coalesce(array_to_string(b, chr(10)), '')) AS before, sha256(coalesce(array_to_string(a, chr(10)), '')) AS after FROM w WHERE regexp_matches(line, '\\d')")
+def win_09(spark: SparkSession, sf: str) -> DataFrame:
+    """Four lines before and after each line that holds a number."""
+    lines = read(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "line"))
+    w = Window.partitionBy("doc_id").orderBy("p")
+    near = lines.withColumns({"b": F.collect_list("line").over(w.rowsBetween(-4, -1)), "a": F.collect_list("line").over(w.rowsBetween(1, 4))})
+    return near.where(F.col("line").rlike(r"\d")).select("doc_id", (F.col("p") + 1).alias("i"), F.sha2(F.array_join("b", "\n"), 256).alias("before"), F.sha2(F.array_join("a", "\n"), 256).alias("after"))
+
+
+@query("WITH s AS (SELECT doc_id, unnest(p) AS s, generate_subscripts(p, 1) AS i FROM (SELECT doc_id, string_split(text, '. ') AS p FROM documents)) SELECT doc_id, CAST(i AS INTEGER) AS i, CAST(length(s) - CASE WHEN regexp_matches(lead(s) OVER (PARTITION BY doc_id ORDER BY i), '(nicht|not|pas)') THEN 8 ELSE 0 END AS INTEGER) AS score FROM s")
+def win_10(spark: SparkSession, sf: str) -> DataFrame:
+    """Sentence score with a penalty when the next sentence is negative."""
+    s = read(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", r"\. ")).alias("p", "s"))
+    after = F.lead("s").over(Window.partitionBy("doc_id").orderBy("p"))
+    return s.select("doc_id", (F.col("p") + 1).alias("i"), (F.length("s") - F.when(after.rlike("(nicht|not|pas)"), 8).otherwise(0)).alias("score"))
+
+
+@query(
+    """WITH d AS (SELECT label, vec_id, round(1 - list_cosine_similarity(embedding::DOUBLE[], lag(embedding) OVER (PARTITION BY label ORDER BY vec_id)::DOUBLE[]), 6) AS d FROM embeddings),
+    q AS (SELECT label, quantile_cont(d, 0.75) + 0.5 * (quantile_cont(d, 0.75) - quantile_cont(d, 0.25)) AS bar FROM d GROUP BY label)
+    SELECT label, vec_id, CAST(sum(CASE WHEN d > bar + 1e-9 THEN 1 ELSE 0 END) OVER (PARTITION BY label ORDER BY vec_id) AS BIGINT) AS chunk FROM d JOIN q USING (label)"""
+)
+def win_11(spark: SparkSession, sf: str) -> DataFrame:
+    """Semantic breakpoints: a distance above the quartile rule opens a new chunk (the factor is a parameter; 0.5 here)."""
+    w = Window.partitionBy("label").orderBy("vec_id")
+    d = read(spark, sf, "embeddings").withColumn("before", F.lag("embedding").over(w)).select("label", "vec_id", F.round(1 - vectors.cosine(F.col("embedding"), F.col("before")), 6).alias("d"))
+    bars = d.groupBy("label").agg(F.percentile("d", 0.75).alias("q3"), F.percentile("d", 0.25).alias("q1")).select("label", (F.col("q3") + 0.5 * (F.col("q3") - F.col("q1"))).alias("bar"))
+    return d.join(bars, "label").select("label", "vec_id", F.sum(F.when(F.col("d") > F.col("bar") + 1e-9, 1).otherwise(0)).over(w).alias("chunk"))
+
+
+@query("WITH " + SEARCHED_SQL.format(k=10) + " SELECT query_id, vec_id, rank FROM hits WHERE query_id = 7")
+def top_01(spark: SparkSession, sf: str) -> DataFrame:
+    """Vector top-k of one query: a plain ordered limit, which Spark runs as one take-ordered step."""
+    v = read(spark, sf, "embeddings").select("vec_id", "embedding")
+    asked = F.broadcast(v.where("vec_id = 7").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))  # one row
+    best = v.join(asked).select("query_id", "vec_id", F.round(vectors.cosine(F.col("q"), F.col("embedding")), 6).alias("score")).orderBy(F.desc("score"), "vec_id").limit(10)
+    return best.select("query_id", "vec_id", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).alias("rank"))
+
+
+@query("SELECT doc_id, n FROM (SELECT doc_id, CAST(len(regexp_extract_all(lower(text), '[\\p{L}]*the[\\p{L}]*')) AS BIGINT) AS n FROM documents) ORDER BY n DESC, doc_id LIMIT 20")
+def top_02(spark: SparkSession, sf: str) -> DataFrame:
+    """Text top-k by a count of matching words."""
+    return read(spark, sf, "documents").select("doc_id", F.regexp_count(F.lower("text"), F.lit(r"[\p{L}]*the[\p{L}]*")).cast("long").alias("n")).orderBy(F.desc("n"), "doc_id").limit(20)
+
+
+@query("WITH " + SEARCHED_SQL.format(k=8) + ", r AS (SELECT h.*, CASE WHEN vec_id % 3 = 0 THEN NULL ELSE (vec_id * 37 % 101) / 100.0::DOUBLE END AS rerank FROM hits AS h) SELECT * FROM (SELECT query_id, vec_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY coalesce(rerank, -1e9) DESC, rank) AS INTEGER) AS place FROM r) WHERE place <= 5")
+def top_03(spark: SparkSession, sf: str) -> DataFrame:
+    """Rerank by supplied scores (a table); without a score the first order stays, behind the scored ones."""
+    scores = read(spark, sf, "embeddings").where("vec_id % 3 <> 0").select("vec_id", ((F.col("vec_id") * 37 % 101) / 100.0).alias("rerank"))
+    joined = searched(spark, sf).join(scores, "vec_id", "left")
+    return top(joined, ["query_id"], 5, F.desc(F.coalesce("rerank", F.lit(-1e9))), F.asc("rank"), name="place").select("query_id", "vec_id", "place")
+
+
+@query("WITH " + SEARCHED_SQL.format(k=1000000) + ", d AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, vec_id) AS r FROM hits) SELECT query_id, vec_id, label, CAST(p AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS p FROM d WHERE r <= 3) WHERE p <= 6")
+def top_04(spark: SparkSession, sf: str) -> DataFrame:
+    """Top three per domain, then top six of those."""
+    v = read(spark, sf, "embeddings")
+    asked = F.broadcast(v.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))  # the stated queries
+    scored = v.join(asked).select("query_id", "vec_id", "label", F.round(vectors.cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
+    order = (F.desc("score"), F.asc("vec_id"))
+    return top(top(scored, ["query_id", "label"], 3, *order), ["query_id"], 6, *order, name="place").select("query_id", "vec_id", "label", "place")
+
+
+@query("WITH " + SEARCHED_SQL.format(k=8) + " SELECT query_id, arg_min(vec_id, struct_pack(a := CASE WHEN label = query_id % 10 THEN 0 ELSE 1 END, b := vec_id % 3, c := -score, d := vec_id)) AS best FROM hits GROUP BY query_id")
+def top_05(spark: SparkSession, sf: str) -> DataFrame:
+    """The first candidate by source, role, score."""
+    labels = read(spark, sf, "embeddings").select("vec_id", "label")
+    key = F.struct(F.when(F.col("label") == F.col("query_id") % 10, 0).otherwise(1), F.col("vec_id") % 3, -F.col("score"), "vec_id")
+    return searched(spark, sf).join(labels, "vec_id").groupBy("query_id").agg(F.min_by("vec_id", key).alias("best"))
+
+
+@query("SELECT o_custkey, arg_max(o_orderkey, struct_pack(a := o_orderstatus = 'O', b := o_orderdate, c := o_orderkey)) AS session FROM orders GROUP BY o_custkey")
+def top_06(spark: SparkSession, sf: str) -> DataFrame:
+    """The active session of each customer, else the latest."""
+    return read(spark, sf, "orders").groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct(F.col("o_orderstatus") == "O", "o_orderdate", "o_orderkey")).alias("session"))
