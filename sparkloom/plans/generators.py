@@ -1 +1,114 @@
-"""Queries."""
+"""Table generators: one row to many."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions import text
+from ..operators import chunking
+from .base import query, read
+from .windows import LINES_SQL
+
+
+@query()
+def gen_01(spark: SparkSession, sf: str) -> DataFrame:
+    """Recursive chunking (tested by invariants)."""
+    return chunking.chunk_documents(read(spark, sf, "documents"))
+
+
+@query("SELECT doc_id, CAST((s - 1) / 600 AS INTEGER) AS i, sha256(substr(text, CAST(s AS BIGINT), 800)) AS chunk FROM (SELECT doc_id, text, unnest(range(1, greatest(length(text), 1) + 1, 600)) AS s FROM documents)")
+def gen_02(spark: SparkSession, sf: str) -> DataFrame:
+    """Character windows with overlap."""
+    parts = read(spark, sf, "documents").select("doc_id", F.posexplode(chunking.windows("text")).alias("i", "c"))
+    return parts.select("doc_id", "i", F.sha2("c", 256).alias("chunk"))
+
+
+SECTIONS_SQL = LINES_SQL + """, m AS (SELECT doc_id, i, CASE WHEN i % 5 = 1 THEN '# ' || i ELSE line END AS line, CASE WHEN i % 5 = 1 THEN 1 ELSE 0 END AS h FROM l),
+  n AS (SELECT *, sum(h) OVER (PARTITION BY doc_id ORDER BY i) AS section FROM m),
+  sec AS (SELECT doc_id, CAST(section AS BIGINT) AS section, string_agg(line, chr(10) ORDER BY i) AS body FROM n GROUP BY doc_id, section)"""
+
+
+def sections(spark: SparkSession, sf: str) -> DataFrame:
+    """Sections under headings, which are injected at every fifth line: doc_id, section, body."""
+    lines = read(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "line"))
+    i = F.col("p") + 1
+    marked = lines.select("doc_id", "p", F.when(i % 5 == 1, F.concat(F.lit("# "), i.cast("string"))).otherwise(F.col("line")).alias("line"), (i % 5 == 1).cast("long").alias("h"))
+    numbered = marked.withColumn("section", F.sum("h").over(Window.partitionBy("doc_id").orderBy("p")))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "line"))), lambda x: x["line"]), "\n")
+    return numbered.groupBy("doc_id", "section").agg(body.alias("body"))
+
+
+@query("WITH " + SECTIONS_SQL + " SELECT doc_id, section, CAST((s - 1) / 900 AS INTEGER) AS i, sha256('H' || section || ' > ' || substr(body, CAST(s AS BIGINT), 1200)) AS chunk FROM (SELECT *, unnest(range(1, greatest(length(body), 1) + 1, 900)) AS s FROM sec)")
+def gen_03(spark: SparkSession, sf: str) -> DataFrame:
+    """Sections with their path in front; what is too long is cut in windows."""
+    parts = sections(spark, sf).select("doc_id", "section", F.posexplode(chunking.windows("body", 1200, 300)).alias("i", "c"))
+    return parts.select("doc_id", "section", "i", F.sha2(F.concat(F.lit("H"), F.col("section").cast("string"), F.lit(" > "), "c"), 256).alias("chunk"))
+
+
+@query()
+def gen_04(spark: SparkSession, sf: str) -> DataFrame:
+    """Heading-only chunks join their successors (tested against a loop)."""
+    t = F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 3 == 0, F.concat(F.lit("# "), i.cast("string"))).otherwise(x))
+    return read(spark, sf, "documents").select("doc_id", F.posexplode(chunking.merge_headings(t, 400)).alias("i", "chunk"))
+
+
+@query("SELECT doc_id, lang AS doc_type, count(*) AS n FROM (SELECT doc_id, lang, unnest(range(1, greatest(length(text), 1) + 1, step)) AS s FROM documents JOIN (VALUES ('en', 600), ('de', 450), ('fr', 900), ('es', 300)) AS t(kind, step) ON lang = kind) GROUP BY doc_id, lang")
+def gen_05(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunk size by document type, from a small table."""
+    sizes = F.broadcast(spark.createDataFrame([("en", 600), ("de", 450), ("fr", 900), ("es", 300)], "lang string, step int"))  # fixed and small
+    n = F.size(F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1)), F.col("step"))).cast("long")
+    return read(spark, sf, "documents").join(sizes, "lang").select("doc_id", F.col("lang").alias("doc_type"), n.alias("n"))
+
+
+@query("SELECT DISTINCT doc_id, trim(s) AS sentence FROM (SELECT doc_id, unnest(string_split_regex(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))) AS s FROM documents) WHERE length(trim(s)) >= 18")
+def gen_06(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct sentences of eighteen characters or more."""
+    s = F.transform(text.sentences("text"), lambda x: F.trim(x))
+    return read(spark, sf, "documents").select("doc_id", F.explode(F.array_distinct(F.filter(s, lambda x: F.length(x) >= 18))).alias("sentence"))
+
+
+@query("WITH w AS (SELECT item_id, list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), lambda x: x NOT IN ('the', 'of', 'and', 'in', 'to')) AS w FROM benchmark) SELECT item_id, gram, count(*) AS n FROM (SELECT item_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS gram FROM w) GROUP BY item_id, gram")
+def gen_07(spark: SparkSession, sf: str) -> DataFrame:
+    """Word n-grams of one to three, without stop words."""
+    w = F.filter(text.words(F.lower("text"), 1), lambda x: ~x.isin("the", "of", "and", "in", "to"))
+    rows = read(spark, sf, "benchmark").select("item_id", w.alias("w"))
+    grams = [F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i, n=n: F.concat_ws(" ", F.slice("w", i, n)))).otherwise(F.array().cast("array<string>")) for n in (1, 2, 3)]
+    return rows.select("item_id", F.explode(F.concat(*grams)).alias("gram")).groupBy("item_id", "gram").agg(F.count("*").alias("n"))
+
+
+@query("WITH l AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents), p AS (SELECT CASE WHEN contains(line, ' de ') THEN replace(line, ' de ', ' -> ') ELSE line END AS line FROM l), m AS (SELECT lower(trim(string_split(line, ' -> ')[1])) AS term, trim(string_split(line, ' -> ')[2]) AS meaning FROM p WHERE contains(line, ' -> ')) SELECT term, min(meaning) AS meaning FROM m WHERE length(term) BETWEEN 1 AND 40 GROUP BY term")
+def gen_08(spark: SparkSession, sf: str) -> DataFrame:
+    """Glossary rows from 'a -> b' lines, one per folded term (arrows are injected)."""
+    lines = read(spark, sf, "documents").select(F.explode(F.split("text", "\n")).alias("l")).select(F.replace("l", F.lit(" de "), F.lit(" -> ")).alias("line")).where(F.contains("line", F.lit(" -> ")))
+    parts = F.split("line", " -> ")
+    rows = lines.select(F.lower(F.trim(parts[0])).alias("term"), F.trim(parts[1]).alias("meaning")).where("length(term) between 1 and 40")
+    return rows.groupBy("term").agg(F.min("meaning").alias("meaning"))
+
+
+@query("WITH " + LINES_SQL + ", f AS (SELECT doc_id, i, trim(regexp_replace('y' || doc_id % 9 || ' =  a *  ' || i, '\\s+', ' ', 'g')) AS formula FROM l WHERE regexp_matches(line, '\\d')) SELECT doc_id, CAST(i AS INTEGER) AS i, formula FROM (SELECT *, row_number() OVER (PARTITION BY formula ORDER BY doc_id, i) AS r FROM f) WHERE r = 1 ORDER BY doc_id, i LIMIT 50")
+def gen_09(spark: SparkSession, sf: str) -> DataFrame:
+    """Formula lines, normalised, one per formula, fifty at most (formulas are injected where a line holds a number)."""
+    lines = read(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "line")).where(F.col("line").rlike(r"\d")).select("doc_id", (F.col("p") + 1).alias("i"))
+    f = lines.withColumn("formula", text.collapse(F.concat(F.lit("y"), (F.col("doc_id") % 9).cast("string"), F.lit(" =  a *  "), F.col("i").cast("string"))))
+    first = f.groupBy("formula").agg(F.min(F.struct("doc_id", "i")).alias("x")).select("x.doc_id", "x.i", "formula")
+    return first.orderBy("doc_id", "i").limit(50)
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, event_type AS content, round(value / 100, 6) AS score FROM events")
+def gen_10(spark: SparkSession, sf: str) -> DataFrame:
+    """Tool payloads flattened: the list lies under one of several names, text and score under others."""
+    e = read(spark, sf, "events")
+    item = F.concat(F.lit('{"k": '), F.get_json_object("props", "$.k"), F.lit(', "text": "'), "event_type", F.lit('", "relevance": '), F.round(F.col("value") / 100, 6).cast("string"), F.lit("}"))
+    payload = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('{"results": ['), item, F.lit("]}"))).otherwise(F.concat(F.lit('{"matches": ['), item, F.lit("]}")))
+    kind = "array<struct<k: bigint, content: string, text: string, score: double, relevance: double>>"
+    rows = F.coalesce(*[F.from_json(F.get_json_object(payload, f"$.{n}"), kind) for n in ("results", "chunks", "items", "data", "documents", "matches")])
+    return e.select("event_id", F.explode(rows).alias("r")).select("event_id", "r.k", F.coalesce("r.content", "r.text").alias("content"), F.coalesce("r.score", "r.relevance").alias("score"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 4 <> 0 THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k FROM events")
+def gen_11(spark: SparkSession, sf: str) -> DataFrame:
+    """Trace chunks from a JSON array; bad JSON gives an empty row."""
+    raw = F.when(F.col("event_id") % 4 == 0, F.lit("[broken")).otherwise(F.concat(F.lit("["), "props", F.lit("]")))
+    return read(spark, sf, "events").select("event_id", F.explode_outer(F.from_json(raw, "array<struct<k: bigint>>")).alias("x")).select("event_id", "x.k")

@@ -1 +1,164 @@
-"""Queries."""
+"""Composed retrieval over the given tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions import text
+from ..operators import postings, vectors
+from ..operators.ranking import boosted, fuse, top
+from ..operators.search import two_pass
+from .base import query, read
+from .filters import HOST_SQL, SEARCHED_SQL, searched
+from .joins import FOLDED_WORDS_SQL, LISTS_SQL, text_list
+from .scalars import HTML_SQL
+
+
+@query("WITH " + LISTS_SQL + ", f AS (SELECT query_id, vec_id, round(sum(s), 12) AS score FROM (SELECT query_id, vec_id, 1.5::DOUBLE / (60 + rank) AS s FROM hits UNION ALL SELECT query_id, vec_id, 1.0::DOUBLE / (60 + rank) FROM txt) GROUP BY query_id, vec_id) SELECT query_id, vec_id, round(score, 6) AS score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM f) WHERE rank <= 8")
+def ret_01(spark: SparkSession, sf: str) -> DataFrame:
+    """Hybrid search: vector and term lists at three times k, fused with weights 1.5 and 1."""
+    fused = fuse({"vector": (searched(spark, sf, 24), 1.5), "text": (text_list(spark, sf), 1.0)}, ["query_id"], "vec_id")
+    best = top(fused.withColumn("score", F.round("score", 12)), ["query_id"], 8, F.desc("score"), F.asc("vec_id"))
+    return best.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("WITH " + LISTS_SQL + ", far AS (SELECT query_id, vec_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY vec_id DESC) AS INTEGER) AS rank FROM hits), f AS (SELECT query_id, vec_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score FROM (SELECT query_id, vec_id, rank FROM hits UNION ALL SELECT query_id, vec_id, rank FROM txt UNION ALL SELECT query_id, vec_id, rank FROM far) GROUP BY query_id, vec_id) SELECT query_id, vec_id, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM f) WHERE rank <= 10")
+def ret_02(spark: SparkSession, sf: str) -> DataFrame:
+    """Unweighted fusion of three lists."""
+    hits = searched(spark, sf, 24)
+    far = hits.select("query_id", "vec_id", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("vec_id"))).alias("rank"))
+    fused = fuse({"a": (hits, 1.0), "b": (text_list(spark, sf), 1.0), "c": (far, 1.0)}, ["query_id"], "vec_id").withColumn("score", F.round("score", 12))
+    return top(fused, ["query_id"], 10, F.desc("score"), F.asc("vec_id")).select("query_id", "vec_id", "rank")
+
+
+@query("SELECT doc_id, coalesce(CASE WHEN doc_id % 3 = 0 THEN CAST(doc_id AS VARCHAR) END, CASE WHEN doc_id % 3 = 1 THEN source END, lang) || ':' || md5(text) AS item_key FROM documents")
+def ret_03(spark: SparkSession, sf: str) -> DataFrame:
+    """Item key: the first id there is, and the hash of the content."""
+    first = F.coalesce(F.when(F.col("doc_id") % 3 == 0, F.col("doc_id").cast("string")), F.when(F.col("doc_id") % 3 == 1, F.col("source")), F.col("lang"))
+    return read(spark, sf, "documents").select("doc_id", F.concat_ws(":", first, F.md5("text")).alias("item_key"))
+
+
+@query(
+    "WITH q AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{6,}'))"
+    + " AS kw FROM benchmark WHERE item_id < 10), s AS (SELECT item_id, doc_id, round(0.01 * len(list_filter(kw, lambda w: contains(lower(text), w))), 6) AS score FROM q CROSS JOIN documents) SELECT item_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS r FROM s) WHERE r <= 8"
+)
+def ret_04(spark: SparkSession, sf: str) -> DataFrame:
+    """Keyword boost by substring: the eight best documents for each of the ten stated queries, which are broadcast."""
+    q = F.broadcast(read(spark, sf, "benchmark").where("item_id < 10").select("item_id", text.keywords("text", (), 6).alias("kw")))
+    scored = read(spark, sf, "documents").select("doc_id", F.lower("text").alias("t")).join(q)
+    scored = scored.select("item_id", "doc_id", F.round(boosted(F.lit(0.0), F.col("kw"), F.col("t")), 6).alias("score"))
+    return top(scored, ["item_id"], 8, F.desc("score"), F.asc("doc_id")).select("item_id", "doc_id", "score")
+
+
+BM25_SQL = f"""w AS (SELECT doc_id, {FOLDED_WORDS_SQL.format('text', 4)} AS w FROM documents), t AS (SELECT count(*) AS n_docs, avg(len(w)) AS mean FROM w),
+  q AS (SELECT item_id AS query_id, unnest(list_distinct({FOLDED_WORDS_SQL.format('text', 4)})) AS term FROM benchmark),
+  tf AS (SELECT term, doc_id, len, count(*) AS tf FROM (SELECT doc_id, len(w) AS len, unnest(w) AS term FROM w) GROUP BY term, doc_id, len), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+  bm AS (SELECT query_id, doc_id, round(sum(ln(1 + (n_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / mean))), 6) AS score, count(*) AS matched FROM q JOIN tf USING (term) JOIN df USING (term) CROSS JOIN t GROUP BY query_id, doc_id)"""
+
+
+def bm25_rows(spark: SparkSession, sf: str) -> DataFrame:
+    q = read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return postings.bm25(q, read(spark, sf, "documents").select("doc_id", "text"))
+
+
+@query("WITH " + BM25_SQL + " SELECT query_id, doc_id, round(score, 4) AS score, matched FROM bm")
+def ret_05(spark: SparkSession, sf: str) -> DataFrame:
+    """Text relevance by BM25."""
+    return bm25_rows(spark, sf).withColumn("score", F.round("score", 4))
+
+
+@query("WITH " + SEARCHED_SQL.format(k=20) + ", weak AS (SELECT query_id FROM hits WHERE rank <= 8 AND vec_id <> query_id GROUP BY query_id HAVING max(score) < 0.42), lists AS (SELECT query_id, vec_id, rank FROM hits WHERE rank <= 8 UNION ALL SELECT query_id, vec_id, rank FROM hits SEMI JOIN weak USING (query_id)), f AS (SELECT query_id, vec_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score FROM lists GROUP BY query_id, vec_id) SELECT query_id, vec_id, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM f) WHERE rank <= 8")
+def ret_06(spark: SparkSession, sf: str) -> DataFrame:
+    """Two-pass search: queries with weak first results are searched again more widely, and both lists fused."""
+    v = read(spark, sf, "embeddings").select("vec_id", "embedding")
+    return two_pass(v.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), v, k=8, weak_below=0.42)
+
+
+@query("WITH " + SEARCHED_SQL.format(k=16) + ", f AS (SELECT query_id // 4 AS asked, vec_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score FROM hits GROUP BY asked, vec_id) SELECT asked, vec_id, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY asked ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM f) WHERE rank <= 8")
+def ret_07(spark: SparkSession, sf: str) -> DataFrame:
+    """Multi-query search: four variants of each query, searched apart and fused."""
+    hits = searched(spark, sf, 16).withColumn("asked", F.floor(F.col("query_id") / 4))
+    fused = hits.groupBy("asked", "vec_id").agg(F.round(F.sum(1.0 / (60 + F.col("rank"))), 12).alias("score"))
+    return top(fused, ["asked"], 8, F.desc("score"), F.asc("vec_id")).select("asked", "vec_id", "rank")
+
+
+@query("WITH v AS (SELECT conv_id, turn, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS f FROM conversations), d AS (SELECT conv_id, f, min(turn) AS turn FROM v WHERE f <> '' GROUP BY conv_id, f) SELECT conv_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM d) WHERE r <= 4")
+def ret_08(spark: SparkSession, sf: str) -> DataFrame:
+    """Variant clean-up: distinct by folded text, the base first, four at most."""
+    v = read(spark, sf, "conversations").select("conv_id", "turn", F.lower(text.collapse("text")).alias("f")).where("f <> ''")
+    return top(v.groupBy("conv_id", "f").agg(F.min("turn").alias("turn")), ["conv_id"], 4, F.asc("turn")).select("conv_id", "turn")
+
+
+@query("WITH " + SEARCHED_SQL.format(k=1000000) + ", d AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, vec_id) AS r FROM hits), f AS (SELECT query_id, vec_id, round(1.0::DOUBLE / (60 + r), 12) AS s, score FROM d WHERE r <= 3) SELECT query_id, vec_id, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, score DESC, vec_id) AS INTEGER) AS rank FROM f) WHERE rank <= 6")
+def ret_09(spark: SparkSession, sf: str) -> DataFrame:
+    """Cross-domain search: three per domain, fused by rank, six in the end."""
+    v = read(spark, sf, "embeddings")
+    asked = F.broadcast(v.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))  # the stated queries
+    scored = v.join(asked).select("query_id", "vec_id", "label", F.round(vectors.cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
+    each = top(scored, ["query_id", "label"], 3, F.desc("score"), F.asc("vec_id"), name="r").withColumn("s", F.round(1.0 / (60 + F.col("r")), 12))
+    return top(each, ["query_id"], 6, F.desc("s"), F.desc("score"), F.asc("vec_id")).select("query_id", "vec_id", "rank")
+
+
+@query("WITH " + BM25_SQL + ", h AS (SELECT query_id, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM bm) WHERE r <= 5), c AS (SELECT query_id, string_agg(lower(text), ' ') AS hay FROM h JOIN documents USING (doc_id) GROUP BY query_id) SELECT query_id, len(list_filter(string_split(lower(text), ' ')[1:3], lambda w: NOT contains(hay, w))) = 0 AS hit FROM c JOIN benchmark ON item_id = query_id")
+def ret_10(spark: SparkSession, sf: str) -> DataFrame:
+    """Hit@5: the first three words of a question inside the texts of its five best documents, joined."""
+    best = top(bm25_rows(spark, sf), ["query_id"], 5, F.desc("score"), F.asc("doc_id"))
+    hay = best.join(read(spark, sf, "documents").select("doc_id", "text"), "doc_id").groupBy("query_id").agg(F.array_join(F.collect_list(F.lower("text")), " ").alias("hay"))
+    asked = read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.slice(F.split(F.lower("text"), " "), 1, 3).alias("w"))
+    return hay.join(asked, "query_id").select("query_id", F.forall("w", lambda x: F.contains(F.col("hay"), x)).alias("hit"))
+
+
+@query("WITH " + SEARCHED_SQL.format(k=5) + " SELECT query_id, string_agg('[' || rank || '] row ' || vec_id || ' of ' || label, chr(10) ORDER BY rank) AS block FROM hits GROUP BY query_id")
+def ret_11(spark: SparkSession, sf: str) -> DataFrame:
+    """Evidence block: five numbered rows."""
+    rows = searched(spark, sf, 5).join(read(spark, sf, "embeddings").select("vec_id", "label"), "vec_id")
+    line = F.format_string("[%d] row %d of %d", "rank", "vec_id", "label")
+    return rows.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("s")))), lambda x: x["s"]), "\n").alias("block"))
+
+
+def evidence(spark: SparkSession, sf: str) -> DataFrame:
+    """Scored sentences of the three best documents of each question: query_id, doc_id, i, s, score."""
+    best = top(bm25_rows(spark, sf), ["query_id"], 3, F.desc("score"), F.asc("doc_id")).select("query_id", "doc_id")
+    s = read(spark, sf, "documents").join(best, "doc_id").select("query_id", "doc_id", F.posexplode(F.split("text", r"\. ")).alias("i", "s"))
+    kw = read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), text.keywords("text").alias("kw"))
+    joined = s.where(F.length("s") >= 18).join(kw, "query_id")
+    return joined.select("query_id", "doc_id", "i", "s", F.size(F.filter("kw", lambda w: F.contains(F.lower("s"), w))).alias("score"))
+
+
+EVIDENCE_SQL = BM25_SQL + """, b AS (SELECT query_id, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM bm) WHERE r <= 3),
+  p AS (SELECT query_id, doc_id, unnest(l) AS s, generate_subscripts(l, 1) - 1 AS i FROM (SELECT query_id, doc_id, string_split(text, '. ') AS l FROM b JOIN documents USING (doc_id))),
+  ev AS (SELECT query_id, doc_id, i, s, len(list_filter(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{4,}')), lambda w: contains(lower(s), w))) AS score FROM p JOIN benchmark ON item_id = query_id WHERE length(s) >= 18)"""
+
+
+@query("WITH " + EVIDENCE_SQL + " SELECT query_id, doc_id, CAST(i AS INTEGER) AS i, CAST(score AS INTEGER) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, i) AS r FROM ev WHERE score >= 4) WHERE r <= 3")
+def ret_12(spark: SparkSession, sf: str) -> DataFrame:
+    """Evidence reduction: sentences scored against the question, a threshold, the best three."""
+    return top(evidence(spark, sf).where("score >= 4"), ["query_id"], 3, F.desc("score"), F.asc("doc_id"), F.asc("i")).select("query_id", "doc_id", "i", "score")
+
+
+@query(f"WITH p AS (SELECT {HOST_SQL} AS host, min(page_id) AS page_id FROM pages GROUP BY url), a AS (SELECT * FROM p WHERE host = 'example.com' OR ends_with(host, '.example.com')) SELECT host, page_id, sha256(substr({HTML_SQL.format('html')}, 1, 600)) AS snippet FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY page_id) AS r FROM a) JOIN pages USING (page_id) WHERE r <= 3")
+def ret_13(spark: SparkSession, sf: str) -> DataFrame:
+    """Web evidence: allowed hosts, one page per URL, three pages per host, 600 characters of text."""
+    pages = read(spark, sf, "pages")
+    one = pages.groupBy("url").agg(F.min("page_id").alias("page_id")).select(text.host("url").alias("host"), "page_id")
+    some = top(one.where(text.is_allowed(F.col("host"), ("example.com",))), ["host"], 3, F.asc("page_id")).select("host", "page_id")
+    return some.join(pages, "page_id").select("host", "page_id", F.sha2(text.html_to_text("html", 600), 256).alias("snippet"))
+
+
+@query("WITH " + EVIDENCE_SQL + ", r AS (SELECT query_id, doc_id, max(score) AS best, CASE WHEN max(score) >= 4 THEN 'reduced' ELSE 'head' END AS kind FROM ev GROUP BY query_id, doc_id) SELECT query_id, doc_id, kind, CAST(row_number() OVER (PARTITION BY query_id ORDER BY kind DESC, best DESC, doc_id) AS INTEGER) AS place FROM r WHERE best > 0")
+def ret_14(spark: SparkSession, sf: str) -> DataFrame:
+    """Candidates per response: reduced evidence where there is some, else the head; relevant ones in order."""
+    r = evidence(spark, sf).groupBy("query_id", "doc_id").agg(F.max("score").alias("best")).where("best > 0").withColumn("kind", F.when(F.col("best") >= 4, "reduced").otherwise("head"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("kind"), F.desc("best"), "doc_id"))
+    return r.select("query_id", "doc_id", "kind", place.alias("place"))
+
+
+@query("WITH s AS (SELECT doc_id, unnest(l) AS s, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, string_split(text, '. ') AS l FROM documents)), n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r FROM s WHERE regexp_matches(s, '\\d+[.,]?\\d*\\s*[%a-zA-Z]')) SELECT doc_id, substr(string_agg(s, ' ' ORDER BY i), 1, 650) AS answer FROM n WHERE r <= 2 GROUP BY doc_id")
+def ret_15(spark: SparkSession, sf: str) -> DataFrame:
+    """Numeric direct answer: the first two sentences with a number and a unit, 650 characters at most."""
+    s = read(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", r"\. ")).alias("i", "s")).where(F.col("s").rlike(r"\d+[.,]?\d*\s*[%a-zA-Z]"))
+    two = top(s, ["doc_id"], 2, F.asc("i"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda x: x["s"]), " ")
+    return two.groupBy("doc_id").agg(F.substring(joined, 1, 650).alias("answer"))
