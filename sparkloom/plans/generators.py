@@ -74,7 +74,11 @@ def gen_07(spark: SparkSession, sf: str) -> DataFrame:
     """Word n-grams of one to three, without stop words."""
     w = F.filter(text.words(F.lower("text"), 1), lambda x: ~x.isin("the", "of", "and", "in", "to"))
     rows = read(spark, sf, "benchmark").select("item_id", w.alias("w"))
-    grams = [F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i, n=n: F.concat_ws(" ", F.slice("w", i, n)))).otherwise(F.array().cast("array<string>")) for n in (1, 2, 3)]
+    def grams_of(n: int) -> F.Column:
+        some = F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.array_join(F.slice(F.col("w"), i, F.lit(n)), " "))
+        return F.when(F.size("w") >= n, some).otherwise(F.array().cast("array<string>"))
+
+    grams = [grams_of(n) for n in (1, 2, 3)]
     return rows.select("item_id", F.explode(F.concat(*grams)).alias("gram")).groupBy("item_id", "gram").agg(F.count("*").alias("n"))
 
 

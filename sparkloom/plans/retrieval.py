@@ -63,10 +63,10 @@ def bm25_rows(spark: SparkSession, sf: str) -> DataFrame:
     return postings.bm25(q, read(spark, sf, "documents").select("doc_id", "text"))
 
 
-@query("WITH " + BM25_SQL + " SELECT query_id, doc_id, round(score, 4) AS score, matched FROM bm")
+@query("WITH " + BM25_SQL + " SELECT query_id, doc_id, round(score + 1e-7, 3) AS score, matched FROM bm")
 def ret_05(spark: SparkSession, sf: str) -> DataFrame:
     """Text relevance by BM25."""
-    return bm25_rows(spark, sf).withColumn("score", F.round("score", 4))
+    return bm25_rows(spark, sf).withColumn("score", F.round(F.col("score") + 1e-7, 3))
 
 
 @query("WITH " + SEARCHED_SQL.format(k=20) + ", weak AS (SELECT query_id FROM hits WHERE rank <= 8 AND vec_id <> query_id GROUP BY query_id HAVING max(score) < 0.42), lists AS (SELECT query_id, vec_id, rank FROM hits WHERE rank <= 8 UNION ALL SELECT query_id, vec_id, rank FROM hits SEMI JOIN weak USING (query_id)), f AS (SELECT query_id, vec_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score FROM lists GROUP BY query_id, vec_id) SELECT query_id, vec_id, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM f) WHERE rank <= 8")

@@ -1 +1,143 @@
-"""Queries."""
+"""Classification and routing as table jobs over the given tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions import text
+from ..operators import routing as ops
+from ..operators.ranking import top
+from .aggregates import TERM_STATS_SQL, term_stats
+from .base import query, read
+from .joins import RULE_HITS_SQL, rule_hits
+
+FLAGS_SQL = RULE_HITS_SQL + ", flags AS (SELECT d.doc_id, " + ", ".join(f"coalesce(bool_or(agent = {a}), false) AS a{a}" for a in range(1, 6)) + " FROM documents AS d LEFT JOIN rule_hits AS h ON d.doc_id = h.doc_id GROUP BY d.doc_id)"
+SCORES_SQL = RULE_HITS_SQL + ", scores AS (SELECT doc_id, agent, count(*) AS hits, CAST(sum(CASE WHEN contains(term, ' ') OR length(term) >= 4 THEN 2 WHEN term IN ('and', 'und') THEN 3 WHEN term = 'la' THEN 0 ELSE 1 END) AS BIGINT) AS weight FROM rule_hits GROUP BY doc_id, agent)"
+ROUTE_SQL = "CASE WHEN a2 AND a1 THEN [2, 1] WHEN a1 THEN [1] WHEN a3 THEN [3] WHEN a4 AND a5 THEN [4, 5] WHEN a5 THEN [5] WHEN a4 THEN [4] END"
+
+
+def flags(spark: SparkSession, sf: str) -> DataFrame:
+    """doc_id and a1..a5: whether a rule term of each agent occurs."""
+    docs = read(spark, sf, "documents")
+    return ops.flags(docs.select("doc_id"), rule_hits(spark, docs), [1, 2, 3, 4, 5])
+
+
+def scores(spark: SparkSession, sf: str) -> DataFrame:
+    return ops.keyword_scores(rule_hits(spark, read(spark, sf, "documents")), strong=("and", "und"), noise=("la",), long=4)
+
+
+@query("WITH " + FLAGS_SQL + " SELECT * FROM flags")
+def cls_01(spark: SparkSession, sf: str) -> DataFrame:
+    """Domain signal flags."""
+    return flags(spark, sf)
+
+
+@query("WITH " + FLAGS_SQL + f" SELECT doc_id, array_to_string({ROUTE_SQL}, ',') AS route FROM flags")
+def cls_02(spark: SparkSession, sf: str) -> DataFrame:
+    """Ordered rule cascade to a route; null without a match."""
+    return flags(spark, sf).select("doc_id", F.array_join(ops.cascade(), ",").alias("route"))
+
+
+@query("WITH " + SCORES_SQL + " SELECT doc_id, agent, hits, weight FROM scores WHERE hits >= 2 OR weight >= 3 OR (weight >= 2 AND hits = 1)")
+def cls_03(spark: SparkSession, sf: str) -> DataFrame:
+    """Weighted keyword score; matched rows."""
+    return scores(spark, sf).where("hits >= 2 or weight >= 3 or (weight >= 2 and hits = 1)")
+
+
+CONFIDENCE_SQL = "least(greatest(0.5 + 0.1 * hits + 0.05 * weight - CASE WHEN rivals > 1 THEN 0.1 ELSE 0 END, 0.0), 0.98)"
+
+
+@query("WITH " + SCORES_SQL + f" SELECT doc_id, agent, round({CONFIDENCE_SQL}, 4) AS confidence FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS rivals FROM scores)")
+def cls_04(spark: SparkSession, sf: str) -> DataFrame:
+    """Confidence: hits and weight raise it, rival agents lower it, clamped."""
+    s = scores(spark, sf).withColumn("rivals", F.count("*").over(Window.partitionBy("doc_id")))
+    return s.select("doc_id", "agent", F.round(ops.confidence(F.col("hits"), F.col("weight"), F.col("rivals")), 4).alias("confidence"))
+
+
+@query("WITH " + FLAGS_SQL + f" SELECT doc_id, array_to_string(p[1:CASE WHEN len(p) > 1 AND doc_id % 2 = 0 THEN 2 ELSE 3 END], ',') AS plan, p[1] AS primary_id FROM (SELECT doc_id, list_concat(list_filter(coalesce({ROUTE_SQL}, [1]), lambda x: x <> 4), list_filter([3, 5], lambda x: NOT list_contains(list_filter(coalesce({ROUTE_SQL}, [1]), lambda y: y <> 4), x))) AS p FROM flags)")
+def cls_05(spark: SparkSession, sf: str) -> DataFrame:
+    """Execution plan: route without barred agents, alternatives behind it, cut by a limit; the first is the primary one."""
+    plan = ops.execution_plan(F.coalesce(ops.cascade(), F.array(F.lit(1))), barred=(4,), alternatives=(3, 5))
+    out = flags(spark, sf).select("doc_id", plan.alias("p")).withColumn("most", F.when((F.size("p") > 1) & (F.col("doc_id") % 2 == 0), 2).otherwise(3))
+    return out.select("doc_id", F.array_join(F.slice("p", F.lit(1), F.col("most")), ",").alias("plan"), F.get("p", F.lit(0)).alias("primary_id"))
+
+
+@query("SELECT item_id, unnest(CASE WHEN regexp_matches(lower(text), '(^| )the ') THEN ['rules', 'general'] WHEN regexp_matches(lower(text), '(^| )(der|die) ') THEN ['german'] ELSE ['general'] END) AS search_table FROM benchmark")
+def cls_06(spark: SparkSession, sf: str) -> DataFrame:
+    """Query intent to the tables to search, one row per table."""
+    t = F.lower("text")
+    tables = F.when(t.rlike("(^| )the "), F.array(F.lit("rules"), F.lit("general"))).when(t.rlike("(^| )(der|die) "), F.array(F.lit("german"))).otherwise(F.array(F.lit("general")))
+    return read(spark, sf, "benchmark").select("item_id", F.explode(tables).alias("search_table"))
+
+
+HINTS_SQL = TERM_STATS_SQL + ", hints AS (SELECT term, agent, kind, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY agent, kind ORDER BY score DESC, precision DESC, support DESC, term) AS INTEGER) AS place FROM (SELECT *, CASE WHEN support >= 4 AND groups >= 2 AND precision >= 0.8 THEN 'strong' WHEN support >= 2 AND precision >= 0.65 THEN 'medium' END AS kind FROM stats)) WHERE kind IS NOT NULL AND place <= CASE WHEN kind = 'strong' THEN 45 ELSE 60 END)"
+
+
+def hints(spark: SparkSession, sf: str) -> DataFrame:
+    kind = F.when((F.col("support") >= 4) & (F.col("groups") >= 2) & (F.col("precision") >= 0.8), "strong").when((F.col("support") >= 2) & (F.col("precision") >= 0.65), "medium")
+    classed = term_stats(spark, sf).withColumn("kind", kind).where("kind is not null")
+    ranked = top(classed, ["agent", "kind"], 60, F.desc("score"), F.desc("precision"), F.desc("support"), F.asc("term"), name="place")
+    return ranked.where("kind = 'medium' or place <= 45").select("term", "agent", "kind", "place")
+
+
+@query("WITH " + HINTS_SQL + " SELECT * FROM hints")
+def cls_07(spark: SparkSession, sf: str) -> DataFrame:
+    """Term mining for routing hints: strong and medium terms per agent."""
+    return hints(spark, sf)
+
+
+TURNS = (("recap", "(^| )(resum|sum)"), ("comparison", "(^| )(than|als|que) "), ("anaphora", "^(it|this|das|ce|esto)"), ("deepening", "(^| )(more|mehr|plus) "))
+
+
+@query("SELECT conv_id, turn, CASE WHEN NOT coalesce(bool_or(trim(text) <> '') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) THEN 'first' " + " ".join(f"WHEN regexp_matches(lower(text), '{p}') THEN '{n}'" for n, p in TURNS) + " WHEN length(text) <= 60 THEN 'followup' ELSE 'standalone' END AS intent FROM conversations")
+def cls_08(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether a turn depends on those before it, and how."""
+    earlier = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    intent = F.when(F.length("text") <= 60, "followup").otherwise("standalone")
+    for name, pattern in reversed(TURNS):
+        intent = F.when(F.lower("text").rlike(pattern), name).otherwise(intent)
+    known = F.coalesce(F.bool_or(F.trim("text") != "").over(earlier), F.lit(False))
+    return read(spark, sf, "conversations").select("conv_id", "turn", F.when(~known, "first").otherwise(intent).alias("intent"))
+
+
+@query("SELECT conv_id, turn, len(w) < 8 OR len(list_filter(w, lambda x: x IN ('it', 'this', 'that', 'das', 'ce', 'eso'))) > 0 AS rewrite, coalesce(prev, '') LIKE '%?' AS after_question FROM (SELECT conv_id, turn, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS w, lag(trim(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM conversations)")
+def cls_09(spark: SparkSession, sf: str) -> DataFrame:
+    """Need for a rewrite with context, and whether the turn before was a question."""
+    w = text.words(F.lower("text"), 1)
+    prev = F.lag(F.trim("text")).over(Window.partitionBy("conv_id").orderBy("turn"))
+    c = read(spark, sf, "conversations").select("conv_id", "turn", w.alias("w"), prev.alias("prev"))
+    refers = F.arrays_overlap("w", F.array(*map(F.lit, ("it", "this", "that", "das", "ce", "eso"))))
+    return c.select("conv_id", "turn", ((F.size("w") < 8) | refers).alias("rewrite"), F.coalesce(F.col("prev").endswith("?"), F.lit(False)).alias("after_question"))
+
+
+@query("SELECT conv_id, string_agg(CASE role WHEN 'user' THEN 'User: ' || substr(text, 1, 220) WHEN 'assistant' THEN 'Answer: ' || substr(text, 1, 160) ELSE 'Summary: ' || substr(text, 1, 280) END, chr(10) ORDER BY turn) AS history FROM conversations GROUP BY conv_id")
+def cls_10(spark: SparkSession, sf: str) -> DataFrame:
+    """History as labelled lines, each cut by its role."""
+    line = F.when(F.col("role") == "user", F.concat(F.lit("User: "), F.substring("text", 1, 220))).when(F.col("role") == "assistant", F.concat(F.lit("Answer: "), F.substring("text", 1, 160))).otherwise(F.concat(F.lit("Summary: "), F.substring("text", 1, 280)))
+    return read(spark, sf, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("s")))), lambda x: x["s"]), "\n").alias("history"))
+
+
+@query("SELECT doc_id, CASE WHEN quality = 1 AND toxic = 0 THEN 1.0 WHEN toxic = 1 THEN 0.0 ELSE 0.5 END AS score, CASE WHEN quality = 1 AND toxic = 0 THEN 'approved' WHEN toxic = 1 THEN 'rejected' ELSE 'review' END AS status, CASE WHEN NOT (quality = 1 AND toxic = 0) THEN coalesce(CASE WHEN toxic = 1 THEN 'noise' END, 'incomplete') END AS error_category FROM labels")
+def cls_11(spark: SparkSession, sf: str) -> DataFrame:
+    """Evaluation rows: score and status from a verdict, no error category when correct."""
+    good, bad = (F.col("quality") == 1) & (F.col("toxic") == 0), F.col("toxic") == 1
+    return read(spark, sf, "labels").select("doc_id", F.when(good, 1.0).when(bad, 0.0).otherwise(0.5).alias("score"), F.when(good, "approved").when(bad, "rejected").otherwise("review").alias("status"), F.when(~good, F.coalesce(F.when(bad, "noise"), F.lit("incomplete"))).alias("error_category"))
+
+
+@query("SELECT user_id, array_to_string(list_sort(list_distinct(list(CAST(regexp_extract(props, '(\\d+)', 1) AS INTEGER) % 7))), ',') AS agents, CASE WHEN bool_or(event_type = 'purchase') THEN 'rag' WHEN bool_or(event_type = 'click') THEN 'tool' ELSE 'model' END AS source FROM events GROUP BY user_id")
+def cls_12(spark: SparkSession, sf: str) -> DataFrame:
+    """Agents named in a trace, and the class of the answer's source."""
+    agent = F.regexp_extract("props", r"(\d+)", 1).cast("int") % 7
+    source = F.when(F.bool_or(F.col("event_type") == "purchase"), "rag").when(F.bool_or(F.col("event_type") == "click"), "tool").otherwise("model")
+    return read(spark, sf, "events").groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_set(agent)).cast("array<string>"), ",").alias("agents"), source.alias("source"))
+
+
+@query("WITH " + HINTS_SQL + " SELECT term, agent FROM hints WHERE NOT regexp_matches(term, '\\d') AND term NOT IN ('that', 'with', 'sich', 'para') AND length(term) <= 12 UNION SELECT term, agent FROM (VALUES ('the', 'en'), ('und', 'de')) AS d(term, agent)")
+def cls_13(spark: SparkSession, sf: str) -> DataFrame:
+    """Hint filter: digits, noise and overlong terms go; the defaults always stay."""
+    noise = spark.createDataFrame([("that",), ("with",), ("sich",), ("para",)], "term string")
+    kept = hints(spark, sf).where(~F.col("term").rlike(r"\d") & (F.length("term") <= 12)).join(F.broadcast(noise), "term", "left_anti")  # fixed and small
+    defaults = spark.createDataFrame([("the", "en"), ("und", "de")], "term string, agent string")
+    return kept.select("term", "agent").union(defaults).distinct()

@@ -1 +1,166 @@
-"""Queries."""
+"""Sources, sinks and the function surface over the given tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions import algebra, text
+from ..operators import postings, upserts
+from ..operators.search import search
+from ..sources import readers
+from .base import query, read
+from .filters import SEARCHED_SQL
+from .scalars import FOLD_SQL
+
+
+@query("SELECT lang, count(*) AS files, count(*) FILTER (WHERE trim(text) = '') AS errors, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY lang")
+def src_01(spark: SparkSession, sf: str) -> DataFrame:
+    """Document scan with empty ones as errors (the folder form is readers.text_files)."""
+    return read(spark, sf, "documents").groupBy("lang").agg(F.count("*").alias("files"), F.count_if(F.trim("text") == "").alias("errors"), F.sum(F.length("text")).alias("chars"))
+
+
+@query("SELECT doc_id, sha256(text) AS text_sha256, CAST(NULL AS VARCHAR) AS error FROM documents WHERE doc_id % 5 <> 0 UNION ALL SELECT doc_id, NULL, 'kind not taken' FROM documents WHERE doc_id % 5 = 0")
+def src_02(spark: SparkSession, sf: str) -> DataFrame:
+    """Byte source: decoded texts, kinds that are not taken as errors."""
+    docs = read(spark, sf, "documents")
+    name = F.concat(F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 5 == 0, ".exe").otherwise(".md"))
+    raw = F.when(F.col("doc_id") % 2 == 0, F.concat(F.unhex(F.lit("EFBBBF")), F.encode("text", "UTF-8"))).otherwise(F.encode("text", "UTF-8"))
+    got = readers.uploads(docs.select(name.alias("name"), raw.alias("content")))
+    return got.select(F.split_part("name", F.lit("."), F.lit(1)).cast("long").alias("doc_id"), F.sha2("text", 256).alias("text_sha256"), "error")
+
+
+@query("SELECT vec_id, embedding[1] AS first FROM embeddings WHERE label = 3")
+def src_03(spark: SparkSession, sf: str) -> DataFrame:
+    """Scan of one domain's chunks: the filter and the two columns reach the Parquet scan."""
+    return read(spark, sf, "embeddings").where("label = 3").select("vec_id", F.col("embedding")[0].alias("first"))
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY item_id) AS INTEGER) AS case_id, item_id % 4 AS agent FROM benchmark WHERE trim(text) <> ''")
+def src_04(spark: SparkSession, sf: str) -> DataFrame:
+    """Evaluation cases, numbered by place (a small dimension)."""
+    return read(spark, sf, "benchmark").where("trim(text) <> ''").select(F.row_number().over(Window.orderBy("item_id")).alias("case_id"), (F.col("item_id") % 4).alias("agent"))
+
+
+@query("SELECT line, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) WHERE trim(line) <> '' AND NOT starts_with(trim(line), '#') GROUP BY line HAVING count(*) > 1")
+def src_05(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines without blank and hash lines; those that repeat, counted."""
+    return readers.lines(read(spark, sf, "documents")).groupBy("line").agg(F.count("*").alias("n")).where("n > 1")
+
+
+@query("SELECT experiment, item_id, k FROM benchmark CROSS JOIN (VALUES ('vector', 3), ('text', 5), ('hybrid', 8)) AS e(experiment, k)")
+def src_06(spark: SparkSession, sf: str) -> DataFrame:
+    """Experiment matrix by evaluation question: three fixed rows, broadcast."""
+    return read(spark, sf, "benchmark").select("item_id").join(F.broadcast(readers.experiments(spark))).select("experiment", "item_id", "k")
+
+
+@query("SELECT lang AS rule_set, term, kind, count(*) AS n FROM (SELECT lang, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}'), lambda w: w IN ('the', 'der', 'les', 'las', 'und', 'and')))) AS term, 'word' AS kind FROM documents) GROUP BY lang, term, kind")
+def src_07(spark: SparkSession, sf: str) -> DataFrame:
+    """Routing-rule dimension joined to the texts: how often each rule term occurs per language."""
+    rules = F.broadcast(spark.createDataFrame([(t, "word") for t in ("the", "der", "les", "las", "und", "and")], "term string, kind string"))  # fixed and small
+    found = read(spark, sf, "documents").select("lang", F.explode(F.array_distinct(text.words(F.lower("text"), 2))).alias("term")).join(rules, "term")
+    return found.groupBy(F.col("lang").alias("rule_set"), "term", "kind").agg(F.count("*").alias("n"))
+
+
+def _chunks(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "documents").select(F.substring(F.sha2("text", 256), 1, 16).alias("content_hash"), "doc_id", "lang")
+
+
+@query("WITH h AS (SELECT substr(sha256(text), 1, 16) AS k, doc_id FROM documents), t AS (SELECT DISTINCT k FROM h WHERE doc_id % 2 = 0) SELECT CAST((SELECT count(*) FROM h) AS BIGINT) AS processed, CAST((SELECT count(DISTINCT k) FROM h WHERE k NOT IN (SELECT k FROM t)) AS BIGINT) AS inserted, CAST((SELECT count(*) FROM h) - (SELECT count(DISTINCT k) FROM h WHERE k NOT IN (SELECT k FROM t)) AS BIGINT) AS updated")
+def snk_01(spark: SparkSession, sf: str) -> DataFrame:
+    """Idempotent upsert by content hash: counts of inserts and updates."""
+    every = _chunks(spark, sf)
+    target = every.where("doc_id % 2 = 0").dropDuplicates(["content_hash"])
+    return upserts.upsert(target, every, "content_hash", "doc_id")[1]
+
+
+@query("SELECT content_hash, CASE WHEN min(doc_id) FILTER (WHERE doc_id % 2 = 0) IS NOT NULL THEN min(doc_id) FILTER (WHERE doc_id % 2 = 0) ELSE min(doc_id) END AS doc_id FROM (SELECT substr(sha256(text), 1, 16) AS content_hash, doc_id FROM documents) GROUP BY content_hash")
+def snk_02(spark: SparkSession, sf: str) -> DataFrame:
+    """Insert-if-absent merge, first wins."""
+    every = _chunks(spark, sf)
+    target = every.where("doc_id % 2 = 0").groupBy("content_hash").agg(F.min("doc_id").alias("doc_id"), F.first("lang").alias("lang"))
+    return upserts.insert_absent(target, every.where("doc_id % 2 = 1"), "content_hash", "doc_id").select("content_hash", "doc_id")
+
+
+@query("SELECT (SELECT count(*) FROM documents) AS src, (SELECT count(*) FROM documents) AS dst")
+def snk_03(spark: SparkSession, sf: str) -> DataFrame:
+    """Count reconciliation."""
+    docs = read(spark, sf, "documents")
+    return upserts.checked_counts(docs, docs)
+
+
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n FROM {t}" for t in TABLES) + " UNION ALL SELECT 'restored', count(*) FROM region")
+def snk_04(spark: SparkSession, sf: str) -> DataFrame:
+    """Row counts over all tables, and a restore into an empty table."""
+    report = None
+    for name in TABLES:
+        n = read(spark, sf, name).agg(F.lit(name).alias("table_name"), F.count("*").alias("n"))
+        report = n if report is None else report.unionByName(n)
+    region = read(spark, sf, "region")
+    restored = upserts.restore_if_empty(region.where("false"), region)
+    return report.unionByName(restored.agg(F.lit("restored").alias("table_name"), F.count("*").alias("n")))
+
+
+@query("SELECT conv_id, turn, role_name, substr(text, 1, 50) AS content FROM (SELECT q.conv_id, q.turn, unnest(['human', 'ai']) AS role_name, unnest([q.text, a.text]) AS text FROM conversations AS q JOIN conversations AS a ON q.conv_id = a.conv_id AND a.turn = q.turn + 1 AND q.role = 'user' AND a.role = 'assistant')")
+def snk_05(spark: SparkSession, sf: str) -> DataFrame:
+    """Chat turns as two rows each, as they are appended."""
+    c = read(spark, sf, "conversations")
+    q = c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("q"))
+    a = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("a"))
+    return q.join(a, ["conv_id", "turn"]).select("conv_id", "turn", F.expr("stack(2, 'human', q, 'ai', a) as (role_name, content)")).withColumn("content", F.substring("content", 1, 50))
+
+
+@query("SELECT source || ',' || count(*) || ',' || max(n_chars) AS csv FROM documents GROUP BY source")
+def snk_06(spark: SparkSession, sf: str) -> DataFrame:
+    """A report as CSV lines (writers.report writes files)."""
+    report = read(spark, sf, "documents").groupBy("source").agg(F.count("*").alias("n"), F.max("n_chars").alias("longest"))
+    return report.select(F.to_csv(F.struct("source", "n", "longest")).alias("csv"))
+
+
+@query("SELECT conv_id, turn % 2 AS message_id, arg_max(turn, turn) AS turn, min(turn) AS created FROM conversations GROUP BY conv_id, message_id")
+def snk_07(spark: SparkSession, sf: str) -> DataFrame:
+    """Evaluation upsert: the latest row of a key, with the creation of the first."""
+    return read(spark, sf, "conversations").groupBy("conv_id", (F.col("turn") % 2).alias("message_id")).agg(F.max("turn").alias("turn"), F.min("turn").alias("created"))
+
+
+@query("WITH " + SEARCHED_SQL.format(k=8) + " SELECT query_id, vec_id, rank FROM (SELECT query_id, vec_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored WHERE label = 4) WHERE rank <= 5")
+def udf_01(spark: SparkSession, sf: str) -> DataFrame:
+    """The public search function, bound to one domain."""
+    v = read(spark, sf, "embeddings")
+    chunks = v.select("vec_id", "embedding", F.col("label").alias("domain"), F.lit("").alias("text"))
+    asked = v.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.lit("").alias("text"))
+    return search(asked, chunks, "vector", 5, domain=4).select("query_id", "vec_id", "rank")
+
+
+@query("SELECT l_orderkey, l_linenumber, round((l_quantity + 2) * l_discount - pow(l_tax, 2), 6) AS result FROM lineitem")
+def udf_02(spark: SparkSession, sf: str) -> DataFrame:
+    """One arithmetic expression over named columns."""
+    rows = read(spark, sf, "lineitem")
+    return rows.select("l_orderkey", "l_linenumber", F.round(algebra.expression("(q + 2) * d - t ** 2", {"q": "l_quantity", "d": "l_discount", "t": "l_tax"}), 6).alias("result"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN abs(l_discount) >= 1e-12 THEN round((l_quantity - l_tax) / l_discount, 6) END AS x FROM lineitem")
+def udf_03(spark: SparkSession, sf: str) -> DataFrame:
+    """A linear equation solved for one unknown per row."""
+    rows = read(spark, sf, "lineitem")
+    return rows.select("l_orderkey", "l_linenumber", F.round(algebra.solve("d * x + t", "q", "x", {"q": "l_quantity", "d": "l_discount", "t": "l_tax"}), 6).alias("x"))
+
+
+@query("SELECT formula, CAST(count(result) AS BIGINT) AS usable FROM (SELECT formula, CASE formula WHEN 'yield' THEN CASE WHEN l_extendedprice > 0 THEN 1 END WHEN 'ratio' THEN CASE WHEN l_tax > 0 THEN 1 END ELSE 1 END AS result FROM lineitem CROSS JOIN (VALUES ('yield'), ('solids'), ('ratio'), ('mass')) AS f(formula)) GROUP BY formula")
+def udf_04(spark: SparkSession, sf: str) -> DataFrame:
+    """Formula catalogue, with how many rows each formula can be used on."""
+    from ..functions import formulas
+
+    rows = read(spark, sf, "lineitem").withColumn("formula", F.explode(F.array(*map(F.lit, ("yield", "solids", "ratio", "mass")))))
+    return rows.groupBy("formula").agg(F.count(formulas.catalogue(F.col("formula"))).alias("usable"))
+
+
+@query("SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM (SELECT doc_id, unnest(regexp_extract_all(" + FOLD_SQL.format("text") + ", '[\\p{L}\\p{N}_]{2,}')) AS term FROM documents) GROUP BY term HAVING count(DISTINCT doc_id) >= 2")
+def udf_05(spark: SparkSession, sf: str) -> DataFrame:
+    """Derived columns kept at write: the postings of the texts, summed up per term."""
+    p = postings.postings(read(spark, sf, "documents"))
+    return p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).where("df >= 2")

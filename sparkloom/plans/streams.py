@@ -1 +1,60 @@
-"""Queries."""
+"""Streaming jobs over the given tables, run to their end."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..streaming import jobs
+from . import windows  # noqa: F401  (its oracles are used here)
+from .base import ORACLES, query
+from .filters import GATE_SQL
+
+
+@query("WITH " + GATE_SQL + " SELECT substr(sha256(text), 1, 16) AS content_hash, min(d.doc_id) AS doc_id, CAST(ceil(max(length(text)) / 600.0) AS BIGINT) AS n_chunks FROM documents AS d JOIN g ON g.doc_id = d.doc_id WHERE reasons = '' GROUP BY content_hash")
+def str_01(spark: SparkSession, sf: str) -> DataFrame:
+    """Continuous ingestion into a ledger."""
+    stream = jobs.table_stream(spark, sf, "documents")
+    ledger = jobs.shared_path(spark, "ledger")
+    work = jobs.ingest(stream, ledger)
+    stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{ledger}-progress").foreachBatch(work).start().awaitTermination()
+    return spark.read.parquet(ledger)
+
+
+@query("SELECT DISTINCT user_id, event_type, props FROM events")
+def str_02(spark: SparkSession, sf: str) -> DataFrame:
+    """Duplicate suppression over a span of event time."""
+    stream = jobs.table_stream(spark, sf, "events")
+    return jobs.drained(jobs.unique(stream, ["user_id", "event_type", "props"], "ts", "60 days").select("user_id", "event_type", "props"))
+
+
+@query("SELECT user_id, arg_max(event_type, struct_pack(a := ts, b := event_id)) AS status, max(value) AS chunks FROM events GROUP BY user_id")
+def str_03(spark: SparkSession, sf: str) -> DataFrame:
+    """Last status per job."""
+    stream = jobs.table_stream(spark, sf, "events")
+    last = stream.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("status"), F.max("value").alias("chunks"))
+    return jobs.drained(last, "complete")
+
+
+@query("SELECT strftime(d, '%Y-%m-%d') AS day, bucket, n, mean, fallback FROM (SELECT date_trunc('day', ts) AS d, event_type AS bucket, count(*) AS n, round(avg(value), 4) AS mean, round(avg(CASE WHEN user_id % 5 = 0 THEN 1.0 ELSE 0.0 END), 4) AS fallback FROM events GROUP BY d, bucket) WHERE d + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR")
+def str_04(spark: SparkSession, sf: str) -> DataFrame:
+    """Daily KPIs; closed days only."""
+    return jobs.drained(jobs.daily(jobs.table_stream(spark, sf, "events")))
+
+
+@query("SELECT conv_id, turn FROM (SELECT conv_id, turn, count(*) OVER (PARTITION BY conv_id) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations) WHERE n > 4 AND r <= n - 2")
+def str_05(spark: SparkSession, sf: str) -> DataFrame:
+    """Memory compaction as state."""
+    return jobs.drained(jobs.compaction(jobs.table_stream(spark, sf, "conversations").select("conv_id", "turn")))
+
+
+@query(ORACLES["win_05"])
+def str_06(spark: SparkSession, sf: str) -> DataFrame:
+    """Adaptive timeouts as state."""
+    return jobs.drained(jobs.timeouts(jobs.table_stream(spark, sf, "events").select("event_type", "event_id", "ts", "value")))
+
+
+@query("WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS first FROM events), s AS (SELECT user_id, ts, sum(first) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, start, n FROM (SELECT user_id, min(ts) AS start, max(ts) AS last, count(*) AS n FROM s GROUP BY user_id, k) WHERE last + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR")
+def str_07(spark: SparkSession, sf: str) -> DataFrame:
+    """Sessions; closed ones only."""
+    return jobs.drained(jobs.sessions(jobs.table_stream(spark, sf, "events")))

@@ -19,7 +19,7 @@ def text_files(spark: SparkSession, folder: str, pattern: str = "*.md") -> DataF
 def decoded(content: Column) -> Column:
     """Bytes as text: UTF-8 where valid, else Latin-1; a leading byte-order mark goes."""
     plain = content.cast("string")
-    return F.regexp_replace(F.when(F.is_valid_utf8(plain), plain).otherwise(F.decode(content, F.lit("ISO-8859-1"))), "^﻿", "")
+    return F.regexp_replace(F.when(F.is_valid_utf8(plain), plain).otherwise(F.decode(content, "ISO-8859-1")), "^﻿", "")
 
 
 def uploads(files: DataFrame) -> DataFrame:
