@@ -23,17 +23,17 @@ def verdicts(spark: SparkSession, sf: str) -> DataFrame:
     return labels.withColumn("verdict", F.when(good, "correct").when(bad, "incorrect").otherwise("partial")).withColumn("points", F.when(good, 1.0).when(bad, 0.0).otherwise(0.5))
 
 
-@query("SELECT event_type, CAST(date_trunc('day', ts) AS DATE) AS day, count(*) AS n, count(*) FILTER (WHERE value >= 50) AS positive, count(*) FILTER (WHERE value < 10) AS negative, round(avg(value), 3) AS mean FROM events GROUP BY event_type, day")
+@query("SELECT event_type, CAST(date_trunc('day', ts) AS DATE) AS day, count(*) AS n, count(*) FILTER (WHERE value >= 50) AS positive, count(*) FILTER (WHERE value < 10) AS negative, round(avg(value) + 1e-9, 3) AS mean FROM events GROUP BY event_type, day")
 def agg_01(spark: SparkSession, sf: str) -> DataFrame:
     """Daily usage."""
-    return read(spark, sf, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), F.count_if(F.col("value") >= 50).alias("positive"), F.count_if(F.col("value") < 10).alias("negative"), F.round(F.avg("value"), 3).alias("mean"))
+    return read(spark, sf, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), F.count_if(F.col("value") >= 50).alias("positive"), F.count_if(F.col("value") < 10).alias("negative"), F.round(F.avg("value") + 1e-9, 3).alias("mean"))
 
 
-@query("SELECT CAST(date_trunc('day', ts) AS DATE) AS day, event_type AS bucket, count(*) AS n, round(avg(least(value / 100, 1)), 4) AS confidence, round(avg(value), 3) AS mean, round(quantile_cont(value, 0.95) + 1e-9, 3) AS p95, round(avg(CASE WHEN user_id % 5 = 0 THEN 1.0 ELSE 0.0 END), 4) AS fallback FROM events GROUP BY day, bucket")
+@query("SELECT CAST(date_trunc('day', ts) AS DATE) AS day, event_type AS bucket, count(*) AS n, round(avg(least(value / 100, 1)), 4) AS confidence, round(avg(value) + 1e-9, 3) AS mean, round(quantile_cont(value, 0.95) + 1e-9, 3) AS p95, round(avg(CASE WHEN user_id % 5 = 0 THEN 1.0 ELSE 0.0 END), 4) AS fallback FROM events GROUP BY day, bucket")
 def agg_02(spark: SparkSession, sf: str) -> DataFrame:
     """Daily routing quality per bucket."""
     e = read(spark, sf, "events").groupBy(F.to_date("ts").alias("day"), F.col("event_type").alias("bucket"))
-    return e.agg(F.count("*").alias("n"), F.round(F.avg(F.least(F.col("value") / 100, F.lit(1.0))), 4).alias("confidence"), F.round(F.avg("value"), 3).alias("mean"), F.round(F.percentile("value", 0.95) + 1e-9, 3).alias("p95"), F.round(F.avg((F.col("user_id") % 5 == 0).cast("double")), 4).alias("fallback"))
+    return e.agg(F.count("*").alias("n"), F.round(F.avg(F.least(F.col("value") / 100, F.lit(1.0))), 4).alias("confidence"), F.round(F.avg("value") + 1e-9, 3).alias("mean"), F.round(F.percentile("value", 0.95) + 1e-9, 3).alias("p95"), F.round(F.avg((F.col("user_id") % 5 == 0).cast("double")), 4).alias("fallback"))
 
 
 @query(f"SELECT d.source, count(*) AS n, round(avg({POINTS}), 4) AS mean_score, CAST(sum(quality) AS BIGINT) AS good, CAST(sum(toxic) AS BIGINT) AS bad FROM labels JOIN documents AS d USING (doc_id) GROUP BY d.source")
@@ -114,11 +114,11 @@ def agg_11(spark: SparkSession, sf: str) -> DataFrame:
     return by_and_total(items, "agent", F.count_if(hit).alias("hits"), F.count_if(~hit).alias("misses"), F.round(rate(hit), 4).alias("percent"))
 
 
-@query("SELECT event_type, count(*) AS n, count(*) FILTER (WHERE value > 1) AS success, round(avg(value), 3) AS mean, min(value) AS low, max(value) AS high, " + ", ".join(f"round(quantile_cont(value, {p / 100}), 4) AS p{p}" for p in (50, 90, 95, 99)) + " FROM events GROUP BY event_type")
+@query("SELECT event_type, count(*) AS n, count(*) FILTER (WHERE value > 1) AS success, round(avg(value) + 1e-9, 3) AS mean, min(value) AS low, max(value) AS high, " + ", ".join(f"round(quantile_cont(value, {p / 100}), 4) AS p{p}" for p in (50, 90, 95, 99)) + " FROM events GROUP BY event_type")
 def agg_12(spark: SparkSession, sf: str) -> DataFrame:
     """Latency summary."""
     points = [F.round(F.percentile("value", p / 100), 4).alias(f"p{p}") for p in (50, 90, 95, 99)]
-    return read(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(F.col("value") > 1).alias("success"), F.round(F.avg("value"), 3).alias("mean"), F.min("value").alias("low"), F.max("value").alias("high"), *points)
+    return read(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(F.col("value") > 1).alias("success"), F.round(F.avg("value") + 1e-9, 3).alias("mean"), F.min("value").alias("low"), F.max("value").alias("high"), *points)
 
 
 EXPERIMENTS_SQL = SEARCHED_SQL.format(k=8) + """, runs AS (SELECT e.experiment, q.label AS agent, max(CASE WHEN h.label = q.label AND h.rank <= e.k AND h.vec_id <> h.query_id THEN 1.0 ELSE 0.0 END) AS hit

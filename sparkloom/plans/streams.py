@@ -36,7 +36,7 @@ def str_03(spark: SparkSession, sf: str) -> DataFrame:
     return jobs.drained(last, "complete")
 
 
-@query("SELECT strftime(d, '%Y-%m-%d') AS day, bucket, n, mean, fallback FROM (SELECT date_trunc('day', ts) AS d, event_type AS bucket, count(*) AS n, round(avg(value), 4) AS mean, round(avg(CASE WHEN user_id % 5 = 0 THEN 1.0 ELSE 0.0 END), 4) AS fallback FROM events GROUP BY d, bucket) WHERE d + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR")
+@query("SELECT strftime(d, '%Y-%m-%d') AS day, bucket, n, mean, fallback FROM (SELECT date_trunc('day', ts) AS d, event_type AS bucket, count(*) AS n, round(avg(value) + 1e-9, 4) AS mean, round(avg(CASE WHEN user_id % 5 = 0 THEN 1.0 ELSE 0.0 END), 4) AS fallback FROM events GROUP BY d, bucket) WHERE d + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR")
 def str_04(spark: SparkSession, sf: str) -> DataFrame:
     """Daily KPIs; closed days only."""
     return jobs.drained(jobs.daily(jobs.table_stream(spark, sf, "events")))

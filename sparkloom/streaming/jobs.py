@@ -78,7 +78,7 @@ def unique(stream: DataFrame, keys: list[str], time: str, within: str) -> DataFr
 def daily(stream: DataFrame, time: str = "ts", late: str = "1 hour") -> DataFrame:
     """Counts and means per day and bucket; a day comes out once it is closed, rows later than `late` are dropped."""
     windows = stream.withWatermark(time, late).groupBy(F.window(time, "1 day"), F.col("event_type").alias("bucket"))
-    out = windows.agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean"), F.round(F.avg((F.col("user_id") % 5 == 0).cast("double")), 4).alias("fallback"))
+    out = windows.agg(F.count("*").alias("n"), F.round(F.avg("value") + 1e-9, 4).alias("mean"), F.round(F.avg((F.col("user_id") % 5 == 0).cast("double")), 4).alias("fallback"))
     return out.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "bucket", "n", "mean", "fallback")
 
 
