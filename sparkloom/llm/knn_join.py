@@ -98,7 +98,8 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, scale: float = 64.0, group_
         for batch in batches:
             if batch.num_rows:
                 m = _matrix(batch.column("v"), width)
-                far = np.sqrt(np.maximum((m**2).sum(1)[:, None] - 2 * m @ p.T + (p**2).sum(1), 0))
+                with np.errstate(all="ignore"):
+                    far = np.sqrt(np.maximum((m**2).sum(1)[:, None] - 2 * m @ p.T + (p**2).sum(1), 0))
                 near = far.argmin(1)
                 yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(near, pa.int32()), pa.array(far[np.arange(len(near)), near])], ["query_id", "v", "cell", "far"])
 
@@ -113,7 +114,8 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, scale: float = 64.0, group_
         p, best = sent.value, np.zeros((0, len(sent.value)))
         for batch in batches:
             m = _matrix(batch.column("v"), width)
-            bound = m @ p.T - radii * np.sqrt((m**2).sum(1))[:, None]
+            with np.errstate(all="ignore"):
+                bound = m @ p.T - radii * np.sqrt((m**2).sum(1))[:, None]
             best = np.sort(np.vstack([best, bound]), 0)[-(k + 1) :]
         cell, score = np.tile(np.arange(len(radii)), len(best)), best.ravel()
         yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(score)], ["cell", "score"])
@@ -131,9 +133,10 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, scale: float = 64.0, group_
             if not batch.num_rows:
                 continue
             m = _matrix(batch.column("v"), width)
-            norms = np.sqrt((m**2).sum(1))[:, None]
-            reach = m @ p.T + radii * norms
-            row, cell = np.nonzero((reach + slack * (np.abs(reach) + 1) >= floors) & (parts > 0))
+            with np.errstate(all="ignore"):
+                reach = m @ p.T + radii * np.sqrt((m**2).sum(1))[:, None]
+            # Bounds that overflow decide nothing: such rows go everywhere.
+            row, cell = np.nonzero(~(reach + slack * (np.abs(reach) + 1) < floors) & (parts > 0))
             yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), batch.column("block").take(pa.array(row)), batch.column("vec_id").take(pa.array(row)), batch.column("v").take(pa.array(row))], ["cell", "block", "vec_id", "v"])
 
     block = F.pmod(F.xxhash64(F.lit(seed), "vec_id", F.lit("block")), F.lit(n_blocks)).cast("int")
