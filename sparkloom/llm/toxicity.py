@@ -33,7 +33,7 @@ def word_features(word: str) -> tuple[int, ...]:
 class WordCache(dict):
     """word -> its features (those in `chosen`, if given); emptied when it has grown large."""
 
-    def __init__(self, chosen: dict[int, int] | None = None, most: int = 500_000):
+    def __init__(self, chosen: dict[int, int] | None = None, most: int = 200_000):
         super().__init__()
         self.chosen, self.most = chosen, most
 
