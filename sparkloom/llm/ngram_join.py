@@ -176,7 +176,7 @@ def similar_pairs(sets: list[np.ndarray], others: list[np.ndarray] | None, perce
     return np.array(pairs, np.int64).reshape(-1, 2)
 
 
-def jaccard_classes(docs: DataFrame, n: int = 3, percent: int = 90, pair_run: int = 64, block: int = 1024) -> DataFrame:
+def jaccard_classes(docs: DataFrame, n: int = 3, percent: int = 90, pair_run: int = 64, block: int = 1024, broadcast_rows: int = 1 << 19) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, n_shingles, component_id, and row and class_row: a hash of id and
     text, and the smallest such hash that links reach.
 
@@ -184,7 +184,8 @@ def jaccard_classes(docs: DataFrame, n: int = 3, percent: int = 90, pair_run: in
     or empty text, or one without words, has no shingles, links with nothing and is its own component. Repeated rows are
     linked copies. A null doc_id keeps its row and its links but names a component only when nothing else does. Other
     columns are not read. Sets that meet by one element are all paired up to pair_run sets; longer runs are compared in
-    blocks. Neither that nor the blocks of a cluster leave out a link.
+    blocks. Neither that nor the blocks of a cluster leave out a link. Up to broadcast_rows clustered sets are looked up in
+    the texts by broadcast; beyond, by a shuffled join.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     common = common_ngrams(docs, n)
@@ -210,7 +211,7 @@ def jaccard_classes(docs: DataFrame, n: int = 3, percent: int = 90, pair_run: in
     candidates = _able(pairs.where("paired"), speakers, percent).union(_crowded(pairs.where("not paired"), speakers, percent))
     clusters = connected_components(candidates).select(F.col("node").alias("row"), F.col("component").alias("cluster"))
     clusters = written(clusters, "ngram-clusters")
-    linked = connected_components(_verified(numbered, clusters, n, percent, block))
+    linked = connected_components(_verified(numbered, clusters, n, percent, block, broadcast_rows))
     named = classes.join(linked, F.col("speaker") == F.col("node"), "left").withColumn("class", F.coalesce("component", "speaker"))
     smallest = named.groupBy("class").agg(F.min("least").alias("component_id"))
     ids = named.join(smallest, "class").select("fp", "n_shingles", "component_id", F.col("class").alias("class_row"))
@@ -347,7 +348,7 @@ def _able(pairs: DataFrame, speakers: DataFrame, percent: int) -> DataFrame:
     return map_batches(joined, test, "a long, b long")
 
 
-def _verified(numbered: DataFrame, clusters: DataFrame, n: int, percent: int, block: int) -> DataFrame:
+def _verified(numbered: DataFrame, clusters: DataFrame, n: int, percent: int, block: int, broadcast_rows: int) -> DataFrame:
     """(a, b): links that connect what is linked in each cluster, found by trie search over whole sets."""
     sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
     placed = clusters.join(sizes, "cluster").withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts").cast("long")).cast("int"))
@@ -356,6 +357,8 @@ def _verified(numbered: DataFrame, clusters: DataFrame, n: int, percent: int, bl
         made = [shingle_set(t, n).tobytes() for t in utf8(batch.column("text"))]
         return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "cluster", "part", "parts")), pa.array(made, pa.binary())], ["row", "cluster", "part", "parts", "set"])
 
+    if clusters.limit(broadcast_rows + 1).count() <= broadcast_rows:  # else both sides are shuffled, texts included
+        placed = F.broadcast(placed)
     carried = map_batches(numbered.join(placed, "row").select("row", "cluster", "part", "parts", "text"), sets, "row long, cluster long, part int, parts int, set binary")
     paired = carried.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     paired = paired.select("row", "cluster", "part", "set", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))

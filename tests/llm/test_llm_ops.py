@@ -261,12 +261,12 @@ def test_ngram_join(spark, edges, none):
             w[rng.randrange(len(w))] = f"x{rng.randint(0, 50)}"
         rows.append((i, " ".join(w)))
     rows += [(500, None), (501, ""), (502, "one"), (503, "ONE"), (504, "one two"), (505, " \n")]
-    for n, percent, block, run in ((3, 90, 1024, 64), (5, 80, 4, 2)):
+    for n, percent, block, run, sent in ((3, 90, 1024, 64, 1000), (5, 80, 4, 2, 0)):
         sets = [words(t, n) for _, t in rows]
         pairs = [(a, b) for a in range(len(rows)) for b in range(a) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
         roots = roots_of(len(rows), np.array(pairs, np.int64).reshape(-1, 2))
         want = {i: (len(s), rows[r][0]) for (i, _), s, r in zip(rows, sets, roots.tolist())}
-        got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"), n, percent, pair_run=run, block=block).collect()}
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"), n, percent, pair_run=run, block=block, broadcast_rows=sent).collect()}
         assert got == want
     got = [(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.jaccard_classes(edges).collect()]
     assert len(got) == len(EDGES) and got.count((1, 2, 1)) == 2 and (None, 3, None) in got and (2, 0, 2) in got
