@@ -135,6 +135,13 @@ class RunLengthIndex:
         return repeated
 
 
+def changes(*columns: np.ndarray) -> np.ndarray:
+    """Marks the rows that differ from the row before in any of the columns."""
+    fresh = np.ones(len(columns[0]), bool)
+    fresh[1:] = np.any([x[1:] != x[:-1] for x in columns], axis=0)
+    return fresh
+
+
 def repeated_spans(docs: DataFrame, length: int, k: int) -> DataFrame:
     """(doc, mark, first, last): runs of windows of a document that also start earlier. doc and mark name a document: its
     id (the smallest long for null) and a hash of its text."""
@@ -146,6 +153,8 @@ def repeated_spans(docs: DataFrame, length: int, k: int) -> DataFrame:
         doc, mark = (np.repeat(batch.column(c).to_numpy(), sizes) for c in ("doc", "mark"))
         order = np.lexsort((first, mark, doc, content, anchor))
         anchor, first, last, content, doc, mark = (x[order] for x in (anchor, first, last, content, doc, mark))
+        fresh = changes(anchor, content, doc, mark, first)  # rows with the same id and text are one document
+        anchor, first, last, content, doc, mark = (x[fresh] for x in (anchor, first, last, content, doc, mark))
         again = np.concatenate([[False], (anchor[1:] == anchor[:-1]) & (content[1:] == content[:-1])])[: len(anchor)]
         # A repeat inside the batch needs no comparison any more; it travels under a key of its own.
         key = np.where(again, mixed(mark.astype(np.uint64) + first.astype(np.uint64)), anchor)
@@ -160,6 +169,7 @@ def repeated_spans(docs: DataFrame, length: int, k: int) -> DataFrame:
         for whole in key_runs(batches, ["key"]):
             again = whole.column("again").to_numpy(zero_copy_only=False)
             rest = np.flatnonzero(~again)
+            rest = rest[changes(*(whole.column(c).to_numpy()[rest] for c in ("key", "content", "doc", "mark", "first")))]
             key, content = (whole.column(c).to_numpy()[rest] for c in ("key", "content"))
             same_key = np.concatenate([[False], key[1:] == key[:-1]])[: len(key)]
             same = same_key & np.concatenate([[False], content[1:] == content[:-1]])[: len(key)]

@@ -220,6 +220,21 @@ def test_suffix_dedup(spark, edges, none):
     assert suffix_dedup.remove_repeats(none).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 12])
+def test_equal_rows_keep_their_text(spark, parts):
+    rng = random.Random(11)
+    a, b, c = ("".join(rng.choice("abcd é") for _ in range(n)) for n in (500, 700, 400))
+    rows = [(7, a), (8, c + a[100:400] + b), (None, b), (9, "x" * 300), (10, b)]
+    want = brute_repeats(rows, 100)
+    df = spark.createDataFrame(rows * 3, "doc_id long, text string").repartition(parts)
+    got = sorted((r[0] is not None, r[0] or 0, *r[1:5]) for r in suffix_dedup.remove_repeats(df).collect())
+    assert got == sorted((i is not None, i or 0, *want[i]) for i, _ in rows * 3)
+    nulls = [(None, b), (None, c + c[:150])]  # two documents without an id that share no window
+    df = spark.createDataFrame(nulls * 2, "doc_id long, text string").repartition(parts)
+    got = sorted(r[1:5] for r in suffix_dedup.remove_repeats(df).collect())
+    assert got == sorted(brute_repeats([n], 100)[None] for n in nulls * 2)
+
+
 def test_long_text_crosses_segments(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "SEGMENT", 1023)
     monkeypatch.setattr(suffix_dedup, "PLACE_BITS", 10)
