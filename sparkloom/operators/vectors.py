@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from .ranking import top
 
@@ -42,22 +48,48 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, most_queries: int =
     return out
 
 
-def nearest_by_centroid(queries: DataFrame, vectors: DataFrame, k: int, centroids: int = 16, probes: int = 6, rows: int = 4096, seed: int = 0) -> DataFrame:
+def listed(df: DataFrame, vector: str, centers: np.ndarray, many: int) -> DataFrame:
+    """df with `lists`, the `many` lists whose centers have the largest inner product with the vector, best first. A
+    vector that is null or of another length counts as zero."""
+    size = centers.shape[1]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [x if x is not None and len(x) == size and None not in x else [0.0] * size for x in batch.column(vector).to_pylist()]
+            scores = np.array(rows, float).reshape(-1, size) @ centers.T
+            best = np.argsort(-scores, axis=1, kind="stable")[:, :many]
+            lists = pa.array(best.astype(np.int32).tolist(), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, "lists"])
+
+    return df.mapInArrow(work, StructType([*df.schema.fields, StructField("lists", ArrayType(IntegerType()))]))
+
+
+def nearest_by_centroid(queries: DataFrame, vectors: DataFrame, k: int, exact: DataFrame, recall: float = 0.9, rows: int = 4096, seed: int = 0) -> DataFrame:
     """Approximate nearest neighbours by inverted lists: vectors are filed under their nearest centroid (k-means on a
-    sample of at most about `rows` vectors), and a query looks into `probes` of the lists. Same columns as nearest()."""
+    sample of at most about `rows` vectors, or 16 a list), and a query looks into the lists nearest to it. Same columns as
+    nearest().
+
+    There are about as many lists as the root of the number of vectors, 16 to 1024. exact(query_id, vec_id) holds the true
+    neighbours of the queries, or of some of them: a true neighbour is found if its list is looked into, so the fewest
+    lists that find the share `recall` of these rows are known before the search, and that many are looked into.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     n = max(1, vectors.count())
-    sample = vectors.where(F.pmod(F.xxhash64("vec_id"), F.lit(n)) < rows)
-    model = KMeans(k=centroids, seed=seed, featuresCol="f", maxIter=10).fit(sample.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("f")))
-    centers = F.array(*[F.struct(F.lit(i).alias("list"), F.array(*[F.lit(float(x)) for x in c]).alias("c")) for i, c in enumerate(model.clusterCenters())])
-
-    def lists(v: Column, many: int) -> Column:
-        by = F.transform(centers, lambda c: F.struct((-dot(v, c["c"])).alias("s"), c["list"].alias("list")))
-        return F.transform(F.slice(F.array_sort(by), 1, many), lambda x: x["list"])
-
-    filed = vectors.select("vec_id", "embedding", lists(F.col("embedding"), 1)[0].alias("list"))
-    asked = queries.select("query_id", "q", F.explode(lists(F.col("q"), probes)).alias("list"))
+    many = min(1024, max(16, math.isqrt(n)))
+    sample = vectors.where(F.pmod(F.xxhash64("vec_id"), F.lit(n)) < max(rows, 16 * many)).where("embedding is not null")
+    model = KMeans(k=many, seed=seed, featuresCol="f", maxIter=10).fit(sample.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("f")))
+    centers = np.array(model.clusterCenters())
+    filed = listed(vectors.select("vec_id", "embedding"), "embedding", centers, 1).select("vec_id", "embedding", F.col("lists")[0].alias("list"))
+    ordered = listed(queries.select("query_id", "q"), "q", centers, len(centers))
+    place = F.array_position("lists", F.col("list")).cast("int")
+    places = exact.select("query_id", "vec_id").join(ordered, "query_id").join(filed, "vec_id").groupBy(place.alias("place")).count()
+    counts = np.zeros(len(centers), np.int64)
+    for r in places.collect():  # a row a list at most
+        counts[r["place"] - 1] = r["count"]
+    found = np.cumsum(counts)
+    probes = int(np.searchsorted(found, recall * found[-1])) + 1 if found[-1] else len(centers)
+    asked = ordered.select("query_id", "q", F.explode(F.slice("lists", 1, probes)).alias("list"))
     scored = filed.join(asked, "list").select("query_id", "vec_id", F.round(cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
     return top(scored, ["query_id"], k, F.desc("score"), F.asc("vec_id"))

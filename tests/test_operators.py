@@ -22,6 +22,14 @@ def test_inverted_lists_recall(spark):
     assert sum(r.recall for r in rows) / len(rows) >= 0.6
 
 
+@pytest.mark.parametrize("folder", [FOLDER, "/root/testdata/sf0.01"])
+def test_inverted_lists_reach_their_recall(spark, folder):
+    rows = QUERIES["jn_03"](spark, folder).select("query_id", "recall").distinct().collect()
+    ids = {r.vec_id for r in spark.read.parquet(f"{folder}/embeddings.parquet").where("vec_id % 100 = 0").select("vec_id").collect()}
+    assert {r.query_id for r in rows} == ids
+    assert sum(r.recall for r in rows) / len(rows) >= 0.9
+
+
 def test_recursive_chunks(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
     for r in QUERIES["gen_01"](spark, FOLDER).collect():
