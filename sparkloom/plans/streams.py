@@ -51,7 +51,13 @@ def str_05(spark: SparkSession, sf: str) -> DataFrame:
 @query(ORACLES["win_05"])
 def str_06(spark: SparkSession, sf: str) -> DataFrame:
     """Adaptive timeouts as state."""
-    return jobs.drained(jobs.timeouts(jobs.table_stream(spark, sf, "events").select("event_type", "event_id", "ts", "value")))
+    return jobs.timeouts(jobs.table_stream(spark, sf, "events").select("event_type", "event_id", "ts", "value"))
+
+
+@query(ORACLES["win_06"])
+def str_06_streaks(spark: SparkSession, sf: str) -> DataFrame:
+    """Failure streaks as state: the other half of STR-06."""
+    return jobs.streaks(jobs.table_stream(spark, sf, "events").select("user_id", "event_type", "event_id", "ts"))
 
 
 @query("WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS first FROM events), s AS (SELECT user_id, ts, sum(first) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, start, n FROM (SELECT user_id, min(ts) AS start, max(ts) AS last, count(*) AS n FROM s GROUP BY user_id, k) WHERE last + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR")
