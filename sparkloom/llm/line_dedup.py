@@ -147,12 +147,19 @@ class LineIndex:
                 made = CuckooFilter(np.frombuffer(held.column("table")[0].as_py(), np.uint16).reshape(-1, SLOTS).copy())
                 for h in leaving.tolist():
                     made.delete(h)
-                if not all(made.insert(h) for h in entering.tolist()):
-                    raise OverflowError("a shard's filter is full: build the index anew with more shards")
-                table = made.table
+                table = made.table if all(made.insert(h) for h in entering.tolist()) else None
+            return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "table": pa.array([None if table is None else table.tobytes()], pa.binary())})
+
+        def remake(key: tuple, frequent: pa.Table) -> pa.Table:
+            table = CuckooFilter.of(_hashes(frequent.column("key").to_pylist())).table
             return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "table": pa.array([table.tobytes()], pa.binary())})
 
         filters = written(grouped.applyInArrow(update, "shard long, table binary"), "line-filters")
+        full = [r.shard for r in filters.where("table is null").select("shard").collect()]  # a row a shard at most
+        if full:  # made anew, larger, from the exact counts
+            keys = both.where(F.col("n") >= low).select("key", _shard_column(shards).alias("shard")).where(F.col("shard").isin(full))
+            remade = keys.groupBy("shard").applyInArrow(remake, "shard long, table binary")
+            filters = written(filters.where("table is not null").unionByName(remade), "line-filters")
         return LineIndex(both.where("n > 0").select("key", "n"), filters, low, shards, self.min_chars)
 
     def frequent(self) -> DataFrame:

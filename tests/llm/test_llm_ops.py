@@ -174,6 +174,20 @@ def test_line_index_is_reversible(spark):
     assert sum((np.frombuffer(r.table, np.uint16) > 0).sum() for r in back.filters.collect()) == 2
 
 
+def test_line_index_outgrows_its_filters(spark):
+    text = lambda n: "\n".join(f"line {j}" for j in range(n))
+    small, large = (spark.createDataFrame([(i, text(n)) for i in range(3)], "doc_id long, text string") for n in (2, 400))
+    index = line_dedup.LineIndex.build(small, 2, shards=2)
+    grown = index.insert(large)
+    back = grown.delete(large)
+    for x, n in ((grown, 400), (back, 2)):
+        found = [line_dedup.digest(b"line %d" % j) for j in range(n)]
+        assert {bytes(r.key) for r in x.frequent().collect()} == set(found)
+        tables = {r.shard: np.frombuffer(r.table, np.uint16).reshape(-1, 4) for r in x.filters.collect()}
+        assert all(line_dedup.CuckooFilter(tables[int(p)]).holds(line_dedup._hashes([k]))[0] for k, p in zip(found, line_dedup._shards(found, 2)))
+        assert sum((t > 0).sum() for t in tables.values()) == n
+
+
 def test_cuckoo_filter():
     rng = np.random.default_rng(2)
     h = rng.integers(0, 1 << 63, 5000).astype(np.uint64)
