@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -11,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables; the path is only ever opened by Spark's readers."""
@@ -20,13 +23,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it in spark.checkpoint.dir.
 
-    Only where the setting is missing (tests on one machine) a temporary folder is made.
+    Only where the setting is missing and Spark runs inside one machine (tests) a temporary folder is made; a cluster
+    without the setting is an error, as its executors would not see the driver's folder.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if configured:
         return configured
     known = spark.sparkContext.getCheckpointDir()
     if known is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
         known = spark.sparkContext.getCheckpointDir()
     return known
@@ -49,13 +55,28 @@ def utf8(texts: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in texts.cast(pa.binary()).to_pylist()]
 
 
+def in_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow with batches that are bounded by bytes as well as by rows, so long texts make short batches.
+
+    Spark has a session setting for that; a session that allows more than BATCH_BYTES is set to it.
+    """
+    conf = df.sparkSession.conf
+    allowed = re.match(r"(-?\d+)\s*([kmgtp]?)", conf.get(BATCH_SETTING).lower())
+    size = int(allowed[1]) << 10 * " kmgtp".index(allowed[2] or " ")
+    if not 0 < size <= BATCH_BYTES:
+        conf.set(BATCH_SETTING, str(BATCH_BYTES))
+    return df.mapInArrow(fn, schema)
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+    """fn applied to each batch that has rows."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 yield fn(batch)
 
-    return df.mapInArrow(run, schema)
+    return in_arrow(df, run, schema)
 
 
 def key_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, key_runs, run_bounds, written
+from .common import connected_components, in_arrow, key_runs, run_bounds, written
 
 
 def rotations(dims: int, bits: int, seed: int) -> np.ndarray:
@@ -85,7 +85,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, recall: float =
                 ["row", "v", "code", "factor", "keys"],
             )
 
-    indexed = written(numbered.select("row", "embedding").mapInArrow(index, "row long, v binary, code binary, factor double, keys array<long>"), "vector-codes")
+    indexed = written(in_arrow(numbered.select("row", "embedding"), index, "row long, v binary, code binary, factor double, keys array<long>"), "vector-codes")
     bucketed = indexed.select("row", F.posexplode("keys").alias("band", "key"))
     sizes = bucketed.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").withColumn("parts", F.ceil(F.col("n") / block).cast("int"))
     placed = bucketed.join(sizes, ["band", "key"]).withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts").cast("long")).cast("int"))
@@ -149,7 +149,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, recall: float =
                 hit = np.flatnonzero(counts)
                 yield pa.RecordBatch.from_arrays([pa.array(row[hit]), pa.array(row[roots[hit]]), pa.array(counts[hit], pa.int64())], ["row", "root", "n"])
 
-    found = written(dealt.mapInArrow(compare, "row long, root long, n long"), "vector-links")
+    found = written(in_arrow(dealt, compare, "row long, root long, n long"), "vector-links")
     counts = found.groupBy("row").agg(F.sum("n").alias("n_links"))
     classes = connected_components(found.select(F.col("row").alias("a"), F.col("root").alias("b")))
     named = numbered.select("row", "vec_id").join(classes, F.col("row") == F.col("node"), "left").join(counts, "row", "left")

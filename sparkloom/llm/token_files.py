@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import fresh_path
+from .common import fresh_path, in_arrow
 from .tokenizer import ByteBpe, load
 
 CHUNK = "shard int, chunk long, n_ids long, planes array<binary>, doc_ids array<long>, doc_seq array<long>, doc_parts array<long>, doc_ends array<boolean>"
@@ -95,7 +95,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, out: str, end_id: in
         if rows:
             yield _chunks(rows)
 
-    dealt.mapInArrow(encode, CHUNK).write.option("compression", "none").parquet(out)
+    in_arrow(dealt, encode, CHUNK).write.option("compression", "none").parquet(out)
 
 
 def _chunks(rows: list[tuple]) -> pa.RecordBatch:
@@ -137,7 +137,7 @@ def read_token_files(spark: SparkSession, path: str, by_bit: bool = False) -> Da
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
     chunks = spark.read.schema(CHUNK).parquet(path)
-    pieces = chunks.mapInArrow(decode, PIECE)
+    pieces = in_arrow(chunks, decode, PIECE)
     whole = pieces.where("whole").select("shard", "doc_seq", "doc_id", F.col("n_ids").alias("n_tokens"), F.col("crc32").alias("ids_crc32"))
     joined = F.aggregate(F.array_sort(F.collect_list(F.struct("part", "ids"))), F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x["ids"]))
     crossing = pieces.where("not whole").groupBy("shard", "doc_seq").agg(F.first("doc_id").alias("doc_id"), F.sum("n_ids").alias("n_tokens"), F.crc32(joined).alias("ids_crc32"))

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import in_arrow, map_batches, written
 
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6)
@@ -83,6 +83,7 @@ def fit(docs: DataFrame, labels: DataFrame, grades: int = 4, max_rows: int = 20_
     share = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 40)) < int(min(1.0, max_rows / max(n, 1)) * (1 << 40))
     sample = F.broadcast(kept.where(share))  # bounded by max_rows
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(sample, "doc_id").select("text", "grade")
+    rows = written(rows, "labelled-sample")  # docs are read once; the passes below read the sample
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordCache()
@@ -97,7 +98,7 @@ def fit(docs: DataFrame, labels: DataFrame, grades: int = 4, max_rows: int = 20_
     n_clean, n_toxic = split.get(0, 0), split.get(1, 0)
     if not n_toxic:
         return SeverityModel({}, np.zeros(0), np.full(grades - 1, 50.0))
-    counted = rows.mapInArrow(count, "f long, clean long, toxic long").groupBy("f").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counted = in_arrow(rows, count, "f long, clean long, toxic long").groupBy("f").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     lift = F.log(((F.col("toxic") + 0.5) / (n_toxic + 1)) / ((F.col("clean") + 0.5) / (n_clean + 1)))
     useful = counted.where(F.col("toxic") >= min_docs).withColumn("gain", F.col("toxic") * lift).where(lift > 1.5)
     best = useful.orderBy(F.desc("gain"), "f").limit(max_features).select("f").collect()
@@ -109,7 +110,7 @@ def fit(docs: DataFrame, labels: DataFrame, grades: int = 4, max_rows: int = 20_
             found = [hits(cache, t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("grade"), pa.array([list(c) for c in found], pa.list_(pa.int32())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))], ["grade", "f", "n"])
 
-    table = rows.mapInArrow(lookup, "grade int, f array<int>, n array<int>").toArrow()
+    table = in_arrow(rows, lookup, "grade int, f array<int>, n array<int>").toArrow()
     sizes = np.array([len(x) for x in table.column("f").to_pylist()])
     row = np.repeat(np.arange(len(sizes)), sizes)
     column = np.array([c for x in table.column("f").to_pylist() for c in x], np.int64)
