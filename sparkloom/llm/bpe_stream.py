@@ -5,7 +5,8 @@ space always ends a word, and merges never cross words, so what stands before th
 very long word the merge list bounds how far the right-hand side can reach: a merge (u, v) can be undone from the right
 only by an earlier merge (v, w), that one by a still earlier merge (w, x), and so on. The longest such chain times the
 longest token is the lookahead; tokens that end at least that far before the end of what is read are given out, the rest
-is kept. Memory is the slice and the lookahead, whatever the length of the text.
+is kept. A slice's last character waits for the next one, as a mark may be composed with it, and so does the beginning of
+a special string. Memory is the slice and the lookahead, whatever the length of the text.
 
 The decoder is a state machine over ids: it holds at most the bytes of one unfinished character.
 """
@@ -14,7 +15,6 @@ from __future__ import annotations
 
 import codecs
 import hashlib
-import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 
@@ -26,18 +26,17 @@ from pyspark.sql import functions as F
 from .common import map_batches
 from .tokenizer import MARK, WordBpe, byte_alphabet, load
 
-RUNS = (re.compile(r"[^\W\d_]*"), re.compile(r"(?:[^\s\w]|_)*"))
+def _joining() -> frozenset[str]:
+    """Characters that normalisation may compose with what stands before them: no slice may begin with one."""
+    seconds = {chr(p) for p in (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))}
+    for point in range(0xC0, 0x110000):
+        parts = unicodedata.decomposition(chr(point)).split()
+        if len(parts) == 2 and not parts[0].startswith("<"):
+            seconds.add(chr(int(parts[1], 16)))
+    return frozenset(seconds)
 
 
-def sufficient_lookahead(bpe: WordBpe) -> int:
-    """Bytes to the right of a token that decide whether it stays, from the merge list alone."""
-    by_left: dict[bytes, int] = {}
-    longest = 0
-    for left, right in bpe.merges:  # in order of priority: chains only lead to earlier merges
-        length = 1 + by_left.get(right, 0)
-        by_left[left] = max(by_left.get(left, 0), length)
-        longest = max(longest, length)
-    return (longest + 1) * bpe.longest
+JOINING = _joining()
 
 
 class StreamEncoder:
@@ -45,62 +44,83 @@ class StreamEncoder:
 
     def __init__(self, bpe: WordBpe):
         self.bpe = bpe
-        if not hasattr(bpe, "lookahead"):
-            bpe.lookahead = sufficient_lookahead(bpe)
-        self.tail = ""  # read, but may still change
-        self.word, self.run = b"", None  # bytes of a long open word, and what continues it
+        self.held = ""  # read; may be composed with, or be the beginning of a special string
+        self.tail = ""  # behind the last white space; may still change
+        self.word, self.kind = b"", ""  # bytes of a very long open word, and a character of its kind (letter or symbol)
 
     def feed(self, text: str) -> np.ndarray:
-        out: list[np.ndarray] = []
-        text = unicodedata.normalize("NFC", text).lower()
-        if self.run is not None:
-            text = self._grow(text, out)
+        text = self.held + text
+        stop = max(0, len(text) - 1)
+        while stop > 0 and (text[stop] in JOINING or unicodedata.combining(text[stop])):
+            stop -= 1
+        begun = (stop - n for x in self.bpe.special_ids for n in range(1, len(x)) if text.endswith(x[:n], 0, stop))
+        stop = min(begun, default=stop)
+        self.held = text[stop:]
+        return self._taken(text[:stop])
+
+    def finish(self) -> np.ndarray:
+        text, self.held = self.held, ""
+        return np.concatenate([self._taken(text), self._ended()])
+
+    def _taken(self, text: str) -> np.ndarray:
+        out, at = [np.zeros(0, np.uint32)], 0
+        for found in self.bpe.special.finditer(text):
+            out += [self._plain(text[at : found.start()]), self._ended(), np.array([self.bpe.special_ids[found[0]]], np.uint32)]
+            at = found.end()
+        return np.concatenate([*out, self._plain(text[at:])])
+
+    def _plain(self, text: str) -> np.ndarray:
+        """A further stretch without special strings: white space ends words, so what stands before the last one is stable."""
+        out = [np.zeros(0, np.uint32)]
+        if self.kind and text:
+            text = self._grown(text, out)
         self.tail += text
-        cut = max(self.tail.rfind(" "), self.tail.rfind("\n"))
+        cut = max(self.tail.rfind(" "), self.tail.rfind("\n"), self.tail.rfind("\t"))
         if cut > 0:
-            out.append(self.bpe.word_ids(self.bpe.words.findall(self.tail, 0, cut)))
+            out.append(self.bpe.word_ids(self.bpe.normal_words(self.tail[:cut])[1]))
             self.tail = self.tail[cut:]
         if len(self.tail) > 4 * self.bpe.lookahead:
-            self._open(out)
-        return np.concatenate(out) if out else np.zeros(0, np.uint32)
+            self._opened(out)
+        return np.concatenate(out)
 
-    def _open(self, out: list[np.ndarray]) -> None:
+    def _opened(self, out: list[np.ndarray]) -> None:
         """A long stretch without white space: give out its ended words, and a long last word as far as it is stable."""
-        spans = [m.span() for m in self.bpe.words.finditer(self.tail)]
-        last = spans[-1] if spans else (len(self.tail), len(self.tail))
-        if last[1] == len(self.tail) and last[1] - last[0] > 2 * self.bpe.lookahead:
-            out.append(self.bpe.word_ids([self.tail[a:b] for a, b in spans[:-1]]))
-            word = self.tail[last[0] :]
-            self.run = next(r for r in RUNS if r.fullmatch(word))
+        normal, words = self.bpe.normal_words(self.tail)
+        if words and normal.endswith(words[-1]) and len(words[-1]) > 2 * self.bpe.lookahead:
+            out.append(self.bpe.word_ids(words[:-1]))
+            self.kind = "a" if len(self.bpe.normal_words("a" + words[-1])[1]) == 1 else "-"
             self.tail = ""
-            self._grow(word, out)
-        elif len(spans) > 3:  # an apostrophe and up to two letters may still become one word
-            out.append(self.bpe.word_ids([self.tail[a:b] for a, b in spans[:-3]]))
-            self.tail = self.tail[spans[-3][0] :]
-
-    def _grow(self, text: str, out: list[np.ndarray]) -> str:
-        stop = self.run.match(text).end()
-        self.word += text[:stop].encode()
-        if stop < len(text):
-            out.append(self._rest())
-            return text[stop:]
-        if len(self.word) > 4 * self.bpe.lookahead:
-            ids = np.array(self.bpe.engine._core_bpe.encode_single_piece(self.word), np.int64)
-            ends = np.cumsum([len(self.bpe.engine.decode_single_token_bytes(i)) for i in ids.tolist()])
+            self._grown(words[-1], out)
+        elif len(words) > 3:  # an apostrophe and up to two letters may still become one word
+            out.append(self.bpe.word_ids(words[:-3]))
+            at = len(normal)
+            for word in reversed(words[-3:]):
+                at = normal.rindex(word, 0, at)
+            self.tail = normal[at:]
+
+    def _grown(self, text: str, out: list[np.ndarray]) -> str:
+        """Add to the open word what continues it, and return what stands behind it."""
+        normal, words = self.bpe.normal_words(self.kind + text)
+        self.word += words[0][1:].encode()
+        if len(words[0]) < len(normal):
+            out.append(self._ended())
+            return normal[len(words[0]) :]
+        if len(self.word) > 4 * self.bpe.lookahead and MARK.encode() not in self.word:
+            ids, ends = self.bpe.piece(self.word)
             stable = int(np.searchsorted(ends, len(self.word) - self.bpe.lookahead, side="right"))
-            out.append(self.bpe.ids[ids[:stable]])
+            out.append(ids[:stable])
             self.word = self.word[int(ends[stable - 1]) if stable else 0 :]
         return ""
 
-    def _rest(self) -> np.ndarray:
-        word, self.word, self.run = self.word, b"", None
-        return self.bpe.ids[np.array(self.bpe.engine._core_bpe.encode_single_piece(word + MARK.encode()), np.int64)]
-
-    def finish(self) -> np.ndarray:
-        out = [self._rest()] if self.run is not None else []
-        out.append(self.bpe.word_ids(self.bpe.words.findall(self.tail)))
-        self.tail = ""
-        return np.concatenate(out)
+    def _ended(self) -> np.ndarray:
+        """Ids of all that is open, as at the end of a text."""
+        word, kind, self.word, self.kind = self.word, self.kind, b"", ""
+        tail, self.tail = self.tail, ""
+        if not kind:
+            return self.bpe.word_ids(self.bpe.normal_words(tail)[1])
+        if MARK.encode() in word:
+            return np.array(self.bpe.library.encode(word.decode(), add_special_tokens=False).ids, np.uint32)
+        return self.bpe.piece(word + MARK.encode())[0]
 
 
 def slices(text: str, size: int) -> Iterator[str]:
@@ -109,23 +129,9 @@ def slices(text: str, size: int) -> Iterator[str]:
 
 
 def encode(bpe: WordBpe, text: str, size: int = 1 << 16) -> np.ndarray:
-    """Ids of a text, read in slices. Texts outside the engine's proven characters take the library, cut at blanks."""
-    if bpe.safe(text):
-        if len(text) <= size:
-            return bpe.word_ids(bpe.split(text))
-        stream = StreamEncoder(bpe)
-        return np.concatenate([*[stream.feed(s) for s in slices(text, size)], stream.finish()])
-    parts, at = [], 0
-    while at < len(text):
-        stop = at + size
-        if stop < len(text):
-            cut = max(text.rfind(" ", at + 1, stop), text.rfind("\n", at + 1, stop))
-            if cut < 0:
-                cut = min((c for c in (text.find(" ", stop), text.find("\n", stop)) if c > 0), default=len(text))
-            stop = cut
-        parts.append(np.array(bpe.library.encode(text[at:stop], add_special_tokens=False).ids, np.uint32))
-        at = stop
-    return np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+    """Ids of a text, read in slices by the streaming encoder, whatever its length and characters."""
+    stream = StreamEncoder(bpe)
+    return np.concatenate([*map(stream.feed, slices(text, size)), stream.finish()])
 
 
 class StreamDecoder:

@@ -1,9 +1,10 @@
-"""Loading a public tokenizer file, with a compiled engine where it is proven to give the library's ids.
+"""Loading a public tokenizer file, with a compiled merge engine that is tested to give the library's ids.
 
 The library's full pipeline keeps alignments that no operator here needs and is several times slower than a plain merge
-engine. The engine is built from the same file (vocabulary and merge list) and used only for texts made of characters
-for which it agreed with the library when the file was loaded; texts with other characters, or with a special string,
-go to the library itself.
+engine. The engine is built from the same file (vocabulary and merge list). Its normalising and splitting are used only
+for texts made of characters on which it agreed with the library in several surroundings: a test, not a proof. Byte-level
+texts with other characters, or with a special string, go to the library itself; the word-end encoder asks the library to
+normalise and split those texts and merges their words itself.
 """
 
 from __future__ import annotations
@@ -34,27 +35,34 @@ def _library(path: str) -> Tokenizer:
     return library
 
 
-def _agreed(same, low: int = 0x250) -> str:
-    """A character class of the code points below low for which same(text) holds in several surroundings."""
-    good = []
-    for point in range(low):
-        c = chr(point)
-        if c == MARK:
-            continue
-        if all(same(x) for x in (c, f"a{c}b", f"1{c}2", f"a {c} b", f" {c}{c}a", f"a{c} {c}1", f".{c}.", f"\n{c}\n", f"'{c}s", f"aé{c}E{c}")):
-            good.append(point)
-    spans, out = [], []
-    for point in good:
-        if spans and spans[-1][1] == point - 1:
-            spans[-1][1] = point
-        else:
-            spans.append([point, point])
-    for a, b in spans:
-        out.append(f"\\u{a:04x}-\\u{b:04x}")
-    return "".join(out)
-
-
-class ByteBpe:
+class Tested:
+    """Which characters the engine may be used for: those on which it agreed with the library in several surroundings. The
+    first ones are tried at load, others when they are first seen."""
+
+    def _try_all(self, low: int = 0x250) -> None:
+        good = [chr(p) for p in range(low) if self._agrees(chr(p))]
+        self.good, self.bad = set(good), set()
+        self.unusual = re.compile(f"[^{''.join(map(re.escape, good))}]")
+
+    def _agrees(self, c: str) -> bool:
+        return c != MARK and not 0xD800 <= ord(c) < 0xE000 and all(self.same(x) for x in (c, f"a{c}b", f"1{c}2", f"a {c} b", f" {c}{c}a", f"a{c} {c}1", f".{c}.", f"\n{c}\n", f"'{c}s", f"aé{c}E{c}"))
+
+    def safe(self, text: str) -> bool:
+        """Whether all characters are tested ones, and no special string is among them."""
+        if self.unusual.search(text) is not None:
+            for c in set(text) - self.good:
+                if c not in self.bad:
+                    (self.good if self._agrees(c) else self.bad).add(c)
+                if c in self.bad:
+                    return False
+        return "<" not in text or self.special.search(text) is None
+
+    def in_special(self, text: str, at: int, reach: int = 32) -> bool:
+        """Whether a special string stands across an offset."""
+        return any(m.start() < at < m.end() for m in self.special.finditer(text, max(0, at - reach), at + reach))
+
+
+class ByteBpe(Tested):
     """Byte-level BPE: ids of whole texts as the tokenizers library gives them without added special tokens."""
 
     def __init__(self, path: str):
@@ -68,15 +76,14 @@ class ByteBpe:
             self.sizes[i] = len(token)
         self.engine = tiktoken.Encoding("byte", pat_str=BYTE_PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.special = re.compile("|".join(map(re.escape, special)) or "(?!)")
-        same = lambda x: self._fast(x).tolist() == self.library.encode(x, add_special_tokens=False).ids
-        self.unsafe = re.compile(f"[^{_agreed(same)}]")
+        self._try_all()
+
+    def same(self, text: str) -> bool:
+        return self._fast(text).tolist() == self.library.encode(text, add_special_tokens=False).ids
 
     def _fast(self, text: str) -> np.ndarray:
         return self.engine.encode_to_numpy(text, disallowed_special=())
 
-    def safe(self, text: str) -> bool:
-        return self.unsafe.search(text) is None and ("<" not in text or self.special.search(text) is None)
-
     def encode(self, text: str) -> np.ndarray:
         """Ids as unsigned 32-bit integers."""
         if self.safe(text):
@@ -96,7 +103,7 @@ class ByteBpe:
         return np.array(got.ids, np.uint32), np.array([b for _, b in got.offsets], np.int64)
 
 
-class WordBpe:
+class WordBpe(Tested):
     """The parts of a word-end BPE file that the streaming encoder and decoder need."""
 
     def __init__(self, path: str):
@@ -129,26 +136,53 @@ class WordBpe:
                 add(bytes([b]) + MARK.encode(), vocab.get(c + end, 0))
         for left, right in merges:
             add(as_bytes(left + right), vocab[left + right])
-        self.merges = [(as_bytes(a), as_bytes(b)) for a, b in merges]
         self.longest = max(map(len, ranks))
+        self.lookahead = sufficient_lookahead([(as_bytes(a), as_bytes(b)) for a, b in merges], self.longest)
         self.ids = np.array(rank_to_id, np.uint32)
         self.tokens = {i: t for t, i in vocab.items()} | {x["id"]: x["content"] for x in spec["added_tokens"]}
         self.engine = tiktoken.Encoding("word", pat_str=f"[^{MARK}]*{MARK}", mergeable_ranks=ranks, special_tokens={})
         self.words = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+        self.alphabet, self.special_ids = alphabet, {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.special = re.compile("|".join(map(re.escape, special)) or "(?!)")
-        same = lambda x: self.word_ids(self.split(x)).tolist() == self.library.encode(x, add_special_tokens=False).ids
-        self.unsafe = re.compile(f"[^{_agreed(same)}]")
+        self._try_all()
 
-    def split(self, text: str) -> list[str]:
-        return self.words.findall(unicodedata.normalize("NFC", text).lower())
+    def same(self, text: str) -> bool:
+        fast = self.words.findall(unicodedata.normalize("NFC", text).lower())
+        return self.word_ids(fast).tolist() == self.library.encode(text, add_special_tokens=False).ids
+
+    def normal_words(self, text: str) -> tuple[str, list[str]]:
+        """The text as normalised, and its words. The library's own normaliser and splitter are asked where a character
+        is not tested. text holds no special string."""
+        if self.safe(text):
+            normal = unicodedata.normalize("NFC", text).lower()
+            return normal, self.words.findall(normal)
+        normal = self.library.normalizer.normalize_str(text)
+        found = self.library.pre_tokenizer.pre_tokenize_str(normal)
+        return normal, [bytes(self.alphabet[c] for c in word).decode() for word, _ in found]
 
     def word_ids(self, words: list[str]) -> np.ndarray:
         if not words:
             return np.zeros(0, np.uint32)
-        return self.ids[self.engine.encode_to_numpy(MARK.join(words) + MARK, disallowed_special=())]
-
-    def safe(self, text: str) -> bool:
-        return self.unsafe.search(text) is None and ("<" not in text or self.special.search(text) is None)
+        joined = MARK.join(words) + MARK
+        if joined.count(MARK) > len(words):  # a word that holds the mark itself is one for the library
+            return np.concatenate([self.ids[self.engine.encode_to_numpy(w + MARK)] if MARK not in w else np.array(self.library.encode(w, add_special_tokens=False).ids, np.uint32) for w in words])
+        return self.ids[self.engine.encode_to_numpy(joined, disallowed_special=())]
+
+    def piece(self, word: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Of the beginning of a word (or a whole one, with the mark): ids, and where they end in bytes."""
+        ranks = np.array(self.engine._core_bpe.encode_single_piece(word), np.int64)
+        return self.ids[ranks], np.cumsum([len(self.engine.decode_single_token_bytes(i)) for i in ranks.tolist()])
+
+
+def sufficient_lookahead(merges: list[tuple[bytes, bytes]], longest_token: int) -> int:
+    """Bytes to the right of a token that decide whether it stays, from the merge list alone."""
+    by_left: dict[bytes, int] = {}
+    longest = 0
+    for left, right in merges:  # in order of priority: chains only lead to earlier merges
+        length = 1 + by_left.get(right, 0)
+        by_left[left] = max(by_left.get(left, 0), length)
+        longest = max(longest, length)
+    return (longest + 1) * longest_token
 
 
 _loaded: dict[tuple[type, str], object] = {}
