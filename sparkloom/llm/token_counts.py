@@ -2,25 +2,25 @@
 
 A long text is encoded in chunks that overlap. Two neighbouring chunks are spliced at a common boundary: an offset
 inside the overlap at which a token ends in both encodings and that is proven stable, i.e. no encoding of any text that
-holds these characters can have a token across it. For byte-level BPE a blank or line break behind a character that is
-not white space, and before one that is not, is such an offset: the pre-tokenizer always starts a new piece there,
-whatever stands before or after, and merges never cross pieces. When an overlap holds no such boundary it is doubled
+holds these characters can have a token across it. For byte-level BPE the pre-tokenizer always starts a new piece,
+whatever stands further left or right, before white space that follows something else, between a letter and a digit,
+after a letter or digit that a symbol follows, and after a symbol other than an apostrophe that a letter or digit follows;
+and merges never cross pieces; an offset inside a special string is not taken. When an overlap holds no such boundary it is doubled
 until it does, or until the chunk reaches the end of the text.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_batches
 from .tokenizer import ByteBpe, load
 
-STABLE = re.compile(r"(?<=[^\s])[ ](?=[^\s])")
+STABLE = regex.compile(r"(?<=\S)(?=\s)|(?<=\p{L})(?=[^\s\p{L}])|(?<=\p{N})(?=[^\s\p{N}])|(?<=[^\s\p{L}\p{N}'])(?=[\p{L}\p{N}])")
 
 
 def spliced(bpe: ByteBpe, text: str, chunk: int, overlap: int) -> np.ndarray:
@@ -38,7 +38,7 @@ def spliced(bpe: ByteBpe, text: str, chunk: int, overlap: int) -> np.ndarray:
             # The last character of either side may depend on what follows it.
             for found in STABLE.finditer(text, low + 1, stop - 1):
                 at = found.start()
-                if _ends_at(ends, at - start) and _ends_at(right_ends, at - low):
+                if _ends_at(ends, at - start) and _ends_at(right_ends, at - low) and not bpe.in_special(text, at):
                     cut = at
             if cut is None:
                 if width >= stop - start:  # the whole left chunk holds no boundary: take the two as one chunk
