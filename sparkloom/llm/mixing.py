@@ -94,14 +94,16 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int = 0) -> DataFrame:
     return nodes.select(F.col("low").alias("shard"), "quota")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, shards: int = 16, block_words: int = 1 << 16, block_rows: int = 1 << 14, most_blocks: int = 1 << 14, seed: int = 0, carry: tuple[str, ...] = ()) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, shards: int | None = None, block_words: int = 1 << 16, block_rows: int = 1 << 14, most_blocks: int = 1 << 14, seed: int = 0, carry: tuple[str, ...] = ()) -> DataFrame:
     """docs(doc_id, source, text): one row per row with doc_id, source, size, source_size, target, taken, draws, and the
     columns named in carry.
 
     draws lists the times the document is taken: copy, words, shard, and the place that orders rows in the shard. A null
     or empty text has size 0 and is never taken; null is a source of its own. Repeated rows are documents of their own.
     No document is taken more than cap times its size. Blocks are about block_words words, or larger so that there are
-    about most_blocks of them; both only set the grain of the draws, the words taken are exact. No rows give no rows.
+    about most_blocks of them; both only set the grain of the draws, the words taken are exact. A draw counts only where
+    the tree gave its block to a shard, and taken adds up those draws. Without a number of shards there is one a 2**20
+    words, 16 at least and 16,384 at most. No rows give no rows.
     """
     key = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
     size = F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long")
@@ -116,6 +118,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, sha
     rest = F.when(F.col("capped"), F.lit(0)).otherwise(F.round("target").cast("long") - F.col("passes") * F.col("source_size"))
     sources = sources.withColumn("n_blocks", n_blocks).withColumn("passes", whole).withColumn("rest", rest.cast("long"))
     sources = written(sources, "mix-sources")
+    if shards is None:
+        total = sources.agg(F.sum("source_size")).first()[0] or 0
+        shards = int(min(max(16, total >> 20), 1 << 14))
     blocked = sized.join(sources.select("key", "n_blocks"), "key").withColumn("block", F.pmod("order", "n_blocks"))
     in_source = Window.partitionBy("key").orderBy("block")
     blocks = blocked.groupBy("key", "block").agg(F.sum("size").alias("words"))
@@ -141,11 +146,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, sha
         F.sequence(F.lit(0).cast("long"), F.col("passes")),
         lambda c: F.struct(c.cast("int").alias("copy"), F.when(c < F.col("passes"), F.col("size")).otherwise(last).alias("words"), F.element_at("shards", c.cast("int") + 1).alias("shard"), F.xxhash64(F.lit(seed + 1), c, "order").alias("place")),
     )
-    draws = F.filter(copies, lambda d: d["words"] > 0)
-    return placed.select("doc_id", "source", "size", "source_size", "target", (F.col("passes") * F.col("size") + last).alias("taken"), draws.alias("draws"), *carry)
+    draws = F.filter(copies, lambda d: (d["words"] > 0) & (d["shard"] < shards))  # past the last end, no leaf's quota holds the draw
+    taken = F.aggregate("draws", F.lit(0).cast("long"), lambda a, d: a + d["words"])
+    drawn = placed.select("doc_id", "source", "size", "source_size", "target", draws.alias("draws"), *carry)
+    return drawn.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "draws", *carry)
 
 
 def write_shards(mixed: DataFrame, path: str) -> None:
-    """The draws of mix() as files, one folder per shard, each in its own order: the local shuffle."""
+    """The draws of mix() as files, one folder per shard, each in its own order: the local shuffle. A document that is
+    taken several times has a row a draw; one that is not taken has none; no draws give no files. Repeated rows have draws
+    of their own; a null doc_id or source stays null."""
     rows = mixed.select("doc_id", "source", F.explode("draws").alias("d")).select("doc_id", "source", "d.*")
     rows.repartition("shard").sortWithinPartitions("shard", "place", "doc_id").write.partitionBy("shard").parquet(path)
