@@ -18,8 +18,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, key_runs, map_batches, run_bounds, utf8, written
-from .shingles import mixed, shingle_set
+from .common import connected_components, in_arrow, key_runs, map_batches, run_bounds, utf8, written
+from .shingles import set_print, shingle_set
 
 FEWEST, MOST = 64, 4096  # hash buckets in which a set's elements are counted
 
@@ -177,8 +177,8 @@ def similar_pairs(sets: list[np.ndarray], others: list[np.ndarray] | None, perce
 
 
 def jaccard_classes(docs: DataFrame, n: int = 3, percent: int = 90, pair_run: int = 64, block: int = 1024, broadcast_rows: int = 1 << 19) -> DataFrame:
-    """One row per row of docs(doc_id, text): doc_id, n_shingles, component_id, and row and class_row: a hash of id and
-    text, and the smallest such hash that links reach.
+    """One row per row of docs(doc_id, text): doc_id, n_shingles, component_id, mark (the xxhash64 of id and text) and
+    class_row, a number that the rows of a component share.
 
     Rows link when 100 * shared >= percent * joint shingles; component_id is the smallest doc_id reached by links. A null
     or empty text, or one without words, has no shingles, links with nothing and is its own component. Repeated rows are
@@ -189,22 +189,29 @@ def jaccard_classes(docs: DataFrame, n: int = 3, percent: int = 90, pair_run: in
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     common = common_ngrams(docs, n)
-    numbered = docs.withColumn("row", F.xxhash64("doc_id", "text"))  # rows with the same id and text share a number
 
     def describe(batch: pa.RecordBatch) -> pa.RecordBatch:
         made = [shingle_set(t, n) for t in utf8(batch.column("text"))]
-        prints = [int(mixed(mixed(s).sum(keepdims=True) + np.uint64(len(s))).astype(np.int64)[0]) if len(s) else None for s in made]
+        prints = [set_print(s) if len(s) else (None, None) for s in made]
         keys = [prefix(s, common.value, percent).astype(np.int64) for s in made]
         spread = [spread_of(s).tobytes() for s in made]
         offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*keys, np.zeros(0, np.int64)])))
-        arrays = [batch.column("row"), batch.column("doc_id"), pa.array([len(s) for s in made], pa.int64()), pa.array(prints, pa.int64()), pa.array(spread, pa.binary()), lists]
-        return pa.RecordBatch.from_arrays(arrays, ["row", "doc_id", "n_shingles", "fp", "spread", "keys"])
+        arrays = [*(batch.column(c) for c in ("row", "mark", "doc_id")), pa.array([len(s) for s in made], pa.int64()), *(pa.array([p[k] for p in prints], pa.int64()) for k in (0, 1)), pa.array(spread, pa.binary()), lists]
+        return pa.RecordBatch.from_arrays(arrays, ["row", "mark", "doc_id", "n_shingles", "fp", "fp2", "spread", "keys"])
 
-    described = written(map_batches(numbered, describe, "row long, doc_id long, n_shingles long, fp long, spread binary, keys array<long>"), "ngram-sets")
-    # Equal sets are one class, spoken for by the row with the smallest number.
-    classes = described.where("fp is not null").groupBy("fp", "n_shingles").agg(F.min("row").alias("speaker"), F.min("doc_id").alias("least"))
-    classes = written(classes, "ngram-classes")
+    same_set, seed = ["fp", "fp2", "n_shingles"], 0
+    while True:
+        # Rows with the same id and text share a number; so may, once in very many rows, two others: then all are numbered anew.
+        numbered = docs.withColumn("row", F.xxhash64(F.lit(seed), "doc_id", "text"))
+        described = map_batches(numbered.withColumn("mark", F.xxhash64("doc_id", "text")), describe, "row long, mark long, doc_id long, n_shingles long, fp long, fp2 long, spread binary, keys array<long>")
+        described = written(described, "ngram-sets")
+        # Equal sets are one class, spoken for by the row with the smallest number.
+        classes = described.where("fp is not null").groupBy(*same_set).agg(F.min("row").alias("speaker"), F.min("doc_id").alias("least"))
+        classes = written(classes, "ngram-classes")
+        if classes.groupBy("speaker").count().where("count > 1").isEmpty():
+            break
+        seed += 1
     speakers = described.join(classes.select(F.col("speaker").alias("row")), "row").groupBy("row").agg(*(F.first(c).alias(c) for c in ("n_shingles", "spread", "keys")))
     keyed = speakers.select("row", F.col("n_shingles").cast("int").alias("size"), F.posexplode("keys").alias("place", "key"))
     pairs = written(_met(keyed, percent, pair_run), "ngram-pairs")
@@ -214,9 +221,9 @@ def jaccard_classes(docs: DataFrame, n: int = 3, percent: int = 90, pair_run: in
     linked = connected_components(_verified(numbered, clusters, n, percent, block, broadcast_rows))
     named = classes.join(linked, F.col("speaker") == F.col("node"), "left").withColumn("class", F.coalesce("component", "speaker"))
     smallest = named.groupBy("class").agg(F.min("least").alias("component_id"))
-    ids = named.join(smallest, "class").select("fp", "n_shingles", "component_id", F.col("class").alias("class_row"))
-    mine = described.where("fp is not null").select("row", "doc_id", "fp", "n_shingles").join(ids, ["fp", "n_shingles"]).select("doc_id", "n_shingles", "component_id", "row", "class_row")
-    alone = described.where("fp is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "row", F.col("row").alias("class_row"))
+    ids = named.join(smallest, "class").select(*same_set, "component_id", F.col("class").alias("class_row"))
+    mine = described.where("fp is not null").select("mark", "doc_id", *same_set).join(ids, same_set).select("doc_id", "n_shingles", "component_id", "mark", "class_row")
+    alone = described.where("fp is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "mark", F.col("row").alias("class_row"))
     return mine.union(alone)
 
 
@@ -254,7 +261,7 @@ def _met(keyed: DataFrame, percent: int, pair_run: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1]), pa.array(np.full(len(got), paired))], ["a", "b", "paired"])
 
     dealt = keyed.repartition("key").sortWithinPartitions("key", "size", "row")
-    return dealt.mapInArrow(meet, "a long, b long, paired boolean").distinct()
+    return in_arrow(dealt, meet, "a long, b long, paired boolean").distinct()
 
 
 def _crowded(rows: DataFrame, speakers: DataFrame, percent: int, most: int = 1 << 14) -> DataFrame:
@@ -284,7 +291,7 @@ def _crowded(rows: DataFrame, speakers: DataFrame, percent: int, most: int = 1 <
             linked = np.flatnonzero(of != np.arange(len(of)))
             yield pa.RecordBatch.from_arrays([pa.array(names[linked]), pa.array(names[of[linked]])], ["a", "b"])
 
-    return dealt.mapInArrow(compare, "a long, b long").distinct()
+    return in_arrow(dealt, compare, "a long, b long").distinct()
 
 
 def _allowed(spread: list[bytes], size: np.ndarray, of: np.ndarray, percent: int) -> np.ndarray:
@@ -384,7 +391,7 @@ def _verified(numbered: DataFrame, clusters: DataFrame, n: int, percent: int, bl
                 links = np.concatenate(out)
                 yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], ["a", "b"])
 
-    return dealt.mapInArrow(join, "a long, b long")
+    return in_arrow(dealt, join, "a long, b long")
 
 
 def _forest(n: int, pairs: np.ndarray) -> np.ndarray:

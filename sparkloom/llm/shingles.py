@@ -1,13 +1,13 @@
-"""Word shingles of whole texts as 64-bit hashes, vectorised over the bytes of a text."""
+"""Word shingles of whole texts as 64-bit hashes: a digest a word, mixed over each run of words."""
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -29,20 +29,34 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"][:n], _powers["down"][:n]
 
 
+class WordHashes(dict):
+    """word -> 8 bytes of its BLAKE2b digest; emptied when it holds `most` words, long words are not kept."""
+
+    def __init__(self, most: int = 50_000, longest: int = 64):
+        super().__init__()
+        self.most, self.longest = most, longest
+
+    def __missing__(self, word: bytes) -> bytes:
+        found = hashlib.blake2b(word, digest_size=8).digest()
+        if len(word) <= self.longest:
+            if len(self) >= self.most:
+                self.clear()
+            self[word] = found
+        return found
+
+
+_words = WordHashes()
+
+
 def word_hashes(lowered: bytes) -> np.ndarray:
     """One hash per run of bytes other than ASCII white space."""
-    if not lowered:
-        return np.zeros(0, np.uint64)
-    raw = np.frombuffer(lowered, np.uint8)
-    inside = np.concatenate([[False], ~_SPACE[raw], [False]])
-    edges = np.flatnonzero(inside[1:] != inside[:-1])
-    starts, ends = edges[::2], edges[1::2]
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    up, down = powers(len(raw) + 1)
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+    return np.frombuffer(b"".join(map(_words.__getitem__, lowered.split())), "<u8")
+
+
+def set_print(elements: np.ndarray) -> tuple[int, int]:
+    """Two sums over the elements of a set, 128 bits that tell sets apart."""
+    sums = (mixed(elements).sum(keepdims=True), mixed(elements ^ np.uint64(0x9E3779B97F4A7C15)).sum(keepdims=True))
+    return tuple(int(mixed(x + np.uint64(len(elements))).astype(np.int64)[0]) for x in sums)
 
 
 def shingle_set(text: bytes, n: int) -> np.ndarray:
