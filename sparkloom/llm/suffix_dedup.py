@@ -2,7 +2,8 @@
 
 Every window of `length` bytes has an anchor, the k-byte string with the smallest hash in it, so equal windows have equal
 anchors at equal places. Consecutive windows with one anchor form a stretch: at most length - k + 1 windows, a few bytes
-of identity each. Stretches meet by anchor. Where all bytes of two stretches agree, the later one is a repeat as a whole.
+of identity each. Stretches meet by anchor. Where two stretches hold the same bytes (by a cryptographic digest, within one
+anchor), the later one is a repeat as a whole.
 Stretches that share an anchor and differ are collected, with their bytes, in shards; each shard builds a run-length
 Burrows-Wheeler index: only at the ends of its runs are suffix positions sampled and common prefixes compared; streaming
 over the text, every other position's matching length is one less than its left neighbour's. Positions whose match
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import key_runs, map_batches, run_bounds, utf8, written
+from .common import in_arrow, key_runs, map_batches, run_bounds, utf8, written
 from .shingles import mixed, powers
 
 PLACE_BITS = 20
@@ -27,7 +28,7 @@ SEGMENT = (1 << PLACE_BITS) - 1
 
 
 def stretches(raw: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
-    """(anchor hash, first window, last window, hash of the bytes from the first to the end of the last) of a text."""
+    """(anchor hash, first window, last window, digest of the bytes from the first to the end of the last) of a text."""
     n = len(raw)
     empty = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
     if n < length:
@@ -53,7 +54,9 @@ def stretches(raw: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
         last = np.append(first[1:], len(place)) - 1
         at = place[first]
         end = last + length
-        content = mixed((sums[end] - sums[first]) * down[first] + mixed(((at - first) * 4096 + (end - first)).astype(np.uint64)))
+        whole = piece.tobytes()
+        digests = [hashlib.blake2b(whole[a:b], digest_size=8).digest() for a, b in zip(first.tolist(), end.tolist(), strict=True)]
+        content = np.frombuffer(b"".join(digests), "<u8")
         parts.append((anchors[at], first + base, last + base, content))
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
@@ -181,7 +184,7 @@ def repeated_spans(docs: DataFrame, length: int, k: int) -> DataFrame:
             take = pa.array(index)
             yield pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), *(whole.column(c).take(take) for c in ("key", "doc", "mark", "first", "more"))], ["kind", "key", "doc", "mark", "first", "more"])
 
-    met = written(dealt.mapInArrow(meet, "kind int, key long, doc long, mark long, first int, more int"), "repeat-stretches")
+    met = written(in_arrow(dealt, meet, "kind int, key long, doc long, mark long, first int, more int"), "repeat-stretches")
     sure = met.where("kind = 0").select("doc", "mark", "first", (F.col("first") + F.col("more")).alias("last"))
     open_ones = met.where("kind = 1").groupBy("doc", "mark").agg(F.collect_set(F.struct("key", "first", "more")).alias("open"))
 
@@ -213,7 +216,7 @@ def repeated_spans(docs: DataFrame, length: int, k: int) -> DataFrame:
             columns = list(zip(*out, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(np.array(c, np.int64), t) for c, t in zip(columns, [pa.int64(), pa.int64(), pa.int32(), pa.int32()], strict=True)], ["doc", "mark", "first", "last"])
 
-    return sure.union(sharded.mapInArrow(search, "doc long, mark long, first int, last int"))
+    return sure.union(in_arrow(sharded, search, "doc long, mark long, first int, last int"))
 
 
 def remove_repeats(docs: DataFrame, length: int = 100, k: int = 32, keep_text: bool = False) -> DataFrame:
