@@ -15,10 +15,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, utf8, written
+from .common import in_arrow, map_batches, utf8, written
 
 SLOTS, KICKS = 4, 500
 
@@ -173,20 +174,79 @@ def _shard_column(shards: int):
     return F.pmod(F.conv(low_first, 16, 10).cast("long"), F.lit(shards))
 
 
-def drop_frequent_lines(docs: DataFrame, index: LineIndex, broadcast_keys: int = 1 << 20) -> DataFrame:
+def drop_frequent_lines(docs: DataFrame, index: LineIndex, broadcast_keys: int = 1 << 20, indexed: bool = False) -> DataFrame:
     """One row per row of docs(doc_id, text, ...): its columns, then n_lines, n_dropped, kept.
 
     A line whose key is non-empty and found in at least index.min_docs documents goes; the others stay, joined by line
     feeds. A null or empty text is one empty line and stays (as an empty text). Repeated rows count as documents of their
     own. Columns of docs that clash with the three new ones are replaced.
 
-    Filters are broadcast when they stand for at most broadcast_keys keys, and so are then the exact frequent keys that
-    confirm a filter's answer. Beyond that, the lines' keys are joined with the counts by shuffle instead.
+    Every line is looked up in its shard's filter. What a filter wrongly holds is settled by the exact counts. Where docs
+    are among those the index has counted (indexed), the wrongly held keys are the infrequent ones of the counts that the
+    filters hold, few enough to be sent along with filters of up to broadcast_keys keys. Otherwise the keys that pass the
+    filters are joined with the frequent keys; filters of more than broadcast_keys keys are then met by shuffle.
     """
     docs = docs.drop("n_lines", "n_dropped", "kept")
-    if index.frequent().limit(broadcast_keys + 1).count() <= broadcast_keys:
-        return _drop_by_broadcast(docs, index)
-    return _drop_by_join(docs, index)
+    few = index.frequent().limit(broadcast_keys + 1).count() <= broadcast_keys
+    if few and indexed:
+        held = _held(index.counts.where(F.col("n") < index.min_docs).select("key"), _sent(index), index.shards)
+        wrong = [bytes(r.key) for r in held.limit(broadcast_keys + 1).toLocalIterator()]
+        if len(wrong) <= broadcast_keys:
+            return _drop_by_broadcast(docs, index, frozenset(wrong))
+    return _drop_by_join(docs, index, few)
+
+
+def _sent(index: LineIndex) -> Broadcast:
+    """The filters, by shard, for every task; the caller has checked their size."""
+    tables = {r.shard: np.frombuffer(r.table, np.uint16).reshape(-1, SLOTS) for r in index.filters.toLocalIterator()}
+    return index.filters.sparkSession.sparkContext.broadcast(tables)
+
+
+def _passing(digests: list[bytes], tables: dict[int, np.ndarray], shards: int) -> np.ndarray:
+    """Marks the digests that their shard's filter holds."""
+    out = np.zeros(len(digests), bool)
+    if len(digests):
+        hashes, places = _hashes(digests), _shards(digests, shards)
+        order = np.argsort(places, kind="stable")
+        for chunk in np.split(order, np.flatnonzero(np.diff(places[order])) + 1):
+            table = tables.get(int(places[chunk[0]]))
+            if table is not None:
+                out[chunk] = CuckooFilter(table).holds(hashes[chunk])
+    return out
+
+
+def _held(keyed: DataFrame, sent: Broadcast, shards: int) -> DataFrame:
+    """The rows whose key passes the broadcast filters."""
+
+    def look(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pa.array(_passing(batch.column("key").to_pylist(), sent.value, shards)))
+
+    return map_batches(keyed, look, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keyed.schema))
+
+
+def _held_by_shuffle(pairs: DataFrame, index: LineIndex, salts: int = 16) -> DataFrame:
+    """The (row, key) pairs whose key passes its shard's filter: each shard's pairs, in `salts` parts, follow a copy of its
+    filter into a task, so a task holds one filter and a batch of pairs, however many documents hold a line."""
+    asked = pairs.select(_shard_column(index.shards).alias("shard"), F.pmod(F.xxhash64("row"), F.lit(salts)).alias("salt"), "row", "key", F.lit(None).cast("binary").alias("table"))
+    salted = index.filters.select(F.col("shard").cast("long"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"), F.lit(None).cast("long").alias("row"), F.lit(None).cast("binary").alias("key"), "table")
+    dealt = asked.unionByName(salted).repartition("shard", "salt").sortWithinPartitions("shard", "salt", F.col("table").isNull())
+    shards = index.shards
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, tables = None, {}
+        for batch in batches:
+            place = list(zip(batch.column("shard").to_pylist(), batch.column("salt").to_pylist(), strict=True))
+            keys, filters = batch.column("key").to_pylist(), batch.column("table")
+            starts = [i for i in range(len(place)) if i == 0 or place[i] != place[i - 1]]
+            for a, b in zip(starts, [*starts[1:], len(place)], strict=True):
+                if place[a] != at:
+                    at, tables = place[a], {}
+                if filters[a].is_valid:
+                    tables, a = {at[0]: np.frombuffer(filters[a].as_py(), np.uint16).reshape(-1, SLOTS)}, a + 1
+                hit = np.flatnonzero(_passing(keys[a:b], tables, shards)) + a
+                yield batch.select(["row", "key"]).take(pa.array(hit))
+
+    return in_arrow(dealt, look, "row long, key binary")
 
 
 def _kept(text: bytes, drops) -> tuple[int, int, str]:
@@ -202,49 +262,42 @@ def _out(batch: pa.RecordBatch, columns: list[str], rows: list[tuple]) -> pa.Rec
     return pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], *arrays], [*columns, "n_lines", "n_dropped", "kept"])
 
 
-def _drop_by_broadcast(docs: DataFrame, index: LineIndex) -> DataFrame:
-    spark = docs.sparkSession
-    tables = {r.shard: np.frombuffer(r.table, np.uint16).reshape(-1, SLOTS) for r in index.filters.toLocalIterator()}
-    exact = frozenset(bytes(r.key) for r in index.frequent().toLocalIterator())
-    sent = spark.sparkContext.broadcast((tables, exact))
+def _drop_by_broadcast(docs: DataFrame, index: LineIndex, wrong: frozenset[bytes]) -> DataFrame:
+    """Filters decide, but for the keys that they are known to hold wrongly."""
+    filters, exceptions = _sent(index), docs.sparkSession.sparkContext.broadcast(wrong)
     columns, shards = docs.columns, index.shards
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        filters, confirmed = sent.value
         texts = utf8(batch.column("text"))
-        known = sorted({k for t in texts for k in line_keys(t)} - {b""})
-        drops = set()
-        if known:
-            digests = [digest(k) for k in known]
-            hashes, places = _hashes(digests), _shards(digests, shards)
-            order = np.argsort(places, kind="stable")
-            for chunk in np.split(order, np.flatnonzero(np.diff(places[order])) + 1):
-                table = filters.get(int(places[chunk[0]]))
-                if table is not None:
-                    hit = chunk[CuckooFilter(table).holds(hashes[chunk])]
-                    drops.update(known[i] for i in hit.tolist() if digests[i] in confirmed)
+        known = list({k for t in texts for k in line_keys(t)} - {b""})
+        digests = [digest(k) for k in known]
+        passing = np.flatnonzero(_passing(digests, filters.value, shards)).tolist()
+        drops = {known[i] for i in passing if digests[i] not in exceptions.value}
         return _out(batch, columns, [_kept(t, drops) for t in texts])
 
     return map_batches(docs.withColumn("text", F.col("text").cast("string")), work, _schema(docs))
 
 
-def _drop_by_join(docs: DataFrame, index: LineIndex) -> DataFrame:
-    """The same by shuffle: each row's keys meet the frequent keys, and what was found comes back to the row."""
-    numbered = written(docs.withColumn("text", F.col("text").cast("string")).withColumn("_row", F.monotonically_increasing_id()), "numbered-docs")
+def _drop_by_join(docs: DataFrame, index: LineIndex, few: bool) -> DataFrame:
+    """The same by join: what passes the filters meets the frequent keys, and what was found comes back to the row."""
+    columns = docs.columns
+    number, drops = (next(x for x in (base + "_" * i for i in range(len(columns) + 1)) if x.lower() not in map(str.lower, columns)) for base in ("row", "drops"))
+    numbered = written(docs.withColumn("text", F.col("text").cast("string")).withColumn(number, F.monotonically_increasing_id()), "numbered-docs")
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(row, digest(k)) for row, text in zip(batch.column("_row").to_pylist(), utf8(batch.column("text")), strict=True) for k in set(line_keys(text)) - {b""}]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.binary())], ["_row", "key"])
+            found = [(row, digest(k)) for row, text in zip(batch.column("row").to_pylist(), utf8(batch.column("text")), strict=True) for k in set(line_keys(text)) - {b""}]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.binary())], ["row", "key"])
 
-    hits = numbered.select("_row", "text").mapInArrow(keys, "_row long, key binary").join(index.frequent(), "key", "left_semi")
-    found = numbered.join(hits.groupBy("_row").agg(F.collect_set("key").alias("_drops")), "_row", "left")
-    columns = docs.columns
+    pairs = in_arrow(numbered.select(F.col(number).alias("row"), "text"), keys, "row long, key binary")
+    passing = _held(pairs, _sent(index), index.shards) if few else _held_by_shuffle(pairs, index)
+    hits = passing.join(index.frequent(), "key", "left_semi").groupBy(F.col("row").alias(number)).agg(F.collect_set("key").alias(drops))
+    found = numbered.join(hits, number, "left")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
-        for text, drops in zip(utf8(batch.column("text")), batch.column("_drops").to_pylist(), strict=True):
-            mine = set(drops or ())
+        for text, gone in zip(utf8(batch.column("text")), batch.column(drops).to_pylist(), strict=True):
+            mine = set(gone or ())
             rows.append(_kept(text, {k for k in line_keys(text) if k and digest(k) in mine}))
         return _out(batch, columns, rows)
 
@@ -257,4 +310,9 @@ def _schema(docs: DataFrame) -> str:
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 10, shards: int = 64, min_chars: int = 1, broadcast_keys: int = 1 << 20) -> DataFrame:
-    return drop_frequent_lines(docs, LineIndex.build(docs, min_docs, shards, min_chars), broadcast_keys)
+    """docs(doc_id, text, ...) without the lines found in at least min_docs of them: an index built of docs, applied to them.
+
+    Columns, nulls, empty texts, repeated rows and clashing names as in drop_frequent_lines; texts of any length are split
+    whole, and no rows give no rows.
+    """
+    return drop_frequent_lines(docs, LineIndex.build(docs, min_docs, shards, min_chars), broadcast_keys, indexed=True)
