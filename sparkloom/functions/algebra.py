@@ -1,32 +1,45 @@
-"""Arithmetic text over columns. The text is held to an allow-list and handed to Spark's own expression parser."""
+"""Arithmetic text over columns: Python's own parser gives the tree, an allow-list of nodes turns it into columns."""
 
 from __future__ import annotations
 
-import re
+import ast
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ALLOWED = re.compile(r"[\w\s+\-*/().]+")
+PAIRS = {
+    ast.Add: lambda a, b: a + b,
+    ast.Sub: lambda a, b: a - b,
+    ast.Mult: lambda a, b: a * b,
+    ast.Div: F.try_divide,
+    ast.Pow: lambda a, b: F.when((a == 0) & (b < 0), F.lit(None)).otherwise(F.pow(a, b)),
+}
+SIGNS = {ast.UAdd: lambda a: a, ast.USub: lambda a: -a}
 
 
 def expression(formula: str, variables: dict[str, str | float]) -> Column:
-    """formula over + - * / ** and named variables, each a column name or a number; an unknown name is an error. Squares
-    and other powers with a plain base are written base ** exponent. Division by zero gives null."""
-    if not ALLOWED.fullmatch(formula):
+    """formula over + - * / **, signs, brackets, numbers and named variables, each a column name or a number, as doubles.
+    Precedence is Python's. An unknown name or anything else in the text is an error. Division by zero gives null."""
+
+    def column(node: ast.AST) -> Column:
+        if isinstance(node, ast.BinOp) and type(node.op) in PAIRS:
+            return PAIRS[type(node.op)](column(node.left), column(node.right))
+        if isinstance(node, ast.UnaryOp) and type(node.op) in SIGNS:
+            return SIGNS[type(node.op)](column(node.operand))
+        if isinstance(node, ast.Constant) and type(node.value) in (int, float):
+            return F.lit(float(node.value))
+        if isinstance(node, ast.Name):
+            if node.id not in variables:
+                raise ValueError(f"unknown variable: {node.id}")
+            value = variables[node.id]
+            return F.col(f"`{value}`").cast("double") if isinstance(value, str) else F.lit(float(value))
         raise ValueError(f"not an arithmetic expression: {formula!r}")
-    unknown = set(re.findall(r"[A-Za-z_]\w*", formula)) - variables.keys()
-    if unknown:
-        raise ValueError(f"unknown variables: {sorted(unknown)}")
-
-    def named(m: re.Match) -> str:
-        value = variables[m[0]]
-        return f"`{value}`" if isinstance(value, str) else f"({float(value)}D)"
-
-    sql = re.sub(r"[A-Za-z_]\w*", named, formula)
-    sql = re.sub(r"(`[^`]+`|[\d.]+|\([^()]*\))\s*\*\*\s*(`[^`]+`|[\d.]+|\([^()]*\))", r"power(\1, \2)", sql)
-    sql = re.sub(r"/\s*(`[^`]+`|[\d.]+|\([^()]*\))", r"/ nullif(\1, 0)", sql)
-    return F.expr(sql)
+
+    try:
+        tree = ast.parse(formula.strip(), mode="eval")
+    except SyntaxError as error:
+        raise ValueError(f"not an arithmetic expression: {formula!r}") from error
+    return column(tree.body)
 
 
 def solve(left: str, right: str, unknown: str, variables: dict[str, str | float]) -> Column:

@@ -34,6 +34,11 @@ def words(c: Column | str, least: int = 2) -> Column:
     return F.regexp_extract_all(c, F.lit(rf"([\p{{L}}\p{{N}}_]{{{least},}})"), F.lit(1))
 
 
+def folded_words(c: Column | str, least: int = 2) -> Column:
+    """The words of the folded text. White space need not be collapsed for that, so it is not."""
+    return words(F.lower(F.translate(c, ACCENTED, FOLDED)), least)
+
+
 def keywords(c: Column | str, stop: tuple[str, ...] = (), least: int = 4) -> Column:
     """Distinct words of `least` characters or more in lower case, in order, without stop words."""
     found = F.array_distinct(words(F.lower(c), least))

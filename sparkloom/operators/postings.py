@@ -2,21 +2,29 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..sources.shared import written
+from .blocks import Best
+from .ranking import top
 
 
 def postings(docs: DataFrame, least: int = 2) -> DataFrame:
     """term, doc_id, tf, positions, of folded words. Counted inside a document before anything is shuffled."""
-    words = docs.select("doc_id", F.posexplode(text.words(text.fold("text"), least)).alias("pos", "term"))
+    words = docs.select("doc_id", F.posexplode(text.folded_words("text", least)).alias("pos", "term"))
     return words.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
 
 
 def terms(df: DataFrame, key: str, least: int = 2) -> DataFrame:
     """Distinct (key, term) rows of folded words, made distinct inside the row."""
-    return df.select(key, F.explode(F.array_distinct(text.words(text.fold("text"), least))).alias("term"))
+    return df.select(key, F.explode(F.array_distinct(text.folded_words("text", least))).alias("term"))
 
 
 def bm25(queries: DataFrame, docs: DataFrame, k1: float = 1.2, b: float = 0.75, least: int = 4) -> DataFrame:
@@ -25,7 +33,7 @@ def bm25(queries: DataFrame, docs: DataFrame, k1: float = 1.2, b: float = 0.75,
     Postings are cut to the terms of the queries before they are grouped; document frequencies come from the same rows.
     """
     asked = terms(queries, "query_id", least)
-    words = docs.select("doc_id", text.words(text.fold("text"), least).alias("w")).select("doc_id", "w", F.size("w").alias("len"))
+    words = docs.select("doc_id", text.folded_words("text", least).alias("w")).select("doc_id", "w", F.size("w").alias("len"))
     totals = words.agg(F.count("*").alias("n_docs"), F.avg("len").alias("mean"))
     found = words.select("doc_id", "len", F.explode("w").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
     tf = found.groupBy("term", "doc_id", "len").agg(F.count("*").alias("tf"))
@@ -34,3 +42,68 @@ def bm25(queries: DataFrame, docs: DataFrame, k1: float = 1.2, b: float = 0.75,
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
     return hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"), F.count("*").alias("matched"))
+
+
+def bm25_top(queries: DataFrame, docs: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, least: int = 4, most_terms: int = 1 << 19) -> DataFrame:
+    """query_id, doc_id, score, matched, rank: the k documents with the highest BM25 score for each query, ties to the
+    smaller doc_id. queries(query_id, text), docs(doc_id, text); null texts take no part.
+
+    The distinct (query, term) rows go to the tasks that scan the documents, if there are at most most_terms: one scan
+    writes which of the terms each document holds; from that, document frequencies are counted and documents scored in
+    blocks, and a task returns k rows a query, so no pair of query and document is shuffled. More rows than that meet the postings by shuffle, as in bm25().
+    """
+    asked = terms(queries.where("text is not null").select(F.col("query_id").cast("long").alias("query_id"), "text"), "query_id", least).distinct()
+    given = asked.limit(most_terms + 1).toArrow()
+    docs = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    order = (F.desc("score"), F.asc("doc_id"))
+    if given.num_rows > most_terms:
+        return top(bm25(queries, docs, k1, b, least), ["query_id"], k, *order)
+    ids, number = np.unique(given.column("query_id").to_numpy(), return_inverse=True)
+    coded = pc.dictionary_encode(given.column("term").combine_chunks())
+    term = coded.indices.to_numpy()
+    by_term = np.argsort(term, kind="stable")
+    starts = np.searchsorted(term[by_term], np.arange(len(coded.dictionary) + 1))
+    vocabulary = docs.sparkSession.sparkContext.broadcast(coded.dictionary.cast(pa.string()))
+    asking = docs.sparkSession.sparkContext.broadcast((ids, number[by_term], starts))
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each document: its words, and which of the terms asked for it holds, how often."""
+        for batch in batches:
+            w, known = pa.concat_arrays([batch.column("w")]), vocabulary.value
+            codes = pc.index_in(w.flatten().cast(pa.string()), value_set=known)
+            place = np.repeat(np.arange(len(w)), np.diff(w.offsets.to_numpy()))[codes.is_valid().to_numpy(zero_copy_only=False)]
+            keys, n = np.unique(place * max(1, len(known)) + codes.drop_null().to_numpy(), return_counts=True)
+            offsets = pa.array(np.searchsorted(keys, np.arange(len(w) + 1) * max(1, len(known))).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (keys % max(1, len(known)), n)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(w.offsets.to_numpy()), pa.int64()), *lists], ["doc_id", "len", "terms", "n"])
+
+    words = docs.select("doc_id", text.folded_words("text", least).alias("w"))
+    words = written(words.mapInArrow(code, "doc_id long, len long, terms array<int>, n array<int>"), "term-counts")
+    n_docs, mean = words.agg(F.count("*"), F.coalesce(F.avg("len"), F.lit(0.0))).first()
+    sums = words.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).toArrow()  # a row a term
+    df = np.zeros(len(coded.dictionary))
+    df[sums.column("term").to_numpy()] = sums.column("n").to_numpy()
+    idf = np.log(1 + (n_docs - df + 0.5) / (df + 0.5))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, who, starts = asking.value
+        best, step = Best(len(ids), k), max(1, (1 << 22) // max(1, len(ids)))
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                some = batch.slice(at, step)
+                held = pa.concat_arrays([some.column("terms")])
+                term, n = held.flatten().to_numpy(), pa.concat_arrays([some.column("n")]).flatten().to_numpy()
+                place = np.repeat(np.arange(len(held)), np.diff(held.offsets.to_numpy()))
+                length = some.column("len").to_numpy()[place]
+                part = idf[term] * n * (k1 + 1) / (n + k1 * (1 - b + b * length / max(mean, 1e-9)))
+                many = starts[term + 1] - starts[term]
+                asker = who[np.repeat(starts[term] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+                cell = asker * some.num_rows + np.repeat(place, many)
+                shape = (len(ids), some.num_rows)
+                matched = np.bincount(cell, minlength=shape[0] * shape[1]).reshape(shape)
+                scores = np.bincount(cell, np.repeat(part, many), shape[0] * shape[1]).reshape(shape)
+                best.add(np.where(matched > 0, np.round(scores, 6), np.nan), some.column("doc_id").to_numpy(), matched)
+        at, docs_found, scores, matched = best.taken()
+        yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(docs_found), pa.array(scores), pa.array(matched)], ["query_id", "doc_id", "score", "matched"])
+
+    return top(words.mapInArrow(score, "query_id long, doc_id long, score double, matched long"), ["query_id"], k, *order)

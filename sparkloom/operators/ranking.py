@@ -28,6 +28,16 @@ def fuse(lists: dict[str, tuple[DataFrame, float]], by: list[str], key: str, con
     return out.groupBy(*by, key).agg(F.sum("score").alias("score"))
 
 
-def boosted(score: Column, words: Column, text: Column, by: float = 0.01) -> Column:
-    """Score plus `by` for each word found in the text, as a substring."""
-    return score + by * F.size(F.filter(words, lambda w: F.contains(text, w)))
+def boosted(score: Column, words: Column, text: Column, by: float = 0.01, definition: Column | None = None, marks: tuple[str, str, str] = ("term:", "substitution:", "keywords:")) -> Column:
+    """Score plus `by` for each word found in the text, as a substring.
+
+    Where a definition is asked for, a text with the first two marks (an entry of a glossary) gains 0.20 and 0.15 more for
+    each word that follows the first mark; one with the third mark (a row that only lists keywords) loses 0.05.
+    """
+    out = score + by * F.size(F.filter(words, lambda w: F.contains(text, w)))
+    if definition is None:
+        return out
+    entry, second, listing = (F.contains(text, F.lit(m)) for m in marks)
+    exact = F.size(F.filter(words, lambda w: F.contains(text, F.concat(F.lit(marks[0] + " "), w))))
+    more = F.when(entry & second, 0.20).otherwise(0.0) + 0.15 * exact - F.when(listing, 0.05).otherwise(0.0)
+    return out + F.when(definition, more).otherwise(0.0)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vectors
-from .postings import bm25
+from .postings import bm25_top
 from .ranking import fuse, top
 
 
@@ -23,8 +23,8 @@ def search(queries: DataFrame, chunks: DataFrame, mode: str = "hybrid", k: int =
     if mode in ("vector", "hybrid"):
         lists["vector"] = (vectors.nearest(queries, chunks, wide, threshold=threshold), 1.5)
     if mode in ("text", "hybrid"):
-        hits = bm25(queries.select("query_id", "text"), chunks.select(F.col("vec_id").alias("doc_id"), "text"))
-        lists["text"] = (top(hits.withColumnRenamed("doc_id", "vec_id"), ["query_id"], wide, F.desc("score"), F.asc("vec_id")), 1.0)
+        hits = bm25_top(queries.select("query_id", "text"), chunks.select(F.col("vec_id").alias("doc_id"), "text"), wide)
+        lists["text"] = (hits.withColumnRenamed("doc_id", "vec_id"), 1.0)
     if not lists:
         raise ValueError(f"unknown mode {mode}")
     if mode != "hybrid":

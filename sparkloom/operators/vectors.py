@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from .ranking import top
+from .blocks import Best
+from .ranking import ranked, top
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -26,26 +27,75 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), norm(a) * norm(b))
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, most_queries: int = 10_000, threshold: float | None = None) -> DataFrame:
+def _units(column: pa.Array, size: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the vectors that have a direction (finite, not zero, `size` long), and their unit vectors."""
+    places, rows = [], []
+    for i, x in enumerate(column.to_pylist()):
+        if x and None not in x and (size is None or len(x) == size):
+            v = np.array(x, float)
+            length = np.sqrt(v @ v)
+            if np.isfinite(length) and length > 0:
+                size = len(x)
+                places.append(i)
+                rows.append(v / length)
+    return np.array(places, np.int64), np.array(rows).reshape(len(rows), size or 0)
+
+
+def _scored(best: Best, asked: np.ndarray, batch: pa.RecordBatch, vector: str = "embedding") -> None:
+    places, rows = _units(batch.column(vector), asked.shape[1])
+    ids = batch.column("vec_id").to_numpy(zero_copy_only=False)[places]
+    step = max(1, (1 << 22) // max(1, len(asked)))
+    for at in range(0, len(rows), step):
+        best.add(np.round(asked @ rows[at : at + step].T, 6) + 0.0, ids[at : at + step])
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, k: int | None, most_queries: int = 4096, threshold: float | None = None, within: str | None = None, block: int = 1 << 14) -> DataFrame:
     """query_id, vec_id, score, rank: the k rows with the highest cosine to each query, ties to the smaller vec_id.
 
-    queries(query_id, q), vectors(vec_id, embedding). Up to most_queries queries are broadcast to the scan of the vectors;
-    more are split by hash into rounds of that size, so what is broadcast stays bounded. threshold None keeps all scores.
+    queries(query_id, q), vectors(vec_id, embedding). Vectors without a direction (null, empty, zero, not finite) and
+    those of another length than the queries answer nothing. threshold None keeps all scores; k None keeps all rows that
+    reach the threshold. within names a column of few values of vectors: the k best of each value, which is returned too.
+
+    Up to most_queries queries go to the tasks that scan the vectors, and a task returns its k best rows a query. More
+    meet the vectors in pairs of blocks of most_queries queries and `block` vectors, so no task holds more than that.
     """
-    n = queries.limit(most_queries + 1).count()
-    rounds = 1 if n <= most_queries else -(-queries.count() // most_queries) * 2
-    unit = vectors.select("vec_id", "embedding", norm(F.col("embedding")).alias("len"))
-    out = None
-    for i in range(rounds):
-        some = queries if rounds == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(rounds)) == i)
-        some = F.broadcast(some.select("query_id", "q", norm(F.col("q")).alias("q_len")))
-        scored = unit.join(some).select("query_id", "vec_id", F.try_divide(dot(F.col("q"), F.col("embedding")), F.col("len") * F.col("q_len")).alias("score"))
-        if threshold is not None:
-            scored = scored.where(F.col("score") >= threshold)
-        scored = scored.withColumn("score", F.round("score", 6))
-        best = top(scored, ["query_id"], k, F.desc("score"), F.asc("vec_id"))
-        out = best if out is None else out.unionByName(best)
-    return out
+    queries = queries.select(F.col("query_id").cast("long"), F.col("q").cast("array<double>").alias("q"))
+    group = [within] if within else []
+    kinds = {f.name: f.dataType.simpleString() for f in vectors.schema}
+    schema = "query_id long, vec_id long, score double" + "".join(f", {g} {kinds[g]}" for g in group)
+    rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("embedding"), *group)
+
+    def collected(ids: np.ndarray, asked: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bests: dict = {}
+        for batch in batches:
+            values = batch.column(within).to_pylist() if within else [None] * batch.num_rows
+            for value in dict.fromkeys(values):
+                best = bests.setdefault(value, Best(len(ids), k, threshold))
+                _scored(best, asked, batch.filter(pa.array([v == value for v in values])) if within else batch)
+        for value, best in bests.items():
+            at, found, scores, _ = best.taken()
+            made = [pa.array(ids[at]), pa.array(found), pa.array(scores)]
+            yield pa.RecordBatch.from_arrays([*made, *(pa.array([value] * len(at), batch.schema.field(g).type) for g in group)], ["query_id", "vec_id", "score", *group])
+
+    asked = queries.limit(most_queries + 1).toArrow()
+    if asked.num_rows <= most_queries:
+        places, units = _units(asked.column("q").combine_chunks())
+        ids = asked.column("query_id").to_numpy()[places]
+        sent = queries.sparkSession.sparkContext.broadcast((ids, units))
+        found = rows.mapInArrow(lambda batches: collected(*sent.value, batches), schema)
+    else:
+        q_blocks, v_blocks = -(-queries.count() // most_queries), max(1, -(-rows.count() // block))
+        left = queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks))).withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(v_blocks - 1))).cast("long"))
+        right = rows.withColumn("vb", F.pmod(F.xxhash64("vec_id"), F.lit(v_blocks))).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).cast("long"))
+
+        def pair(left: pa.Table, right: pa.Table) -> pa.Table:
+            places, units = _units(left.column("q").combine_chunks())
+            parts = list(collected(left.column("query_id").to_numpy()[places], units, iter(right.combine_chunks().to_batches())))
+            return pa.Table.from_batches(parts) if parts else pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64()), **{g: pa.array([], right.schema.field(g).type) for g in group}})
+
+        found = left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInArrow(pair, schema)
+    order = (F.desc("score"), F.asc("vec_id"))
+    return ranked(found, ["query_id", *group], *order) if k is None else top(found, ["query_id", *group], k, *order)
 
 
 def listed(df: DataFrame, vector: str, centers: np.ndarray, many: int) -> DataFrame:

@@ -8,9 +8,9 @@ from pyspark.sql.window import Window
 
 from ..functions import text
 from ..operators.ranking import top
-from ..operators.summaries import by_and_total, percentiles, rate
+from ..operators.summaries import by_and_total, rate
 from .base import query, read
-from .filters import SEARCHED_SQL, searched
+from .filters import BM25_SQL, SEARCHED_SQL, searched, text_hits
 
 VERDICT = "CASE WHEN quality = 1 AND toxic = 0 THEN 'correct' WHEN toxic = 1 THEN 'incorrect' ELSE 'partial' END"
 POINTS = "CASE WHEN quality = 1 AND toxic = 0 THEN 1.0 WHEN toxic = 1 THEN 0.0 ELSE 0.5 END"
@@ -105,13 +105,29 @@ def agg_10(spark: SparkSession, sf: str) -> DataFrame:
     return sets.join(F.broadcast(whole)).select("lang", "source", "n", F.round(100.0 * F.col("n") / F.col("all"), 4).alias("share"), "level")
 
 
-@query("SELECT agent, grouping(agent) AS total, count(*) FILTER (WHERE hit) AS hits, count(*) FILTER (WHERE NOT hit) AS misses, round(100 * avg(CASE WHEN hit THEN 1.0 ELSE 0 END), 4) AS percent FROM (SELECT item_id % 4 AS agent, substr(text, 1, 24) IN (SELECT substr(text, 1, 24) FROM documents) AS hit FROM benchmark) GROUP BY ROLLUP(agent)")
+FOUND_SQL = BM25_SQL + ", found AS (SELECT b.item_id, b.item_id % 4 AS agent, coalesce(bool_or(contains(d.text, b.text)), false) AS hit FROM benchmark AS b LEFT JOIN bm ON bm.query_id = b.item_id AND bm.rank <= 5 LEFT JOIN documents AS d ON d.doc_id = bm.doc_id GROUP BY b.item_id)"
+
+
+def found_items(spark: SparkSession, sf: str) -> DataFrame:
+    """item_id, agent, hit: whether one of the five best documents of a benchmark text holds it whole."""
+    items, docs = read(spark, sf, "benchmark", "documents")
+    items = items.select("item_id", F.col("text").alias("asked"))
+    rows = text_hits(spark, sf, 5).select(F.col("query_id").alias("item_id"), "doc_id").join(docs.select("doc_id", "text"), "doc_id").join(items, "item_id")
+    held = rows.groupBy("item_id").agg(F.bool_or(F.contains("text", "asked")).alias("held"))
+    return items.join(held, "item_id", "left").select("item_id", (F.col("item_id") % 4).alias("agent"), F.coalesce("held", F.lit(False)).alias("hit"))
+
+
+@query("WITH " + FOUND_SQL + " SELECT agent, grouping(agent) AS total, count(*) FILTER (WHERE hit) AS hits, count(*) FILTER (WHERE NOT hit) AS misses, round(100 * avg(CASE WHEN hit THEN 1.0 ELSE 0 END), 4) AS percent FROM found GROUP BY ROLLUP(agent)")
 def agg_11(spark: SparkSession, sf: str) -> DataFrame:
-    """Retrieval coverage per agent and in total: items whose opening a document shares."""
-    docs = read(spark, sf, "documents").select(F.substring("text", 1, 24).alias("head")).distinct().withColumn("found", F.lit(True))
-    items = read(spark, sf, "benchmark").select((F.col("item_id") % 4).alias("agent"), F.substring("text", 1, 24).alias("head")).join(docs, "head", "left")
-    hit = F.coalesce("found", F.lit(False))
-    return by_and_total(items, "agent", F.count_if(hit).alias("hits"), F.count_if(~hit).alias("misses"), F.round(rate(hit), 4).alias("percent"))
+    """Retrieval coverage per agent and in total: items whose whole text is in one of the documents found for it."""
+    hit = F.col("hit")
+    return by_and_total(found_items(spark, sf), "agent", F.count_if(hit).alias("hits"), F.count_if(~hit).alias("misses"), F.round(rate(hit), 4).alias("percent"))
+
+
+@query("WITH " + FOUND_SQL + " SELECT item_id, agent FROM found WHERE NOT hit")
+def agg_11_misses(spark: SparkSession, sf: str) -> DataFrame:
+    """The list of misses."""
+    return found_items(spark, sf).where("not hit").select("item_id", "agent")
 
 
 @query("SELECT event_type, count(*) AS n, count(*) FILTER (WHERE value > 1) AS success, round(avg(value) + 1e-9, 3) AS mean, min(value) AS low, max(value) AS high, " + ", ".join(f"round(quantile_cont(value, {p / 100}), 4) AS p{p}" for p in (50, 90, 95, 99)) + " FROM events GROUP BY event_type")

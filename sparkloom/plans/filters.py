@@ -6,23 +6,61 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import vectors
+from ..operators import postings, vectors
 from ..operators.ranking import top
 from .base import query, read
 
 STRIP_SQL = "regexp_replace(text, '^\\s+|\\s+$', '', 'g')"
 
 
-def searched(spark: SparkSession, sf: str, k: int = 8, threshold: float | None = None) -> DataFrame:
-    """Search output used by several queries: rows with vec_id < 20 ask, all rows answer."""
-    v = read(spark, sf, "embeddings")
-    return vectors.nearest(v.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), v.select("vec_id", "embedding"), k, threshold=threshold)
+def asking(spark: SparkSession, sf: str) -> DataFrame:
+    """The stated queries over vectors: every row whose id is divisible by 100."""
+    return read(spark, sf, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+
+
+def searched(spark: SparkSession, sf: str, k: int = 8) -> DataFrame:
+    """Search output used by several queries: rows with vec_id % 100 = 0 ask, all rows answer."""
+    return vectors.nearest(asking(spark, sf), read(spark, sf, "embeddings").select("vec_id", "embedding"), k)
 
 
 SEARCHED_SQL = """scored AS (SELECT q.vec_id AS query_id, v.vec_id, v.label, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score
-  FROM embeddings AS q JOIN embeddings AS v ON q.vec_id < 20),
+  FROM embeddings AS q JOIN embeddings AS v ON q.vec_id % 100 = 0),
 hits AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored) WHERE rank <= {k})"""
 
+FOLDED_WORDS_SQL = "regexp_extract_all(lower(strip_accents({0})), '[\\p{{L}}\\p{{N}}_]{{{1},}}')"
+
+
+def bm25_sql(asked: str, docs: str) -> str:
+    """Common table expressions of BM25: bm(query_id, doc_id, score, matched) for asked(query_id, text), docs(doc_id, text)."""
+    return f"""w AS (SELECT doc_id, {FOLDED_WORDS_SQL.format("text", 4)} AS w FROM ({docs}) WHERE text IS NOT NULL), t AS (SELECT count(*) AS n_docs, avg(len(w)) AS mean FROM w),
+  q AS (SELECT query_id, unnest(list_distinct({FOLDED_WORDS_SQL.format("text", 4)})) AS term FROM ({asked})),
+  tf AS (SELECT term, doc_id, len, count(*) AS tf FROM (SELECT doc_id, len(w) AS len, unnest(w) AS term FROM w) GROUP BY term, doc_id, len), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+  bm AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM
+    (SELECT query_id, doc_id, round(sum(ln(1 + (n_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / mean))), 6) AS score, count(*) AS matched FROM q JOIN tf USING (term) JOIN df USING (term) CROSS JOIN t GROUP BY query_id, doc_id))"""
+
+
+BM25_SQL = bm25_sql("SELECT item_id AS query_id, text FROM benchmark", "SELECT doc_id, text FROM documents")
+
+
+def text_hits(spark: SparkSession, sf: str, k: int) -> DataFrame:
+    """The k best documents of every benchmark text by BM25: query_id, doc_id, score, matched, rank."""
+    asked = read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return postings.bm25_top(asked, read(spark, sf, "documents").select("doc_id", "text"), k)
+
+
+def keyword_hits(spark: SparkSession, sf: str, k: int) -> DataFrame:
+    """text_hits with n_keywords of the question, and how many of them the document's text holds as substrings."""
+    docs, asked = read(spark, sf, "documents", "benchmark")
+    docs = docs.select("doc_id", F.lower("text").alias("t"))
+    asked = asked.select(F.col("item_id").alias("query_id"), text.keywords("text").alias("kw"))
+    joined = text_hits(spark, sf, k).join(docs, "doc_id").join(asked, "query_id")
+    return joined.select("query_id", "doc_id", "score", "rank", F.size("kw").alias("n_keywords"), F.size(F.filter("kw", lambda x: F.contains(F.col("t"), x))).alias("held"))
+
+
+KEYWORDS_SQL = "list_distinct(regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}_]{{4,}}'))"
+KEYWORD_HITS_SQL = BM25_SQL + f""", kh AS (SELECT query_id, doc_id, score, rank, len(kw) AS n_keywords, len(list_filter(kw, lambda x: contains(lower(text), x))) AS held
+  FROM bm JOIN documents USING (doc_id) JOIN (SELECT item_id AS query_id, {KEYWORDS_SQL.format("text")} AS kw FROM benchmark) USING (query_id) WHERE rank <= 8)"""
+
 
 @query(f"SELECT doc_id FROM (SELECT doc_id, {STRIP_SQL} AS t FROM documents) WHERE length(t) >= 60 AND len(regexp_extract_all(t, '[\\p{{L}}\\p{{N}}]')) / greatest(length(t), 1) >= 0.25")
 def flt_01(spark: SparkSession, sf: str) -> DataFrame:
@@ -58,13 +96,10 @@ def flt_04(spark: SparkSession, sf: str) -> DataFrame:
     return gated(spark, sf).where(F.size("reasons") > 0).select("doc_id", F.substring(F.concat_ws("; ", "reasons"), 1, 1000).alias("reason"))
 
 
-@query("WITH " + SEARCHED_SQL.format(k=1000000) + " SELECT query_id, vec_id, score FROM hits WHERE score >= 0.3")
+@query("WITH " + SEARCHED_SQL.format(k=1) + " SELECT query_id, vec_id, score FROM scored WHERE score >= 0.3")
 def flt_05(spark: SparkSession, sf: str) -> DataFrame:
-    """Similarity threshold."""
-    v = read(spark, sf, "embeddings")
-    asked = F.broadcast(v.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))
-    scored = v.join(asked).select("query_id", "vec_id", F.round(vectors.cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
-    return scored.where("score >= 0.3")
+    """Similarity threshold: all rows that reach it, however many."""
+    return vectors.nearest(asking(spark, sf), read(spark, sf, "embeddings"), None, threshold=0.3).select("query_id", "vec_id", "score")
 
 
 @query("WITH " + SEARCHED_SQL.format(k=8) + " SELECT query_id, vec_id, score FROM hits WHERE label = 0 OR score >= 0.22")
@@ -74,11 +109,11 @@ def flt_06(spark: SparkSession, sf: str) -> DataFrame:
     return searched(spark, sf).join(labels, "vec_id").where("label = 0 or score >= 0.22").select("query_id", "vec_id", "score")
 
 
-@query("WITH " + SEARCHED_SQL.format(k=8) + " SELECT query_id, count(*) FILTER (WHERE label <> query_id % 10 AND score >= 0.25) AS kept, count(*) FILTER (WHERE label <> query_id % 10 AND score < 0.25) AS skipped FROM hits GROUP BY query_id")
+@query("WITH " + SEARCHED_SQL.format(k=8) + " SELECT query_id, count(*) FILTER (WHERE label <> query_id // 100 % 10 AND score >= 0.25) AS kept, count(*) FILTER (WHERE label <> query_id // 100 % 10 AND score < 0.25) AS skipped FROM hits GROUP BY query_id")
 def flt_07(spark: SparkSession, sf: str) -> DataFrame:
     """Complement gate: rows of other domains kept and skipped."""
     labels = read(spark, sf, "embeddings").select("vec_id", "label")
-    other = F.col("label") != F.col("query_id") % 10
+    other = F.col("label") != F.floor(F.col("query_id") / 100) % 10
     return searched(spark, sf).join(labels, "vec_id").groupBy("query_id").agg(F.count_if(other & (F.col("score") >= 0.25)).alias("kept"), F.count_if(other & (F.col("score") < 0.25)).alias("skipped"))
 
 
@@ -99,37 +134,35 @@ def flt_09(spark: SparkSession, sf: str) -> DataFrame:
     return docs.groupBy("lang").agg(F.count_if(F.col("text").contains("Ã") | F.col("text").contains("Â")).alias("odd"), F.count_if(F.col("text").rlike(r"^#+ [^\n]*$")).alias("headings"), F.min(F.substring("text", 1, 240)).alias("preview"))
 
 
-@query("WITH " + SEARCHED_SQL.format(k=8) + " SELECT query_id, max(score) FILTER (WHERE rank <= 3 AND vec_id <> query_id) < 0.4 AND count(*) FILTER (WHERE rank <= 3 AND label = query_id % 10) < 2 AS weak FROM hits GROUP BY query_id")
+@query("WITH " + KEYWORD_HITS_SQL + " SELECT query_id, max(score) < 12 AND max(held) < 2 AND any_value(n_keywords) >= 3 AS weak FROM kh WHERE rank <= 3 GROUP BY query_id")
 def flt_10(spark: SparkSession, sf: str) -> DataFrame:
-    """Weak evidence: low best score and few hits among the first three."""
-    labels = read(spark, sf, "embeddings").select("vec_id", "label")
-    first = F.col("rank") <= 3
-    best = F.max(F.when(first & (F.col("vec_id") != F.col("query_id")), F.col("score")))
-    return searched(spark, sf).join(labels, "vec_id").groupBy("query_id").agg(((best < 0.4) & (F.count_if(first & (F.col("label") == F.col("query_id") % 10)) < 2)).alias("weak"))
+    """Weak evidence: of the first three rows the best score is low and none holds two of the question's three or more
+    keywords. The bound of the score is that of the scale used here, BM25."""
+    first = keyword_hits(spark, sf, 3).groupBy("query_id").agg(F.max("score").alias("best"), F.max("held").alias("held"), F.first("n_keywords").alias("n"))
+    return first.select("query_id", ((F.col("best") < 12) & (F.col("held") < 2) & (F.col("n") >= 3)).alias("weak"))
 
 
-@query(
-    "WITH " + SEARCHED_SQL.format(k=8) + ", a AS (SELECT vec_id AS query_id FROM embeddings WHERE vec_id < 20) SELECT a.query_id, count(h.vec_id) < 3 OR coalesce(max(CASE WHEN rank <= 3 AND h.vec_id <> a.query_id THEN score END), 0) < 0.35 AS again FROM a LEFT JOIN (SELECT * FROM hits WHERE score >= 0.3) AS h ON a.query_id = h.query_id GROUP BY a.query_id"
-)
+@query("WITH " + KEYWORD_HITS_SQL + f", a AS (SELECT item_id AS query_id, len({KEYWORDS_SQL.format('text')}) AS n FROM benchmark) SELECT a.query_id, count(kh.doc_id) < 3 OR (n > 0 AND coalesce(max(held) FILTER (WHERE rank <= 3), 0) < least(n, 2)) AS again FROM a LEFT JOIN kh USING (query_id) GROUP BY a.query_id, n")
 def flt_11(spark: SparkSession, sf: str) -> DataFrame:
-    """Second-pass predicate; queries without rows survive."""
-    asked = read(spark, sf, "embeddings").where("vec_id < 20").select(F.col("vec_id").alias("query_id"))
-    hits = searched(spark, sf).where("score >= 0.3")
-    best = F.coalesce(F.max(F.when((F.col("rank") <= 3) & (F.col("vec_id") != F.col("query_id")), F.col("score"))), F.lit(0.0))
-    return asked.join(hits, "query_id", "left").groupBy("query_id").agg(((F.count("vec_id") < 3) | (best < 0.35)).alias("again"))
-
-
-TERMS_SQL = "list_distinct(regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}_]{{4,}}'))"
+    """Second-pass predicate: fewer than three rows, or the best of the first three holds fewer than two of the keywords (all,
+    if there are fewer). Questions without rows survive the left join; without keywords the rows decide alone."""
+    asked = read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.size(text.keywords("text")).alias("n"))
+    rows = keyword_hits(spark, sf, 8).groupBy("query_id").agg(F.count("*").alias("rows"), F.max(F.when(F.col("rank") <= 3, F.col("held"))).alias("held"))
+    few = F.coalesce("rows", F.lit(0)) < 3
+    return asked.join(rows, "query_id", "left").select("query_id", (few | ((F.col("n") > 0) & (F.coalesce("held", F.lit(0)) < F.least("n", F.lit(2))))).alias("again"))
 
 
 @query(
-    f"WITH q AS (SELECT item_id, unnest({TERMS_SQL.format('text')}) AS term FROM benchmark), d AS (SELECT doc_id, unnest({TERMS_SQL.format('text')}) AS term, regexp_matches(text, '\\d') AS has FROM documents) SELECT item_id, doc_id, count(*) AS n_shared FROM q JOIN d USING (term) GROUP BY item_id, doc_id HAVING count(*) >= 6 OR (count(*) >= 5 AND bool_or(has))"
+    "WITH " + BM25_SQL + f", c AS (SELECT query_id AS item_id, doc_id, {KEYWORDS_SQL.format('b.text')} AS kw, {KEYWORDS_SQL.format('d.text')} AS dw, regexp_matches(d.text, '\\d') AS has FROM bm JOIN benchmark AS b ON b.item_id = query_id JOIN documents AS d USING (doc_id) WHERE rank <= 20) SELECT item_id, doc_id, CAST(len(list_intersect(kw, dw)) AS INTEGER) AS n_shared FROM c WHERE len(list_intersect(kw, dw)) >= 6 OR (len(list_intersect(kw, dw)) >= 5 AND has)"
 )
 def flt_12(spark: SparkSession, sf: str) -> DataFrame:
-    """Evidence relevance: enough shared terms, or fewer with a number in the evidence. Terms meet by an equi-join."""
-    q = read(spark, sf, "benchmark").select("item_id", F.explode(text.keywords("text")).alias("term"))
-    d = read(spark, sf, "documents").select("doc_id", F.explode(text.keywords("text")).alias("term"), F.col("text").rlike(r"\d").alias("has"))
-    shared = q.join(d, "term").groupBy("item_id", "doc_id").agg(F.count("*").alias("n_shared"), F.bool_or("has").alias("has"))
+    """Evidence relevance of the twenty best documents of each question: enough shared terms, or fewer with a number in the
+    evidence. The predicate looks at evidence that a search has found, so common terms bring no further pairs."""
+    items, docs = read(spark, sf, "benchmark", "documents")
+    items = items.select(F.col("item_id").alias("query_id"), text.keywords("text").alias("kw"))
+    docs = docs.select("doc_id", text.keywords("text").alias("dw"), F.col("text").rlike(r"\d").alias("has"))
+    pairs = text_hits(spark, sf, 20).select("query_id", "doc_id").join(docs, "doc_id").join(items, "query_id")
+    shared = pairs.select(F.col("query_id").alias("item_id"), "doc_id", F.size(F.array_intersect("kw", "dw")).alias("n_shared"), "has")
     return shared.where((F.col("n_shared") >= 6) | ((F.col("n_shared") >= 5) & F.col("has"))).select("item_id", "doc_id", "n_shared")
 
 

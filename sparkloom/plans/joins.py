@@ -8,12 +8,9 @@ from pyspark.sql.window import Window
 
 from ..functions import text
 from ..operators import postings, vectors
-from ..streaming.jobs import shared_path
+from ..sources.shared import shared_path
 from .base import query, read
-from .filters import SEARCHED_SQL, searched
-
-FOLDED_WORDS_SQL = "regexp_extract_all(lower(strip_accents({0})), '[\\p{{L}}\\p{{N}}_]{{{1},}}')"
-
+from .filters import FOLDED_WORDS_SQL, SEARCHED_SQL, asking, bm25_sql, searched
 
 @query(
     """SELECT c_custkey, count(DISTINCT o_orderkey) AS sessions, count(l_orderkey) AS messages, max(l_shipdate) AS last_seen FROM customer
@@ -38,8 +35,7 @@ def jn_02(spark: SparkSession, sf: str) -> DataFrame:
 def jn_03(spark: SparkSession, sf: str) -> DataFrame:
     """Approximate nearest neighbours by inverted lists, with recall against the exact rows: 0.9 at least in the mean. Rows
     with vec_id % 100 = 0 ask."""
-    v = read(spark, sf, "embeddings").select("vec_id", "embedding")
-    asked = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    v, asked = read(spark, sf, "embeddings").select("vec_id", "embedding"), asking(spark, sf)
     path = shared_path(spark, "exact-neighbours")
     vectors.nearest(asked, v, 5).select("query_id", "vec_id", F.lit(1).alias("found")).write.parquet(path)
     exact = spark.read.parquet(path)
@@ -50,33 +46,46 @@ def jn_03(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     f"""WITH d AS (SELECT doc_id, unnest(list_distinct({FOLDED_WORDS_SQL.format('text', 2)})) AS term FROM documents),
-    q AS (SELECT item_id, unnest(list_distinct({FOLDED_WORDS_SQL.format("array_to_string(string_split(text, ' ')[1:4], ' ')", 2)})) AS term FROM benchmark),
+    q AS (SELECT item_id, unnest(list_distinct({FOLDED_WORDS_SQL.format('text', 2)})) AS term FROM benchmark),
     n AS (SELECT item_id, count(*) AS n FROM q GROUP BY item_id)
     SELECT item_id, doc_id FROM q JOIN d USING (term) JOIN n USING (item_id) GROUP BY item_id, doc_id, n HAVING count(*) = n"""
 )
 def jn_04(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents that hold all terms of a query (its first four words)."""
-    d = postings.terms(read(spark, sf, "documents"), "doc_id")
-    asked = read(spark, sf, "benchmark").select("item_id", F.array_join(F.slice(F.split("text", " "), 1, 4), " ").alias("text"))
-    q = postings.terms(asked, "item_id")
-    n = q.groupBy("item_id").agg(F.count("*").alias("n"))
-    matched = q.join(d, "term").groupBy("item_id", "doc_id").agg(F.count("*").alias("m"))
-    return matched.join(n, "item_id").where("m = n").select("item_id", "doc_id")
+    """Documents that hold all terms of a query. A document is looked at for a query only if it holds the query's rarest
+    term, so common terms pair nothing."""
+    docs, asked = (read(spark, sf, t).select(k, F.array_distinct(text.folded_words("text")).alias("w")) for t, k in (("documents", "doc_id"), ("benchmark", "item_id")))
+    q, d = asked.select("item_id", F.explode("w").alias("term")), docs.select("doc_id", F.explode("w").alias("term"))
+    df = d.join(q.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    # A term that no document holds leaves its query without answers: it is the rarest, and joins nothing.
+    rarest = q.join(df, "term", "left").groupBy("item_id").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term")).alias("term"))
+    pairs = rarest.join(d, "term").select("item_id", "doc_id")
+    both = pairs.join(asked, "item_id").join(docs.withColumnRenamed("w", "held"), "doc_id")
+    return both.where(F.size(F.array_except("w", "held")) == 0).select("item_id", "doc_id")
 
 
 LISTS_SQL = (
     SEARCHED_SQL.format(k=24)
-    + """, words AS (SELECT vec_id AS query_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r FROM embeddings),
-txt AS (SELECT q.vec_id AS query_id, w.query_id AS vec_id, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY w.query_id) AS INTEGER) AS rank FROM embeddings AS q JOIN words AS w ON q.label = w.label AND q.vec_id < 20 AND w.r <= 24)"""
+    + ", "
+    + bm25_sql("SELECT doc_id AS query_id, text FROM documents WHERE doc_id % 100 = 0 AND text IS NOT NULL AND doc_id IN (SELECT vec_id FROM embeddings)", "SELECT doc_id, text FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings)")
+    + ", txt AS (SELECT query_id, doc_id AS vec_id, rank FROM bm WHERE rank <= 24)"
 )
 
 
+def chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Searchable rows: vec_id, embedding, domain, and the text of the document with that id, if there is one."""
+    v, d = read(spark, sf, "embeddings", "documents")
+    return v.join(d.select(F.col("doc_id").alias("vec_id"), "text"), "vec_id", "left").select("vec_id", "embedding", F.col("label").alias("domain"), "text")
+
+
+def questions(spark: SparkSession, sf: str) -> DataFrame:
+    """The stated queries over searchable rows: vector and text of every row whose id is divisible by 100."""
+    return chunks(spark, sf).where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), "text")
+
+
 def text_list(spark: SparkSession, sf: str, k: int = 24) -> DataFrame:
-    """A second ranked list over the same keys: rows of the query's own label, by id."""
-    v = read(spark, sf, "embeddings").select("vec_id", "label")
-    first = v.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))).where(F.col("r") <= k)
-    asked = v.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), "label")
-    return asked.join(first, "label").select("query_id", "vec_id", F.col("r").cast("int").alias("rank"))
+    """The second ranked list of the hybrid search: rows whose text fits the query's text best by BM25."""
+    hits = postings.bm25_top(questions(spark, sf).select("query_id", "text"), chunks(spark, sf).select(F.col("vec_id").alias("doc_id"), "text"), k)
+    return hits.select("query_id", F.col("doc_id").alias("vec_id"), "rank")
 
 
 @query("WITH " + LISTS_SQL + " SELECT coalesce(v.query_id, t.query_id) AS query_id, coalesce(v.vec_id, t.vec_id) AS vec_id, v.rank AS by_vector, t.rank AS by_text FROM hits AS v FULL JOIN txt AS t ON v.query_id = t.query_id AND v.vec_id = t.vec_id")

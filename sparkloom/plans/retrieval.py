@@ -7,21 +7,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text
-from ..operators import postings, vectors
+from ..operators import vectors
 from ..operators.ranking import boosted, fuse, top
-from ..operators.search import two_pass
+from ..operators.search import search, two_pass
 from .base import query, read
-from .filters import HOST_SQL, SEARCHED_SQL, searched
-from .joins import FOLDED_WORDS_SQL, LISTS_SQL, text_list
+from .filters import BM25_SQL, HOST_SQL, KEYWORDS_SQL, SEARCHED_SQL, asking, searched, text_hits
+from .joins import LISTS_SQL, chunks, questions, text_list
 from .scalars import HTML_SQL
 
 
 @query("WITH " + LISTS_SQL + ", f AS (SELECT query_id, vec_id, round(sum(s), 12) AS score FROM (SELECT query_id, vec_id, 1.5::DOUBLE / (60 + rank) AS s FROM hits UNION ALL SELECT query_id, vec_id, 1.0::DOUBLE / (60 + rank) FROM txt) GROUP BY query_id, vec_id) SELECT query_id, vec_id, round(score, 6) AS score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM f) WHERE rank <= 8")
 def ret_01(spark: SparkSession, sf: str) -> DataFrame:
-    """Hybrid search: vector and term lists at three times k, fused with weights 1.5 and 1."""
-    fused = fuse({"vector": (searched(spark, sf, 24), 1.5), "text": (text_list(spark, sf), 1.0)}, ["query_id"], "vec_id")
-    best = top(fused.withColumn("score", F.round("score", 12)), ["query_id"], 8, F.desc("score"), F.asc("vec_id"))
-    return best.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+    """Hybrid search: vector and BM25 lists at three times k, fused with weights 1.5 and 1."""
+    return search(questions(spark, sf), chunks(spark, sf), "hybrid", 8).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query("WITH " + LISTS_SQL + ", far AS (SELECT query_id, vec_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY vec_id DESC) AS INTEGER) AS rank FROM hits), f AS (SELECT query_id, vec_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score FROM (SELECT query_id, vec_id, rank FROM hits UNION ALL SELECT query_id, vec_id, rank FROM txt UNION ALL SELECT query_id, vec_id, rank FROM far) GROUP BY query_id, vec_id) SELECT query_id, vec_id, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM f) WHERE rank <= 10")
@@ -40,46 +38,46 @@ def ret_03(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "documents").select("doc_id", F.concat_ws(":", first, F.md5("text")).alias("item_key"))
 
 
+GLOSSARY = ("term:", "substitution:", "keywords:")  # what marks an entry of a glossary, and a row that only lists keywords
+HAY_SQL = "lower(strip_accents(CASE WHEN doc_id % 5 = 0 THEN 'term: ' || string_split(text, ' ')[1] || ' substitution: ' WHEN doc_id % 11 = 0 THEN 'keywords: ' ELSE '' END || text || ' ' || source))"
+
+
 @query(
-    "WITH q AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{6,}'))"
-    + " AS kw FROM benchmark WHERE item_id < 10), s AS (SELECT item_id, doc_id, round(0.01 * len(list_filter(kw, lambda w: contains(lower(text), w))), 6) AS score FROM q CROSS JOIN documents) SELECT item_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS r FROM s) WHERE r <= 8"
+    "WITH " + BM25_SQL + f""", k AS (SELECT item_id AS query_id, item_id % 2 = 0 AS definition, {KEYWORDS_SQL.format("strip_accents(text)")} AS kw FROM benchmark),
+  c AS (SELECT query_id, doc_id, bm.rank, kw, definition, {HAY_SQL} AS hay FROM bm JOIN documents USING (doc_id) JOIN k USING (query_id) WHERE bm.rank <= 24),
+  s AS (SELECT query_id, doc_id, round(1.0::DOUBLE / (60 + rank) + 0.01::DOUBLE * len(list_filter(kw, lambda x: contains(hay, x))) + CASE WHEN definition THEN
+    CASE WHEN contains(hay, 'term:') AND contains(hay, 'substitution:') THEN 0.2::DOUBLE ELSE 0 END + 0.15::DOUBLE * len(list_filter(kw, lambda x: contains(hay, 'term: ' || x))) - CASE WHEN contains(hay, 'keywords:') THEN 0.05::DOUBLE ELSE 0 END ELSE 0 END, 6) AS score FROM c)
+  SELECT query_id AS item_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM s) WHERE r <= 8"""
 )
 def ret_04(spark: SparkSession, sf: str) -> DataFrame:
-    """Keyword boost by substring: the eight best documents for each of the ten stated queries, which are broadcast."""
-    q = F.broadcast(read(spark, sf, "benchmark").where("item_id < 10").select("item_id", text.keywords("text", (), 6).alias("kw")))
-    scored = read(spark, sf, "documents").select("doc_id", F.lower("text").alias("t")).join(q)
-    scored = scored.select("item_id", "doc_id", F.round(boosted(F.lit(0.0), F.col("kw"), F.col("t")), 6).alias("score"))
+    """Search results ordered anew by keywords found in text and source, and, where a definition is asked for (every second
+    question here), by being an entry of a glossary. Entries are injected: the texts hold none."""
+    docs, asked = read(spark, sf, "documents", "benchmark")
+    lead = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("term: "), F.split("text", " ")[0], F.lit(" substitution: "))).when(F.col("doc_id") % 11 == 0, "keywords: ").otherwise("")
+    hay = docs.select("doc_id", F.lower(F.translate(F.concat(lead, "text", F.lit(" "), "source"), text.ACCENTED, text.FOLDED)).alias("hay"))
+    asked = asked.select(F.col("item_id").alias("query_id"), (F.col("item_id") % 2 == 0).alias("definition"), text.keywords(F.translate("text", text.ACCENTED, text.FOLDED)).alias("kw"))
+    found = text_hits(spark, sf, 24).select("query_id", "doc_id", "rank").join(hay, "doc_id").join(asked, "query_id")
+    score = boosted(1.0 / (60 + F.col("rank")), F.col("kw"), F.col("hay"), definition=F.col("definition"), marks=GLOSSARY)
+    scored = found.select(F.col("query_id").alias("item_id"), "doc_id", F.round(score, 6).alias("score"))
     return top(scored, ["item_id"], 8, F.desc("score"), F.asc("doc_id")).select("item_id", "doc_id", "score")
 
 
-BM25_SQL = f"""w AS (SELECT doc_id, {FOLDED_WORDS_SQL.format('text', 4)} AS w FROM documents), t AS (SELECT count(*) AS n_docs, avg(len(w)) AS mean FROM w),
-  q AS (SELECT item_id AS query_id, unnest(list_distinct({FOLDED_WORDS_SQL.format('text', 4)})) AS term FROM benchmark),
-  tf AS (SELECT term, doc_id, len, count(*) AS tf FROM (SELECT doc_id, len(w) AS len, unnest(w) AS term FROM w) GROUP BY term, doc_id, len), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-  bm AS (SELECT query_id, doc_id, round(sum(ln(1 + (n_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / mean))), 6) AS score, count(*) AS matched FROM q JOIN tf USING (term) JOIN df USING (term) CROSS JOIN t GROUP BY query_id, doc_id)"""
-
-
-def bm25_rows(spark: SparkSession, sf: str) -> DataFrame:
-    q = read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return postings.bm25(q, read(spark, sf, "documents").select("doc_id", "text"))
-
-
-@query("WITH " + BM25_SQL + " SELECT query_id, doc_id, round(score + 1e-7, 3) AS score, matched FROM bm")
+@query("WITH " + BM25_SQL + " SELECT query_id, doc_id, round(score + 1e-7, 3) AS score, matched, rank FROM bm WHERE rank <= 20")
 def ret_05(spark: SparkSession, sf: str) -> DataFrame:
-    """Text relevance by BM25."""
-    return bm25_rows(spark, sf).withColumn("score", F.round(F.col("score") + 1e-7, 3))
+    """Text relevance by BM25: the twenty best documents of every question."""
+    return text_hits(spark, sf, 20).withColumn("score", F.round(F.col("score") + 1e-7, 3))
 
 
 @query("WITH " + SEARCHED_SQL.format(k=20) + ", weak AS (SELECT query_id FROM hits WHERE rank <= 8 AND vec_id <> query_id GROUP BY query_id HAVING max(score) < 0.42), lists AS (SELECT query_id, vec_id, rank FROM hits WHERE rank <= 8 UNION ALL SELECT query_id, vec_id, rank FROM hits SEMI JOIN weak USING (query_id)), f AS (SELECT query_id, vec_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score FROM lists GROUP BY query_id, vec_id) SELECT query_id, vec_id, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM f) WHERE rank <= 8")
 def ret_06(spark: SparkSession, sf: str) -> DataFrame:
     """Two-pass search: queries with weak first results are searched again more widely, and both lists fused."""
-    v = read(spark, sf, "embeddings").select("vec_id", "embedding")
-    return two_pass(v.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), v, k=8, weak_below=0.42)
+    return two_pass(asking(spark, sf), read(spark, sf, "embeddings").select("vec_id", "embedding"), k=8, weak_below=0.42)
 
 
-@query("WITH " + SEARCHED_SQL.format(k=16) + ", f AS (SELECT query_id // 4 AS asked, vec_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score FROM hits GROUP BY asked, vec_id) SELECT asked, vec_id, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY asked ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM f) WHERE rank <= 8")
+@query("WITH " + SEARCHED_SQL.format(k=16) + ", f AS (SELECT query_id // 400 AS asked, vec_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score FROM hits GROUP BY asked, vec_id) SELECT asked, vec_id, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY asked ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM f) WHERE rank <= 8")
 def ret_07(spark: SparkSession, sf: str) -> DataFrame:
     """Multi-query search: four variants of each query, searched apart and fused."""
-    hits = searched(spark, sf, 16).withColumn("asked", F.floor(F.col("query_id") / 4))
+    hits = searched(spark, sf, 16).withColumn("asked", F.floor(F.col("query_id") / 400))
     fused = hits.groupBy("asked", "vec_id").agg(F.round(F.sum(1.0 / (60 + F.col("rank"))), 12).alias("score"))
     return top(fused, ["asked"], 8, F.desc("score"), F.asc("vec_id")).select("asked", "vec_id", "rank")
 
@@ -91,22 +89,19 @@ def ret_08(spark: SparkSession, sf: str) -> DataFrame:
     return top(v.groupBy("conv_id", "f").agg(F.min("turn").alias("turn")), ["conv_id"], 4, F.asc("turn")).select("conv_id", "turn")
 
 
-@query("WITH " + SEARCHED_SQL.format(k=1000000) + ", d AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, vec_id) AS r FROM hits), f AS (SELECT query_id, vec_id, round(1.0::DOUBLE / (60 + r), 12) AS s, score FROM d WHERE r <= 3) SELECT query_id, vec_id, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, score DESC, vec_id) AS INTEGER) AS rank FROM f) WHERE rank <= 6")
+@query("WITH " + SEARCHED_SQL.format(k=1) + ", d AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, vec_id) AS r FROM scored), f AS (SELECT query_id, vec_id, round(1.0::DOUBLE / (60 + r), 12) AS s, score FROM d WHERE r <= 3) SELECT query_id, vec_id, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, score DESC, vec_id) AS INTEGER) AS rank FROM f) WHERE rank <= 6")
 def ret_09(spark: SparkSession, sf: str) -> DataFrame:
     """Cross-domain search: three per domain, fused by rank, six in the end."""
-    v = read(spark, sf, "embeddings")
-    asked = F.broadcast(v.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))  # the stated queries
-    scored = v.join(asked).select("query_id", "vec_id", "label", F.round(vectors.cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
-    each = top(scored, ["query_id", "label"], 3, F.desc("score"), F.asc("vec_id"), name="r").withColumn("s", F.round(1.0 / (60 + F.col("r")), 12))
+    each = vectors.nearest(asking(spark, sf), read(spark, sf, "embeddings"), 3, within="label").withColumn("s", F.round(1.0 / (60 + F.col("rank")), 12)).drop("rank")
     return top(each, ["query_id"], 6, F.desc("s"), F.desc("score"), F.asc("vec_id")).select("query_id", "vec_id", "rank")
 
 
-@query("WITH " + BM25_SQL + ", h AS (SELECT query_id, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM bm) WHERE r <= 5), c AS (SELECT query_id, string_agg(lower(text), ' ') AS hay FROM h JOIN documents USING (doc_id) GROUP BY query_id) SELECT query_id, len(list_filter(string_split(lower(text), ' ')[1:3], lambda w: NOT contains(hay, w))) = 0 AS hit FROM c JOIN benchmark ON item_id = query_id")
+@query("WITH " + BM25_SQL + f", c AS (SELECT query_id, string_agg(lower(text), ' ') AS hay FROM bm JOIN documents USING (doc_id) WHERE rank <= 5 GROUP BY query_id) SELECT query_id, len(list_filter({KEYWORDS_SQL.format('text')}, lambda w: NOT contains(hay, w))) = 0 AS hit FROM c JOIN benchmark ON item_id = query_id")
 def ret_10(spark: SparkSession, sf: str) -> DataFrame:
-    """Hit@5: the first three words of a question inside the texts of its five best documents, joined."""
-    best = top(bm25_rows(spark, sf), ["query_id"], 5, F.desc("score"), F.asc("doc_id"))
+    """Hit@5: all keywords of a question inside the texts of its five best documents, joined."""
+    best = text_hits(spark, sf, 5)
     hay = best.join(read(spark, sf, "documents").select("doc_id", "text"), "doc_id").groupBy("query_id").agg(F.array_join(F.collect_list(F.lower("text")), " ").alias("hay"))
-    asked = read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.slice(F.split(F.lower("text"), " "), 1, 3).alias("w"))
+    asked = read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), text.keywords("text").alias("w"))
     return hay.join(asked, "query_id").select("query_id", F.forall("w", lambda x: F.contains(F.col("hay"), x)).alias("hit"))
 
 
@@ -120,14 +115,14 @@ def ret_11(spark: SparkSession, sf: str) -> DataFrame:
 
 def evidence(spark: SparkSession, sf: str) -> DataFrame:
     """Scored sentences of the three best documents of each question: query_id, doc_id, i, s, score."""
-    best = top(bm25_rows(spark, sf), ["query_id"], 3, F.desc("score"), F.asc("doc_id")).select("query_id", "doc_id")
+    best = text_hits(spark, sf, 3).select("query_id", "doc_id")
     s = read(spark, sf, "documents").join(best, "doc_id").select("query_id", "doc_id", F.posexplode(F.split("text", r"\. ")).alias("i", "s"))
     kw = read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), text.keywords("text").alias("kw"))
     joined = s.where(F.length("s") >= 18).join(kw, "query_id")
     return joined.select("query_id", "doc_id", "i", "s", F.size(F.filter("kw", lambda w: F.contains(F.lower("s"), w))).alias("score"))
 
 
-EVIDENCE_SQL = BM25_SQL + """, b AS (SELECT query_id, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM bm) WHERE r <= 3),
+EVIDENCE_SQL = BM25_SQL + """, b AS (SELECT query_id, doc_id FROM bm WHERE rank <= 3),
   p AS (SELECT query_id, doc_id, unnest(l) AS s, generate_subscripts(l, 1) - 1 AS i FROM (SELECT query_id, doc_id, string_split(text, '. ') AS l FROM b JOIN documents USING (doc_id))),
   ev AS (SELECT query_id, doc_id, i, s, len(list_filter(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{4,}')), lambda w: contains(lower(s), w))) AS score FROM p JOIN benchmark ON item_id = query_id WHERE length(s) >= 18)"""
 

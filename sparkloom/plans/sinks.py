@@ -12,6 +12,7 @@ from ..operators.search import search
 from ..sources import readers
 from .base import query, read
 from .filters import SEARCHED_SQL
+from .joins import chunks, questions
 from .scalars import FOLD_SQL
 
 
@@ -130,10 +131,7 @@ def snk_07(spark: SparkSession, sf: str) -> DataFrame:
 @query("WITH " + SEARCHED_SQL.format(k=8) + " SELECT query_id, vec_id, rank FROM (SELECT query_id, vec_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored WHERE label = 4) WHERE rank <= 5")
 def udf_01(spark: SparkSession, sf: str) -> DataFrame:
     """The public search function, bound to one domain."""
-    v = read(spark, sf, "embeddings")
-    chunks = v.select("vec_id", "embedding", F.col("label").alias("domain"), F.lit("").alias("text"))
-    asked = v.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.lit("").alias("text"))
-    return search(asked, chunks, "vector", 5, domain=4).select("query_id", "vec_id", "rank")
+    return search(questions(spark, sf), chunks(spark, sf), "vector", 5, domain=4).select("query_id", "vec_id", "rank")
 
 
 @query("SELECT l_orderkey, l_linenumber, round((l_quantity + 2) * l_discount - pow(l_tax, 2), 6) AS result FROM lineitem")

@@ -9,8 +9,8 @@ from pyspark.sql.window import Window
 from ..operators import vectors
 from ..operators.ranking import ranked, top
 from .base import query, read
-from .filters import SEARCHED_SQL, searched
-from .joins import text_list
+from .filters import BM25_SQL, SEARCHED_SQL, asking, searched, text_hits
+from .joins import LISTS_SQL, text_list
 
 
 @query("SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events WHERE event_type <> 'error') WHERE rn = 1")
@@ -65,7 +65,7 @@ def win_06(spark: SparkSession, sf: str) -> DataFrame:
     return e.withColumn("streak", streak).where("streak >= 3").select("user_id", "event_id", "streak")
 
 
-@query("SELECT query_id, vec_id, rank FROM (SELECT q.vec_id AS query_id, v.vec_id, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY v.vec_id) AS INTEGER) AS rank FROM embeddings AS q JOIN embeddings AS v ON q.label = v.label AND q.vec_id < 20) WHERE rank <= 24")
+@query("WITH " + LISTS_SQL + " SELECT query_id, vec_id, rank FROM txt")
 def win_07(spark: SparkSession, sf: str) -> DataFrame:
     """Place of each result in its list."""
     return text_list(spark, sf)
@@ -119,19 +119,19 @@ def win_11(spark: SparkSession, sf: str) -> DataFrame:
     return d.join(bars, "label").select("label", "vec_id", F.sum(F.when(F.col("d") > F.col("bar") + 1e-9, 1).otherwise(0)).over(w).alias("chunk"))
 
 
-@query("WITH " + SEARCHED_SQL.format(k=10) + " SELECT query_id, vec_id, rank FROM hits WHERE query_id = 7")
+@query("WITH " + SEARCHED_SQL.format(k=10) + " SELECT query_id, vec_id, rank FROM hits WHERE query_id = 100")
 def top_01(spark: SparkSession, sf: str) -> DataFrame:
     """Vector top-k of one query: a plain ordered limit, which Spark runs as one take-ordered step."""
     v = read(spark, sf, "embeddings").select("vec_id", "embedding")
-    asked = F.broadcast(v.where("vec_id = 7").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))  # one row
+    asked = F.broadcast(v.where("vec_id = 100").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))  # one row
     best = v.join(asked).select("query_id", "vec_id", F.round(vectors.cosine(F.col("q"), F.col("embedding")), 6).alias("score")).orderBy(F.desc("score"), "vec_id").limit(10)
     return best.select("query_id", "vec_id", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).alias("rank"))
 
 
-@query("SELECT doc_id, n FROM (SELECT doc_id, CAST(len(regexp_extract_all(lower(text), '[\\p{L}]*the[\\p{L}]*')) AS BIGINT) AS n FROM documents) ORDER BY n DESC, doc_id LIMIT 20")
+@query("WITH " + BM25_SQL + " SELECT query_id, doc_id, rank FROM bm WHERE rank <= 8")
 def top_02(spark: SparkSession, sf: str) -> DataFrame:
-    """Text top-k by a count of matching words."""
-    return read(spark, sf, "documents").select("doc_id", F.regexp_count(F.lower("text"), F.lit(r"[\p{L}]*the[\p{L}]*")).cast("long").alias("n")).orderBy(F.desc("n"), "doc_id").limit(20)
+    """Text top-k: the eight best documents of each question by their rank score."""
+    return text_hits(spark, sf, 8).select("query_id", "doc_id", "rank")
 
 
 @query("WITH " + SEARCHED_SQL.format(k=8) + ", r AS (SELECT h.*, CASE WHEN vec_id % 3 = 0 THEN NULL ELSE (vec_id * 37 % 101) / 100.0::DOUBLE END AS rerank FROM hits AS h) SELECT * FROM (SELECT query_id, vec_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY coalesce(rerank, -1e9) DESC, rank) AS INTEGER) AS place FROM r) WHERE place <= 5")
@@ -142,21 +142,19 @@ def top_03(spark: SparkSession, sf: str) -> DataFrame:
     return top(joined, ["query_id"], 5, F.desc(F.coalesce("rerank", F.lit(-1e9))), F.asc("rank"), name="place").select("query_id", "vec_id", "place")
 
 
-@query("WITH " + SEARCHED_SQL.format(k=1000000) + ", d AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, vec_id) AS r FROM hits) SELECT query_id, vec_id, label, CAST(p AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS p FROM d WHERE r <= 3) WHERE p <= 6")
+@query("WITH " + SEARCHED_SQL.format(k=1) + ", d AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, vec_id) AS r FROM scored) SELECT query_id, vec_id, label, CAST(p AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS p FROM d WHERE r <= 3) WHERE p <= 6")
 def top_04(spark: SparkSession, sf: str) -> DataFrame:
     """Top three per domain, then top six of those."""
-    v = read(spark, sf, "embeddings")
-    asked = F.broadcast(v.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))  # the stated queries
-    scored = v.join(asked).select("query_id", "vec_id", "label", F.round(vectors.cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
     order = (F.desc("score"), F.asc("vec_id"))
-    return top(top(scored, ["query_id", "label"], 3, *order), ["query_id"], 6, *order, name="place").select("query_id", "vec_id", "label", "place")
+    each = vectors.nearest(asking(spark, sf), read(spark, sf, "embeddings"), 3, within="label")
+    return top(each, ["query_id"], 6, *order, name="place").select("query_id", "vec_id", "label", "place")
 
 
-@query("WITH " + SEARCHED_SQL.format(k=8) + " SELECT query_id, arg_min(vec_id, struct_pack(a := CASE WHEN label = query_id % 10 THEN 0 ELSE 1 END, b := vec_id % 3, c := -score, d := vec_id)) AS best FROM hits GROUP BY query_id")
+@query("WITH " + SEARCHED_SQL.format(k=8) + " SELECT query_id, arg_min(vec_id, struct_pack(a := CASE WHEN label = query_id // 100 % 10 THEN 0 ELSE 1 END, b := vec_id % 3, c := -score, d := vec_id)) AS best FROM hits GROUP BY query_id")
 def top_05(spark: SparkSession, sf: str) -> DataFrame:
     """The first candidate by source, role, score."""
     labels = read(spark, sf, "embeddings").select("vec_id", "label")
-    key = F.struct(F.when(F.col("label") == F.col("query_id") % 10, 0).otherwise(1), F.col("vec_id") % 3, -F.col("score"), "vec_id")
+    key = F.struct(F.when(F.col("label") == F.floor(F.col("query_id") / 100) % 10, 0).otherwise(1), F.col("vec_id") % 3, -F.col("score"), "vec_id")
     return searched(spark, sf).join(labels, "vec_id").groupBy("query_id").agg(F.min_by("vec_id", key).alias("best"))
 
 

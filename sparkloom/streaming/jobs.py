@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import json
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -17,15 +15,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..functions import text
 from ..operators.dedup import first_per
-
-
-def shared_path(spark: SparkSession, label: str) -> str:
-    """A new path below the folder that all executors share, which the cluster names in spark.checkpoint.dir."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if folder is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
-        folder = spark.sparkContext.getCheckpointDir()
-    return f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+from ..sources.shared import shared_path
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
