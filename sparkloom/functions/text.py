@@ -57,19 +57,31 @@ def is_good_chunk(c: Column | str, least: int = 60, share: float = 0.25) -> Colu
     return (F.length(text) >= least) & ~text.rlike(r"^[^\p{L}\p{N}\s]$") & (alphanumerics(text) / F.greatest(F.length(text), F.lit(1)) >= share)
 
 
-def quality(c: Column | str, chars: int = 200, count: int = 30, garbled: float = 0.02) -> Column:
-    """Struct of chars, words, garble (share of odd characters), score (0 to 100) and reasons to reject."""
+# What wrong decodings leave behind, and the least of a document (of a glossary entry) that is taken in.
+GARBLED = r"[ÃÂÐÑ\x{FFFD}\x00]"
+MOJIBAKE = ("Ã", "Â", "â€", "â€“", "â€”", "ï¿½")
+LEAST_CHARS, LEAST_WORDS = 400, 80
+LEAST_CHARS_GLOSSARY, LEAST_WORDS_GLOSSARY = 250, 30
+MOST_GARBLED, MOST_MOJIBAKE, LEAST_SCORE = 0.08, 0.03, 60.0
+
+
+def quality(c: Column | str, doc_type: Column | None = None) -> Column:
+    """Struct of chars, words, garbled (share of odd characters), mojibake (marks a word), score (0 to 100) and reasons to
+    reject. Bounds are lower where doc_type is glossary. The text is taken as it is, not put into a normal form first."""
     n, w = F.length(c), F.size(words(c))
-    bad = F.regexp_count(c, F.lit("[ÃÂÐÑ�]")) / F.greatest(n, F.lit(1))
-    score = 100 * (0.35 * F.least(n / float(chars), F.lit(1.0)) + 0.35 * F.least(w / float(count), F.lit(1.0)) + 0.30 * F.greatest(1 - bad / garbled, F.lit(0.0)))
+    short = F.lower(F.trim(doc_type)) == "glossary" if doc_type is not None else F.lit(False)
+    chars, count = F.when(short, LEAST_CHARS_GLOSSARY).otherwise(LEAST_CHARS), F.when(short, LEAST_WORDS_GLOSSARY).otherwise(LEAST_WORDS)
+    garbled = F.regexp_count(c, F.lit(GARBLED)) / F.greatest(n, F.lit(1))
+    marks = sum((F.regexp_count(c, F.lit(m)) for m in MOJIBAKE), F.lit(0)) / F.greatest(w, F.lit(1))
+    score = F.round(100 * (0.35 * F.least(n / chars, F.lit(1.0)) + 0.35 * F.least(w / count, F.lit(1.0)) + 0.30 * F.greatest(1 - garbled / MOST_GARBLED, F.lit(0.0))) + 1e-9, 2)
     reasons = F.array(
-        F.when(n == 0, "empty"),
         F.when(n < chars, "too short"),
         F.when(w < count, "too few words"),
-        F.when(bad > garbled, "garbled"),
-        F.when(alphanumerics(c) == 0, "no letters"),
+        F.when(garbled > MOST_GARBLED, "odd characters"),
+        F.when(marks > MOST_MOJIBAKE, "wrong decoding"),
+        F.when(score < LEAST_SCORE, "low score"),
     )
-    return F.struct(n.cast("long").alias("chars"), w.cast("long").alias("words"), F.round(score + 1e-9, 2).alias("score"), F.filter(reasons, lambda r: r.isNotNull()).alias("reasons"))
+    return F.struct(n.cast("long").alias("chars"), w.cast("long").alias("words"), F.round(garbled + 1e-12, 6).alias("garbled"), F.round(marks + 1e-12, 6).alias("mojibake"), score.alias("score"), F.array_compact(reasons).alias("reasons"))
 
 
 def host(url: Column | str) -> Column:

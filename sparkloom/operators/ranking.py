@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.shared import written
+
 
 def ranked(df: DataFrame, by: list[str], *order: Column, name: str = "rank") -> DataFrame:
     """Adds the 1-based place of each row in its group. Orders must be total, so that reruns agree."""
@@ -17,6 +19,17 @@ def top(df: DataFrame, by: list[str], k: int, *order: Column, name: str = "rank"
     return ranked(df, by, *order, name=name).where(F.col(name) <= k)
 
 
+def positions(df: DataFrame, *order: Column | str, name: str = "position") -> DataFrame:
+    """Adds the 1-based place of each row in the whole table, without bringing it to one task: rows are dealt by ranges of
+    the order and written with their place inside their part; the few sizes of the parts give the rest."""
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    dealt = written(dealt, "positions").withColumn("_part", F.shiftright("_at", 33))
+    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return dealt.join(F.broadcast(sizes.select("_part", before.alias("_before"))), "_part").withColumn(name, F.col("_before") + inside + 1).drop("_at", "_part", "_before")  # a row a part
+
+
 def fuse(lists: dict[str, tuple[DataFrame, float]], by: list[str], key: str, constant: int = 60) -> DataFrame:
     """Weighted reciprocal rank fusion: sum of weight / (constant + rank) over the lists that hold a key.
 

@@ -1,37 +1,12 @@
-"""Routing building blocks: flags, weighted scores, cascades and plans as columns."""
+"""Execution plans as columns."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def flags(keys: DataFrame, hits: DataFrame, agents: list[int], key: str = "doc_id") -> DataFrame:
-    """One boolean column a1, a2, .. per agent: whether one of its terms was found. Keys without hits keep false."""
-    found = hits.groupBy(key).agg(*[F.bool_or(F.col("agent") == a).alias(f"a{a}") for a in agents])
-    return keys.join(found, key, "left").select(key, *[F.coalesce(f"a{a}", F.lit(False)).alias(f"a{a}") for a in agents])
-
-
-def keyword_scores(hits: DataFrame, strong: tuple[str, ...], noise: tuple[str, ...], long: int, key: str = "doc_id") -> DataFrame:
-    """hits and weight per key and agent: phrases and long terms weigh 2, strong ones 3, noise 0, others 1."""
-    weight = F.when(F.contains("term", F.lit(" ")) | (F.length("term") >= long), 2).when(F.col("term").isin(*strong), 3).when(F.col("term").isin(*noise), 0).otherwise(1)
-    return hits.groupBy(key, "agent").agg(F.count("*").alias("hits"), F.sum(weight).cast("long").alias("weight"))
-
-
-def cascade() -> Column:
-    """The first rule that holds gives the route; null when none does."""
-    def route(*ids: int) -> Column:
-        return F.array(*map(F.lit, ids))
-
-    a = {i: F.col(f"a{i}") for i in range(1, 6)}
-    return F.when(a[2] & a[1], route(2, 1)).when(a[1], route(1)).when(a[3], route(3)).when(a[4] & a[5], route(4, 5)).when(a[5], route(5)).when(a[4], route(4))
-
-
-def confidence(hits: Column, weight: Column, rivals: Column) -> Column:
-    raw = 0.5 + 0.1 * hits + 0.05 * weight - F.when(rivals > 1, 0.1).otherwise(0.0)
-    return F.least(F.greatest(raw, F.lit(0.0)), F.lit(0.98))
-
-
 def execution_plan(route: Column, barred: tuple[int, ...], alternatives: tuple[int, ...]) -> Column:
+    """The route without barred agents, then the alternatives that it lacks."""
     kept = F.filter(route, lambda x: ~x.isin(*barred))
     return F.array_union(kept, F.array(*map(F.lit, alternatives)))

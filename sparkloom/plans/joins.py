@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text
-from ..operators import postings, vectors
+from ..operators import postings, rules, vectors
 from ..sources.shared import shared_path
 from .base import query, read
 from .filters import FOLDED_WORDS_SQL, SEARCHED_SQL, asking, bm25_sql, searched
@@ -128,29 +128,29 @@ def jn_09(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.select("event_id", "user_id", (F.unix_micros(F.col("after.ts").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))).alias("latency_us"))
 
 
-RULES = (("and", 1), ("the", 1), ("of the", 2), ("und", 3), ("der", 3), ("la", 4), ("les", 5), ("en la", 4))
+GRAMS_SQL = """CASE WHEN len(w) > 1 THEN list_distinct(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) ELSE w END"""
+WORDS_OF_SQL = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')"
 
 
-def rule_hits(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """(doc_id, term, agent): rule terms found as whole words or word pairs; meets by an equi-join on exploded n-grams."""
-    rules = F.broadcast(spark.createDataFrame(RULES, "term string, agent int"))  # fixed and small
-    w = text.words(F.lower("text"), 1)
-    one = docs.select("doc_id", w.alias("w"))
-    pairs = F.when(F.size("w") > 1, F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.slice("w", i, 2)))).otherwise(F.array().cast("array<string>"))
-    grams = one.select("doc_id", F.explode(F.array_distinct(F.concat("w", pairs))).alias("term"))
-    return grams.join(rules, "term")
+def rule_rows(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """(doc_id, rule_set, kind, term): words and phrases meet the texts by an equi-join on their grams, the few patterns are
+    tried on each text in its row. Terms that are noise find nothing."""
+    known = F.broadcast(rules.table(spark).where("kind <> 'pattern' and rule_set <> 'noise'").where(~F.col("term").isin(*rules.NOISE)))  # fixed and small
+    grams = docs.select("doc_id", F.explode(rules.grams("text")).alias("term")).join(known, "term")
+    tried = [F.when(F.lower("text").rlike(p), F.struct(F.lit(n).alias("rule_set"), F.lit("pattern").alias("kind"), F.lit(p).alias("term"))) for n, kind, p in rules.rows() if kind == "pattern"]
+    patterns = docs.select("doc_id", F.explode(F.array_compact(F.array(*tried))).alias("r")).select("doc_id", "r.*")
+    return grams.select("doc_id", "rule_set", "kind", "term").unionByName(patterns)
 
 
-RULES_SQL = "(VALUES " + ", ".join(f"('{t}', {a})" for t, a in RULES) + ") AS r(term, agent)"
-RULE_HITS_SQL = f"""grams AS (SELECT doc_id, unnest(list_distinct(list_concat(w, CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE [] END))) AS term
-  FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS w FROM documents)),
-rule_hits AS (SELECT doc_id, r.term, r.agent FROM grams JOIN {RULES_SQL} ON grams.term = r.term)"""
+RULE_VALUES_SQL = "(VALUES " + ", ".join(f"('{n}', '{k}', '{t}')" for n, k, t in rules.rows()) + ") AS r(rule_set, kind, term)"
+RULE_ROWS_SQL = f"""tw AS (SELECT doc_id, lang, lower(text) AS t, {WORDS_OF_SQL} AS w FROM documents), tg AS (SELECT doc_id, lang, t, {GRAMS_SQL} AS g FROM tw),
+rule_rows AS (SELECT doc_id, lang, rule_set, kind, term FROM tg JOIN {RULE_VALUES_SQL} ON rule_set <> 'noise' AND ((kind = 'pattern' AND regexp_matches(t, term)) OR (kind <> 'pattern' AND list_contains(g, term) AND term NOT IN {rules.NOISE!r})))"""
 
 
-@query("WITH " + RULE_HITS_SQL + " SELECT doc_id, term, agent FROM rule_hits")
+@query("WITH " + RULE_ROWS_SQL + " SELECT doc_id, rule_set, kind, term FROM rule_rows")
 def jn_10(spark: SparkSession, sf: str) -> DataFrame:
-    """Term containment as an equi-join."""
-    return rule_hits(spark, read(spark, sf, "documents")).select("doc_id", "term", "agent")
+    """Term containment: which rules' words, phrases and patterns a text holds."""
+    return rule_rows(spark, read(spark, sf, "documents"))
 
 
 @query("SELECT c_custkey, coalesce(n_name, 'unknown') AS agent FROM (SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN -1 ELSE c_nationkey END AS k FROM customer) LEFT JOIN nation ON k = n_nationkey")

@@ -7,69 +7,101 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text
-from ..operators import routing as ops
+from ..operators import rules
 from ..operators.ranking import top
 from .aggregates import TERM_STATS_SQL, term_stats
 from .base import query, read
-from .joins import RULE_HITS_SQL, rule_hits
+from .joins import GRAMS_SQL, WORDS_OF_SQL
 
-FLAGS_SQL = RULE_HITS_SQL + ", flags AS (SELECT d.doc_id, " + ", ".join(f"coalesce(bool_or(agent = {a}), false) AS a{a}" for a in range(1, 6)) + " FROM documents AS d LEFT JOIN rule_hits AS h ON d.doc_id = h.doc_id GROUP BY d.doc_id)"
-SCORES_SQL = RULE_HITS_SQL + ", scores AS (SELECT doc_id, agent, count(*) AS hits, CAST(sum(CASE WHEN contains(term, ' ') OR length(term) >= 4 THEN 2 WHEN term IN ('and', 'und') THEN 3 WHEN term = 'la' THEN 0 ELSE 1 END) AS BIGINT) AS weight FROM rule_hits GROUP BY doc_id, agent)"
-ROUTE_SQL = "CASE WHEN a2 AND a1 THEN [2, 1] WHEN a1 THEN [1] WHEN a3 THEN [3] WHEN a4 AND a5 THEN [4, 5] WHEN a5 THEN [5] WHEN a4 THEN [4] END"
 
 
-def flags(spark: SparkSession, sf: str) -> DataFrame:
-    """doc_id and a1..a5: whether a rule term of each agent occurs."""
-    docs = read(spark, sf, "documents")
-    return ops.flags(docs.select("doc_id"), rule_hits(spark, docs), [1, 2, 3, 4, 5])
+def signal_sql(name: str) -> str:
+    """Whether a rule set speaks, over g (grams) and t (text in lower case)."""
+    kinds = rules.RULES[name]
+    terms = kinds.get("word", ()) + kinds.get("phrase", ())
+    tests = [f"list_has_any(g, {list(terms)!r})"] if terms else []
+    return "(" + " OR ".join(tests + [f"regexp_matches(t, '{p}')" for p in kinds.get("pattern", ())]) + ")"
 
 
-def scores(spark: SparkSession, sf: str) -> DataFrame:
-    return ops.keyword_scores(rule_hits(spark, read(spark, sf, "documents")), strong=("and", "und"), noise=("la",), long=4)
+def weight_sql(found: str, agent: int) -> str:
+    strong = ", ".join(f"'{t}'" for t in rules.STRONG_HINTS[agent])
+    return f"CAST(coalesce(list_sum(list_transform({found}, lambda x: CASE WHEN x IN ({strong}) THEN 3 WHEN x IN {rules.NOISE!r} THEN 0 WHEN contains(x, ' ') OR length(x) >= {rules.LONG} THEN 2 ELSE 1 END)), 0) AS BIGINT)"
 
 
-@query("WITH " + FLAGS_SQL + " SELECT * FROM flags")
+def signals_sql(table: str, key: str) -> str:
+    kw = f"list_filter({list(rules.KEYWORDS[1])!r}, lambda x: list_contains(g, x) AND x NOT IN {rules.NOISE!r})"
+    return f"""sw AS (SELECT {key}, lower(text) AS t, {WORDS_OF_SQL} AS w FROM {table}), sg AS (SELECT {key}, t, w, {GRAMS_SQL} AS g FROM sw),
+signals AS (SELECT {key}, {", ".join(f"{signal_sql(n)} AS {n}" for n in rules.RULES)}, len(w) AS n_words, regexp_matches(t, '[\\d?]') AS objective, len({kw}) AS hits, {weight_sql(kw, 1)} AS weight FROM sg)"""
+
+
+ROUTES_SQL = signals_sql("documents", "doc_id") + """, routes AS (SELECT *, CASE WHEN n_words = 0 OR (greeting AND n_words <= 6) THEN [] WHEN legal THEN [3]
+  WHEN (normative OR labelling OR strong) AND NOT special AND NOT quality THEN [3] WHEN normative OR labelling OR strong OR special OR fermented THEN [1, 3]
+  WHEN hits >= 2 OR weight >= 3 OR (weight >= 2 AND hits >= 1) OR domain THEN [1, 3] END AS ids FROM signals),
+sure AS (SELECT *, CASE WHEN len(ids) = 0 THEN 0.98 WHEN strong OR special THEN 0.86 WHEN list_contains(ids, 1) THEN 0.82 WHEN domain THEN 0.70 ELSE 0.60 END::DOUBLE AS estimate, (doc_id % 100) / 100.0::DOUBLE AS raw FROM routes),
+floored AS (SELECT *, greatest(raw, CASE WHEN strong AND list_contains(ids, 3) THEN 0.84::DOUBLE ELSE 0 END, CASE WHEN special AND list_contains(ids, 1) THEN 0.82::DOUBLE ELSE 0 END) AS f FROM sure),
+routed AS (SELECT *, CASE WHEN len(ids) = 0 THEN raw WHEN NOT coalesce(list_contains(ids, 1), false) AND domain AND objective THEN least(f, 0.69::DOUBLE) ELSE f END AS recalibrated FROM floored)"""
+
+
+def routed(spark: SparkSession, sf: str) -> DataFrame:
+    """Signals, route, estimated confidence, and a raw confidence (from outside; here of the id) recalibrated. One pass over
+    the texts without a shuffle."""
+    s = rules.signals(read(spark, sf, "documents"), "doc_id").withColumn("ids", rules.route())
+    ids = F.coalesce("ids", F.array(F.lit(0)))  # no rule held: neither empty nor any agent
+    return s.withColumn("estimate", rules.estimate(ids)).withColumn("recalibrated", rules.recalibrated(F.col("doc_id") % 100 / 100.0, ids))
+
+
+@query("WITH " + signals_sql("documents", "doc_id") + " SELECT doc_id, " + ", ".join(rules.RULES) + " FROM signals")
 def cls_01(spark: SparkSession, sf: str) -> DataFrame:
-    """Domain signal flags."""
-    return flags(spark, sf)
+    """Domain signal flags of the rule sets."""
+    return rules.signals(read(spark, sf, "documents"), "doc_id").select("doc_id", *rules.RULES)
 
 
-@query("WITH " + FLAGS_SQL + f" SELECT doc_id, array_to_string({ROUTE_SQL}, ',') AS route FROM flags")
+@query("WITH " + ROUTES_SQL + " SELECT doc_id, array_to_string(ids, ',') AS route FROM routed")
 def cls_02(spark: SparkSession, sf: str) -> DataFrame:
     """Ordered rule cascade to a route; null without a match."""
-    return flags(spark, sf).select("doc_id", F.array_join(ops.cascade(), ",").alias("route"))
+    return routed(spark, sf).select("doc_id", F.array_join("ids", ",").alias("route"))
 
 
-@query("WITH " + SCORES_SQL + " SELECT doc_id, agent, hits, weight FROM scores WHERE hits >= 2 OR weight >= 3 OR (weight >= 2 AND hits = 1)")
+@query("WITH " + signals_sql("documents", "doc_id") + ", kw AS (" + " UNION ALL ".join(f"SELECT doc_id, {a} AS agent, list_filter({list(k)!r}, lambda x: list_contains(g, x) AND x NOT IN {rules.NOISE!r}) AS found FROM sg" for a, k in rules.KEYWORDS.items()) + "), s AS (SELECT doc_id, agent, len(found) AS hits, CASE agent " + " ".join(f"WHEN {a} THEN {weight_sql('found', a)}" for a in rules.KEYWORDS) + " END AS weight FROM kw) SELECT doc_id, agent, CAST(hits AS INTEGER) AS hits, CAST(weight AS INTEGER) AS weight FROM s WHERE hits >= 2 OR weight >= 3 OR (weight >= 2 AND hits >= 1)")
 def cls_03(spark: SparkSession, sf: str) -> DataFrame:
-    """Weighted keyword score; matched rows."""
-    return scores(spark, sf).where("hits >= 2 or weight >= 3 or (weight >= 2 and hits = 1)")
-
-
-CONFIDENCE_SQL = "least(greatest(0.5 + 0.1 * hits + 0.05 * weight - CASE WHEN rivals > 1 THEN 0.1 ELSE 0 END, 0.0), 0.98)"
+    """Weighted keyword score of each agent; matched rows."""
+    seen = read(spark, sf, "documents").select("doc_id", rules.grams("text").alias("g"))
+    each = [F.struct(F.lit(a).alias("agent"), F.filter(rules.held(F.col("g"), k), lambda x: ~x.isin(*rules.NOISE)).alias("found")) for a, k in rules.KEYWORDS.items()]
+    kw = seen.select("doc_id", F.explode(F.array(*each)).alias("k")).select("doc_id", "k.agent", "k.found")
+    weight = F.coalesce(*[F.when(F.col("agent") == a, rules.weight_of(F.col("found"), a)) for a in rules.KEYWORDS])
+    s = kw.select("doc_id", "agent", F.size("found").alias("hits"), weight.alias("weight"))
+    return s.where(rules.matched(F.col("hits"), F.col("weight")))
 
 
-@query("WITH " + SCORES_SQL + f" SELECT doc_id, agent, round({CONFIDENCE_SQL}, 4) AS confidence FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS rivals FROM scores)")
+@query("WITH " + ROUTES_SQL + " SELECT doc_id, round(estimate, 4) AS estimate, round(recalibrated, 4) AS recalibrated FROM routed")
 def cls_04(spark: SparkSession, sf: str) -> DataFrame:
-    """Confidence: hits and weight raise it, rival agents lower it, clamped."""
-    s = scores(spark, sf).withColumn("rivals", F.count("*").over(Window.partitionBy("doc_id")))
-    return s.select("doc_id", "agent", F.round(ops.confidence(F.col("hits"), F.col("weight"), F.col("rivals")), 4).alias("confidence"))
+    """Confidence of a route: stepped estimate, and a given confidence held to floors and ceilings."""
+    return routed(spark, sf).select("doc_id", F.round("estimate", 4).alias("estimate"), F.round("recalibrated", 4).alias("recalibrated"))
 
 
-@query("WITH " + FLAGS_SQL + f" SELECT doc_id, array_to_string(p[1:CASE WHEN len(p) > 1 AND doc_id % 2 = 0 THEN 2 ELSE 3 END], ',') AS plan, p[1] AS primary_id FROM (SELECT doc_id, list_concat(list_filter(coalesce({ROUTE_SQL}, [1]), lambda x: x <> 4), list_filter([3, 5], lambda x: NOT list_contains(list_filter(coalesce({ROUTE_SQL}, [1]), lambda y: y <> 4), x))) AS p FROM flags)")
+@query("WITH " + ROUTES_SQL + """, k AS (SELECT doc_id, strong, recalibrated, list_filter(coalesce(ids, [1]), lambda x: x <> 4) AS kept FROM routed),
+  g AS (SELECT *, CASE WHEN strong AND len(kept) > 0 AND NOT list_contains(kept, 3) THEN list_append(kept, 3) ELSE kept END AS guarded FROM k),
+  p AS (SELECT doc_id, list_concat(guarded, list_filter([3, 5], lambda x: NOT list_contains(guarded, x)))[1:CASE WHEN recalibrated >= 0.86 THEN 2 WHEN recalibrated >= 0.55 THEN 3 ELSE 4 END] AS p FROM g)
+  SELECT doc_id, array_to_string(p, ',') AS plan, coalesce(list_filter(p, lambda x: x <> 3)[1], p[1]) AS primary_id FROM p""")
 def cls_05(spark: SparkSession, sf: str) -> DataFrame:
-    """Execution plan: route without barred agents, alternatives behind it, cut by a limit; the first is the primary one."""
-    plan = ops.execution_plan(F.coalesce(ops.cascade(), F.array(F.lit(1))), barred=(4,), alternatives=(3, 5))
-    out = flags(spark, sf).select("doc_id", plan.alias("p")).withColumn("most", F.when((F.size("p") > 1) & (F.col("doc_id") % 2 == 0), 2).otherwise(3))
-    return out.select("doc_id", F.array_join(F.slice("p", F.lit(1), F.col("most")), ",").alias("plan"), F.get("p", F.lit(0)).alias("primary_id"))
-
-
-@query("SELECT item_id, unnest(CASE WHEN regexp_matches(lower(text), '(^| )the ') THEN ['rules', 'general'] WHEN regexp_matches(lower(text), '(^| )(der|die) ') THEN ['german'] ELSE ['general'] END) AS search_table FROM benchmark")
+    """Execution plan: route without barred agents, the guard of strong signs, alternatives, cut by the bucket; the first
+    specialist is the primary one."""
+    bucket = F.when(F.col("recalibrated") >= 0.86, "high").when(F.col("recalibrated") >= 0.55, "medium").otherwise("low")
+    p = routed(spark, sf).select("doc_id", rules.plan(F.coalesce("ids", F.array(F.lit(1))), bucket, barred=(4,), alternatives=(3, 5)).alias("p"))
+    primary = F.coalesce(F.get(F.filter("p", lambda x: x != 3), F.lit(0)), F.get("p", F.lit(0)))
+    return p.select("doc_id", F.array_join("p", ",").alias("plan"), primary.alias("primary_id"))
+
+
+@query("WITH " + signals_sql("benchmark", "item_id") + """, i AS (SELECT item_id, CASE WHEN greeting AND n_words <= 6 THEN {'domain': 'greeting', 'tables': CAST([] AS VARCHAR[]), 'needs_rules': false, 'type': 'general'}
+  WHEN quality AND defect THEN {'domain': 'process', 'tables': ['quality', 'rules'], 'needs_rules': true, 'type': 'general'} WHEN legal THEN {'domain': 'legal', 'tables': ['rules'], 'needs_rules': true, 'type': 'regulatory'}
+  WHEN (strong OR normative OR labelling) AND special THEN {'domain': 'special_rules', 'tables': ['special', 'rules'], 'needs_rules': true, 'type': 'regulatory'} WHEN strong OR normative OR labelling THEN {'domain': 'rules', 'tables': ['rules'], 'needs_rules': true, 'type': 'regulatory'}
+  WHEN fermented AND NOT special THEN {'domain': 'fermented', 'tables': ['fermented'], 'needs_rules': false, 'type': 'general'} WHEN formulation AND NOT special AND NOT quality THEN {'domain': 'formulation', 'tables': ['formulation'], 'needs_rules': false, 'type': 'general'}
+  ELSE {'domain': 'fallback', 'tables': ['special', 'rules'], 'needs_rules': false, 'type': 'general'} END AS x FROM signals)
+  SELECT item_id, x.domain AS domain, x.needs_rules AS needs_rules, x.type AS question_type, unnest(x.tables) AS search_table FROM i""")
 def cls_06(spark: SparkSession, sf: str) -> DataFrame:
-    """Query intent to the tables to search, one row per table."""
-    t = F.lower("text")
-    tables = F.when(t.rlike("(^| )the "), F.array(F.lit("rules"), F.lit("general"))).when(t.rlike("(^| )(der|die) "), F.array(F.lit("german"))).otherwise(F.array(F.lit("general")))
-    return read(spark, sf, "benchmark").select("item_id", F.explode(tables).alias("search_table"))
+    """Query intent to the tables to search, one row per table; two tables where nothing is clear."""
+    x = rules.signals(read(spark, sf, "benchmark"), "item_id").select("item_id", rules.intent().alias("x"))
+    return x.select("item_id", "x.domain", "x.needs_rules", F.col("x.type").alias("question_type"), F.explode("x.tables").alias("search_table"))
 
 
 HINTS_SQL = TERM_STATS_SQL + ", hints AS (SELECT term, agent, kind, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY agent, kind ORDER BY score DESC, precision DESC, support DESC, term) AS INTEGER) AS place FROM (SELECT *, CASE WHEN support >= 4 AND groups >= 2 AND precision >= 0.8 THEN 'strong' WHEN support >= 2 AND precision >= 0.65 THEN 'medium' END AS kind FROM stats)) WHERE kind IS NOT NULL AND place <= CASE WHEN kind = 'strong' THEN 45 ELSE 60 END)"
@@ -88,18 +120,42 @@ def cls_07(spark: SparkSession, sf: str) -> DataFrame:
     return hints(spark, sf)
 
 
-TURNS = (("recap", "(^| )(resum|sum)"), ("comparison", "(^| )(than|als|que) "), ("anaphora", "^(it|this|das|ce|esto)"), ("deepening", "(^| )(more|mehr|plus) "))
+#: Signs of dependence in the languages of the texts.
+RECAP = r"(^|[^\p{L}])(in sum|as said|en resumen|en somme)([^\p{L}]|$)"
+COMPARISON = r"(^|[^\p{L}])(than|als)([^\p{L}]|$)"
+FOLLOWUP = r"^(and|und|et|y)([^\p{L}]|$)"
+ANAPHORA = r"(^|[^\p{L}])(it|this|das|ce|eso)([^\p{L}]|$)"
+DEEPENING = r"(^|[^\p{L}])(more|mehr|plus|que)([^\p{L}]|$)"
+TOPIC = r"(^|[^\p{L}])(the|les|der|los)([^\p{L}]|$)"
 
 
-@query("SELECT conv_id, turn, CASE WHEN NOT coalesce(bool_or(trim(text) <> '') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) THEN 'first' " + " ".join(f"WHEN regexp_matches(lower(text), '{p}') THEN '{n}'" for n, p in TURNS) + " WHEN length(text) <= 60 THEN 'followup' ELSE 'standalone' END AS intent FROM conversations")
+@query(f"""WITH c AS (SELECT conv_id, turn, lower(trim(text)) AS t, len(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')) AS n,
+  coalesce(bool_or(trim(text) <> '') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS known FROM conversations),
+  r AS (SELECT *, CASE WHEN t = '' THEN 'empty/empty message' WHEN regexp_matches(t, '{RECAP}') THEN 'recap/reference to what was said' WHEN regexp_matches(t, '{COMPARISON}') THEN 'comparison/comparing word'
+  WHEN regexp_matches(t, '{FOLLOWUP}') AND n <= 12 THEN 'followup/short opening' WHEN regexp_matches(t, '{ANAPHORA}') AND n <= 24 THEN 'followup/pronoun'
+  WHEN regexp_matches(t, '{DEEPENING}') AND (known OR regexp_matches(t, '{ANAPHORA}')) THEN 'deepening/with context' WHEN regexp_matches(t, '{DEEPENING}') AND length(t) <= 220 AND NOT regexp_matches(t, '{TOPIC}') THEN 'deepening/without a topic'
+  ELSE 'standalone/own topic' END AS why FROM c) SELECT conv_id, turn, string_split(why, '/')[1] AS intent, string_split(why, '/')[2] AS reason, string_split(why, '/')[1] NOT IN ('empty', 'standalone') AS depends FROM r""")
 def cls_08(spark: SparkSession, sf: str) -> DataFrame:
-    """Whether a turn depends on those before it, and how."""
+    """Whether a turn depends on those before it, how, and by which sign; a standalone turn opens a topic of its own."""
     earlier = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    intent = F.when(F.length("text") <= 60, "followup").otherwise("standalone")
-    for name, pattern in reversed(TURNS):
-        intent = F.when(F.lower("text").rlike(pattern), name).otherwise(intent)
     known = F.coalesce(F.bool_or(F.trim("text") != "").over(earlier), F.lit(False))
-    return read(spark, sf, "conversations").select("conv_id", "turn", F.when(~known, "first").otherwise(intent).alias("intent"))
+    c = read(spark, sf, "conversations").select("conv_id", "turn", F.lower(F.trim("text")).alias("t"), F.size(F.split(text.collapse("text"), " ")).alias("n"), known.alias("known"))
+
+    def sign(pattern: str) -> F.Column:
+        return F.col("t").rlike(pattern)
+
+    why = (
+        F.when(F.col("t") == "", "empty/empty message")
+        .when(sign(RECAP), "recap/reference to what was said")
+        .when(sign(COMPARISON), "comparison/comparing word")
+        .when(sign(FOLLOWUP) & (F.col("n") <= 12), "followup/short opening")
+        .when(sign(ANAPHORA) & (F.col("n") <= 24), "followup/pronoun")
+        .when(sign(DEEPENING) & (F.col("known") | sign(ANAPHORA)), "deepening/with context")
+        .when(sign(DEEPENING) & (F.length("t") <= 220) & ~sign(TOPIC), "deepening/without a topic")
+        .otherwise("standalone/own topic")
+    )
+    part = F.split(why, "/")
+    return c.select("conv_id", "turn", part[0].alias("intent"), part[1].alias("reason"), (~part[0].isin("empty", "standalone")).alias("depends"))
 
 
 @query("SELECT conv_id, turn, len(w) < 8 OR len(list_filter(w, lambda x: x IN ('it', 'this', 'that', 'das', 'ce', 'eso'))) > 0 AS rewrite, coalesce(prev, '') LIKE '%?' AS after_question FROM (SELECT conv_id, turn, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS w, lag(trim(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM conversations)")

@@ -7,19 +7,27 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import algebra, text
-from ..operators import postings, upserts
+from ..operators import postings, rules, upserts
+from ..operators.ranking import positions
 from ..operators.search import search
-from ..sources import readers
+from ..sources import readers, writers
+from ..sources.shared import shared_path, written
 from .base import query, read
 from .filters import SEARCHED_SQL
-from .joins import chunks, questions
+from .joins import RULE_ROWS_SQL, RULE_VALUES_SQL, chunks, questions, rule_rows
 from .scalars import FOLD_SQL
 
 
-@query("SELECT lang, count(*) AS files, count(*) FILTER (WHERE trim(text) = '') AS errors, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY lang")
+@query("SELECT lang, CAST(sum(length(coalesce(text, '')) + 1) AS BIGINT) AS chars, 0::BIGINT AS errors FROM documents GROUP BY lang")
 def src_01(spark: SparkSession, sf: str) -> DataFrame:
-    """Document scan with empty ones as errors (the folder form is readers.text_files)."""
-    return read(spark, sf, "documents").groupBy("lang").agg(F.count("*").alias("files"), F.count_if(F.trim("text") == "").alias("errors"), F.sum(F.length("text")).alias("chars"))
+    """Directory scan: the texts are written as files below a folder, a thousand a file at most, and every file that matches
+    is read whole, wherever it lies; empty files are errors."""
+    folder = shared_path(spark, "files")
+    docs = read(spark, sf, "documents").select("lang", F.coalesce("text", F.lit("")).alias("value"))
+    docs.write.partitionBy("lang").option("maxRecordsPerFile", 1000).text(folder)
+    files = readers.text_files(spark, folder, "part-*.txt")
+    files = files.select(F.regexp_extract("path", r"/lang=([^/]*)/", 1).alias("lang"), "text", "error")
+    return files.groupBy("lang").agg(F.sum(F.length("text")).cast("long").alias("chars"), F.count("error").alias("errors"))
 
 
 @query("SELECT doc_id, sha256(text) AS text_sha256, CAST(NULL AS VARCHAR) AS error FROM documents WHERE doc_id % 5 <> 0 UNION ALL SELECT doc_id, NULL, 'kind not taken' FROM documents WHERE doc_id % 5 = 0")
@@ -38,10 +46,14 @@ def src_03(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "embeddings").where("label = 3").select("vec_id", F.col("embedding")[0].alias("first"))
 
 
-@query("SELECT CAST(row_number() OVER (ORDER BY item_id) AS INTEGER) AS case_id, item_id % 4 AS agent FROM benchmark WHERE trim(text) <> ''")
+@query("SELECT CAST(row_number() OVER (ORDER BY item_id) AS BIGINT) AS case_id, CAST(item_id % 4 AS INTEGER) AS agent, sha256(text) AS question_sha256 FROM benchmark WHERE trim(text) <> ''")
 def src_04(spark: SparkSession, sf: str) -> DataFrame:
-    """Evaluation cases, numbered by place (a small dimension)."""
-    return read(spark, sf, "benchmark").where("trim(text) <> ''").select(F.row_number().over(Window.orderBy("item_id")).alias("case_id"), (F.col("item_id") % 4).alias("agent"))
+    """Evaluation cases from JSON lines, numbered by place; rows without question are left out."""
+    path = shared_path(spark, "cases")
+    items = read(spark, sf, "benchmark")
+    items.select((F.col("item_id") % 4).cast("int").alias("agent_id"), F.col("text").alias("question"), F.lpad(F.col("item_id").cast("string"), 20, "0").alias("group")).write.json(path)
+    numbered = positions(readers.cases(spark, path), "group", name="case_id")
+    return numbered.select("case_id", F.col("agent_id").alias("agent"), F.sha2("question", 256).alias("question_sha256"))
 
 
 @query("SELECT line, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) WHERE trim(line) <> '' AND NOT starts_with(trim(line), '#') GROUP BY line HAVING count(*) > 1")
@@ -56,24 +68,27 @@ def src_06(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "benchmark").select("item_id").join(F.broadcast(readers.experiments(spark))).select("experiment", "item_id", "k")
 
 
-@query("SELECT lang AS rule_set, term, kind, count(*) AS n FROM (SELECT lang, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}'), lambda w: w IN ('the', 'der', 'les', 'las', 'und', 'and')))) AS term, 'word' AS kind FROM documents) GROUP BY lang, term, kind")
+@query("WITH " + RULE_ROWS_SQL + ", n AS (SELECT rule_set, kind, term, count(*) AS n FROM rule_rows GROUP BY ALL) SELECT r.rule_set, r.kind, r.term, coalesce(n.n, 0) AS n FROM " + RULE_VALUES_SQL + " LEFT JOIN n ON n.rule_set = r.rule_set AND n.kind = r.kind AND n.term = r.term")
 def src_07(spark: SparkSession, sf: str) -> DataFrame:
-    """Routing-rule dimension joined to the texts: how often each rule term occurs per language."""
-    rules = F.broadcast(spark.createDataFrame([(t, "word") for t in ("the", "der", "les", "las", "und", "and")], "term string, kind string"))  # fixed and small
-    found = read(spark, sf, "documents").select("lang", F.explode(F.array_distinct(text.words(F.lower("text"), 2))).alias("term")).join(rules, "term")
-    return found.groupBy(F.col("lang").alias("rule_set"), "term", "kind").agg(F.count("*").alias("n"))
+    """The routing-rule dimension: every word, phrase, pattern and noise term, and how many texts it speaks for."""
+    n = rule_rows(spark, read(spark, sf, "documents")).groupBy("rule_set", "kind", "term").agg(F.count("*").alias("n"))
+    return rules.table(spark).join(n, ["rule_set", "kind", "term"], "left").select("rule_set", "kind", "term", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def _chunks(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "documents").select(F.substring(F.sha2("text", 256), 1, 16).alias("content_hash"), "doc_id", "lang")
 
 
-@query("WITH h AS (SELECT substr(sha256(text), 1, 16) AS k, doc_id FROM documents), t AS (SELECT DISTINCT k FROM h WHERE doc_id % 2 = 0) SELECT CAST((SELECT count(*) FROM h) AS BIGINT) AS processed, CAST((SELECT count(DISTINCT k) FROM h WHERE k NOT IN (SELECT k FROM t)) AS BIGINT) AS inserted, CAST((SELECT count(*) FROM h) - (SELECT count(DISTINCT k) FROM h WHERE k NOT IN (SELECT k FROM t)) AS BIGINT) AS updated")
+@query("WITH h AS (SELECT substr(sha256(text), 1, 16) AS k, doc_id FROM documents), t AS (SELECT DISTINCT k FROM h WHERE doc_id % 2 = 0), n AS (SELECT (SELECT count(*) FROM h) AS processed, (SELECT count(DISTINCT k) FROM h WHERE k NOT IN (SELECT k FROM t)) AS inserted) SELECT k AS content_hash, max(doc_id) AS doc_id, any_value(processed) AS processed, any_value(inserted) AS inserted, any_value(processed - inserted) AS updated FROM h CROSS JOIN n GROUP BY k")
 def snk_01(spark: SparkSession, sf: str) -> DataFrame:
-    """Idempotent upsert by content hash: counts of inserts and updates."""
+    """Idempotent upsert by content hash: the table as written, with the counts of inserts and updates. Upserted twice, as a
+    job that is run again would do; the second time changes nothing."""
     every = _chunks(spark, sf)
     target = every.where("doc_id % 2 = 0").dropDuplicates(["content_hash"])
-    return upserts.upsert(target, every, "content_hash", "doc_id")[1]
+    after, counts = upserts.upsert(target, every, "content_hash", "doc_id")
+    stored = written(after, "upserted")
+    again = written(upserts.upsert(stored, every, "content_hash", "doc_id")[0], "upserted")
+    return again.select("content_hash", "doc_id").join(F.broadcast(counts))  # one row
 
 
 @query("SELECT content_hash, CASE WHEN min(doc_id) FILTER (WHERE doc_id % 2 = 0) IS NOT NULL THEN min(doc_id) FILTER (WHERE doc_id % 2 = 0) ELSE min(doc_id) END AS doc_id FROM (SELECT substr(sha256(text), 1, 16) AS content_hash, doc_id FROM documents) GROUP BY content_hash")
@@ -84,11 +99,13 @@ def snk_02(spark: SparkSession, sf: str) -> DataFrame:
     return upserts.insert_absent(target, every.where("doc_id % 2 = 1"), "content_hash", "doc_id").select("content_hash", "doc_id")
 
 
-@query("SELECT (SELECT count(*) FROM documents) AS src, (SELECT count(*) FROM documents) AS dst")
+@query("WITH h AS (SELECT substr(sha256(text), 1, 16) AS k, doc_id FROM documents) SELECT (SELECT count(DISTINCT k) FROM h WHERE doc_id % 2 = 1) AS src, (SELECT count(DISTINCT k) FROM h) AS dst")
 def snk_03(spark: SparkSession, sf: str) -> DataFrame:
-    """Count reconciliation."""
-    docs = read(spark, sf, "documents")
-    return upserts.checked_counts(docs, docs)
+    """Count reconciliation after a migration: the odd half is merged into the even one and written; what was written must
+    hold at least as many rows as its source has keys."""
+    every = _chunks(spark, sf)
+    even, odd = (every.where(F.col("doc_id") % 2 == r).dropDuplicates(["content_hash"]) for r in (0, 1))
+    return upserts.checked_counts(odd, written(upserts.insert_absent(even, odd, "content_hash", "doc_id"), "migrated"))
 
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -106,26 +123,48 @@ def snk_04(spark: SparkSession, sf: str) -> DataFrame:
     return report.unionByName(restored.agg(F.lit("restored").alias("table_name"), F.count("*").alias("n")))
 
 
-@query("SELECT conv_id, turn, role_name, substr(text, 1, 50) AS content FROM (SELECT q.conv_id, q.turn, unnest(['human', 'ai']) AS role_name, unnest([q.text, a.text]) AS text FROM conversations AS q JOIN conversations AS a ON q.conv_id = a.conv_id AND a.turn = q.turn + 1 AND q.role = 'user' AND a.role = 'assistant')")
+TURNS_SQL = "t AS (SELECT q.conv_id, q.turn, q.text AS q, a.text AS a FROM conversations AS q JOIN conversations AS a ON q.conv_id = a.conv_id AND a.turn = q.turn + 1 AND q.role = 'user' AND a.role = 'assistant')"
+
+
+@query("WITH " + TURNS_SQL + " SELECT 'memory' AS log, conv_id, turn, 'human' AS field, q AS value FROM t UNION ALL SELECT 'memory', conv_id, turn, 'ai', a FROM t UNION ALL SELECT 'interaction', conv_id, turn, 'chars', CAST(length(a) AS VARCHAR) FROM t UNION ALL SELECT 'routing', conv_id, turn, 'bucket', CASE WHEN length(q) >= 200 THEN 'high' WHEN length(q) >= 80 THEN 'medium' ELSE 'low' END FROM t")
 def snk_05(spark: SparkSession, sf: str) -> DataFrame:
-    """Chat turns as two rows each, as they are appended."""
+    """Append sinks: a chat turn as two rows, an interaction log and a routing log, appended one after another to one table
+    that is partitioned by log."""
     c = read(spark, sf, "conversations")
     q = c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("q"))
     a = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("a"))
-    return q.join(a, ["conv_id", "turn"]).select("conv_id", "turn", F.expr("stack(2, 'human', q, 'ai', a) as (role_name, content)")).withColumn("content", F.substring("content", 1, 50))
+    turns = q.join(a, ["conv_id", "turn"])
+    path = shared_path(spark, "logs")
+    bucket = F.when(F.length("q") >= 200, "high").when(F.length("q") >= 80, "medium").otherwise("low")
+    rows = {"memory": F.expr("stack(2, 'human', q, 'ai', a) as (field, value)"), "interaction": F.expr("stack(1, 'chars', cast(length(a) as string)) as (field, value)"), "routing": F.inline(F.array(F.struct(F.lit("bucket").alias("field"), bucket.alias("value"))))}
+    for log, columns in rows.items():
+        turns.select(F.lit(log).alias("log"), "conv_id", "turn", columns).write.mode("append").partitionBy("log").parquet(path)
+    return spark.read.schema("conv_id long, turn long, field string, value string, log string").parquet(path)
 
 
-@query("SELECT source || ',' || count(*) || ',' || max(n_chars) AS csv FROM documents GROUP BY source")
+@query("SELECT source, count(*) AS n, max(n_chars) AS longest, 2::BIGINT AS formats FROM documents GROUP BY source")
 def snk_06(spark: SparkSession, sf: str) -> DataFrame:
-    """A report as CSV lines (writers.report writes files)."""
+    """A report as CSV and as JSON files, both read back: rows that agree in both formats."""
     report = read(spark, sf, "documents").groupBy("source").agg(F.count("*").alias("n"), F.max("n_chars").alias("longest"))
-    return report.select(F.to_csv(F.struct("source", "n", "longest")).alias("csv"))
+    path = shared_path(spark, "report")
+    writers.report(report, path)
+    schema = "source string, n long, longest long"
+    back = spark.read.schema(schema).csv(f"{path}/csv", header=True).unionByName(spark.read.schema(schema).json(f"{path}/json"))
+    return back.groupBy("source", "n", "longest").agg(F.count("*").alias("formats"))
 
 
-@query("SELECT conv_id, turn % 2 AS message_id, arg_max(turn, turn) AS turn, min(turn) AS created FROM conversations GROUP BY conv_id, message_id")
+@query("SELECT conv_id, turn % 2 AS message_id, max(turn) AS turn, min(turn) AS created, CASE WHEN max(turn) = min(turn) THEN 'first' END AS note FROM conversations GROUP BY conv_id, message_id")
 def snk_07(spark: SparkSession, sf: str) -> DataFrame:
-    """Evaluation upsert: the latest row of a key, with the creation of the first."""
-    return read(spark, sf, "conversations").groupBy("conv_id", (F.col("turn") % 2).alias("message_id")).agg(F.max("turn").alias("turn"), F.min("turn").alias("created"))
+    """Evaluation upsert keyed (conversation, message): first evaluations are stored, the latest ones then merged onto the
+    stored rows. A merged row keeps the stored creation, and fields that the new one leaves out are reset."""
+    c = read(spark, sf, "conversations").select("conv_id", (F.col("turn") % 2).alias("message_id"), "turn")
+    key = ["conv_id", "message_id"]
+    stored = written(c.groupBy(*key).agg(F.min("turn").alias("turn")).withColumn("created", F.col("turn")).withColumn("note", F.lit("first")), "evaluations")
+    newest = c.groupBy(*key).agg(F.max("turn").alias("new_turn"))
+    merged = stored.join(newest, key, "full_outer")
+    changed = F.col("new_turn").isNotNull() & (F.col("turn").isNull() | (F.col("new_turn") > F.col("turn")))
+    after = merged.select(*key, F.when(changed, F.col("new_turn")).otherwise(F.col("turn")).alias("turn"), F.coalesce("created", "new_turn").alias("created"), F.when(~changed, F.col("note")).alias("note"))
+    return written(after, "evaluations")
 
 
 @query("WITH " + SEARCHED_SQL.format(k=8) + " SELECT query_id, vec_id, rank FROM (SELECT query_id, vec_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored WHERE label = 4) WHERE rank <= 5")

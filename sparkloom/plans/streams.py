@@ -11,9 +11,12 @@ from .base import ORACLES, query
 from .filters import GATE_SQL
 
 
-@query("WITH " + GATE_SQL + " SELECT substr(sha256(text), 1, 16) AS content_hash, min(d.doc_id) AS doc_id, CAST(ceil(max(length(text)) / 600.0) AS BIGINT) AS n_chunks FROM documents AS d JOIN g ON g.doc_id = d.doc_id WHERE reasons = '' GROUP BY content_hash")
+@query("WITH " + GATE_SQL + """, u AS (SELECT substr(sha256(text), 1, 16) AS content_hash, min(doc_id) AS doc_id FROM documents JOIN g USING (doc_id) WHERE reasons = '' GROUP BY content_hash),
+  c AS (SELECT content_hash, doc_id, text, unnest(range(0, CAST(ceil(length(text) / 600.0) AS BIGINT))) AS chunk_no FROM u JOIN documents USING (doc_id)),
+  h AS (SELECT content_hash, doc_id, chunk_no, substr(text, chunk_no * 600 + 1, 600) AS chunk FROM c)
+  SELECT substr(sha256(chunk), 1, 16) AS chunk_hash, content_hash, doc_id, chunk_no, chunk FROM (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY doc_id, chunk_no) AS r FROM h) WHERE r = 1""")
 def str_01(spark: SparkSession, sf: str) -> DataFrame:
-    """Continuous ingestion into a ledger."""
+    """Continuous ingestion: the chunk rows that the ledger holds at the end."""
     stream = jobs.table_stream(spark, sf, "documents")
     ledger = jobs.shared_path(spark, "ledger")
     work = jobs.ingest(stream, ledger)

@@ -46,18 +46,22 @@ def drained(stream: DataFrame, mode: str = "append", label: str = "stream") -> D
     return spark.read.schema(stream.schema).parquet(path)
 
 
-def ingest(stream: DataFrame, ledger: str) -> Callable[[DataFrame, int], None]:
-    """The work of one micro-batch of continuous ingestion: gate, de-duplicate by content hash inside the batch and
-    against the ledger, count chunks, append. A repeated batch finds its own hashes in the ledger and adds nothing."""
-    schema = "content_hash string, doc_id bigint, n_chunks bigint"
+def ingest(stream: DataFrame, ledger: str, size: int = 600) -> Callable[[DataFrame, int], None]:
+    """The work of one micro-batch of continuous ingestion: gate, drop documents whose content hash the batch or the ledger
+    has, cut chunks, and add the chunks whose hash is new (a known chunk has the same content, so there is nothing to
+    overwrite). The ledger holds chunk rows. A repeated batch finds its own hashes and adds nothing."""
+    schema = "chunk_hash string, content_hash string, doc_id bigint, chunk_no bigint, chunk string"
 
     def work(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        good = batch.where(F.size(text.quality("text")["reasons"]) == 0)
-        hashed = good.select(F.substring(F.sha2("text", 256), 1, 16).alias("content_hash"), "doc_id", F.ceil(F.length("text") / 600.0).cast("long").alias("n_chunks"))
-        known = spark.read.schema(schema).parquet(ledger)
+        kind = F.when(F.col("doc_id") % 7 == 0, "glossary").otherwise("manual")
+        good = batch.where(F.size(text.quality("text", kind)["reasons"]) == 0)
+        hashed = good.select(F.substring(F.sha2("text", 256), 1, 16).alias("content_hash"), "doc_id", "text")
+        known = batch.sparkSession.read.schema(schema).parquet(ledger)
         new = first_per(hashed, F.col("content_hash"), F.col("doc_id")).join(known, "content_hash", "left_anti")
-        new.write.mode("append").parquet(ledger)
+        parts = F.sequence(F.lit(0).cast("long"), F.ceil(F.length("text") / float(size)) - 1)
+        rows = new.select("content_hash", "doc_id", "text", F.explode(parts).alias("chunk_no")).withColumn("chunk", F.substring("text", F.col("chunk_no").cast("int") * size + 1, F.lit(size)))
+        rows = rows.select(F.substring(F.sha2("chunk", 256), 1, 16).alias("chunk_hash"), "content_hash", "doc_id", "chunk_no", "chunk")
+        first_per(rows, F.col("chunk_hash"), F.struct("doc_id", "chunk_no")).join(known, "chunk_hash", "left_anti").write.mode("append").parquet(ledger)
 
     stream.sparkSession.createDataFrame([], schema).write.parquet(ledger)
     return work
