@@ -1,9 +1,12 @@
-"""Column expressions over text. All are built-in functions: they run inside code generation, row by row, without Python."""
+"""Column expressions over text. All are built-in functions that run inside code generation, without Python, but for the
+rare entities of html_to_text."""
 
-from __future__ import annotations
+import html
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Latin letters with marks, and the letters they fold to.
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
@@ -99,14 +102,23 @@ def is_allowed(domain: Column, bases: tuple[str, ...]) -> Column:
     return hit
 
 
+@F.pandas_udf(StringType())
+def _unescaped(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda x: html.unescape(x.replace("&nbsp;", " ")) if x is not None else None)
+
+
 def html_to_text(c: Column | str, most: int | None = None) -> Column:
-    """Text of a page: scripts, styles and tags out, common entities back to characters, white space collapsed."""
+    """Text of a page: scripts, styles and tags out, entities back to characters, white space collapsed; cut with an
+    ellipsis if it is longer than `most`. The common entities are replaced by built-in functions; only texts with another
+    one are handed to Python, which knows them all."""
     out = F.regexp_replace(c, r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<noscript[^>]*>.*?</noscript>", " ")
-    out = F.regexp_replace(out, r"(?s)<[^>]*>", " ")
-    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+    raw = F.regexp_replace(out, r"(?s)<[^>]*>", " ")
+    rare = raw.rlike(r"&(?!(?:nbsp|lt|gt|quot|#39|copy|middot|amp);)(?:#\d+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
+    out = raw
+    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·")):
         out = F.replace(out, F.lit(entity), F.lit(char))
-    out = collapse(out)
-    return F.substring(out, 1, most) if most else out
+    out = collapse(F.coalesce(_unescaped(F.when(rare, raw)), F.regexp_replace(out, "&amp;?", "&")))
+    return cut(out, most) if most else out
 
 
 def cut(c: Column | str, most: int) -> Column:

@@ -30,6 +30,33 @@ def positions(df: DataFrame, *order: Column | str, name: str = "position") -> Da
     return dealt.join(F.broadcast(sizes.select("_part", before.alias("_before"))), "_part").withColumn(name, F.col("_before") + inside + 1).drop("_at", "_part", "_before")  # a row a part
 
 
+def in_blocks(df: DataFrame, by: list[str], order: list[str], back: int, size: int = 1 << 14) -> DataFrame:
+    """Rows for a window of the last `back` rows before each one of its group: adds _block and _carried.
+
+    A group is cut in its order into blocks of `size` rows, and the last `back` rows of a block are also given to the next
+    one, marked as carried; so a window over (by, _block) sees what it needs, and a group of very many rows is dealt over
+    many tasks. Leave carried rows out of the result.
+    """
+    dealt = df.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).withColumn("_at", F.monotonically_increasing_id())
+    dealt = written(dealt, "blocks").withColumn("_part", F.shiftright("_at", 33))
+    parts = dealt.groupBy(*by, "_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.withColumns({f"_by{i}": F.col(c) for i, c in enumerate(by)}).withColumn("_before", before).select("_part", *(f"_by{i}" for i in range(len(by))), "_first", "_before")
+    placed = dealt.join(parts.withColumnRenamed("_part", "_part2"), (F.col("_part") == F.col("_part2")) & _same(by)).withColumn("_place", F.col("_before") + F.col("_at") - F.col("_first"))
+    block, inside = F.floor(F.col("_place") / size), F.col("_place") % size
+    here = F.array(F.struct(block.alias("b"), F.lit(False).alias("c")))
+    both = F.array(F.struct(block.alias("b"), F.lit(False).alias("c")), F.struct((block + 1).alias("b"), F.lit(True).alias("c")))
+    spread = placed.withColumn("_in", F.explode(F.when(inside >= size - back, both).otherwise(here)))
+    return spread.select(*df.columns, F.col("_in.b").alias("_block"), F.col("_in.c").alias("_carried"))
+
+
+def _same(by: list[str]) -> Column:
+    out = F.lit(True)
+    for i, c in enumerate(by):
+        out = out & F.col(c).eqNullSafe(F.col(f"_by{i}"))
+    return out
+
+
 def fuse(lists: dict[str, tuple[DataFrame, float]], by: list[str], key: str, constant: int = 60) -> DataFrame:
     """Weighted reciprocal rank fusion: sum of weight / (constant + rank) over the lists that hold a key.
 

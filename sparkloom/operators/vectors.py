@@ -85,8 +85,8 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int | None, most_queries:
         found = rows.mapInArrow(lambda batches: collected(*sent.value, batches), schema)
     else:
         q_blocks, v_blocks = -(-queries.count() // most_queries), max(1, -(-rows.count() // block))
-        left = queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks))).withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(v_blocks - 1))).cast("long"))
-        right = rows.withColumn("vb", F.pmod(F.xxhash64("vec_id"), F.lit(v_blocks))).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).cast("long"))
+        left = queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks))).withColumn("vb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(v_blocks - 1).cast("long"))))
+        right = rows.withColumn("vb", F.pmod(F.xxhash64("vec_id"), F.lit(v_blocks))).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long"))))
 
         def pair(left: pa.Table, right: pa.Table) -> pa.Table:
             places, units = _units(left.column("q").combine_chunks())

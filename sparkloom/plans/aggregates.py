@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text
 from ..operators.ranking import top
-from ..operators.summaries import by_and_total, rate
+from ..operators.summaries import by_and_total, exact_percentiles, rate
 from .base import query, read
 from .filters import BM25_SQL, SEARCHED_SQL, searched, text_hits
 
@@ -32,8 +32,10 @@ def agg_01(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT CAST(date_trunc('day', ts) AS DATE) AS day, event_type AS bucket, count(*) AS n, round(avg(least(value / 100, 1)), 4) AS confidence, round(avg(value) + 1e-9, 3) AS mean, round(quantile_cont(value, 0.95) + 1e-9, 3) AS p95, round(avg(CASE WHEN user_id % 5 = 0 THEN 1.0 ELSE 0.0 END), 4) AS fallback FROM events GROUP BY day, bucket")
 def agg_02(spark: SparkSession, sf: str) -> DataFrame:
     """Daily routing quality per bucket."""
-    e = read(spark, sf, "events").groupBy(F.to_date("ts").alias("day"), F.col("event_type").alias("bucket"))
-    return e.agg(F.count("*").alias("n"), F.round(F.avg(F.least(F.col("value") / 100, F.lit(1.0))), 4).alias("confidence"), F.round(F.avg("value") + 1e-9, 3).alias("mean"), F.round(F.percentile("value", 0.95) + 1e-9, 3).alias("p95"), F.round(F.avg((F.col("user_id") % 5 == 0).cast("double")), 4).alias("fallback"))
+    e = read(spark, sf, "events").select(F.to_date("ts").alias("day"), F.col("event_type").alias("bucket"), "value", "user_id")
+    means = e.groupBy("day", "bucket").agg(F.count("*").alias("n"), F.round(F.avg(F.least(F.col("value") / 100, F.lit(1.0))), 4).alias("confidence"), F.round(F.avg("value") + 1e-9, 3).alias("mean"), F.round(F.avg((F.col("user_id") % 5 == 0).cast("double")), 4).alias("fallback"))
+    p95 = exact_percentiles(e, ["day", "bucket"], "value", (0.95,)).select("day", "bucket", F.round(F.col("p95") + 1e-9, 3).alias("p95"))
+    return means.join(p95, ["day", "bucket"], "left").select("day", "bucket", "n", "confidence", "mean", "p95", "fallback")
 
 
 @query(f"SELECT d.source, count(*) AS n, round(avg({POINTS}), 4) AS mean_score, CAST(sum(quality) AS BIGINT) AS good, CAST(sum(toxic) AS BIGINT) AS bad FROM labels JOIN documents AS d USING (doc_id) GROUP BY d.source")
@@ -133,8 +135,10 @@ def agg_11_misses(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT event_type, count(*) AS n, count(*) FILTER (WHERE value > 1) AS success, round(avg(value) + 1e-9, 3) AS mean, min(value) AS low, max(value) AS high, " + ", ".join(f"round(quantile_cont(value, {p / 100}), 4) AS p{p}" for p in (50, 90, 95, 99)) + " FROM events GROUP BY event_type")
 def agg_12(spark: SparkSession, sf: str) -> DataFrame:
     """Latency summary."""
-    points = [F.round(F.percentile("value", p / 100), 4).alias(f"p{p}") for p in (50, 90, 95, 99)]
-    return read(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(F.col("value") > 1).alias("success"), F.round(F.avg("value") + 1e-9, 3).alias("mean"), F.min("value").alias("low"), F.max("value").alias("high"), *points)
+    e, points = read(spark, sf, "events").select("event_type", "value"), (0.5, 0.9, 0.95, 0.99)
+    means = e.groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(F.col("value") > 1).alias("success"), F.round(F.avg("value") + 1e-9, 3).alias("mean"), F.min("value").alias("low"), F.max("value").alias("high"))
+    exact = exact_percentiles(e, ["event_type"], "value", points)
+    return means.join(exact.select("event_type", *(F.round(c, 4).alias(c) for c in exact.columns[1:])), "event_type", "left")
 
 
 EXPERIMENTS_SQL = SEARCHED_SQL.format(k=8) + """, runs AS (SELECT e.experiment, q.label AS agent, max(CASE WHEN h.label = q.label AND h.rank <= e.k AND h.vec_id <> h.query_id THEN 1.0 ELSE 0.0 END) AS hit
@@ -174,15 +178,17 @@ TERM_STATS_SQL = """t AS (SELECT doc_id, lang AS agent, source AS grp, unnest(li
 
 
 def term_stats(spark: SparkSession, sf: str) -> DataFrame:
-    """Support, precision, coverage and score of every term for every agent (language)."""
+    """Support, precision, coverage and score of every term that at least two texts of an agent (language) hold."""
     docs = read(spark, sf, "documents").select("doc_id", F.col("lang").alias("agent"), F.col("source").alias("grp"), "text")
-    t = docs.select("doc_id", "agent", "grp", F.explode(text.keywords("text")).alias("term"))
-    a = t.groupBy("term", "agent").agg(F.count("*").alias("support"), F.countDistinct("grp").alias("groups"))
-    g = a.groupBy("term").agg(F.sum("support").alias("everywhere"))  # from the sums, not from the rows
+    # Counted per (term, agent, group) first; the terms of one document, the largest part, fall to the support cut before any join.
+    t = docs.select("agent", "grp", F.explode(text.keywords("text")).alias("term")).groupBy("term", "agent", "grp").agg(F.count("*").alias("n"))
+    a = t.groupBy("term", "agent").agg(F.sum("n").alias("support"), F.count("grp").alias("groups"))
+    w = Window.partitionBy("term")  # a row an agent
+    a = a.withColumn("everywhere", F.sum("support").over(w)).where("support >= 2")
     n = docs.groupBy("agent").agg(F.count("*").alias("docs"))
     precision = F.col("support") / F.col("everywhere")
     score = F.pow(precision, F.lit(2)) * F.log1p("support") * F.log1p("groups")
-    return a.join(g, "term").join(F.broadcast(n), "agent").select("term", "agent", "support", "everywhere", "groups", precision.alias("precision"), (F.col("support") / F.col("docs")).alias("coverage"), F.round(score, 6).alias("score"))
+    return a.join(n, "agent").select("term", "agent", "support", "everywhere", "groups", precision.alias("precision"), (F.col("support") / F.col("docs")).alias("coverage"), F.round(score, 6).alias("score"))
 
 
 @query("WITH " + TERM_STATS_SQL + " SELECT term, agent, support, everywhere, groups, round(precision, 6) AS precision, round(coverage, 6) AS coverage, score FROM stats WHERE support >= 2")

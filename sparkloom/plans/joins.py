@@ -112,11 +112,11 @@ def jn_07(spark: SparkSession, sf: str) -> DataFrame:
     return events.withColumn("rn", F.row_number().over(newest)).where("event_type <> 'view' or rn = 1").select("event_id", "user_id", "event_type")
 
 
-@query("SELECT c.conv_id, c.turn, t.event_id AS trace FROM conversations AS c LEFT JOIN (SELECT user_id, max_by(event_id, struct_pack(ts := ts, id := event_id)) AS event_id FROM events GROUP BY user_id) AS t ON c.conv_id = t.user_id")
+@query("SELECT c.conv_id, c.turn, t.event_id AS trace FROM conversations AS c LEFT JOIN (SELECT user_id, event_id % 6 AS turn, max_by(event_id, struct_pack(ts := ts, id := event_id)) AS event_id FROM events GROUP BY user_id, event_id % 6) AS t ON c.conv_id = t.user_id AND c.turn = t.turn")
 def jn_08(spark: SparkSession, sf: str) -> DataFrame:
-    """Each message with the last trace of its turn."""
-    traces = read(spark, sf, "events").groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("trace"))
-    return read(spark, sf, "conversations").join(traces, F.col("conv_id") == F.col("user_id"), "left").select("conv_id", "turn", "trace")
+    """Each message with the trace of its turn, the last one where there are several (traces name conversation and turn)."""
+    traces = read(spark, sf, "events").groupBy(F.col("user_id").alias("conv_id"), (F.col("event_id") % 6).alias("turn")).agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("trace"))
+    return read(spark, sf, "conversations").select("conv_id", "turn").join(traces, ["conv_id", "turn"], "left")
 
 
 @query("SELECT event_id, user_id, epoch_us(next_ts) - epoch_us(ts) AS latency_us FROM (SELECT *, lead(event_type) OVER w AS next_type, lead(ts) OVER w AS next_ts FROM events WHERE event_type IN ('click', 'purchase') WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE event_type = 'click' AND next_type = 'purchase'")

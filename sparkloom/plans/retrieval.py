@@ -133,7 +133,7 @@ def ret_12(spark: SparkSession, sf: str) -> DataFrame:
     return top(evidence(spark, sf).where("score >= 4"), ["query_id"], 3, F.desc("score"), F.asc("doc_id"), F.asc("i")).select("query_id", "doc_id", "i", "score")
 
 
-@query(f"WITH p AS (SELECT {HOST_SQL} AS host, min(page_id) AS page_id FROM pages GROUP BY url), a AS (SELECT * FROM p WHERE host = 'example.com' OR ends_with(host, '.example.com')) SELECT host, page_id, sha256(substr({HTML_SQL.format('html')}, 1, 600)) AS snippet FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY page_id) AS r FROM a) JOIN pages USING (page_id) WHERE r <= 3")
+@query(f"WITH p AS (SELECT {HOST_SQL} AS host, min(page_id) AS page_id FROM pages GROUP BY url), a AS (SELECT * FROM p WHERE host = 'example.com' OR ends_with(host, '.example.com')) SELECT host, page_id, sha256(CASE WHEN length({HTML_SQL.format('html')}) > 600 THEN rtrim(substr({HTML_SQL.format('html')}, 1, 597)) || '...' ELSE {HTML_SQL.format('html')} END) AS snippet FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY page_id) AS r FROM a) JOIN pages USING (page_id) WHERE r <= 3")
 def ret_13(spark: SparkSession, sf: str) -> DataFrame:
     """Web evidence: allowed hosts, one page per URL, three pages per host, 600 characters of text."""
     pages = read(spark, sf, "pages")

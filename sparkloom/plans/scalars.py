@@ -70,7 +70,7 @@ def scl_06(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "documents").select("doc_id", t.alias("t")).select("doc_id", path[0].alias("title"), F.element_at(path, -1).alias("leaf"), F.regexp_extract("t", r"Art\. (\d+)", 1).alias("article"), F.regexp_extract("t", r"par\. (\d+)", 1).alias("paragraph"))
 
 
-HTML_SQL = "trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace({0}, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<noscript[^>]*>.*?</noscript>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&'), '\\s+', ' ', 'g'))"
+HTML_SQL = "trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace({0}, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<noscript[^>]*>.*?</noscript>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&copy;', '©'), '&middot;', '·'), '&amp;?', '&', 'g'), '\\s+', ' ', 'g'))"
 
 
 @query("SELECT page_id, sha256(" + HTML_SQL.format("html") + ") AS text_sha256, CAST(length(" + HTML_SQL.format("html") + ") AS BIGINT) AS n_chars FROM pages")
@@ -96,28 +96,67 @@ def repair(c: str) -> F.Column:
     return F.when((text_markers(c) >= 3) & F.is_valid_utf8(F.encode(c, "ISO-8859-1").cast("string")), back).otherwise(F.when(F.is_valid_utf8(F.encode(c, "ISO-8859-1").cast("string")), back).otherwise(F.col(c)))
 
 
+IMAGE = r"!\[[^\]]*\]\(data:image/[^)]*\)|data:image/[A-Za-z+.-]+;base64,[A-Za-z0-9+/=]+"  # in a link, or bare
+INJECTED_SQL = "html || CASE page_id % 3 WHEN 0 THEN chr(13) || chr(10) || '![x](data:image/png;base64,iVBORw0KGgo=)' WHEN 1 THEN ' data:image/gif;base64,R0lGODlh' || chr(10) || chr(10) || chr(10) || chr(10) ELSE '' END"
+
+
 @query(
-    "SELECT page_id, CAST(len(regexp_extract_all(html, '(?s)<!--.*?-->')) AS BIGINT) AS comments, CAST(len(regexp_extract_all(html, chr(160))) AS BIGINT) AS hard_blanks, CAST(length(c) AS BIGINT) AS n_chars, c <> html AS changed FROM (SELECT *, regexp_replace(replace(replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), chr(13) || chr(10), chr(10)), chr(160), ' '), '\\n{3,}', chr(10) || chr(10), 'g') AS c FROM pages)"
+    f"""WITH h AS (SELECT page_id, {INJECTED_SQL} AS h FROM pages), a AS (SELECT page_id, h, regexp_replace(regexp_replace(h, '{IMAGE}', '', 'g'), '(?s)<!--.*?-->', '', 'g') AS a FROM h),
+    b AS (SELECT page_id, h, replace(replace(replace(a, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(160), ' ') AS b, a FROM a)
+    SELECT page_id, CAST(len(regexp_extract_all(h, '{IMAGE}')) AS BIGINT) AS images, CAST(len(regexp_extract_all(regexp_replace(h, '{IMAGE}', '', 'g'), '(?s)<!--.*?-->')) AS BIGINT) AS comments, CAST(len(regexp_extract_all(a, chr(160))) AS BIGINT) AS hard_blanks, CAST(len(regexp_extract_all(a, chr(13))) AS BIGINT) AS returns, CAST(len(regexp_extract_all(b, '\n{{3,}}')) AS BIGINT) AS blank_runs,
+    sha256(regexp_replace(regexp_replace(b, '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') || chr(10)) AS text_sha256, regexp_replace(regexp_replace(b, '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') || chr(10) <> h AS changed FROM b"""
 )
 def scl_09(spark: SparkSession, sf: str) -> DataFrame:
-    """Markdown cleaning with counters."""
-    cleaned = F.regexp_replace(F.translate(F.replace(F.regexp_replace("html", r"(?s)<!--.*?-->", ""), F.lit("\r\n"), F.lit("\n")), "\u00a0", " "), r"\n{3,}", "\n\n")
-    counts = [F.regexp_count("html", F.lit(r"(?s)<!--.*?-->")).cast("long").alias("comments"), F.regexp_count("html", F.lit("\u00a0")).cast("long").alias("hard_blanks")]
-    return read(spark, sf, "pages").select("page_id", *counts, F.length(cleaned).cast("long").alias("n_chars"), (cleaned != F.col("html")).alias("changed"))
+    """Markdown cleaning with a counter for each kind of change: embedded images, comments, hard blanks, carriage returns, runs
+    of blank lines. Images, returns and blank lines are injected."""
+    kind = F.col("page_id") % 3
+    injected = F.when(kind == 0, "\r\n![x](data:image/png;base64,iVBORw0KGgo=)").when(kind == 1, " data:image/gif;base64,R0lGODlh\n\n\n\n").otherwise("")
+    pages = read(spark, sf, "pages").select("page_id", F.concat("html", injected).alias("h")).withColumn("i", F.regexp_replace("h", IMAGE, ""))
+    pages = pages.withColumn("a", F.regexp_replace("i", r"(?s)<!--.*?-->", ""))
+    pages = pages.withColumn("b", F.translate(F.replace("a", F.lit("\r\n"), F.lit("\n")), "\r\u00a0", "\n "))
+    clean = F.concat(text.strip(F.regexp_replace("b", r"\n{3,}", "\n\n")), F.lit("\n"))
+    count = lambda c, p: F.regexp_count(c, F.lit(p)).cast("long")
+    return pages.select(
+        "page_id", count("h", IMAGE).alias("images"), count("i", r"(?s)<!--.*?-->").alias("comments"), count("a", "\u00a0").alias("hard_blanks"), count("a", "\r").alias("returns"), count("b", r"\n{3,}").alias("blank_runs"),
+        F.sha2(clean, 256).alias("text_sha256"), (clean != F.col("h")).alias("changed"),
+    )
+
+
+#: Lines that are mended as they stand, in the files of one source: what is there, and what belongs there.
+ANOMALIES = {"src0": (("## | odd", "odd"), ("## 2 **Heading O**", "## **Heading O2**")), "src1": (("## | odd", "| odd |"),)}
+MARKED_SQL = "CASE i % 5 WHEN 1 THEN '## ' || CAST(i AS VARCHAR) || '.2 ' || line WHEN 2 THEN '## | ' || line WHEN 3 THEN '## | odd' WHEN 4 THEN '## 2 **Heading O**' ELSE line END"
+ANOMALY_SQL = "CASE " + " ".join(f"WHEN source = '{f}' AND trim(line) = '{a}' THEN '{b}'" for f, pairs in ANOMALIES.items() for a, b in pairs) + " END"
 
 
 @query(
-    """WITH l AS (SELECT doc_id, unnest(s) AS line, generate_subscripts(s, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)),
-    h AS (SELECT doc_id, CASE WHEN i % 3 = 1 THEN '## ' || CAST(i AS VARCHAR) || '.2 ' || line WHEN i % 3 = 2 THEN '## | ' || line ELSE line END AS line FROM l)
-    SELECT kind, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(line, '^## \\d+\\.\\d+') THEN 'deepened' WHEN regexp_matches(line, '^##+ \\|') THEN 'demoted' ELSE 'kept' END AS kind FROM h) GROUP BY kind"""
+    f"""WITH l AS (SELECT doc_id, source, unnest(s) AS line, generate_subscripts(s, 1) AS i FROM (SELECT doc_id, source, string_split(text, chr(10)) AS s FROM documents)),
+    h AS (SELECT doc_id, source, i, {MARKED_SQL} AS line FROM l), a AS (SELECT *, {ANOMALY_SQL} AS mended FROM h),
+    k AS (SELECT *, CASE WHEN mended IS NOT NULL THEN 'anomaly' WHEN regexp_matches(line, '^##+ \\|') THEN 'table' WHEN regexp_matches(line, '^## (\\*\\*)?\\d{{1,2}}\\.\\d{{1,2}}\\b') THEN 'subsection' ELSE 'kept' END AS kind FROM a),
+    r AS (SELECT *, CASE kind WHEN 'anomaly' THEN mended WHEN 'table' THEN regexp_replace(line, '^##+ ', '') WHEN 'subsection' THEN '#' || line ELSE line END AS fixed FROM k)
+    SELECT doc_id, CAST(count(*) FILTER (WHERE kind = 'anomaly') AS INTEGER) AS anomalies, CAST(count(*) FILTER (WHERE kind = 'table') AS INTEGER) AS tables, CAST(count(*) FILTER (WHERE kind = 'subsection') AS INTEGER) AS subsections, sha256(string_agg(fixed, chr(10) ORDER BY i)) AS repaired_sha256 FROM r GROUP BY doc_id"""
 )
 def scl_10(spark: SparkSession, sf: str) -> DataFrame:
-    """Heading repair per line, counted by kind (headings are injected)."""
-    lines = read(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "line"))
-    i = F.col("p") + 1
-    marked = lines.select(F.when(i % 3 == 1, F.concat(F.lit("## "), i.cast("string"), F.lit(".2 "), "line")).when(i % 3 == 2, F.concat(F.lit("## | "), "line")).otherwise(F.col("line")).alias("line"))
-    kind = F.when(F.col("line").rlike(r"^## \d+\.\d+"), "deepened").when(F.col("line").rlike(r"^##+ \|"), "demoted").otherwise("kept")
-    return marked.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+    """Heading repair per line: the map of known anomalies first, then table rows that became headings, then subsections one
+    level down; the repaired text and how many lines of each kind changed. All in the row; odd lines are injected."""
+    docs = read(spark, sf, "documents")
+
+    def marked(line: F.Column, at: F.Column) -> F.Column:
+        i = at + 1
+        return F.when(i % 5 == 1, F.concat(F.lit("## "), i.cast("string"), F.lit(".2 "), line)).when(i % 5 == 2, F.concat(F.lit("## | "), line)).when(i % 5 == 3, "## | odd").when(i % 5 == 4, "## 2 **Heading O**").otherwise(line)
+
+    def fixed(line: F.Column) -> F.Column:
+        known = F.lit(None).cast("string")
+        for source, pairs in ANOMALIES.items():
+            for there, right in pairs:
+                known = F.when((F.col("source") == source) & (F.trim(line) == there), right).otherwise(known)
+        table, deep = line.rlike(r"^##+ \|"), line.rlike(r"^## (\*\*)?\d{1,2}\.\d{1,2}\b")
+        kind = F.when(known.isNotNull(), "anomaly").when(table, "table").when(deep, "subsection").otherwise("kept")
+        new = F.when(known.isNotNull(), known).when(table, F.regexp_replace(line, "^##+ ", "")).when(deep, F.concat(F.lit("#"), line)).otherwise(line)
+        return F.struct(kind.alias("kind"), new.alias("line"))
+
+    lines = docs.select("doc_id", "source", F.transform(F.split("text", "\n"), marked).alias("l")).select("doc_id", F.transform("l", fixed).alias("l"))
+    count = lambda k: F.size(F.filter("l", lambda x: x["kind"] == k))
+    return lines.select("doc_id", count("anomaly").alias("anomalies"), count("table").alias("tables"), count("subsection").alias("subsections"), F.sha2(F.array_join(F.transform("l", lambda x: x["line"]), "\n"), 256).alias("repaired_sha256"))
 
 
 @query(
@@ -167,12 +206,33 @@ def scl_14(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "conversations").select("conv_id", "turn", F.sha2(out, 256).alias("clean"))
 
 
-@query("SELECT conv_id, turn, regexp_matches(lower(text), '\\b(perhaps|maybe|there|vielleicht|peut)') AS uncertain, CASE WHEN strpos(lower(text), ' the ') > 0 THEN substr(text, 1, strpos(lower(text), ' the ') - 1) ELSE text END AS head FROM conversations WHERE role = 'assistant'")
+#: Wording of answers that do not know, in the languages of the texts; openings that hedge; how a reservation begins.
+ABSENT = r"not in the documents|keine angabe|pas trouv|no consta"
+HEDGE = r"^(It seems that|Apparently,|Wohl|Il semble que)\s+"
+CONCESSION = r"(^|[^\p{L}])(However|Jedoch|Cependant)[ ,]"
+TAIL = r"(I could not find|Please check|Bitte pr)"
+ANSWER_SQL = "CASE turn % 4 WHEN 0 THEN 'It seems that ' || text WHEN 1 THEN text || ' However, the rest is not in the documents.' WHEN 2 THEN 'However, ' || text ELSE text || ' Please check the label.' END"
+
+
+@query(f"""WITH a AS (SELECT conv_id, turn, {ANSWER_SQL} AS t FROM conversations WHERE role = 'assistant'), b AS (SELECT *, trim(regexp_replace(trim(t), '{HEDGE}', '')) AS u FROM a),
+  c AS (SELECT *, length(regexp_extract(u, '(?s)^(.*?)(?:{CONCESSION})', 1)) AS cut, regexp_matches(u, '{CONCESSION}') AS conceded FROM b),
+  d AS (SELECT *, CASE WHEN conceded AND regexp_matches(lower(substr(u, cut + 1)), '{ABSENT}') THEN trim(substr(u, 1, cut)) ELSE u END AS v FROM c),
+  e AS (SELECT *, trim(regexp_replace(regexp_replace(v, '(?s){TAIL}.*$', ''), '[;,:-]+\\s*$', '')) AS head FROM d)
+  SELECT conv_id, turn, regexp_matches(lower(t), '{ABSENT}') OR trim(t) = '' AS uncertain, sha256(u) AS without_hedge, sha256(head) AS without_tail, CASE WHEN len(string_split(regexp_replace(head, '\\s+', ' ', 'g'), ' ')) >= 3 AND NOT regexp_matches(lower(head), '{ABSENT}') THEN sha256(head) END AS factual FROM e""")
 def scl_15(spark: SparkSession, sf: str) -> DataFrame:
-    """Uncertain wording, and the text before an uncertain tail (marked here by ' the ')."""
+    """Uncertain answers: whether one says that it does not know; the text without a hedging opening; without a reservation
+    (a concession only if what follows it is absent knowledge) or a closing referral; and the factual head, if what is left
+    says something. Openings and tails are injected."""
     said = read(spark, sf, "conversations").where("role = 'assistant'")
-    at = F.instr(F.lower("text"), " the ")
-    return said.select("conv_id", "turn", F.lower("text").rlike(r"\b(perhaps|maybe|there|vielleicht|peut)").alias("uncertain"), F.when(at > 0, F.expr("substring(text, 1, instr(lower(text), ' the ') - 1)")).otherwise(F.col("text")).alias("head"))
+    kind = F.col("turn") % 4
+    t = F.when(kind == 0, F.concat(F.lit("It seems that "), "text")).when(kind == 1, F.concat("text", F.lit(" However, the rest is not in the documents."))).when(kind == 2, F.concat(F.lit("However, "), "text")).otherwise(F.concat("text", F.lit(" Please check the label.")))
+    a = said.select("conv_id", "turn", t.alias("t")).withColumn("u", F.trim(F.regexp_replace(F.trim("t"), HEDGE, "")))
+    before = F.length(F.regexp_extract("u", "(?s)^(.*?)(?:" + CONCESSION + ")", 1))
+    concedes = F.col("u").rlike(CONCESSION) & F.lower(F.substring("u", before + 1, F.length("u"))).rlike(ABSENT)
+    b = a.withColumn("v", F.when(concedes, F.trim(F.substring("u", F.lit(1), before))).otherwise(F.col("u")))
+    b = b.withColumn("head", F.trim(F.regexp_replace(F.regexp_replace("v", "(?s)" + TAIL + ".*$", ""), r"[;,:-]+\s*$", "")))
+    factual = (F.size(F.split(F.regexp_replace("head", r"\s+", " "), " ")) >= 3) & ~F.lower("head").rlike(ABSENT)
+    return b.select("conv_id", "turn", (F.lower("t").rlike(ABSENT) | (F.trim("t") == "")).alias("uncertain"), F.sha2("u", 256).alias("without_hedge"), F.sha2("head", 256).alias("without_tail"), F.when(factual, F.sha2("head", 256)).alias("factual"))
 
 
 @query("SELECT conv_id, turn, sha256(trim(regexp_replace(regexp_replace(regexp_replace('Certainly! ' || text || chr(10) || 'Let me know if you need more.', '^(Certainly|Of course|Sure)[!,.]?\\s*', ''), '\\n?Let me know[^\\n]*$', ''), '(?i)internal tool', '', 'g'))) AS clean FROM conversations WHERE role = 'assistant'")
@@ -183,16 +243,37 @@ def scl_16(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.sha2(F.trim(out), 256).alias("clean"))
 
 
-QUESTION_TYPES = (("definition", r"^(what|que|was|qu)"), ("number", r"\d"), ("comparison", r"(^|[^\p{L}])(than|als|que)([^\p{L}]|$)"), ("list", r",.*,"), ("reason", r"(^|[^\p{L}])(for|por|pour)([^\p{L}]|$)"))
+#: Seventeen rules in order, eight kinds with "general"; the first that matches names the question. Own wording, for the
+#: languages of the texts.
+QUESTION_TYPES = (
+    ("comparative", r"(^|[^\p{L}])(than|als|versus)([^\p{L}]|$)"),
+    ("comparative", r"(^|[^\p{L}])(between|zwischen|entre) .+ (and|und|et|y) "),
+    ("troubleshooting", r"(^|[^\p{L}])(fault|fehler|d.faut|fallo)"),
+    ("troubleshooting", r"(^|[^\p{L}])(why|warum|pourquoi|por qu)"),
+    ("troubleshooting", r"keit[\p{L}]*ung"),
+    ("enumerative", r"(^|[^\p{L}])(which|welche|quels|cu.les) .{3,40}(are|sind|sont|son)([^\p{L}]|$)"),
+    ("enumerative", r",[^,]*,[^,]*,"),
+    ("enumerative", r"(^|[^\p{L}])(list|liste|lista)([^\p{L}]|$)"),
+    ("process", r"(^|[^\p{L}])(how|wie|comment|c.mo)([^\p{L}]|$)"),
+    ("process", r"(^|[^\p{L}])(step|schritt|.tape|paso)"),
+    ("process", r"[\p{L}]+ing in "),
+    ("regulatory", r"(^|[^\p{L}])(norm|law|gesetz|loi|ley)"),
+    ("regulatory", r"(^|[^\p{L}])(shall|muss|doit|debe)([^\p{L}]|$)"),
+    ("calculative", r"\d"),
+    ("factual_short", r"^(who|wer|qui|qui.n)([^\p{L}]|$)"),
+    ("factual_short", r"^(what|was|que|qu.)([^\p{L}]|$)"),
+    ("factual_short", r"^(the|der|la|el)([^\p{L}]|$)"),
+)
 
 
-@query("SELECT conv_id, turn, CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{p}') THEN '{n}'" for n, p in QUESTION_TYPES) + " ELSE 'other' END AS question_type FROM conversations WHERE role = 'user'")
+@query("SELECT conv_id, turn, CASE " + " ".join(f"WHEN regexp_matches(t, '{p}') THEN '{n}'" for n, p in QUESTION_TYPES) + " ELSE 'general' END AS question_type FROM (SELECT conv_id, turn, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS t FROM conversations WHERE role = 'user')")
 def scl_17(spark: SparkSession, sf: str) -> DataFrame:
     """Question type: the first rule that matches."""
-    kind = F.lit("other")
+    kind = F.lit("general")
     for name, pattern in reversed(QUESTION_TYPES):
-        kind = F.when(F.lower("text").rlike(pattern), name).otherwise(kind)
-    return read(spark, sf, "conversations").where("role = 'user'").select("conv_id", "turn", kind.alias("question_type"))
+        kind = F.when(F.col("t").rlike(pattern), name).otherwise(kind)
+    asked = read(spark, sf, "conversations").where("role = 'user'").select("conv_id", "turn", text.collapse(F.lower("text")).alias("t"))
+    return asked.select("conv_id", "turn", kind.alias("question_type"))
 
 
 @query("SELECT conv_id, turn, CASE WHEN length(trim(text)) < 20 THEN 'unusable' WHEN len(regexp_extract_all(text, '\\d+\\s*[%a-zA-Z]')) >= 2 THEN 'high' WHEN len(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')) >= 25 THEN 'medium' ELSE 'low' END AS quality FROM conversations WHERE role = 'assistant'")

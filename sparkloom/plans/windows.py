@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import vectors
-from ..operators.ranking import ranked, top
+from ..operators.ranking import in_blocks, ranked, top
+from ..operators.summaries import exact_percentiles
+from ..sources.shared import written
 from .base import query, read
 from .filters import BM25_SQL, SEARCHED_SQL, asking, searched, text_hits
 from .joins import LISTS_SQL, text_list
@@ -49,8 +51,9 @@ def win_04(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT event_id, CASE WHEN len(l) < 10 THEN 45.0 ELSE round(least(greatest(list_sort(l)[CAST(ceil(0.95 * len(l)) AS BIGINT)] * 1.3, 8), 45), 4) END AS timeout FROM (SELECT event_id, list(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS l FROM events)")
 def win_05(spark: SparkSession, sf: str) -> DataFrame:
     """Adaptive timeout: nearest-rank p95 of the last fifty latencies, by 1.3, from 8 to 45; 45 below ten samples."""
-    w = Window.partitionBy("event_type").orderBy("ts", "event_id").rowsBetween(-49, 0)
-    e = read(spark, sf, "events").select("event_id", F.collect_list("value").over(w).alias("l"))
+    events = in_blocks(read(spark, sf, "events").select("event_id", "event_type", "ts", "value"), ["event_type"], ["ts", "event_id"], back=49)
+    w = Window.partitionBy("event_type", "_block").orderBy("ts", "event_id").rowsBetween(-49, 0)
+    e = events.select("event_id", "_carried", F.collect_list("value").over(w).alias("l")).where("not _carried")
     p95 = F.element_at(F.array_sort("l"), F.ceil(F.lit(0.95) * F.size("l")).cast("int"))
     return e.select("event_id", F.when(F.size("l") < 10, 45.0).otherwise(F.round(F.least(F.greatest(p95 * 1.3, F.lit(8.0)), F.lit(45.0)), 4)).alias("timeout"))
 
@@ -113,10 +116,17 @@ def win_10(spark: SparkSession, sf: str) -> DataFrame:
 )
 def win_11(spark: SparkSession, sf: str) -> DataFrame:
     """Semantic breakpoints: a distance above the quartile rule opens a new chunk (the factor is a parameter; 0.5 here)."""
-    w = Window.partitionBy("label").orderBy("vec_id")
-    d = read(spark, sf, "embeddings").withColumn("before", F.lag("embedding").over(w)).select("label", "vec_id", F.round(1 - vectors.cosine(F.col("embedding"), F.col("before")), 6).alias("d"))
-    bars = d.groupBy("label").agg(F.percentile("d", 0.75).alias("q3"), F.percentile("d", 0.25).alias("q1")).select("label", (F.col("q3") + 0.5 * (F.col("q3") - F.col("q1"))).alias("bar"))
-    return d.join(bars, "label").select("label", "vec_id", F.sum(F.when(F.col("d") > F.col("bar") + 1e-9, 1).otherwise(0)).over(w).alias("chunk"))
+    rows = in_blocks(read(spark, sf, "embeddings").select("label", "vec_id", "embedding"), ["label"], ["vec_id"], back=1)
+    w = Window.partitionBy("label", "_block").orderBy("vec_id")
+    d = rows.withColumn("before", F.lag("embedding").over(w)).where("not _carried").select("label", "_block", "vec_id", F.round(1 - vectors.cosine(F.col("embedding"), F.col("before")), 6).alias("d"))
+    d = written(d, "distances")
+    bars = exact_percentiles(d, ["label"], "d", (0.25, 0.75)).select("label", (F.col("p75") + 0.5 * (F.col("p75") - F.col("p25"))).alias("bar"))
+    opens = d.join(bars, "label").withColumn("opens", F.when(F.col("d") > F.col("bar") + 1e-9, 1).otherwise(0))
+    # The number of a chunk: openings in the blocks before (a row a block), and inside the block.
+    blocks = opens.groupBy("label", "_block").agg(F.sum("opens").alias("n"))
+    earlier = F.coalesce(F.sum("n").over(Window.partitionBy("label").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    joined = opens.join(blocks.select("label", "_block", earlier.alias("earlier")), ["label", "_block"])
+    return joined.select("label", "vec_id", (F.col("earlier") + F.sum("opens").over(w)).alias("chunk"))
 
 
 @query("WITH " + SEARCHED_SQL.format(k=10) + " SELECT query_id, vec_id, rank FROM hits WHERE query_id = 100")

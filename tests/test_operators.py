@@ -2,10 +2,13 @@
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sparkloom.functions import algebra, text
-from sparkloom.operators import chunking, routing, upserts, vectors
+from sparkloom.operators import chunking, postings, routing, upserts, vectors
 from sparkloom.operators.dedup import not_contained
+from sparkloom.operators.ranking import in_blocks, positions
+from sparkloom.operators.summaries import exact_percentiles
 from sparkloom.plans.catalog import QUERIES
 from sparkloom.sources import readers, writers
 from sparkloom.streaming import jobs
@@ -160,3 +163,55 @@ def test_latencies_and_streaks_are_carried_between_batches(spark, tmp_path):
     for got, name in ((jobs.timeouts(stream), "win_05"), (jobs.streaks(stream), "win_06")):
         want = QUERIES[name](spark, FOLDER)
         assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_entities_and_cut(spark):
+    df = spark.createDataFrame([("<p>a &eacute; &#233; &amp;lt; &nbsp;b</p>",), ("x &copy; &amp y",), ("w" * 30,), (None,)], "h string")
+    assert [r[0] for r in df.select(text.html_to_text("h", 20)).collect()] == ["a é é &lt; b", "x © & y", "w" * 17 + "...", None]
+
+
+def test_arithmetic_follows_python(spark):
+    df = spark.createDataFrame([(3.0, 2.0, 0.0)], "a double, b double, c double")
+    names, values = {x: x for x in "abc"}, {"a": 3.0, "b": 2.0, "c": 0.0}
+    for formula in ("2 ** 3 ** 2", "a / -b", "-a ** 2", "a - b - c", "(a + b) * (a - (b * c))", "a / b ** 2", "a * -(b - 1) / 4", "+a"):
+        assert df.select(algebra.expression(formula, names)).first()[0] == pytest.approx(eval(formula, {}, values))  # noqa: S307
+    for formula in ("a / c", "a / c ** 2", "a / (b * (c))", "a / (b * (a - a))", "c ** -1", "a / -c"):
+        assert df.select(algebra.expression(formula, names)).first()[0] is None
+
+
+def test_places_and_blocks(spark):
+    rows = [(i % 3 if i % 7 else None, i * 37 % 101) for i in range(200)]
+    df = spark.createDataFrame(rows, "k int, v int").repartition(5)
+    placed = sorted((r.position, r.v) for r in positions(df, "v", "k").collect())
+    assert [p for p, _ in placed] == list(range(1, 201)) and [v for _, v in placed] == sorted(v for _, v in rows)
+    blocks = in_blocks(df.dropDuplicates(), ["k"], ["v"], back=2, size=5)
+    w = Window.partitionBy("k", "_block").orderBy("v").rowsBetween(-2, 0)
+    got = {(r.k, r.v): r.l for r in blocks.select("k", "v", "_carried", F.collect_list("v").over(w).alias("l")).where("not _carried").collect()}
+    for k in (0, 1, 2, None):
+        values = sorted({v for x, v in rows if x == k})
+        for i, v in enumerate(values):
+            assert got[k, v] == values[max(0, i - 2) : i + 1]
+
+
+def test_exact_percentiles(spark):
+    df = spark.createDataFrame([("a", float(x % 10)) for x in range(37)] + [("b", 5.0), ("b", None)], "k string, v double")
+    got = {r.k: (r.p25, r.p95) for r in exact_percentiles(df, ["k"], "v", (0.25, 0.95)).collect()}
+    want = {r.k: (r.p25, r.p95) for r in df.groupBy("k").agg(F.percentile("v", 0.25).alias("p25"), F.percentile("v", 0.95).alias("p95")).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in got)
+
+
+def test_text_search_by_scan_and_by_shuffle(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text")
+    asked = spark.read.parquet(f"{FOLDER}/benchmark.parquet").select(F.col("item_id").alias("query_id"), "text")
+    ways = [sorted((r.query_id, r.rank, r.doc_id, r.matched) for r in postings.bm25_top(asked, docs, 5, most_terms=n).collect()) for n in (1 << 19, 0)]
+    assert ways[0] == ways[1] and ways[0]
+    assert postings.bm25_top(asked.limit(0), docs, 5).count() == postings.bm25_top(asked, docs.limit(0), 5).count() == 0
+
+
+def test_nearest_by_blocks(spark):
+    v = spark.read.parquet(f"{FOLDER}/embeddings.parquet")
+    asked = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    for how in ({"k": 4}, {"k": 2, "within": "label"}, {"k": None, "threshold": 0.2}):
+        one, many = (sorted(map(tuple, vectors.nearest(asked, v, most_queries=n, block=64, **how).collect())) for n in (4096, 7))
+        assert one == many and one
+    assert vectors.nearest(asked.limit(0), v, 3).count() == vectors.nearest(asked, v.limit(0), 3).count() == 0
