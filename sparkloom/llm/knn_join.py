@@ -1,11 +1,12 @@
 """Exact top-k by inner product as a Voronoi kNN join.
 
-Queries are grouped by their nearest pivot. For a group with pivot p whose queries lie within r of p, every query q and
-vector x obey  p.x - r|x| <= q.x <= p.x + r|x|.  A summary pass finds, for each group, the (k+1)-th largest of the lower
-bounds over all vectors: a score that every query of the group is sure to reach k times without itself. A vector is
-replicated only to the groups where its upper bound reaches that score, and each group is solved locally, in blocks.
-Vectors that spread evenly in many dimensions give wide bounds; then most vectors go to most groups, and the number of
-groups follows the number of query blocks, so the work is that of comparing the stated queries with all rows in blocks.
+Pivots are drawn from the rows, and every row lies in the cell of its nearest pivot. A cell is summed up by its number of
+rows, the greatest distance and angle to its pivot, and its greatest norm. From that summary and a query q follow bounds
+on all scores in a cell with pivot p: q.p + |q| (greatest distance), and |q| (greatest norm) cos(angle(q, p) - greatest
+angle). A query is solved in its own cell first; its k-th score there is reached for sure, so it goes on only to the cells
+whose bounds reach that score. Cells are solved locally, each with the queries that were sent to it, in blocks.
+
+Vectors that spread evenly in many dimensions give wide bounds; cells_asked() tells how much was ruled out.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import written
+from .common import in_arrow, written
 
 EXACT = 2.0**53
 
@@ -61,16 +62,11 @@ def exact_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.clip(wide(a).dot(wide(b).T), ends.min, ends.max).astype(np.int64)
 
 
-def top_k(vectors: DataFrame, is_query, k: int = 20, scale: float = 64.0, group_queries: int = 2048, block_rows: int = 16384, seed: int = 0) -> DataFrame:
-    """query_id, rank, vec_id, score: the k highest integer inner products of each query with every other row.
+KEPT = "vec_id long, q boolean, v binary, n int"
 
-    vectors(vec_id, embedding); is_query is a condition on vec_id. Ties go to the smaller vec_id. A vector that is null or
-    holds a null or non-finite component takes no part; shorter vectors count as padded by zeros. A row is not its own
-    candidate, and neither is another row with the same vec_id. Repeated rows are candidates of their own, and repeated
-    query rows answer once. Rows with a null vec_id take no part. Fewer than k others give fewer rows; scores beyond 64
-    bits are held at the limit.
-    """
-    spark = vectors.sparkSession
+
+def _prepared(vectors: DataFrame, is_query, scale: float) -> DataFrame:
+    """Usable rows with their scaled integer vectors, written once."""
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -79,72 +75,72 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, scale: float = 64.0, group_
                 keep = pa.array(sound)
                 yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(keep), batch.column("q").take(keep), pa.array([ints[i].tobytes() for i in sound], pa.binary()), pa.array([len(ints[i]) for i in sound], pa.int32())], ["vec_id", "q", "v", "n"])
 
-    kept = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"), is_query.alias("q")).where("vec_id is not null").mapInArrow(prepare, "vec_id long, q boolean, v binary, n int")
-    kept = written(kept, "knn-vectors")
-    stats = kept.agg(F.count_if("q").alias("queries"), F.count("*").alias("rows"), F.max("n").alias("width")).first()
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    if not stats.queries:
-        return empty
-    width, n_groups = stats.width, max(1, -(-stats.queries // group_queries))
-    # As many pivots as query groups, drawn from the queries by hash: a bounded share (one in group_queries) of them.
-    chosen = kept.where("q").dropDuplicates(["vec_id"]).orderBy(F.xxhash64(F.lit(seed), "vec_id")).limit(n_groups).select("v").collect()
-    pivots = np.zeros((len(chosen), width))
-    for i, r in enumerate(chosen):
-        pivots[i, : len(r.v) // 8] = np.frombuffer(bytes(r.v), "<f8")
-    sent = spark.sparkContext.broadcast(pivots)
-
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = sent.value
-        for batch in batches:
-            if batch.num_rows:
-                m = _matrix(batch.column("v"), width)
-                with np.errstate(all="ignore"):
-                    far = np.sqrt(np.maximum((m**2).sum(1)[:, None] - 2 * m @ p.T + (p**2).sum(1), 0))
-                near = far.argmin(1)
-                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(near, pa.int32()), pa.array(far[np.arange(len(near)), near])], ["query_id", "v", "cell", "far"])
-
-    queries = kept.where("q").dropDuplicates(["vec_id"]).select("vec_id", "v").mapInArrow(assign, "query_id long, v binary, cell int, far double")
-    queries = written(queries, "knn-queries")
-    cells = {r.cell: (r.n, r.far) for r in queries.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()}
-    radii = np.array([cells.get(i, (0, 0.0))[1] for i in range(len(pivots))])
-    parts = np.array([-(-cells.get(i, (0, 0.0))[0] // group_queries) for i in range(len(pivots))])
-    slack = 1e-9
-
-    def lower(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, best = sent.value, np.zeros((0, len(sent.value)))
-        for batch in batches:
-            m = _matrix(batch.column("v"), width)
-            with np.errstate(all="ignore"):
-                bound = m @ p.T - radii * np.sqrt((m**2).sum(1))[:, None]
-            best = np.sort(np.vstack([best, bound]), 0)[-(k + 1) :]
-        cell, score = np.tile(np.arange(len(radii)), len(best)), best.ravel()
-        yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(score)], ["cell", "score"])
-
-    # A query's own row, or rows that share its id, may be among the best: the k-th of distinct ids is safe.
-    bounds = kept.dropDuplicates(["vec_id"]).select("v").mapInArrow(lower, "cell int, score double")
-    ranked = bounds.withColumn("r", F.row_number().over(Window.partitionBy("cell").orderBy(F.desc("score")))).where(F.col("r") == k + 1)
-    floor = {r.cell: r.score for r in ranked.collect()}
-    floors = np.array([floor.get(i, -np.inf) for i in range(len(pivots))])
-    n_blocks = max(1, -(-stats.rows // block_rows))
-
-    def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = sent.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            m = _matrix(batch.column("v"), width)
-            with np.errstate(all="ignore"):
-                reach = m @ p.T + radii * np.sqrt((m**2).sum(1))[:, None]
-            # Bounds that overflow decide nothing: such rows go everywhere.
-            row, cell = np.nonzero(~(reach + slack * (np.abs(reach) + 1) < floors) & (parts > 0))
-            yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), batch.column("block").take(pa.array(row)), batch.column("vec_id").take(pa.array(row)), batch.column("v").take(pa.array(row))], ["cell", "block", "vec_id", "v"])
-
-    block = F.pmod(F.xxhash64(F.lit(seed), "vec_id", F.lit("block")), F.lit(n_blocks)).cast("int")
-    data = kept.select(block.alias("block"), "vec_id", "v").mapInArrow(replicate, "cell int, block int, vec_id long, v binary")
-    part_of = F.create_map(*[x for i, n in enumerate(parts) for x in (F.lit(i), F.lit(int(max(1, n))))])
-    data = data.withColumn("part", F.explode(F.sequence(F.lit(0), part_of[F.col("cell")] - 1)))
-    asked = queries.withColumn("part", F.pmod(F.xxhash64("query_id"), part_of[F.col("cell")].cast("long")).cast("int"))
-    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"), is_query.alias("q")).where("vec_id is not null")
+    return written(in_arrow(rows, prepare, KEPT), "knn-vectors")
+
+
+class Cells:
+    """The rows by cell, and what is known of the cells on the driver: at most most_cells pivots and summaries."""
+
+    def __init__(self, kept: DataFrame, rows: int, width: int, cell_rows: int, most_cells: int, block_rows: int, seed: int):
+        self.width = width
+        many = int(min(most_cells, max(1, -(-rows // cell_rows))))
+        chosen = kept.dropDuplicates(["v"]).orderBy(F.xxhash64(F.lit(seed), "vec_id"), "vec_id").limit(many).select("v").collect()
+        self.pivots = np.zeros((len(chosen), width))
+        for i, r in enumerate(chosen):
+            self.pivots[i, : len(r.v) // 8] = np.frombuffer(bytes(r.v), "<f8")
+        sent = kept.sparkSession.sparkContext.broadcast(self.pivots)
+
+        def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            p = sent.value
+            for batch in batches:
+                if batch.num_rows:
+                    m = _matrix(batch.column("v"), width)
+                    with np.errstate(all="ignore"):
+                        far = np.sqrt(np.maximum((m**2).sum(1)[:, None] - 2 * m @ p.T + (p**2).sum(1), 0))
+                        cell = np.where(np.isnan(far), np.inf, far).argmin(1)
+                        size = np.sqrt((m**2).sum(1))
+                        angle = _angle(m, p)[np.arange(len(m)), cell]
+                    far = np.sqrt(((m - p[cell]) ** 2).sum(1))  # computed anew, without cancellation
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("vec_id", "q", "v")), pa.array(cell, pa.int32()), pa.array(far), pa.array(size), pa.array(angle)], ["vec_id", "q", "v", "cell", "far", "size", "angle"])
+
+        assigned = written(in_arrow(kept, assign, "vec_id long, q boolean, v binary, cell int, far double, size double, angle double"), "knn-cells")
+        summary = assigned.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far"), F.max("size").alias("size"), F.max("angle").alias("angle"))
+        by_cell = {r.cell: r for r in summary.collect()}  # a row a cell
+        get = lambda name, none: np.array([by_cell[i][name] if i in by_cell else none for i in range(len(self.pivots))])
+        self.n, self.far, self.size, self.angle = get("n", 0), get("far", 0.0), get("size", 0.0), get("angle", 0.0)
+        self.parts = np.maximum(1, -(-self.n // block_rows))
+        parts = kept.sparkSession.createDataFrame([(i, int(x)) for i, x in enumerate(self.parts)], "cell int, parts int")
+        self.rows = assigned.join(F.broadcast(parts), "cell").withColumn("part", F.pmod(F.xxhash64("vec_id", "v"), F.col("parts").cast("long")).cast("int"))
+        self.queries = assigned.where("q").dropDuplicates(["vec_id"]).select(F.col("vec_id").alias("query_id"), "v", "cell")
+
+    def bounds(self, m: np.ndarray) -> np.ndarray:
+        """For each query the highest score that any row of each cell can have."""
+        with np.errstate(all="ignore"):
+            size = np.sqrt((m**2).sum(1))[:, None]
+            ball = m @ self.pivots.T + size * self.far
+            cone = size * self.size * np.cos(np.maximum(_angle(m, self.pivots) - self.angle, 0))
+            return np.where(self.n > 0, np.fmin(ball, cone), -np.inf)
+
+
+def _angle(m: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Angles between rows; those of a zero vector are zero, which rules nothing out wrongly: its scores are zero."""
+    with np.errstate(all="ignore"):
+        cos = (m @ p.T) / (np.sqrt((m**2).sum(1))[:, None] * np.sqrt((p**2).sum(1)))
+    return np.where(np.isfinite(cos), np.arccos(np.clip(cos, -1, 1)), 0.0)
+
+
+def _solved(asked: DataFrame, cells: Cells, k: int, group_queries: int, seed: int) -> DataFrame:
+    """asked(query_id, v, cell): the k best rows of the cell for each of its queries; blocks of queries meet blocks of rows."""
+    width = cells.width
+    counted = written(asked, "knn-asked")
+    sizes = counted.groupBy("cell").agg(F.ceil(F.count("*") / group_queries).cast("int").alias("groups"))
+    parts = asked.sparkSession.createDataFrame([(i, int(x)) for i, x in enumerate(cells.parts)], "cell int, parts int")
+    sizes = sizes.join(F.broadcast(parts), "cell")  # a row a cell
+    left = counted.join(F.broadcast(sizes), "cell").withColumn("grp", F.pmod(F.xxhash64(F.lit(seed), "query_id"), F.col("groups").cast("long")).cast("int"))
+    left = left.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("cell", "grp", "part", "query_id", "v")
+    right = cells.rows.select("cell", "part", "vec_id", "v").join(F.broadcast(sizes.select("cell", "groups")), "cell")
+    right = right.withColumn("grp", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).select("cell", "grp", "part", "vec_id", "v")
 
     def solve(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["query_id", "vec_id", "score"]
@@ -169,7 +165,73 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, scale: float = 64.0, group_
         got = np.concatenate(out, 1)
         return pa.table({n: pa.array(got[i], pa.int64()) for i, n in enumerate(names)})
 
-    keys = ["cell", "part", "block"]
-    found = asked.groupBy(*keys).cogroup(data.groupBy(*keys)).applyInArrow(solve, "query_id long, vec_id long, score long")
+    keys = ["cell", "grp", "part"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(solve, "query_id long, vec_id long, score long")
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def _joined(vectors: DataFrame, is_query, k: int, scale: float, group_queries: int, block_rows: int, cell_rows: int, most_cells: int, seed: int) -> tuple[DataFrame, DataFrame, Cells] | None:
+    """(rows found in the own cells, further (query_id, v, cell) to ask, cells); None without queries."""
+    kept = _prepared(vectors, is_query, scale)
+    stats = kept.agg(F.count_if("q").alias("queries"), F.count("*").alias("rows"), F.max("n").alias("width")).first()
+    if not stats.queries:
+        return None
+    cells = Cells(kept, stats.rows, stats.width, cell_rows, most_cells, block_rows, seed)
+    home = written(_ranked(_solved(cells.queries, cells, k, group_queries, seed), k), "knn-home")
+    floors = home.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
+    cells_sent = vectors.sparkSession.sparkContext.broadcast((cells.pivots, cells.n, cells.far, cells.size, cells.angle))
+    width = cells.width
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Cells.__new__(Cells)
+        known.pivots, known.n, known.far, known.size, known.angle = cells_sent.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                some = batch.slice(at, 1024)
+                m = _matrix(some.column("v"), width)
+                floor = np.array([-np.inf if x is None else float(x) for x in some.column("floor").to_pylist()])
+                reach = known.bounds(m)
+                with np.errstate(all="ignore"):  # bounds that overflow decide nothing: such queries go everywhere
+                    able = ~(reach + 1e-9 * (np.abs(reach) + 1) < floor[:, None]) & (known.n > 0)
+                able[np.arange(len(m)), some.column("cell").to_numpy()] = False  # solved already
+                row, cell = np.nonzero(able)
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays([some.column("query_id").take(take), some.column("v").take(take), pa.array(cell, pa.int32())], ["query_id", "v", "cell"])
+
+    asked = in_arrow(cells.queries.join(floors, "query_id", "left"), spread, "query_id long, v binary, cell int")
+    return home, asked, cells
+
+
+def top_k(vectors: DataFrame, is_query, k: int = 20, scale: float = 64.0, group_queries: int = 2048, block_rows: int = 16384, cell_rows: int = 1024, most_cells: int = 4096, seed: int = 0) -> DataFrame:
+    """query_id, rank, vec_id, score: the k highest integer inner products of each query with every other row.
+
+    vectors(vec_id, embedding); is_query is a condition on vec_id. Ties go to the smaller vec_id. A vector that is null or
+    holds a null or non-finite component takes no part; shorter vectors count as padded by zeros. A row is not its own
+    candidate, and neither is another row with the same vec_id. Repeated rows are candidates of their own, and repeated
+    query rows answer once. Rows with a null vec_id take no part. Fewer than k others give fewer rows; scores beyond 64
+    bits are held at the limit. Other columns are not read; no rows give no rows.
+
+    There is about a cell for cell_rows rows, most_cells at most, which bounds pivots and summaries; a cell of more than
+    block_rows rows is solved in parts, so no task holds more than that many rows and group_queries queries.
+    """
+    got = _joined(vectors, is_query, k, scale, group_queries, block_rows, cell_rows, most_cells, seed)
+    if got is None:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    home, asked, cells = got
+    found = home.select("query_id", "vec_id", "score").unionByName(_solved(asked, cells, k, group_queries, seed))
+    return _ranked(found, k).select("query_id", "rank", "vec_id", "score")
+
+
+def cells_asked(vectors: DataFrame, is_query, k: int = 20, scale: float = 64.0, group_queries: int = 2048, block_rows: int = 16384, cell_rows: int = 1024, most_cells: int = 4096, seed: int = 0) -> DataFrame:
+    """query_id, n_cells, n_rows: how many cells, and rows in them, each query of top_k is compared with."""
+    got = _joined(vectors, is_query, k, scale, group_queries, block_rows, cell_rows, most_cells, seed)
+    if got is None:
+        return vectors.sparkSession.createDataFrame([], "query_id long, n_cells long, n_rows long")
+    _, asked, cells = got
+    sizes = vectors.sparkSession.createDataFrame([(i, int(n)) for i, n in enumerate(cells.n)], "cell int, n long")
+    every = asked.select("query_id", "cell").unionByName(cells.queries.select("query_id", "cell"))
+    return every.join(F.broadcast(sizes), "cell").groupBy("query_id").agg(F.count("*").alias("n_cells"), F.sum("n").alias("n_rows"))
