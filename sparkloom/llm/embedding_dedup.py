@@ -1,10 +1,12 @@
 """Near-duplicate vectors by randomised-rotation binary codes.
 
 Each vector is normalised and turned by seeded random rotations. The signs of its turned components are its code; the
-factor stored with it is the inner product of the turned vector with its own code. Code times a turned query, divided by
-that factor, is an unbiased estimate of their cosine, and the factor also gives its spread. Vectors that share a band of
-further sign bits are candidates; an estimate whose upper confidence bound stays below the threshold settles a pair, all
-other pairs are computed anew in double precision from the given components, so no reported link is below the threshold.
+factor stored with it is the inner product of the turned vector with its own code. Code times another turned vector,
+divided by that factor, is an unbiased estimate of their cosine, and the factor also gives its spread. The other vector
+enters rounded at random to four bits a component, so an estimate is a few counts of common bits. Vectors that share a band
+of further sign bits are candidates; only codes meet there. An estimate whose upper confidence bound stays below the
+threshold settles a pair; the rows of all other pairs meet again with their components, and pairs are computed anew in
+double precision, so no reported link is below the threshold.
 """
 
 from __future__ import annotations
@@ -37,6 +39,57 @@ def bands_for(rows: int, threshold: float, recall: float) -> tuple[int, int]:
     return bits, math.ceil(math.log(1 - recall) / math.log(1 - same))
 
 
+LEVELS = 4  # bits to a component of the side that is not a code
+
+
+def encoded(turned: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, ...]:
+    """Of turned unit vectors: packed signs, the correction factor of each, and its components rounded at random to sixteen
+    steps, as one packed plane per binary place, with the lowest value and the width of a step."""
+    bits = turned.shape[1]
+    padding = -bits % 64
+    factors = np.abs(turned).sum(1) / math.sqrt(bits)
+    low, high = turned.min(1), turned.max(1)
+    step = np.maximum((high - low) / (2**LEVELS - 1), 1e-300)
+    place = np.clip(np.floor((turned - low[:, None]) / step[:, None] + rng.random(turned.shape)), 0, 2**LEVELS - 1).astype(np.uint8)
+    pack = lambda x: np.packbits(np.pad(x, ((0, 0), (0, padding))), axis=1)
+    planes = np.stack([pack((place >> k) & 1) for k in range(LEVELS)], 1)
+    return pack((turned >= 0).astype(np.uint8)), factors, planes, low, step
+
+
+def estimates(code: np.ndarray, factor: np.ndarray, planes: np.ndarray, low: np.ndarray, step: np.ndarray, bits: int) -> np.ndarray:
+    """Unbiased estimates of inner products, pair by pair: codes (words) of one side, planes (words) of the other."""
+    ones = np.bitwise_count(code).sum(1, dtype=np.int64)
+    inside = sum(np.bitwise_count(code & planes[:, k]).sum(1, dtype=np.int64) << k for k in range(LEVELS))
+    every = sum(np.bitwise_count(planes[:, k]).sum(1, dtype=np.int64) << k for k in range(LEVELS))
+    return (low * (2 * ones - bits) + step * (2 * inside - every)) / math.sqrt(bits) / factor
+
+
+def upper_bounds(code: np.ndarray, factor: np.ndarray, planes: np.ndarray, low: np.ndarray, step: np.ndarray, bits: int, z: float) -> np.ndarray:
+    """Estimates and z deviations: those of the code, and those of the rounding (half a step a component at most)."""
+    of_code = (1 - np.minimum(factor, 1) ** 2) / factor**2 / (bits - 1)
+    return estimates(code, factor, planes, low, step, bits) + z * np.sqrt(of_code + (step / 2 / factor) ** 2)
+
+
+def _pairs(whole: pa.RecordBatch, keys: list[str], most: int, small: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of rows of each run. Of all runs of one size up to `small`, flat lists of pairs, each once; of a longer run,
+    or one of two parts, left rows (a column) against right rows (a row), most pairs at a time."""
+    bounds = run_bounds(whole, keys)
+    part, first, second = (whole.column(c).to_numpy() for c in ("part", "first", "second"))
+    sizes, starts = np.diff(bounds), bounds[:-1]
+    flat = (sizes <= small) & (first[starts] == second[starts])
+    for size in np.unique(sizes[flat & (sizes > 1)]).tolist():
+        a, b = np.triu_indices(size, 1)
+        at = starts[flat & (sizes == size)]
+        for some in np.array_split(at, -(-len(at) * len(a) // most)):
+            yield (some[:, None] + a).ravel(), (some[:, None] + b).ravel()
+    for start, end in zip(starts[~flat].tolist(), bounds[1:][~flat].tolist(), strict=True):
+        here = np.arange(start, end)
+        left, right = (here, here) if first[start] == second[start] else (here[part[start:end] == x] for x in (first[start], second[start]))
+        if len(left) and len(right):
+            for some in np.array_split(left, -(-len(left) * len(right) // (most * 16))):
+                yield some[:, None], right[None, :]
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95, recall: float = 0.999, code_bits: int = 256, z: float = 5.0, block: int = 2048, seed: int = 0) -> DataFrame:
     """vectors(vec_id, embedding): one row per row with vec_id, n_links, component_id, kept.
 
@@ -48,7 +101,6 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, recall: float =
     Buckets of more than `block` vectors are compared in pairs of blocks, so no task holds more than two blocks; no bucket
     is cut short. `recall` is the chance that a pair exactly at the threshold shares a band; closer pairs share more.
     """
-    spark = vectors.sparkSession
     numbered = written(vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"), F.monotonically_increasing_id().alias("row")), "vectors")
     rows, dims = numbered.agg(F.count("*"), F.max(F.size("embedding"))).first()
     dims = max(1, dims or 1)
@@ -58,7 +110,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, recall: float =
     powers = 1 << np.arange(bits, dtype=np.int64)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Code, factor and band keys of every usable vector."""
+        """Code, factor, planes and band keys of every usable vector."""
         for batch in batches:
             ids, vecs, units = [], [], []
             for row, vec in zip(batch.column("row").to_pylist(), batch.column("embedding").to_pylist(), strict=True):
@@ -76,66 +128,63 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, recall: float =
             if not ids:
                 continue
             m = np.array(units)
-            turned = m @ code_turn
-            factors = np.abs(turned).sum(1) / math.sqrt(code_bits)
-            codes = np.packbits(turned >= 0, axis=1)
+            codes, factors, planes, low, step = encoded(m @ code_turn, np.random.default_rng(np.array(ids, np.uint64)))
             keys = ((m @ band_turn >= 0).reshape(len(m), bands, bits) * powers).sum(2)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array([v.tobytes() for v in vecs], pa.binary()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(factors), pa.array(keys.tolist(), pa.list_(pa.int64()))],
-                ["row", "v", "code", "factor", "keys"],
-            )
+            texts = [pa.array([x.tobytes() for x in column], pa.binary()) for column in (vecs, codes, planes)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *texts, pa.array(factors), pa.array(low), pa.array(step), pa.array(keys.tolist(), pa.list_(pa.int64()))], ["row", "v", "code", "planes", "factor", "low", "step", "keys"])
 
-    indexed = written(in_arrow(numbered.select("row", "embedding"), index, "row long, v binary, code binary, factor double, keys array<long>"), "vector-codes")
+    indexed = written(in_arrow(numbered.select("row", "embedding"), index, "row long, v binary, code binary, planes binary, factor double, low double, step double, keys array<long>"), "vector-codes")
     bucketed = indexed.select("row", F.posexplode("keys").alias("band", "key"))
     sizes = bucketed.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").withColumn("parts", F.ceil(F.col("n") / block).cast("int"))
     placed = bucketed.join(sizes, ["band", "key"]).withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts").cast("long")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    placed = placed.withColumn("other", other).select("band", "key", "row", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
-    rows_in = placed.join(indexed, "row")
-    keys = ["band", "key", "low", "high"]
-    dealt = rows_in.repartition(*keys).sortWithinPartitions(*keys)
-    spread = z / math.sqrt(code_bits - 1)
+    placed = placed.withColumn("other", other).select("band", "key", "row", "part", F.least("part", "other").alias("first"), F.greatest("part", "other").alias("second"))
+    keys = ["band", "key", "first", "second"]
+
+    def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows of each block of a bucket for which some pair is not ruled out by its upper confidence bound."""
+        for whole in key_runs(batches, keys):
+            code, planes = (np.frombuffer(b"".join(whole.column(c).to_pylist()), "<u8").reshape(whole.num_rows, *shape) for c, shape in (("code", (-1,)), ("planes", (LEVELS, -1))))
+            factor, low, step = (whole.column(c).to_numpy() for c in ("factor", "low", "step"))
+            kept = np.zeros(whole.num_rows, bool)
+            for i, j in _pairs(whole, keys, 1 << 14):
+                if i.ndim == 2:  # a block: each left row with all right rows
+                    i, j = np.broadcast_arrays(i, j)
+                    i, j = i.ravel(), j.ravel()
+                able = upper_bounds(code[i], factor[i], planes[j], low[j], step[j], code_bits, z) >= threshold
+                kept[i[able]] = True
+                kept[j[able]] = True
+            yield whole.filter(pa.array(kept)).select([*keys, "row", "part"])
+
+    codes = placed.join(indexed.select("row", "code", "planes", "factor", "low", "step"), "row")
+    dealt = codes.repartition(*keys).sortWithinPartitions(*keys)
+    able = in_arrow(dealt, estimate, "band int, key long, first int, second int, row long, part int")
+    able = written(able, "vector-candidates")
+    # Components and band keys travel only for rows that have a pair left to be computed.
+    exact = able.join(indexed.select("row", "v", "keys"), "row").repartition(*keys).sortWithinPartitions(*keys)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in key_runs(batches, keys):
-            out: list[np.ndarray] = []
-            bounds = run_bounds(whole, keys)
-            row, part = (whole.column(c).to_numpy() for c in ("row", "part"))
-            band, low, high = (whole.column(c).to_numpy() for c in ("band", "low", "high"))
+            row, band, part = (whole.column(c).to_numpy() for c in ("row", "band", "part"))
             keyed = np.array(whole.column("keys").to_pylist(), np.int64).reshape(-1, bands)
-            raw = whole.column("v").to_pylist()
-            factor = whole.column("factor").to_numpy()
-            codes = np.unpackbits(np.frombuffer(b"".join(whole.column("code").to_pylist()), np.uint8).reshape(whole.num_rows, -1), axis=1, count=code_bits)
-            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                if b - a < 2:
-                    continue
-                left = np.arange(a, b) if low[a] == high[a] else np.arange(a, b)[part[a:b] == low[a]]
-                right = np.arange(a, b) if low[a] == high[a] else np.arange(a, b)[part[a:b] == high[a]]
-                if not len(left) or not len(right):
-                    continue
-                units = np.zeros((b - a, dims))
-                lengths = np.zeros(b - a, np.int64)
-                for i in range(a, b):
-                    v = np.frombuffer(raw[i], "<f8")
-                    lengths[i - a] = len(v)
-                    v = v / np.abs(v).max()
-                    units[i - a, : len(v)] = v / np.sqrt((v * v).sum())
-                turned = units[right - a] @ code_turn
-                for at in range(0, len(left), 512):
-                    some = left[at : at + 512]
-                    mine = (codes[some].astype(np.float64) * 2 - 1) / math.sqrt(code_bits)
-                    estimate = (mine @ turned.T) / factor[some][:, None]
-                    error = np.sqrt(1 - np.minimum(factor[some], 1) ** 2) / factor[some] * spread
-                    i, j = np.nonzero(estimate + error[:, None] >= threshold)
-                    i, j = some[i], right[j]
-                    new = (i < j) if low[a] == high[a] else np.ones(len(i), bool)
+            units, lengths = np.zeros((whole.num_rows, dims)), np.zeros(whole.num_rows, np.int64)
+            for at, raw in enumerate(whole.column("v").to_pylist()):
+                v = np.frombuffer(raw, "<f8")
+                lengths[at] = len(v)
+                v = v / np.abs(v).max()
+                units[at, : len(v)] = v / np.sqrt((v * v).sum())
+            out = []
+            for i, j in _pairs(whole, keys, 1 << 14):
+                if i.ndim == 2:  # a product first, then each close pair by itself, as pairs of small buckets are
+                    a, b = np.nonzero(units[i[:, 0]] @ units[j[0]].T >= threshold - 1e-9)
+                    i, j = i[a, 0], j[0, b]
+                    new = (i < j) | (part[i] != part[j])  # inside one part, each pair from its smaller row
                     i, j = i[new], j[new]
-                    if band[a]:
-                        first = ~(keyed[i, : band[a]] == keyed[j, : band[a]]).any(1)
-                        i, j = i[first], j[first]
-                    close = np.einsum("ij,ij->i", units[i - a], units[j - a]) >= threshold
-                    close &= lengths[i - a] == lengths[j - a]
-                    out.append(np.stack([i[close], j[close]]))
+                close = (np.einsum("ij,ij->i", units[i], units[j]) >= threshold) & (lengths[i] == lengths[j])
+                i, j = i[close], j[close]
+                earlier = (keyed[i] == keyed[j]) & (np.arange(bands) < band[i][:, None])  # the first band that two rows share counts them
+                once = ~earlier.any(1)
+                out.append(np.stack([i[once], j[once]]))
             pairs = np.concatenate(out, 1) if out else np.zeros((2, 0), np.int64)
             if pairs.shape[1]:
                 counts = np.bincount(pairs.ravel(), minlength=whole.num_rows)
@@ -149,7 +198,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, recall: float =
                 hit = np.flatnonzero(counts)
                 yield pa.RecordBatch.from_arrays([pa.array(row[hit]), pa.array(row[roots[hit]]), pa.array(counts[hit], pa.int64())], ["row", "root", "n"])
 
-    found = written(in_arrow(dealt, compare, "row long, root long, n long"), "vector-links")
+    found = written(in_arrow(exact, compare, "row long, root long, n long"), "vector-links")
     counts = found.groupBy("row").agg(F.sum("n").alias("n_links"))
     classes = connected_components(found.select(F.col("row").alias("a"), F.col("root").alias("b")))
     named = numbered.select("row", "vec_id").join(classes, F.col("row") == F.col("node"), "left").join(counts, "row", "left")
