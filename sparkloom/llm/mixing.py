@@ -137,7 +137,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, sha
     ends = ends.groupBy("key").agg(F.array_sort(F.collect_list("end")).alias("ends"))
     blocks = blocks.join(ends, "key")
     # A source's draws in order: all blocks of the first pass, of the second, and so on; shards take runs of them.
-    shard_of = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(cap).cast("long")), lambda c: F.size(F.filter("ends", lambda e: e <= c * F.col("in_use") + F.col("nth"))))
+    leaf = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(cap).cast("long")), lambda c: F.size(F.filter("ends", lambda e: e <= c * F.col("in_use") + F.col("nth"))))
+    shard_of = F.transform(leaf, lambda n: F.when(n < F.size("ends"), n))  # past the last end, no leaf's quota holds the draw
     blocks = blocks.select("key", "block", "ahead", "source_size", "target", "passes", "rest", shard_of.alias("shards"))
     in_block = Window.partitionBy("key", "block").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = blocked.withColumn("inside", F.coalesce(F.sum("size").over(in_block), F.lit(0))).join(blocks, ["key", "block"])
@@ -146,7 +147,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, sha
         F.sequence(F.lit(0).cast("long"), F.col("passes")),
         lambda c: F.struct(c.cast("int").alias("copy"), F.when(c < F.col("passes"), F.col("size")).otherwise(last).alias("words"), F.element_at("shards", c.cast("int") + 1).alias("shard"), F.xxhash64(F.lit(seed + 1), c, "order").alias("place")),
     )
-    draws = F.filter(copies, lambda d: (d["words"] > 0) & (d["shard"] < shards))  # past the last end, no leaf's quota holds the draw
+    draws = F.filter(copies, lambda d: (d["words"] > 0) & d["shard"].isNotNull())
     taken = F.aggregate("draws", F.lit(0).cast("long"), lambda a, d: a + d["words"])
     drawn = placed.select("doc_id", "source", "size", "source_size", "target", draws.alias("draws"), *carry)
     return drawn.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "draws", *carry)
