@@ -459,3 +459,170 @@ def test_severity_rises_with_grade(spark):
     scored = toxicity.score(docs, toxicity.fit(docs, labels)).groupBy((F.col("doc_id") % 4).alias("g")).agg(F.avg("severity").alias("s")).orderBy("g").collect()
     s = [r.s for r in scored]
     assert s == sorted(s) and s[3] > s[0] + 1
+
+
+def test_words_with_equal_polynomials_stay_apart(spark):
+    # The Thue-Morse word and its complement have the same polynomial modulo 2**64 for every odd base.
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    b = a.translate(str.maketrans("ab", "ba"))
+    assert word_hashes(a.encode())[0] != word_hashes(b.encode())[0]
+    rows = [(1, a), (2, b), (3, f"{a} x y"), (4, f"{b} x y"), (5, a)]
+    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 1}
+
+
+def test_line_filters_decide_at_every_size(spark, monkeypatch):
+    rows = [(i, f"common\nown {i}\nfew {i % 40}") for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    index = line_dedup.LineIndex.build(df, 10, shards=4)
+    want = brute_lines(rows, 10)
+    take = lambda out: Counter((r.doc_id, r.n_lines, r.n_dropped, r.kept) for r in out.collect())
+    for how in ({"indexed": True}, {}, {"broadcast_keys": 0}):
+        assert take(line_dedup.drop_frequent_lines(df, index, **how)) == want
+    # Without filters nothing may be dropped: they are asked in every way.
+    blind = line_dedup.LineIndex(index.counts, index.filters.limit(0), 10, 4, 1)
+    for how in ({"indexed": True}, {}, {"broadcast_keys": 0}):
+        assert sum(r.n_dropped for r in line_dedup.drop_frequent_lines(df, blind, **how).collect()) == 0
+    # Filters that hold everything decide nothing wrong: the exact counts settle what they hold wrongly.
+    full = np.arange(1, 65536, dtype=np.uint16)
+    tables = [(s, np.tile(full, 4)[: 4 * (1 << 16) // 4 * 4].tobytes()) for s in range(4)]
+    monkeypatch.setattr(line_dedup.CuckooFilter, "holds", lambda self, hashes: np.ones(len(hashes), bool))
+    assert tables and Counter(line_dedup._passing([line_dedup.digest(b"x")], {s: full for s in range(4)}, 4).tolist()) == {True: 1}
+    unseen = spark.createDataFrame([(1, "never seen\ncommon")], "doc_id long, text string")
+    assert line_dedup.drop_frequent_lines(unseen, index).first().kept == "never seen"
+
+
+def test_clashing_columns_of_the_join(spark):
+    df = spark.createDataFrame([(i, "a\nb", 1, "x", 2) for i in range(12)], "doc_id long, text string, row int, DROPS string, row_ int")
+    out = line_dedup.dedup_lines(df, 10, broadcast_keys=0)
+    assert out.columns == [*df.columns, "n_lines", "n_dropped", "kept"]
+    assert {tuple(r) for r in out.select("row", "DROPS", "row_", "kept").collect()} == {(1, "x", 2, "")}
+
+
+def test_every_text_goes_through_the_transducer(spark, monkeypatch):
+    bpe = load(WordBpe, WORD)
+    fed = []
+    real = bpe_stream.StreamEncoder.feed
+    monkeypatch.setattr(bpe_stream.StreamEncoder, "feed", lambda self, text: fed.append(text) or real(self, text))
+    for text in ("short", "“curly” — ½ 日本語 Σς", "<|endoftext|> x", "y" * 70_000):
+        fed.clear()
+        assert bpe_stream.encode(bpe, text).tolist() == bpe.library.encode(text, add_special_tokens=False).ids
+        assert "".join(fed) == text
+
+
+def test_streaming_encoder_on_odd_texts():
+    bpe, rng = load(WordBpe, WORD), random.Random(8)
+    some = ["a", "b", "é", "é", "́", "Σ", "σ", "İ", "日", "本", "。", "’", "'", "s", "ll", " ", "\n", "\t", "　", "\xa0", "1", "½", "-", "<|endoftext|>", "<|", "endoftext", "|>", "\x01", "한", "ᄒ", "ᅡ", "ᆫ", "🙂", "<|ENDOFTEXT|>"]
+    for _ in range(400):
+        text = "".join(rng.choice(some) for _ in range(rng.randint(0, 60)))
+        want = bpe.library.encode(text, add_special_tokens=False).ids
+        for size in (3, 17, 1 << 16):
+            assert bpe_stream.encode(bpe, text, size).tolist() == want
+    for text in ("".join(rng.choice("日本語。中文，a1") for _ in range(30_000)), "日" * 20_000, "-" * 15_000 + "<|endoftext|>" + "a" * 20_000 + "Σ" * 9_000):
+        assert bpe_stream.encode(bpe, text, 5000).tolist() == bpe.library.encode(text, add_special_tokens=False).ids
+
+
+def test_counts_of_long_texts_without_blanks(spark):
+    t, rng = library(BYTE), random.Random(6)
+    texts = ["".join(rng.choice(x) for _ in range(40_000)) for x in ("日本語。中文，a1", "abcdXYZ0123456789+/", "if(a)b=1;{}'s\"", "aé.\n")]
+    texts += ["".join(rng.choice(["<|endoftext|>", "a", "'s", "1", "日", "\t", "_"]) for _ in range(20_000)), "x" * 90_000]
+    got = token_counts.count_tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), BYTE, chunk=4096, overlap=64)
+    assert {r.doc_id: r.n_tokens for r in got.collect()} == {i: len(t.encode(x, add_special_tokens=False).ids) for i, x in enumerate(texts)}
+    bpe, largest = load(ByteBpe, BYTE), []
+    real = bpe.encode_with_ends
+    bpe.encode_with_ends = lambda text: largest.append(len(text)) or real(text)
+    for x in texts[:4]:
+        token_counts.spliced(bpe, x, 4096, 64)
+    del bpe.encode_with_ends
+    assert max(largest) <= 3 * 4096  # no text without blanks is encoded in one piece
+
+
+def test_mix_takes_what_the_tree_deals(spark, monkeypatch):
+    rows = [(i, "a b c d", "s" if i % 3 else "t") for i in range(90)]
+    df = frame(spark, rows)
+    whole = {r.doc_id: r.taken for r in mixing.mix(df, shards=4, block_words=20).collect()}
+    real = mixing.split_quotas
+    monkeypatch.setattr(mixing, "split_quotas", lambda quotas, shards, seed=0: real(quotas, shards, seed).where("shard < 2"))
+    half = mixing.mix(df, shards=4, block_words=20).collect()
+    assert 0 < sum(r.taken for r in half) < sum(whole.values())  # draws that no leaf's quota holds are not taken
+
+
+def test_estimates_by_common_bits():
+    rng = np.random.default_rng(4)
+    turn = embedding_dedup.rotations(64, 256, 0) / 2
+    x = rng.standard_normal((3000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    y = 0.8 * x + 0.6 * np.roll(x, 1, 0)
+    y /= np.linalg.norm(y, axis=1)[:, None]
+    code, factor, _, _, _ = embedding_dedup.encoded(x @ turn, np.random.default_rng(0))
+    _, _, planes, low, step = embedding_dedup.encoded(y @ turn, np.random.default_rng(1))
+    code, planes = (np.ascontiguousarray(a).view("<u8") for a in (code, planes))
+    truth = (x * y).sum(1)
+    assert abs((embedding_dedup.estimates(code, factor, planes, low, step, 256) - truth).mean()) < 0.005
+    assert (embedding_dedup.upper_bounds(code, factor, planes, low, step, 256, 5.0) >= truth).all()
+
+
+def test_components_travel_only_for_rows_left(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    base = rng.standard_normal((400, 64))
+    rows = [(i, b.tolist()) for i, b in enumerate(base)] + [(1000 + i, (base[i] + rng.normal(0, 0.01, 64)).tolist()) for i in range(5)]
+    seen = {}
+    real = embedding_dedup.written
+    monkeypatch.setattr(embedding_dedup, "written", lambda df, label: seen.setdefault(label, real(df, label)))
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted(r.vec_id for r in got if r.n_links) == [*range(5), *range(1000, 1005)]
+    assert 10 <= seen["vector-candidates"].select("row").distinct().count() < 60
+
+
+def test_cells_rule_out_what_is_far(spark):
+    rng = np.random.default_rng(7)
+    centers = 40 * rng.standard_normal((12, 8))
+    rows = [(i, (centers[i % 12] + rng.standard_normal(8)).tolist()) for i in range(1200)]
+    df, q = spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0
+    ints = np.floor(64 * np.array([e for _, e in rows])).astype(np.int64)
+    want = {(i, rank): (j, s) for i in range(0, 1200, 20) for rank, (s, j) in enumerate(sorted(((int(ints[i] @ ints[j]), j) for j in range(1200) if j != i), key=lambda x: (-x[0], x[1]))[:5], 1)}
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in knn_join.top_k(df, q, 5, cell_rows=40, block_rows=30).collect()}
+    assert got == want
+    asked = knn_join.cells_asked(df, q, 5, cell_rows=40)
+    assert asked.agg(F.avg("n_rows")).first()[0] < 0.6 * 1200  # fails when every query goes everywhere
+
+
+def test_ordinal_likelihood_and_gradient():
+    """The fit is a stationary point of the penalised likelihood, written out row by row."""
+    rng = np.random.default_rng(0)
+    n, width, grades, ridge = 300, 3, 4, 1e-2
+    x = rng.poisson(1.0, (n, width)).astype(float)
+    score = x @ np.array([1.5, -0.5, 0.8]) + rng.logistic(size=n)
+    grade = np.searchsorted([0.5, 1.5, 3.0], score)
+    row, column = np.nonzero(x)
+    weights, bars = toxicity._cumulative_link(row, column, x[row, column], grade, width, grades, ridge, 3000)
+
+    def loss(w, b):
+        total = 0.0
+        for features, g in zip(x, grade):
+            above = [1.0, *(1 / (1 + np.exp(t - features @ w)) for t in b), 0.0]
+            total -= np.log(above[g] - above[g + 1]) / n
+        return total + ridge * (w**2).sum() / 2 / width**0.5
+
+    least = loss(weights, bars)
+    for k in range(width):
+        for d in (-0.05, 0.05):
+            moved = weights.copy()
+            moved[k] += d
+            assert loss(moved, bars) > least
+    for k in range(grades - 1):
+        for d in (-0.05, 0.05):
+            moved = bars.copy()
+            moved[k] += d
+            assert loss(weights, moved) > least
+
+
+def test_scores_by_hand(spark, edges):
+    model = toxicity.SeverityModel({f: i for i, f in enumerate(dict.fromkeys(x for w in ("awful", "line") for x in toxicity.word_features(w)))}, np.linspace(0.5, 1.5, 8), np.array([0.5, 1.0, 2.0]))
+    for r in toxicity.score(edges, model).collect():
+        counts = Counter(f for w in toxicity.WORD.findall((r.text or "").lower()) for f in toxicity.word_features(w) if f in model.chosen)
+        s = sum(model.weights[model.chosen[f]] * np.log1p(n) for f, n in counts.items())
+        chances = [1 / (1 + np.exp(b - s)) for b in model.thresholds]
+        ladder = [1.0, *chances, 0.0]
+        assert r.severity == pytest.approx(sum(chances)) and r.toxic == (chances[0] >= 0.5)
+        assert r.grade == max(range(4), key=lambda g: ladder[g] - ladder[g + 1])
