@@ -104,7 +104,7 @@ INJECTED_SQL = "html || CASE page_id % 3 WHEN 0 THEN chr(13) || chr(10) || '![x]
     f"""WITH h AS (SELECT page_id, {INJECTED_SQL} AS h FROM pages), a AS (SELECT page_id, h, regexp_replace(regexp_replace(h, '{IMAGE}', '', 'g'), '(?s)<!--.*?-->', '', 'g') AS a FROM h),
     b AS (SELECT page_id, h, replace(replace(replace(a, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(160), ' ') AS b, a FROM a)
     SELECT page_id, CAST(len(regexp_extract_all(h, '{IMAGE}')) AS BIGINT) AS images, CAST(len(regexp_extract_all(regexp_replace(h, '{IMAGE}', '', 'g'), '(?s)<!--.*?-->')) AS BIGINT) AS comments, CAST(len(regexp_extract_all(a, chr(160))) AS BIGINT) AS hard_blanks, CAST(len(regexp_extract_all(a, chr(13))) AS BIGINT) AS returns, CAST(len(regexp_extract_all(b, '\n{{3,}}')) AS BIGINT) AS blank_runs,
-    sha256(regexp_replace(regexp_replace(b, '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') || chr(10)) AS text_sha256, regexp_replace(regexp_replace(b, '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') || chr(10) <> h AS changed FROM b"""
+    sha256(regexp_replace(regexp_replace(b, '\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') || chr(10)) AS text_sha256, regexp_replace(regexp_replace(b, '\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') || chr(10) <> h AS changed FROM b"""
 )
 def scl_09(spark: SparkSession, sf: str) -> DataFrame:
     """Markdown cleaning with a counter for each kind of change: embedded images, comments, hard blanks, carriage returns, runs
