@@ -7,8 +7,7 @@ anchor), the later one is a repeat as a whole.
 Stretches that share an anchor and differ are collected, with their bytes, in shards; each shard builds a run-length
 Burrows-Wheeler index: only at the ends of its runs are suffix positions sampled and common prefixes compared; streaming
 over the text, every other position's matching length is one less than its left neighbour's. Positions whose match
-reaches `length` are grouped, and all but the earliest of a group are marked. Where very many differing stretches share one anchor,
-they are cut to windows that meet by digest.
+reaches `length` are grouped, and all but the earliest of a group are marked.
 """
 
 from __future__ import annotations
@@ -166,64 +165,52 @@ def _keyed(batch: pa.RecordBatch, rows: list[tuple[np.ndarray, ...]]) -> pa.Reco
 
 
 def _meet(found: DataFrame) -> DataFrame:
-    """(kind, key, doc, mark, first, more, nth). kind 0: repeat as a whole; kind 1: shares its key with other bytes around
-    it, and is the nth content of that key (from 0; the first one's number is given when the second one comes).
+    """(kind, key, doc, mark, first, more). kind 0: repeat as a whole; kind 1: shares its key with other bytes around it,
+    to be indexed.
 
     Rows are sorted by Spark and pass in order; of a key, only its first and its latest row are held."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         latest = np.zeros((6, 0), np.int64)  # the latest row that was no repeat inside a batch
         alone = np.zeros((6, 0), np.int64)  # the first row of its key, as long as the key has one content
-        seen = 0  # contents of that key before the latest one
         for batch in batches:
             again = batch.column("again").to_numpy(zero_copy_only=False)
             columns = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("key", "content", "doc", "mark", "first", "more")])
-            sure, opened, nth = columns[:, again], np.zeros((6, 0), np.int64), np.zeros(0, np.int64)
+            sure, opened = columns[:, again], np.zeros((6, 0), np.int64)
             known, rows = latest.shape[1], np.hstack([latest, columns[:, ~again]])
             if rows.shape[1] > known:
                 new_key, new_content = changes(rows[0]), changes(*rows[:2])
                 distinct = changes(*rows[:5])
                 real = np.arange(rows.shape[1]) >= known
                 group = np.cumsum(new_key) - 1
-                number = np.cumsum(new_content)
-                number -= number[np.flatnonzero(new_key)][group]
-                number[group == 0] += seen
                 several = np.bincount(group, new_content & ~new_key) > 0
                 sure = np.hstack([sure, rows[:, real & distinct & ~new_content]])
-                open_here = real & new_content & several[group]
-                opened, nth = rows[:, open_here], number[open_here]
+                opened = rows[:, real & new_content & several[group]]
                 if known and several[0]:
-                    opened, nth = np.hstack([alone, opened]), np.concatenate([np.zeros(alone.shape[1], np.int64), nth])
-                    alone = alone[:, :0]
+                    opened, alone = np.hstack([alone, opened]), alone[:, :0]
                 start = int(np.flatnonzero(new_key)[-1])
                 if start >= known:
                     alone = rows[:, start : start + (0 if several[-1] else 1)]
-                latest, seen = rows[:, -1:], int(number[-1])
+                latest = rows[:, -1:]
             both = np.hstack([sure, opened])
             kind = np.repeat(np.array([0, 1], np.int32), [sure.shape[1], opened.shape[1]])
-            numbers = np.concatenate([np.zeros(sure.shape[1], np.int64), nth])
-            arrays = [pa.array(kind), *(pa.array(both[i]) for i in (0, 2, 3)), *(pa.array(both[i].astype(np.int32)) for i in (4, 5)), pa.array(numbers)]
-            yield pa.RecordBatch.from_arrays(arrays, ["kind", "key", "doc", "mark", "first", "more", "nth"])
+            arrays = [pa.array(kind), *(pa.array(both[i]) for i in (0, 2, 3)), *(pa.array(both[i].astype(np.int32)) for i in (4, 5))]
+            yield pa.RecordBatch.from_arrays(arrays, ["kind", "key", "doc", "mark", "first", "more"])
 
     dealt = found.repartition("key").sortWithinPartitions("key", "content", "doc", "mark", "first")
-    return in_arrow(dealt, meet, "kind int, key long, doc long, mark long, first int, more int, nth long")
+    return in_arrow(dealt, meet, "kind int, key long, doc long, mark long, first int, more int")
 
 
-def repeated_spans(docs: DataFrame, length: int, k: int, crowd: int) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int, k: int) -> DataFrame:
     """(doc, mark, first, last): runs of windows of a document that also start earlier. doc and mark name a document: its
-    id (the smallest long for null) and a hash of its text. An anchor with more than crowd differing stretches has no
-    index: its stretches are cut to single windows, which meet by digest, so no task holds more than crowd stretches."""
+    id (the smallest long for null) and a hash of its text."""
 
     def scan(batch: pa.RecordBatch) -> pa.RecordBatch:
         return _keyed(batch, [stretches(np.frombuffer(t, np.uint8), length, k) for t in utf8(batch.column("text"))])
 
     met = written(_meet(map_batches(docs, scan, STRETCH)), "repeat-stretches")
-    crowded = written(met.where(F.col("nth") == crowd).select("key"), "crowded-anchors")
-    spans = met.where("kind = 0").select("doc", "mark", "first", (F.col("first") + F.col("more")).alias("last"))
+    sure = met.where("kind = 0").select("doc", "mark", "first", (F.col("first") + F.col("more")).alias("last"))
     opened = met.where("kind = 1")
-    if not crowded.isEmpty():
-        spans = spans.union(_repeated_windows(docs, opened.join(crowded, "key"), length))
-        opened = opened.join(crowded, "key", "left_anti")
     open_ones = opened.groupBy("doc", "mark").agg(F.collect_set(F.struct("key", "first", "more")).alias("open"))
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -254,38 +241,20 @@ def repeated_spans(docs: DataFrame, length: int, k: int, crowd: int) -> DataFram
             columns = list(zip(*out, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(np.array(c, np.int64), t) for c, t in zip(columns, [pa.int64(), pa.int64(), pa.int32(), pa.int32()], strict=True)], ["doc", "mark", "first", "last"])
 
-    return spans.union(in_arrow(sharded, search, "doc long, mark long, first int, last int"))
+    return sure.union(in_arrow(sharded, search, "doc long, mark long, first int, last int"))
 
 
-def _repeated_windows(docs: DataFrame, opened: DataFrame, length: int) -> DataFrame:
-    """(doc, mark, first, last): the windows of the opened stretches that also start earlier, one by one."""
-    open_ones = opened.groupBy("doc", "mark").agg(F.collect_set(F.struct("first", "more")).alias("open"))
-
-    def windows(text: bytes, stretches_here: list[dict]) -> tuple[np.ndarray, ...]:
-        first = np.concatenate([np.arange(x["first"], x["first"] + x["more"] + 1) for x in stretches_here])
-        digests = b"".join(hashlib.blake2b(text[i : i + length], digest_size=16).digest() for i in first.tolist())
-        pair = np.frombuffer(digests, "<u8").reshape(-1, 2)
-        return pair[:, 0], first, first, pair[:, 1]
-
-    def scan(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return _keyed(batch, [windows(t, x) for t, x in zip(utf8(batch.column("text")), batch.column("open").to_pylist(), strict=True)])
-
-    met = _meet(map_batches(docs.join(open_ones, ["doc", "mark"]), scan, STRETCH))
-    return met.where("kind = 0").select("doc", "mark", "first", F.col("first").alias("last"))
-
-
-def remove_repeats(docs: DataFrame, length: int = 100, k: int = 32, keep_text: bool = False, crowd: int = 1 << 12) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, k: int = 32, keep_text: bool = False) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (and kept, bytes).
 
     A byte goes if a string of `length` bytes that covers it also starts earlier: in a document with a smaller doc_id or
     further left in the same one, judged on the input. A null or empty text has no bytes. A null doc_id counts as the
     smallest. Rows that share a doc_id are ordered by a hash of their text; equal rows are one document and get one result
-    each. Matches are of bytes and never cross documents. Other columns are not read. crowd is the number of differing
-    stretches of an anchor beyond which they are compared window by window instead of in an index; the result is the same.
+    each. Matches are of bytes and never cross documents. Other columns are not read.
     """
     keyed = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     keyed = keyed.withColumn("doc", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("mark", F.xxhash64("text"))
-    spans = repeated_spans(keyed.select("doc", "mark", "text"), length, k, crowd)
+    spans = repeated_spans(keyed.select("doc", "mark", "text"), length, k)
     gathered = spans.groupBy("doc", "mark").agg(F.collect_list(F.struct("first", "last")).alias("found"))
     joined = keyed.select("doc", "mark", "text").join(gathered, ["doc", "mark"], "left")
 
