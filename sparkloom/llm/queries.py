@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_stream, embedding_dedup, knn_join, line_dedup, mixing, ngram_join, suffix_dedup, token_counts, token_files, toxicity
+from . import bpe_stream, embedding_dedup, knn_join, line_dedup, mixing, ngram_join, source_audit, substring_dedup, suffix_dedup, token_counts, token_files, toxicity, vector_codes
 from .common import table
 
 
@@ -54,6 +54,21 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_classes(table(spark, sf_dir, "documents"), n=3, percent=90).select("doc_id", "n_shingles", "component_id")
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document left when repeated windows of 35 words are gone."""
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=35).drop("spans")
+
+
+def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergences between the sources of each lang, and each source's ten most divergent terms."""
+    return source_audit.audit(table(spark, sf_dir, "documents"), min_docs=10, top=10)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all vectors after two rounds over the codebooks."""
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"), scale=256, rounds=2)
+
+
 OP9_SQL = r"""
 WITH pieces AS (
   SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i
@@ -124,8 +139,111 @@ SELECT r.a AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.b) AS com
 FROM reached AS r LEFT JOIN n ON n.doc_id = r.a GROUP BY r.a
 """
 
+OP11_SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS l FROM documents
+), words AS (
+  SELECT doc_id, unnest(l) AS word, generate_subscripts(l, 1) AS i, len(l) AS n FROM w WHERE len(l) > 0
+), windows AS (
+  SELECT doc_id, i, word, CASE WHEN i + 34 <= n THEN string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING) END AS g
+  FROM words
+), repeated AS (
+  SELECT g FROM windows WHERE g IS NOT NULL GROUP BY g HAVING count(*) > 1
+), flagged AS (
+  SELECT doc_id, i, word, CASE WHEN r.g IS NULL THEN 0 ELSE 1 END AS f FROM windows AS w LEFT JOIN repeated AS r ON w.g = r.g
+), covered AS (
+  SELECT doc_id, i, word, max(f) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM flagged
+), kept AS (
+  SELECT doc_id, count(*) AS n_words, sum(gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE gone = 0) AS t FROM covered GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM documents AS d LEFT JOIN kept AS k ON d.doc_id = k.doc_id
+"""
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS l
+  FROM documents
+), t AS (
+  SELECT r, lang, source, unnest(l) AS term FROM d
+), kept AS (
+  SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 10
+), langs AS (
+  SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS total FROM kept GROUP BY lang
+), counts AS (
+  SELECT t.lang, source, t.term, count(*) AS n FROM t JOIN kept AS k ON t.lang = k.lang AND t.term = k.term GROUP BY 1, 2, 3
+), totals AS (
+  SELECT lang, source, sum(n) AS total FROM counts GROUP BY lang, source
+), groups AS (
+  SELECT g.lang, g.source, coalesce(s.total, 0)::HUGEINT AS total FROM (SELECT DISTINCT lang, source FROM d) AS g
+  LEFT JOIN totals AS s ON g.lang = s.lang AND g.source = s.source
+), shares AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+         1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (g.total + 2 * a.v) AS p,
+         1 + (1000000000::HUGEINT * (k.n + 2)) // (a.total + 2 * a.v) AS q
+  FROM groups AS g JOIN kept AS k ON g.lang = k.lang JOIN langs AS a ON g.lang = a.lang
+  LEFT JOIN counts AS c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), sums AS (
+  SELECT x.lang, x.source, y.source AS item, sum(((x.p - y.p) * (x.p - y.p)) // (x.p + y.p)) AS value
+  FROM shares AS x JOIN shares AS y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY 1, 2, 3
+), both_parts AS (
+  SELECT g.lang, g.source, 'pair' AS part, h.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value
+  FROM groups AS g JOIN groups AS h ON g.lang = h.lang AND g.source <> h.source
+  LEFT JOIN sums AS s ON s.lang = g.lang AND s.source = g.source AND s.item = h.source
+  UNION ALL
+  SELECT lang, source, 'term', term, CAST(((p - q) * (p - q)) // (p + q) AS BIGINT) FROM shares WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS INTEGER) AS rank FROM both_parts
+)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+_ASSIGN = """
+a{0} AS (
+  SELECT vec_id, p, arg_min(e, far) AS e, min(far) AS far, any_value(x) AS x FROM (
+    SELECT vec_id, p, x, struct_pack(e := b.e) AS e, (list_sum(list_transform(generate_series(1, len(x)), lambda i: (x[i] - c[i]) * (x[i] - c[i])))::BIGINT, b.e) AS far
+    FROM parts JOIN b{0} AS b USING (p)
+  ) GROUP BY vec_id, p
+)"""
+_REFINE = """,
+s{0} AS (
+  SELECT p, a.e.e AS e, i, sum(x[i])::HUGEINT AS s, count(*) AS n FROM a{0} AS a, generate_series(1, (SELECT max(len(x)) FROM parts)) AS g(i) GROUP BY 1, 2, 3
+), m{0} AS (
+  SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY i)::BIGINT[] AS c FROM s{0} GROUP BY p, e
+), b{1} AS (
+  SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM b{0} AS b LEFT JOIN m{0} AS m ON b.p = m.p AND b.e = m.e
+), """
+OP13_SQL = (
+    """
+WITH v AS (
+  SELECT vec_id, label, list_transform(embedding::DOUBLE[], lambda x: CAST(floor(256 * x) AS BIGINT)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS (
+  SELECT vec_id, p, q[p * (len(q) // 16) + 1 : (p + 1) * (len(q) // 16)] AS x FROM v, generate_series(0, 15) AS g(p)
+), b0 AS (
+  SELECT p, CAST(row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS BIGINT) AS e, x AS c FROM parts WHERE vec_id IN (SELECT vec_id FROM v ORDER BY vec_id LIMIT 64)
+),"""
+    + _ASSIGN.format(0)
+    + _REFINE.format(0, 1)
+    + _ASSIGN.format(1)
+    + _REFINE.format(1, 2)
+    + _ASSIGN.format(2)
+    + """, coded AS (
+  SELECT vec_id, string_agg(printf('%02x', e.e), '' ORDER BY p) AS code, CAST(sum(far[1]) AS BIGINT) AS error FROM a2 GROUP BY vec_id
+), rows AS (
+  SELECT c.vec_id, code, error, label FROM coded AS c JOIN v ON c.vec_id = v.vec_id
+), flat AS (
+  SELECT p, e, i, c[i] AS x FROM b2, generate_series(1, (SELECT max(len(c)) FROM b2)) AS g(i)
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY p, e, i)) FROM flat) AS codebooks_sha256
+FROM rows
+"""
+)
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_suffix_dedup, op2_embedding_dedup, op3_token_files, op4_token_counts, op5_source_mix, op6_toxicity, op7_top_k, op8_bpe_stream, op9_line_dedup, op10_ngram_join)
+    for f in (op1_suffix_dedup, op2_embedding_dedup, op3_token_files, op4_token_counts, op5_source_mix, op6_toxicity, op7_top_k, op8_bpe_stream, op9_line_dedup, op10_ngram_join, op11_substring_dedup, op12_source_audit, op13_vector_codes)
 }
-ORACLES = {"op2_embedding_dedup": OP2_SQL, "op7_top_k": OP7_SQL, "op9_line_dedup": OP9_SQL, "op10_ngram_join": OP10_SQL}
+ORACLES = {"op2_embedding_dedup": OP2_SQL, "op7_top_k": OP7_SQL, "op9_line_dedup": OP9_SQL, "op10_ngram_join": OP10_SQL, "op11_substring_dedup": OP11_SQL, "op12_source_audit": OP12_SQL, "op13_vector_codes": OP13_SQL}
