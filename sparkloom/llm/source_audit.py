@@ -229,7 +229,7 @@ def audit(docs: DataFrame, min_docs: int = 10, top: int = 10, block: int = 128,
     terms = terms.withColumn("rank", F.row_number().over(by_rank)).where(F.col("rank") <= top)
 
     bucket = F.pmod(F.xxhash64("term"), "buckets").cast("int")
-    block = F.floor(F.col("place") / block).cast("int")
+    own = F.floor(F.col("place") / block).cast("int")
     partners = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.least(b, own).alias("low"), F.greatest(b, own).alias("high")))
     cells = ["lang", "bucket", "low", "high"]
     again = groups.toDF(*groups.columns)  # both sides of the cells come from it
