@@ -1,5 +1,5 @@
-"""Column expressions over text. All are built-in functions that run inside code generation, without Python, but for the
-rare entities of html_to_text."""
+"""Column expressions over text. All are built-in functions that run inside code generation; only rare texts are handed to
+Python: those with odd entities in html_to_text, and those that a Unicode normal form may change beyond single letters."""
 
 import html
 
@@ -8,10 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-# Latin letters with marks, and the letters they fold to.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
-FOLDED = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
-
+from .unicode import nfkc, unmarked
 
 def strip(c: Column | str) -> Column:
     """White space off both ends."""
@@ -23,9 +20,25 @@ def collapse(c: Column | str) -> Column:
     return strip(F.regexp_replace(c, r"\s+", " "))
 
 
+BLANKS = r"[\s\x1C-\x1F\x85\u1680\u2028\u2029]+"  # what is left of Unicode's white space after NFKD
+
+
+def plain(c: Column) -> Column:
+    """Lower case and collapsed white space: what fold() does after the marks are gone."""
+    return F.regexp_replace(F.regexp_replace(F.lower(c), BLANKS, " "), "^ | $", "")
+
+
 def fold(c: Column | str) -> Column:
-    """For comparing: Latin accents dropped, lower case, white space collapsed."""
-    return collapse(F.lower(F.translate(c, ACCENTED, FOLDED)))
+    """For comparing: NFKD without combining marks, lower case, white space collapsed."""
+    return plain(unmarked(c))
+
+
+def canonical(c: Column | str) -> Column:
+    """The text that a document's hash is taken of: NFKC, line ends as newlines, runs of blanks and tabs as one blank, at most
+    one blank line, nothing blank at the ends. A null text counts as empty."""
+    t = F.translate(F.replace(nfkc(F.coalesce(c, F.lit(""))), F.lit("\r\n"), F.lit("\n")), "\r", "\n")
+    t = F.regexp_replace(F.regexp_replace(t, r"[ \t]+", " "), r"\n{3,}", "\n\n")
+    return F.regexp_replace(t, f"^{BLANKS}|{BLANKS}$", "")
 
 
 def alphanumerics(c: Column | str) -> Column:
@@ -39,7 +52,7 @@ def words(c: Column | str, least: int = 2) -> Column:
 
 def folded_words(c: Column | str, least: int = 2) -> Column:
     """The words of the folded text. White space need not be collapsed for that, so it is not."""
-    return words(F.lower(F.translate(c, ACCENTED, FOLDED)), least)
+    return words(F.lower(unmarked(c)), least)
 
 
 def keywords(c: Column | str, stop: tuple[str, ...] = (), least: int = 4) -> Column:
@@ -70,7 +83,8 @@ MOST_GARBLED, MOST_MOJIBAKE, LEAST_SCORE = 0.08, 0.03, 60.0
 
 def quality(c: Column | str, doc_type: Column | None = None) -> Column:
     """Struct of chars, words, garbled (share of odd characters), mojibake (marks a word), score (0 to 100) and reasons to
-    reject. Bounds are lower where doc_type is glossary. The text is taken as it is, not put into a normal form first."""
+    reject, of the text in NFKC. Bounds are lower where doc_type is glossary."""
+    c = nfkc(c)
     n, w = F.length(c), F.size(words(c))
     short = F.lower(F.trim(doc_type)) == "glossary" if doc_type is not None else F.lit(False)
     chars, count = F.when(short, LEAST_CHARS_GLOSSARY).otherwise(LEAST_CHARS), F.when(short, LEAST_WORDS_GLOSSARY).otherwise(LEAST_WORDS)

@@ -17,8 +17,9 @@ def first_per(df: DataFrame, key: Column, *order: Column) -> DataFrame:
 
 
 def unique_paragraphs(c: Column | str, breaks: str = "\n") -> Column:
-    """Paragraphs of a text without those whose folded form came before; blank ones go. In the row, no shuffle."""
-    parts = F.transform(F.split(c, breaks), lambda p: F.struct(p.alias("p"), text.fold(p).alias("k")))
+    """Paragraphs of a text without those whose folded form came before; blank ones go. In the row, no shuffle. breaks is a
+    pattern of ASCII white space or marks, which folding leaves where they are."""
+    parts = F.zip_with(F.split(c, breaks), F.split(text.unmarked(c), breaks), lambda p, k: F.struct(p.alias("p"), text.plain(k).alias("k")))
     empty = F.struct(F.array().cast("array<string>").alias("kept"), F.array().cast("array<string>").alias("seen"))
 
     def step(acc: Column, x: Column) -> Column:

@@ -54,8 +54,8 @@ def ret_04(spark: SparkSession, sf: str) -> DataFrame:
     question here), by being an entry of a glossary. Entries are injected: the texts hold none."""
     docs, asked = read(spark, sf, "documents", "benchmark")
     lead = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("term: "), F.split("text", " ")[0], F.lit(" substitution: "))).when(F.col("doc_id") % 11 == 0, "keywords: ").otherwise("")
-    hay = docs.select("doc_id", F.lower(F.translate(F.concat(lead, "text", F.lit(" "), "source"), text.ACCENTED, text.FOLDED)).alias("hay"))
-    asked = asked.select(F.col("item_id").alias("query_id"), (F.col("item_id") % 2 == 0).alias("definition"), text.keywords(F.translate("text", text.ACCENTED, text.FOLDED)).alias("kw"))
+    hay = docs.select("doc_id", F.lower(text.unmarked(F.concat(lead, "text", F.lit(" "), "source"))).alias("hay"))
+    asked = asked.select(F.col("item_id").alias("query_id"), (F.col("item_id") % 2 == 0).alias("definition"), text.keywords(text.unmarked("text")).alias("kw"))
     found = text_hits(spark, sf, 24).select("query_id", "doc_id", "rank").join(hay, "doc_id").join(asked, "query_id")
     score = boosted(1.0 / (60 + F.col("rank")), F.col("kw"), F.col("hay"), definition=F.col("definition"), marks=GLOSSARY)
     scored = found.select(F.col("query_id").alias("item_id"), "doc_id", F.round(score, 6).alias("score"))

@@ -5,19 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import formulas, text
+from ..functions import formulas, text, unicode
 from .base import query, read
 
 FOLD_SQL = "trim(regexp_replace(regexp_replace(lower(translate({0}, 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ', 'aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY')), '\\s+', ' ', 'g'), '^ | $', '', 'g'))"
 COLLAPSE_SQL = "trim(regexp_replace({0}, '\\s+', ' ', 'g'))"
 WORDS_SQL = "regexp_extract_all({0}, '[\\p{{L}}\\p{{N}}_]{{{1},}}')"
+#: Characters that a normal form takes apart or puts together; the given texts hold none. Then what NFKD without marks, lower
+#: case and collapsed blanks make of them, and what NFKC does.
+ODD = " \ufb01n\u00a0\u00bd \uff21\uff42 o\u0301\u0323 \u1e69 \u212b \ud55c"
+ODD_FOLDED = " fin 1\u20442 ab o s a \u1112\u1161\u11ab"
+ODD_COMPOSED = " fin 1\u20442 Ab \u1ecd\u0301 \u1e69 \u00c5 \ud55c"
 
 
+def with_odd(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents, every third one with odd characters at its end."""
+    return read(spark, sf, "documents").withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(ODD))).otherwise(F.col("text")))
 
-@query("SELECT doc_id, sha256(" + FOLD_SQL.format("text") + ") AS folded_sha256 FROM documents")
+
+@query("SELECT doc_id, sha256(" + FOLD_SQL.format("text") + f" || CASE WHEN doc_id % 3 = 0 THEN '{ODD_FOLDED}' ELSE '' END) AS folded_sha256 FROM documents")
 def scl_01(spark: SparkSession, sf: str) -> DataFrame:
-    """Folding for comparison."""
-    return read(spark, sf, "documents").select("doc_id", F.sha2(text.fold("text"), 256).alias("folded_sha256"))
+    """Folding for comparison, also of ligatures, fractions, full-width letters, combining marks and syllables (injected)."""
+    return with_odd(spark, sf).select("doc_id", F.sha2(text.fold("text"), 256).alias("folded_sha256"))
 
 
 STOP = ("that", "with", "from", "this", "sich", "eine", "para")
@@ -39,10 +48,11 @@ def scl_03(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "documents").select("doc_id", F.size(text.words("text")).cast("long").alias("n_words"), F.length("text").cast("long").alias("n_chars"))
 
 
-@query("SELECT page_id, lower(" + COLLAPSE_SQL.format("list_extract(string_split(replace(url, '\\', '/'), '/'), -1)") + ") AS source_name FROM pages")
+@query("SELECT page_id, lower(" + COLLAPSE_SQL.format("list_extract(string_split(replace(url, '\\', '/'), '/'), -1)") + ") AS source_name FROM (SELECT page_id, url || CASE WHEN page_id % 3 = 0 THEN ' fin ab' ELSE '' END AS url FROM pages)")
 def scl_04(spark: SparkSession, sf: str) -> DataFrame:
-    """Source name: the last path element, collapsed, in lower case."""
-    parts = F.split(F.translate("url", "\\", "/"), "/")
+    """Source name: the last path element in NFKC, collapsed, in lower case (compatibility characters are injected)."""
+    url = F.concat("url", F.when(F.col("page_id") % 3 == 0, " \ufb01n\u3000\uff21\uff42").otherwise(""))
+    parts = F.split(F.translate(unicode.nfkc(url), "\\", "/"), "/")
     return read(spark, sf, "pages").select("page_id", F.lower(text.collapse(F.element_at(parts, -1))).alias("source_name"))
 
 
@@ -80,20 +90,28 @@ def scl_07(spark: SparkSession, sf: str) -> DataFrame:
     return pages.select("page_id", F.sha2("t", 256).alias("text_sha256"), F.length("t").cast("long").alias("n_chars"))
 
 
-@query()
-def scl_08(spark: SparkSession, sf: str) -> DataFrame:
-    """Mojibake: texts are garbled by a wrong decoding first, then detected and repaired; repaired equals the original."""
-    docs = read(spark, sf, "documents").select("doc_id", "text", F.decode(F.encode("text", "UTF-8"), "ISO-8859-1").alias("garbled"))
-    return docs.select("doc_id", text_markers("garbled").alias("markers"), (repair("garbled") == F.col("text")).alias("repaired"))
-
+#: UTF-8 read as Latin-1 turns a letter of U+0080 to U+00FF into two, the first of them one of the two that tell.
+HIT_SQL = "len(regexp_extract_all(text, '[\\x{80}-\\x{FF}]'))"
+UPPER_SQL = "len(regexp_extract_all(text, '[\\x{C0}-\\x{FF}]'))"
+CP1252 = tuple("".join(x) for x in zip(*((chr(b), c) for c, b in unicode.CP1252.items() if ord(c) > 0xFF), strict=True))
+CURLY = " \u201cone\u201d \u2013 two\u2026"
 
-def text_markers(c: str) -> F.Column:
-    return F.regexp_count(c, F.lit("[ÃÂ]")).cast("long")
 
-
-def repair(c: str) -> F.Column:
-    back = F.decode(F.encode(c, "ISO-8859-1"), "UTF-8")
-    return F.when((text_markers(c) >= 3) & F.is_valid_utf8(F.encode(c, "ISO-8859-1").cast("string")), back).otherwise(F.when(F.is_valid_utf8(F.encode(c, "ISO-8859-1").cast("string")), back).otherwise(F.col(c)))
+@query(f"""WITH d AS (SELECT doc_id, doc_id % 3 AS kind, {HIT_SQL} AS hits, {UPPER_SQL} > 0 AS upper, text = ascii_only AS plain, len(regexp_extract_all(text, '[ÃÂ]')) AS own, text
+    FROM (SELECT doc_id, text, regexp_replace(text, '[^\x00-\x7F]', '', 'g') AS ascii_only FROM documents))
+  SELECT doc_id, CAST(CASE kind WHEN 0 THEN hits WHEN 1 THEN own ELSE hits + 6 END AS BIGINT) AS markers, CASE kind WHEN 0 THEN hits < 3 ELSE kind = 1 END AS untouched,
+  CASE kind WHEN 0 THEN plain OR (hits >= 3 AND upper) ELSE kind = 1 END AS restored FROM d""")
+def scl_08(spark: SparkSession, sf: str) -> DataFrame:
+    """Mojibake: every third text is garbled by reading its UTF-8 as Latin-1, every third one, with curly quotes, as cp1252;
+    the others stay and have curly quotes. How many signs a text shows, whether it was left alone, and whether it is the
+    original again. A text with two signs is left garbled, as the bound says; of a reading as cp1252 letters come back, curly
+    quotes do not, as Latin-1 is tried first."""
+    curly = F.concat("text", F.lit(CURLY))
+    docs = read(spark, sf, "documents").withColumn("kind", F.col("doc_id") % 3)
+    original = F.when(F.col("kind") == 0, F.col("text")).otherwise(curly)
+    shown = F.when(F.col("kind") == 0, F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")).when(F.col("kind") == 2, F.translate(F.decode(F.encode(curly, "UTF-8"), "ISO-8859-1"), *CP1252)).otherwise(curly)
+    docs = docs.select("doc_id", original.alias("original"), shown.alias("shown")).withColumn("repaired", unicode.repair("shown"))
+    return docs.select("doc_id", unicode.count_markers("shown").alias("markers"), (F.col("repaired") == F.col("shown")).alias("untouched"), (F.col("repaired") == F.col("original")).alias("restored"))
 
 
 IMAGE = r"!\[[^\]]*\]\(data:image/[^)]*\)|data:image/[A-Za-z+.-]+;base64,[A-Za-z0-9+/=]+"  # in a link, or bare

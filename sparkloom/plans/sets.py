@@ -9,13 +9,18 @@ from ..functions import text
 from ..operators.dedup import first_per, not_contained, unique_paragraphs
 from .base import query, read
 from .filters import SEARCHED_SQL, searched
-from .scalars import FOLD_SQL
+from .scalars import FOLD_SQL, ODD_COMPOSED, with_odd
 
 
-@query("SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY sha256(" + FOLD_SQL.format("text") + ")")
+@query(
+    """WITH n AS (SELECT doc_id, regexp_replace(regexp_replace(replace(replace(text || CASE WHEN doc_id % 3 = 0 THEN '"""
+    + ODD_COMPOSED
+    + """' ELSE '' END, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g') AS t FROM documents)
+    SELECT min(doc_id) AS doc_id, count(*) AS copies FROM n GROUP BY sha256(regexp_replace(t, '^\s+|\s+$', '', 'g'))"""
+)
 def set_01(spark: SparkSession, sf: str) -> DataFrame:
-    """Exact document dedup on the hash of the normalised text."""
-    return read(spark, sf, "documents").groupBy(F.sha2(text.fold("text"), 256).alias("h")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).select("doc_id", "copies")
+    """Exact document dedup on the hash of the text in NFKC with plain line ends and blanks (odd characters are injected)."""
+    return with_odd(spark, sf).groupBy(F.sha2(text.canonical("text"), 256).alias("h")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).select("doc_id", "copies")
 
 
 @query("SELECT substr(sha256(text), 1, 16) AS content_hash, min(doc_id) AS first_id, count(*) AS n FROM documents GROUP BY content_hash")
