@@ -1,4 +1,4 @@
-"""Routing rules as data: words, phrases of two words and patterns by rule set, and what is noise in any of them."""
+"""Routing rules as data: words, phrases of any number of words and patterns by rule set, and what is noise in any of them."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
+from . import phrases
 from .routing import execution_plan
 
 #: rule set -> kind -> terms. The terms are of the languages of the texts at hand; a deployment brings its own.
@@ -14,7 +15,7 @@ RULES: dict[str, dict[str, tuple[str, ...]]] = {
     "domain": {"word": ("the", "les", "der", "los", "and", "und")},
     "strong": {"phrase": ("of the", "que les", "der die", "en la"), "pattern": (r"(^|[^\p{L}])norm[\p{L}]*",)},
     "normative": {"phrase": ("by the", "dans les", "und das", "por la")},
-    "legal": {"phrase": ("is for", "qui que", "das und", "para el"), "pattern": (r"(^|[^\p{L}])shall([^\p{L}]|$)",)},
+    "legal": {"phrase": ("is for", "qui que", "das und", "para el", "under the apache license", "licensed under the apache license version 2 0"), "pattern": (r"(^|[^\p{L}])shall([^\p{L}]|$)",)},
     "labelling": {"word": ("label", "etikett"), "phrase": ("for the", "pour les", "auf der")},
     "special": {"word": ("with", "elle", "nicht", "con"), "pattern": (r"[\p{L}]ableness([^\p{L}]|$)",)},
     "fermented": {"pattern": (r"eau[\p{L}]*x([^\p{L}]|$)", r"keit[\p{L}]*ung")},
@@ -40,20 +41,22 @@ def table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows(), "rule_set string, kind string, term string")
 
 
-def grams(c: Column | str) -> Column:
-    """Distinct words and pairs of neighbouring words of a text in lower case."""
-    w = text.words(F.lower(c), 1)
-    pairs = F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    return F.array_distinct(F.concat(w, pairs))
+#: All words and phrases that any rule or agent asks for.
+TERMS = tuple(sorted({t for _, kind, t in rows() if kind != "pattern"} | {t for k in KEYWORDS.values() for t in k}))
+
+
+def terms_in(c: Column | str) -> Column:
+    """Which of TERMS a text holds, in lower case, whole words only: one pass, at any number and length of terms."""
+    return phrases.held(text.words(F.lower(c), 1), TERMS)
 
 
 def held(known: Column, terms: tuple[str, ...]) -> Column:
-    """Which of the terms are among the grams of a text."""
+    """Which of the terms are among the known ones."""
     return F.array_intersect(F.array(*map(F.lit, terms)), known)
 
 
 def signal(name: str, known: Column, lowered: Column) -> Column:
-    """Whether a rule set speaks: a word or phrase of it is among the grams, or a pattern matches. No join, no shuffle."""
+    """Whether a rule set speaks: a word or phrase of it is known, or a pattern matches. No join, no shuffle."""
     kinds = RULES[name]
     terms = kinds.get("word", ()) + kinds.get("phrase", ())
     out = F.size(held(known, terms)) > 0 if terms else F.lit(False)
@@ -64,7 +67,7 @@ def signal(name: str, known: Column, lowered: Column) -> Column:
 
 def signals(docs: DataFrame, key: str) -> DataFrame:
     """key, one boolean a rule set, n_words, objective (a number or a question mark), hits and weight of agent 1."""
-    seen = docs.select(key, F.lower("text").alias("t"), grams("text").alias("g"))
+    seen = docs.select(key, F.lower("text").alias("t"), terms_in("text").alias("g"))
     flags = [signal(name, F.col("g"), F.col("t")).alias(name) for name in RULES]
     kw = F.filter(held(F.col("g"), KEYWORDS[1]), lambda x: ~x.isin(*NOISE))
     objective = F.col("t").rlike(r"[\d?]")

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import text
-from ..operators import chunking
+from ..functions.unicode import nfkc
+from ..operators import chunking, sections
 from .base import query, read
-from .windows import LINES_SQL
+from .windows import HEADED_SQL, LINES_SQL, with_headings
 
 
 @query()
@@ -25,26 +25,22 @@ def gen_02(spark: SparkSession, sf: str) -> DataFrame:
     return parts.select("doc_id", "i", F.sha2("c", 256).alias("chunk"))
 
 
-SECTIONS_SQL = LINES_SQL + """, m AS (SELECT doc_id, i, CASE WHEN i % 5 = 1 THEN '# ' || i ELSE line END AS line, CASE WHEN i % 5 = 1 THEN 1 ELSE 0 END AS h FROM l),
-  n AS (SELECT *, sum(h) OVER (PARTITION BY doc_id ORDER BY i) AS section FROM m),
-  sec AS (SELECT doc_id, CAST(section AS BIGINT) AS section, string_agg(line, chr(10) ORDER BY i) AS body FROM n GROUP BY doc_id, section)"""
+SECTIONS_SQL = HEADED_SQL + """, sec AS (SELECT doc_id, section, max(path) AS path, coalesce(regexp_replace(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE level = 0), '^\\s+|\\s+$', '', 'g'), '') AS body FROM paths GROUP BY doc_id, section),
+  parts AS (SELECT doc_id, section, path, CASE WHEN path = '' THEN body ELSE path || chr(10) || body END AS chunk FROM sec WHERE body <> '')"""
 
 
-def sections(spark: SparkSession, sf: str) -> DataFrame:
-    """Sections under headings, which are injected at every fifth line: doc_id, section, body."""
-    lines = read(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "line"))
-    i = F.col("p") + 1
-    marked = lines.select("doc_id", "p", F.when(i % 5 == 1, F.concat(F.lit("# "), i.cast("string"))).otherwise(F.col("line")).alias("line"), (i % 5 == 1).cast("long").alias("h"))
-    numbered = marked.withColumn("section", F.sum("h").over(Window.partitionBy("doc_id").orderBy("p")))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "line"))), lambda x: x["line"]), "\n")
-    return numbered.groupBy("doc_id", "section").agg(body.alias("body"))
+@query("WITH " + SECTIONS_SQL + " SELECT doc_id, CAST(section AS INTEGER) AS section, path, length(chunk) > 360 AS oversize, CASE WHEN length(chunk) <= 360 THEN sha256(chunk) END AS chunk FROM parts")
+def gen_03(spark: SparkSession, sf: str) -> DataFrame:
+    """Sections with their path of headings in front; the ones that are too long show as such (headings and fences are
+    injected). gen_03_chunks has what these are cut into."""
+    chunks = sections.section_chunks(with_headings(spark, sf), size=240, overlap=60).where("i = 0")
+    return chunks.select("doc_id", "section", "path", "oversize", F.when(~F.col("oversize"), F.sha2("chunk", 256)).alias("chunk"))
 
 
-@query("WITH " + SECTIONS_SQL + " SELECT doc_id, section, CAST((s - 1) / 900 AS INTEGER) AS i, sha256('H' || section || ' > ' || substr(body, CAST(s AS BIGINT), 1200)) AS chunk FROM (SELECT *, unnest(range(1, greatest(length(body), 1) + 1, 900)) AS s FROM sec)")
-def gen_03(spark: SparkSession, sf: str) -> DataFrame:
-    """Sections with their path in front; what is too long is cut in windows."""
-    parts = sections(spark, sf).select("doc_id", "section", F.posexplode(chunking.windows("body", 1200, 300)).alias("i", "c"))
-    return parts.select("doc_id", "section", "i", F.sha2(F.concat(F.lit("H"), F.col("section").cast("string"), F.lit(" > "), "c"), 256).alias("chunk"))
+@query()
+def gen_03_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """All chunks of all sections, the long ones cut by recursive chunking (tested against a loop)."""
+    return sections.section_chunks(with_headings(spark, sf), size=240, overlap=60).select("doc_id", "section", "i", "chunk")
 
 
 @query()
@@ -82,13 +78,40 @@ def gen_07(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("item_id", F.explode(F.concat(*grams)).alias("gram")).groupBy("item_id", "gram").agg(F.count("*").alias("n"))
 
 
-@query("WITH l AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents), p AS (SELECT CASE WHEN contains(line, ' de ') THEN replace(line, ' de ', ' -> ') ELSE line END AS line FROM l), m AS (SELECT lower(trim(string_split(line, ' -> ')[1])) AS term, trim(string_split(line, ' -> ')[2]) AS meaning FROM p WHERE contains(line, ' -> ')) SELECT term, min(meaning) AS meaning FROM m WHERE length(term) BETWEEN 1 AND 40 GROUP BY term")
+#: Lines of a document as a glossary in one of four forms, by its id: a table, labelled lines under records, arrows, colons.
+WORD_SQL = "regexp_extract(line, '[\\p{L}]+')"
+GLOSSARY_LINE_SQL = f"""CASE doc_id % 4
+  WHEN 0 THEN CASE i % 7 WHEN 1 THEN '| Term | Substitution |' WHEN 2 THEN '|---|:--:|' ELSE '| ' || {WORD_SQL} || ' |  ' || reverse({WORD_SQL}) || '; | x |' END
+  WHEN 1 THEN CASE i % 6 WHEN 1 THEN '## Record ' || i WHEN 2 THEN '- Term: ' || {WORD_SQL} WHEN 5 THEN '* substitution:  ' || reverse({WORD_SQL}) || '.' WHEN 4 THEN 'Equivalente: ' || {WORD_SQL} || ' 4' ELSE 'plain' END
+  WHEN 2 THEN CASE i % 3 WHEN 0 THEN 'nota: none' WHEN 1 THEN 'Termo: ' || {WORD_SQL} ELSE {WORD_SQL} || ' -> ' || i % 4 END
+  ELSE CASE i % 4 WHEN 0 THEN 'Fonte: ' || {WORD_SQL} WHEN 1 THEN 'substituição: carried' ELSE {WORD_SQL} || ' : ' || i % 5 END END"""
+
+
+@query(
+    "WITH " + LINES_SQL + f""", g AS (SELECT doc_id, i, {WORD_SQL} AS w, doc_id % 4 AS form FROM l),
+    e AS (SELECT *, CASE form WHEN 0 THEN CASE WHEN i % 7 NOT IN (1, 2) THEN 'own' END WHEN 1 THEN CASE i % 6 WHEN 1 THEN 'record' WHEN 2 THEN CASE WHEN w <> '' THEN 'term' END WHEN 5 THEN 'last' WHEN 4 THEN 'last' END
+      WHEN 2 THEN CASE i % 3 WHEN 1 THEN CASE WHEN w <> '' THEN 'term' END WHEN 2 THEN 'own' END ELSE CASE WHEN i % 4 IN (2, 3) THEN CASE WHEN w <> '' THEN 'own' END END END AS kind,
+      CASE form WHEN 0 THEN reverse(w) WHEN 1 THEN CASE i % 6 WHEN 5 THEN reverse(w) ELSE w || ' 4' END WHEN 2 THEN CAST(i % 4 AS VARCHAR) ELSE CAST(i % 5 AS VARCHAR) END AS m FROM g),
+    r AS (SELECT *, count(*) FILTER (WHERE kind IN ('record', 'term', 'own')) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM e WHERE kind IS NOT NULL),
+    p AS (SELECT doc_id, run, max(CASE WHEN kind IN ('own', 'term') THEN w END) AS term, CASE WHEN bool_or(kind = 'own') THEN max(CASE WHEN kind = 'own' THEN m END) ELSE arg_max(CASE WHEN kind = 'last' THEN trim(m) END, CASE WHEN kind = 'last' AND trim(m) <> '' THEN i END) END AS meaning FROM r GROUP BY doc_id, run)
+    SELECT doc_id, term, meaning FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(term), lower(meaning) ORDER BY run) AS n FROM p WHERE term <> '' AND meaning <> '') WHERE n = 1"""
+)
 def gen_08(spark: SparkSession, sf: str) -> DataFrame:
-    """Glossary rows from 'a -> b' lines, one per folded term (arrows are injected)."""
-    lines = read(spark, sf, "documents").select(F.explode(F.split("text", "\n")).alias("l")).select(F.replace("l", F.lit(" de "), F.lit(" -> ")).alias("line")).where(F.contains("line", F.lit(" -> ")))
-    parts = F.split("line", " -> ")
-    rows = lines.select(F.lower(F.trim(parts[0])).alias("term"), F.trim(parts[1]).alias("meaning")).where("length(term) between 1 and 40")
-    return rows.groupBy("term").agg(F.min("meaning").alias("meaning"))
+    """Glossary entries of all four forms, distinct in a document (the lines are injected; the texts give the words)."""
+    w, i = lambda x: F.regexp_extract(x, r"([\p{L}]+)", 1), lambda k: (k + 1)
+    text_of = lambda *parts: F.concat(*[p if isinstance(p, F.Column) else F.lit(p) for p in parts])
+
+    def line(x: F.Column, k: F.Column) -> F.Column:
+        n, form = i(k), F.col("doc_id") % 4
+        number = lambda m: (n % m).cast("string")
+        table = F.when(n % 7 == 1, "| Term | Substitution |").when(n % 7 == 2, "|---|:--:|").otherwise(text_of("| ", w(x), " |  ", F.reverse(w(x)), "; | x |"))
+        records = F.when(n % 6 == 1, text_of("## Record ", n.cast("string"))).when(n % 6 == 2, text_of("- Term: ", w(x))).when(n % 6 == 5, text_of("* substitution:  ", F.reverse(w(x)), ".")).when(n % 6 == 4, text_of("Equivalente: ", w(x), " 4")).otherwise("plain")
+        arrows = F.when(n % 3 == 0, "nota: none").when(n % 3 == 1, text_of("Termo: ", w(x))).otherwise(text_of(w(x), " -> ", number(4)))
+        colons = F.when(n % 4 == 0, text_of("Fonte: ", w(x))).when(n % 4 == 1, "substituição: carried").otherwise(text_of(w(x), " : ", number(5)))
+        return F.when(form == 0, table).when(form == 1, records).when(form == 2, arrows).otherwise(colons)
+
+    texts = read(spark, sf, "documents").select("doc_id", F.array_join(F.transform(F.split("text", "\n"), line), "\n").alias("t")).withColumn("t", nfkc("t"))
+    return texts.select("doc_id", F.explode(sections.glossary("t")).alias("e")).select("doc_id", "e.term", "e.meaning")
 
 
 @query("WITH " + LINES_SQL + ", f AS (SELECT doc_id, i, trim(regexp_replace('y' || doc_id % 9 || ' =  a *  ' || i, '\\s+', ' ', 'g')) AS formula FROM l WHERE regexp_matches(line, '\\d')) SELECT doc_id, CAST(i AS INTEGER) AS i, formula FROM (SELECT *, row_number() OVER (PARTITION BY formula ORDER BY doc_id, i) AS r FROM f) WHERE r = 1 ORDER BY doc_id, i LIMIT 50")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text
-from ..operators import postings, rules, vectors
+from ..operators import phrases, postings, rules, vectors
 from ..sources.shared import shared_path
 from .base import query, read
 from .filters import FOLDED_WORDS_SQL, SEARCHED_SQL, asking, bm25_sql, searched
@@ -128,18 +128,19 @@ def jn_09(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.select("event_id", "user_id", (F.unix_micros(F.col("after.ts").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))).alias("latency_us"))
 
 
-GRAMS_SQL = """CASE WHEN len(w) > 1 THEN list_distinct(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) ELSE w END"""
+GRAMS_SQL = f"list_filter({list(rules.TERMS)!r}, lambda x: contains(' ' || array_to_string(w, ' ') || ' ', ' ' || x || ' '))"
 WORDS_OF_SQL = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')"
 
 
 def rule_rows(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """(doc_id, rule_set, kind, term): words and phrases meet the texts by an equi-join on their grams, the few patterns are
-    tried on each text in its row. Terms that are noise find nothing."""
+    """(doc_id, rule_set, kind, term): a trie of all words and phrases is walked over each text, what it finds gets its rule
+    sets from the table of rules; the few patterns are tried on each text in its row. Terms that are noise find nothing."""
     known = F.broadcast(rules.table(spark).where("kind <> 'pattern' and rule_set <> 'noise'").where(~F.col("term").isin(*rules.NOISE)))  # fixed and small
-    grams = docs.select("doc_id", F.explode(rules.grams("text")).alias("term")).join(known, "term")
+    asked = [t for n, kind, t in rules.rows() if kind != "pattern" and n != "noise" and t not in rules.NOISE]
+    found = phrases.hits(docs.select("doc_id", text.words(F.lower("text"), 1).alias("w")), "doc_id", "w", asked).join(known, "term")
     tried = [F.when(F.lower("text").rlike(p), F.struct(F.lit(n).alias("rule_set"), F.lit("pattern").alias("kind"), F.lit(p).alias("term"))) for n, kind, p in rules.rows() if kind == "pattern"]
     patterns = docs.select("doc_id", F.explode(F.array_compact(F.array(*tried))).alias("r")).select("doc_id", "r.*")
-    return grams.select("doc_id", "rule_set", "kind", "term").unionByName(patterns)
+    return found.select("doc_id", "rule_set", "kind", "term").unionByName(patterns)
 
 
 RULE_VALUES_SQL = "(VALUES " + ", ".join(f"('{n}', '{k}', '{t}')" for n, k, t in rules.rows()) + ") AS r(rule_set, kind, term)"

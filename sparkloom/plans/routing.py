@@ -65,7 +65,7 @@ def cls_02(spark: SparkSession, sf: str) -> DataFrame:
 @query("WITH " + signals_sql("documents", "doc_id") + ", kw AS (" + " UNION ALL ".join(f"SELECT doc_id, {a} AS agent, list_filter({list(k)!r}, lambda x: list_contains(g, x) AND x NOT IN {rules.NOISE!r}) AS found FROM sg" for a, k in rules.KEYWORDS.items()) + "), s AS (SELECT doc_id, agent, len(found) AS hits, CASE agent " + " ".join(f"WHEN {a} THEN {weight_sql('found', a)}" for a in rules.KEYWORDS) + " END AS weight FROM kw) SELECT doc_id, agent, CAST(hits AS INTEGER) AS hits, CAST(weight AS INTEGER) AS weight FROM s WHERE hits >= 2 OR weight >= 3 OR (weight >= 2 AND hits >= 1)")
 def cls_03(spark: SparkSession, sf: str) -> DataFrame:
     """Weighted keyword score of each agent; matched rows."""
-    seen = read(spark, sf, "documents").select("doc_id", rules.grams("text").alias("g"))
+    seen = read(spark, sf, "documents").select("doc_id", rules.terms_in("text").alias("g"))
     each = [F.struct(F.lit(a).alias("agent"), F.filter(rules.held(F.col("g"), k), lambda x: ~x.isin(*rules.NOISE)).alias("found")) for a, k in rules.KEYWORDS.items()]
     kw = seen.select("doc_id", F.explode(F.array(*each)).alias("k")).select("doc_id", "k.agent", "k.found")
     weight = F.coalesce(*[F.when(F.col("agent") == a, rules.weight_of(F.col("found"), a)) for a in rules.KEYWORDS])

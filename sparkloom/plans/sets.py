@@ -13,9 +13,9 @@ from .scalars import FOLD_SQL, ODD_COMPOSED, with_odd
 
 
 @query(
-    """WITH n AS (SELECT doc_id, regexp_replace(regexp_replace(replace(replace(text || CASE WHEN doc_id % 3 = 0 THEN '"""
+    r"""WITH n AS (SELECT doc_id, regexp_replace(regexp_replace(replace(replace(text || CASE WHEN doc_id % 3 = 0 THEN '"""
     + ODD_COMPOSED
-    + """' ELSE '' END, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g') AS t FROM documents)
+    + r"""' ELSE '' END, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g') AS t FROM documents)
     SELECT min(doc_id) AS doc_id, count(*) AS copies FROM n GROUP BY sha256(regexp_replace(t, '^\s+|\s+$', '', 'g'))"""
 )
 def set_01(spark: SparkSession, sf: str) -> DataFrame:

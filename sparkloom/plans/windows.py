@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..operators import vectors
 from ..operators.ranking import in_blocks, ranked, top
+from ..operators.sections import sections
 from ..operators.summaries import exact_percentiles
 from ..sources.shared import written
 from .base import query, read
@@ -77,36 +78,50 @@ def win_07(spark: SparkSession, sf: str) -> DataFrame:
 LINES_SQL = "l AS (SELECT doc_id, unnest(s) AS line, generate_subscripts(s, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents))"
 
 
-@query(
-    "WITH " + LINES_SQL + """, h AS (SELECT doc_id, i, CASE WHEN i % 6 = 1 THEN 'A' || i END AS h1, CASE WHEN i % 3 = 2 THEN 'B' || i END AS h2 FROM l),
-    w AS (SELECT doc_id, i, last_value(h1 IGNORE NULLS) OVER p AS h1, last_value(CASE WHEN h1 IS NOT NULL THEN '' ELSE h2 END IGNORE NULLS) OVER p AS h2 FROM h WINDOW p AS (PARTITION BY doc_id ORDER BY i))
-    SELECT doc_id, CAST(i AS INTEGER) AS i, concat_ws(' > ', h1, nullif(h2, '')) AS path FROM w"""
-)
+#: Lines with headings of four levels, others that only look like one, and fences with headings between them.
+HEADED_LINE_SQL = "CASE i % 23 WHEN 1 THEN '# A' || i WHEN 3 THEN '## B  ' WHEN 5 THEN ' ### C' || i WHEN 8 THEN '####' WHEN 9 THEN '#### D' || i % 5 WHEN 11 THEN '##### five' WHEN 12 THEN '#none' WHEN 14 THEN '```py' WHEN 15 THEN '# code' WHEN 16 THEN '~~~' WHEN 18 THEN '```' WHEN 19 THEN '```x```' WHEN 20 THEN '## E' || i ELSE line END"
+HEADED_SQL = LINES_SQL + f""", hl AS (SELECT doc_id, i, {HEADED_LINE_SQL} AS line FROM l), hn AS (SELECT *, i % 23 >= 14 AND i % 23 <= 18 AS code FROM hl),
+  hv AS (SELECT *, CASE WHEN code THEN 0 ELSE length(regexp_extract(trim(line), '^(#{{1,4}})(\\s|$)', 1)) END AS level, trim(regexp_replace(trim(line), '^#+', '')) AS name FROM hn),
+  hs AS (SELECT *, """ + ", ".join(f"last_value(CASE WHEN level BETWEEN 1 AND {k - 1} THEN '' WHEN level = {k} THEN name END IGNORE NULLS) OVER p AS h{k}" for k in range(1, 5)) + """, count(*) FILTER (WHERE level > 0) OVER p AS section FROM hv WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
+  paths AS (SELECT doc_id, i, line, level, section, array_to_string(list_filter([h1, h2, h3, h4], lambda x: x <> ''), ' > ') AS path FROM hs)"""
+
+
+def with_headings(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with the lines of HEADED_LINE_SQL."""
+
+    def line(x: F.Column, k: F.Column) -> F.Column:
+        n = (k + 1).cast("string")
+        at = (k + 1) % 23
+        numbered = lambda s, c=n: F.concat(F.lit(s), c)
+        out = F.when(at == 1, numbered("# A")).when(at == 3, "## B  ").when(at == 5, numbered(" ### C")).when(at == 8, "####").when(at == 9, numbered("#### D", ((k + 1) % 5).cast("string"))).when(at == 11, "##### five").when(at == 12, "#none")
+        return out.when(at == 14, "```py").when(at == 15, "# code").when(at == 16, "~~~").when(at == 18, "```").when(at == 19, "```x```").when(at == 20, numbered("## E")).otherwise(x)
+
+    return read(spark, sf, "documents").select("doc_id", F.array_join(F.transform(F.split("text", "\n"), line), "\n").alias("text"))
+
+
+@query("WITH " + HEADED_SQL + " SELECT doc_id, CAST(i AS INTEGER) AS i, path FROM paths WHERE level = 0")
 def win_08(spark: SparkSession, sf: str) -> DataFrame:
-    """Section path of each line: the last heading of each level, deeper ones cleared by a higher one (injected)."""
-    lines = read(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "line")).select("doc_id", (F.col("p") + 1).alias("i"))
-    h1 = F.when(F.col("i") % 6 == 1, F.concat(F.lit("A"), F.col("i").cast("string")))
-    h2 = F.when(h1.isNotNull(), "").when(F.col("i") % 3 == 2, F.concat(F.lit("B"), F.col("i").cast("string")))
-    w = Window.partitionBy("doc_id").orderBy("i")
-    path = lines.select("doc_id", "i", F.last(h1, True).over(w).alias("h1"), F.last(h2, True).over(w).alias("h2"))
-    return path.select("doc_id", "i", F.concat_ws(" > ", "h1", F.nullif("h2", F.lit(""))).alias("path"))
+    """Section path of each line: the open headings of four levels, deeper ones closed by a higher one; lines between fences
+    are no headings (headings and fences are injected). In the row."""
+    parts = with_headings(spark, sf).select("doc_id", F.explode(sections("text")).alias("s"))
+    return parts.select("doc_id", F.array_join("s.path", " > ").alias("path"), "s.first", F.posexplode("s.lines").alias("p", "line")).select("doc_id", (F.col("first") + F.col("p") + 1).alias("i"), "path")
 
 
 @query("WITH " + LINES_SQL + ", w AS (SELECT doc_id, i, line, list(line) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS b, list(line) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING) AS a FROM l) SELECT doc_id, CAST(i AS INTEGER) AS i, sha256(coalesce(array_to_string(b, chr(10)), '')) AS before, sha256(coalesce(array_to_string(a, chr(10)), '')) AS after FROM w WHERE regexp_matches(line, '\\d')")
 def win_09(spark: SparkSession, sf: str) -> DataFrame:
     """Four lines before and after each line that holds a number."""
-    lines = read(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "line"))
-    w = Window.partitionBy("doc_id").orderBy("p")
-    near = lines.withColumns({"b": F.collect_list("line").over(w.rowsBetween(-4, -1)), "a": F.collect_list("line").over(w.rowsBetween(1, 4))})
-    return near.where(F.col("line").rlike(r"\d")).select("doc_id", (F.col("p") + 1).alias("i"), F.sha2(F.array_join("b", "\n"), 256).alias("before"), F.sha2(F.array_join("a", "\n"), 256).alias("after"))
+    lines = F.split("text", "\n")
+    near = F.transform(lines, lambda x, p: F.struct((p + 1).alias("i"), x.rlike(r"\d").alias("hit"), F.slice(lines, F.greatest(p - 3, F.lit(1)), F.least(p, F.lit(4))).alias("b"), F.slice(lines, p + 2, F.lit(4)).alias("a")))
+    found = read(spark, sf, "documents").select("doc_id", F.explode(F.filter(near, lambda x: x["hit"])).alias("x"))
+    return found.select("doc_id", "x.i", F.sha2(F.array_join("x.b", "\n"), 256).alias("before"), F.sha2(F.array_join("x.a", "\n"), 256).alias("after"))
 
 
 @query("WITH s AS (SELECT doc_id, unnest(p) AS s, generate_subscripts(p, 1) AS i FROM (SELECT doc_id, string_split(text, '. ') AS p FROM documents)) SELECT doc_id, CAST(i AS INTEGER) AS i, CAST(length(s) - CASE WHEN regexp_matches(lead(s) OVER (PARTITION BY doc_id ORDER BY i), '(nicht|not|pas)') THEN 8 ELSE 0 END AS INTEGER) AS score FROM s")
 def win_10(spark: SparkSession, sf: str) -> DataFrame:
     """Sentence score with a penalty when the next sentence is negative."""
-    s = read(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", r"\. ")).alias("p", "s"))
-    after = F.lead("s").over(Window.partitionBy("doc_id").orderBy("p"))
-    return s.select("doc_id", (F.col("p") + 1).alias("i"), (F.length("s") - F.when(after.rlike("(nicht|not|pas)"), 8).otherwise(0)).alias("score"))
+    parts = F.split("text", r"\. ")
+    scored = F.transform(parts, lambda s, p: F.length(s) - F.when(F.get(parts, p + 1).rlike("(nicht|not|pas)"), 8).otherwise(0))
+    return read(spark, sf, "documents").select("doc_id", F.posexplode(scored).alias("p", "score")).select("doc_id", (F.col("p") + 1).alias("i"), "score")
 
 
 @query(
