@@ -1,8 +1,12 @@
-"""Arithmetic over columns: costs, confidence, and the formula catalogue. Bad input gives null, never an error."""
+"""Arithmetic over columns: costs, confidence, and the formula catalogue. Bad input gives null and says why
+in a column beside it, never an error of the job."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -28,7 +32,86 @@ def dilution(c1: Column, v1: Column, c2: Column) -> Column:
     return F.when(c2 > 0, c1 * v1 / c2)
 
 
-def catalogue(name: Column) -> Column:
-    """One expression per named formula, over the measurement columns of lineitem."""
-    q, p, d, t = (F.col(f"l_{x}") for x in ("quantity", "extendedprice", "discount", "tax"))
-    return F.when(name == "yield", percent(q, p)).when(name == "solids", 100 * (1 - d) * (1 - t)).when(name == "ratio", F.when(t > 0, d / t)).when(name == "mass", q * (1 - d))
+# Correction factors by kind of cheese, and the twelve formulas with their constants.
+FACTORS = {"massa_mole": 1.18, "filados": 1.11, "continentais": 1.11, "duros": 1.09}
+
+
+@dataclass(frozen=True)
+class Formula:
+    """inputs: the names a formula needs, in order; of: its expression over columns of those names."""
+
+    inputs: tuple[str, ...]
+    unit: str
+    written: str
+    of: Callable[..., Column]
+
+
+CATALOGUE: dict[str, Formula] = {
+    "van_slyke_original": Formula(("F", "C", "W"), "kg/100L", "(0.93 F + C - 0.1) 1.09 / (1 - W)", lambda F, C, W: (0.93 * F + C - 0.1) * 1.09 / (1 - W)),
+    "van_slyke_otimizada": Formula(("FRF", "F", "PTN", "PC", "FT", "FC", "W"), "kg/100L", "(FRF F + PTN PC FT FC) / (1 - W)", lambda FRF, F, PTN, PC, FT, FC, W: (FRF * F + PTN * PC * FT * FC) / (1 - W)),
+    "van_slyke_lkg": Formula(("D15", "RVS"), "L/kg", "100 / D15 / RVS", lambda D15, RVS: 100 / D15 / RVS),
+    "fleischmann": Formula(("F", "D15"), "%", "1.2 F + 266.5 (D15 - 1) / D15 + 0.25", lambda F, D15: 1.2 * F + 266.5 * (D15 - 1) / D15 + 0.25),
+    "furtado": Formula(("F", "L15"), "%", "1.2 F + 0.25 L15 + 0.25", lambda F, L15: 1.2 * F + 0.25 * L15 + 0.25),
+    "esd_fleischmann_furtado": Formula(("RFF", "F"), "%", "RFF - F", lambda RFF, F: RFF - F),
+    "richmond_f1": Formula(("L15", "F"), "%", "L15 / 4 + 1.2 F + 0.14", lambda L15, F: L15 / 4 + 1.2 * F + 0.14),
+    "richmond_f2": Formula(("L20", "F"), "%", "L20 / 4 + 1.2 F + 0.50", lambda L20, F: L20 / 4 + 1.2 * F + 0.50),
+    "richmond_f3": Formula(("L15", "F"), "%", "L15 / 4 + 0.2 F + 0.14", lambda L15, F: L15 / 4 + 0.2 * F + 0.14),
+    "richmond_f4": Formula(("L20", "F"), "%", "L20 / 4 + 0.2 F + 0.50", lambda L20, F: L20 / 4 + 0.2 * F + 0.50),
+    "densidade_para_graus_lactometricos": Formula(("D",), "°GL", "1000 (D - 1)", lambda D: (D - 1) * 1000),
+    "furtado_soro": Formula(("F", "L15"), "%", "1.2 F + L15 / 4.33 + 0.25", lambda F, L15: 1.2 * F + L15 / 4.33 + 0.25),
+}
+#: What an input must lie in, where its formulas divide by it: (formulas, input, test, what is wrong).
+RANGES = (
+    (("van_slyke_original", "van_slyke_otimizada"), "W", lambda x: (x >= 0) & (x < 1), "W must be at least 0 and below 1"),
+    (("van_slyke_lkg", "fleischmann"), "D15", lambda x: x > 0, "D15 must be above 0"),
+    (("van_slyke_lkg",), "RVS", lambda x: x > 0, "RVS must be above 0"),
+)
+
+
+def factor(kind: Column) -> Column:
+    """FC of a kind by name, in any case, or of a number written out; null for anything else."""
+    names = F.create_map(*[F.lit(x) for pair in FACTORS.items() for x in pair])
+    return F.coalesce(F.try_element_at(names, F.lower(F.trim(kind))), kind.try_cast("double"))
+
+
+def compute(slug: Column, inputs: dict[str, Column], kind: Column | None = None, digits: int = 4) -> Column:
+    """Struct of result and error for the formula that `slug` names, by row: exactly one of them is null. inputs are
+    columns by name; kind (a name or a number written out) gives FC where it is not among them. The first fault counts: a
+    formula nobody knows, inputs that are null, inputs that are no finite number, an input out of its range, a result that
+    is no finite number."""
+    known = {k: v.cast("double") for k, v in inputs.items()}
+    by_kind = kind is not None and "FC" not in known
+    if by_kind:
+        known["FC"] = factor(kind)
+    nothing = F.lit(None).cast("double")
+    finite = lambda x: ~F.isnan(x) & (F.abs(x) < float("inf"))
+    chosen = None
+    for name, formula in CATALOGUE.items():
+        own = {k: known.get(k, nothing) for k in formula.inputs}
+        missing = F.concat_ws(", ", *[F.when(x.isNull(), k) for k, x in own.items() if k != "FC" or not by_kind])
+        odd = F.concat_ws(", ", *[F.when(~finite(x), k) for k, x in own.items()])
+        out, guarded = F.lit(None).cast("string"), dict(own)
+        for formulas, key, test, said in reversed(RANGES):
+            if name in formulas:
+                out = F.when(~test(own[key]), said).otherwise(out)
+                guarded[key] = F.when(test(own[key]), own[key])
+        if by_kind and "FC" in own:
+            unknown = F.when(kind.isNull(), "missing: FC").when(own["FC"].isNull(), "unknown kind")
+        else:
+            unknown = F.lit(None).cast("string")
+        one = F.struct(formula.of(**guarded).alias("value"), missing.alias("missing"), unknown.alias("unknown"), odd.alias("odd"), out.alias("out"))
+        chosen = F.when(slug == name, one) if chosen is None else chosen.when(slug == name, one)
+
+    def told(c: Column) -> Column:
+        fault = F.when(c.isNull(), "unknown formula").when(c["missing"] != "", F.concat(F.lit("missing: "), c["missing"])).when(c["unknown"].isNotNull(), c["unknown"])
+        fault = fault.when(c["odd"] != "", F.concat(F.lit("not finite: "), c["odd"])).when(c["out"].isNotNull(), c["out"]).when(~finite(c["value"]), "result not finite")
+        return F.struct(c["value"].alias("value"), fault.alias("error"))
+
+    once = lambda c, f: F.transform(F.array(c), f)[0]  # evaluates c once
+    return once(once(chosen, told), lambda c: F.struct(F.when(c["error"].isNull(), F.round(c["value"], digits)).alias("result"), c["error"].alias("error")))
+
+
+def listing(spark: SparkSession) -> DataFrame:
+    """The catalogue as a table: formula, unit, written, inputs. Fixed and small."""
+    rows = [(name, f.unit, f.written, list(f.inputs)) for name, f in CATALOGUE.items()]
+    return spark.createDataFrame(rows, "formula string, unit string, written string, inputs array<string>")

@@ -8,10 +8,11 @@ from pyspark.sql.window import Window
 
 from ..functions import text
 from ..operators import vectors
+from ..operators.cover import cover_density
 from ..operators.ranking import boosted, fuse, top
 from ..operators.search import search, two_pass
 from .base import query, read
-from .filters import BM25_SQL, HOST_SQL, KEYWORDS_SQL, SEARCHED_SQL, asking, searched, text_hits
+from .filters import BM25_SQL, FOLDED_WORDS_SQL, HOST_SQL, KEYWORDS_SQL, SEARCHED_SQL, asking, searched, text_hits
 from .joins import LISTS_SQL, chunks, questions, text_list
 from .scalars import HTML_SQL
 
@@ -68,6 +69,25 @@ def ret_05(spark: SparkSession, sf: str) -> DataFrame:
     return text_hits(spark, sf, 20).withColumn("score", F.round(F.col("score") + 1e-7, 3))
 
 
+COVER_SQL = "dw AS (SELECT doc_id, " + FOLDED_WORDS_SQL.format("text", 1) + """ AS w FROM documents), q AS (SELECT item_id AS query_id, list_filter(l, lambda x, i: list_position(l, x) = i)[1:3] AS terms FROM (SELECT item_id, regexp_extract_all(lower(strip_accents(text)), '[\\p{L}\\p{N}_]{4,}') AS l FROM benchmark)),
+  p AS (SELECT query_id, doc_id, len(terms) AS n, w, terms FROM q JOIN dw ON len(terms) > 0 AND list_has_all(w, terms)),
+  o AS (SELECT query_id, doc_id, n, i, list_position(terms, x) AS t FROM (SELECT query_id, doc_id, n, terms, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM p) WHERE list_contains(terms, x)),
+  r AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY i) AS j FROM o),
+  m AS (SELECT *, max(CASE WHEN t = 1 THEN j END) OVER s AS a, CASE WHEN n < 2 THEN j ELSE max(CASE WHEN t = 2 THEN j END) OVER s END AS b, CASE WHEN n < 3 THEN j ELSE max(CASE WHEN t = 3 THEN j END) OVER s END AS c FROM r WINDOW s AS (PARTITION BY query_id, doc_id ORDER BY i)),
+  l AS (SELECT *, least(a, b, c) AS low FROM m WHERE a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL),
+  f AS (SELECT *, lag(low, 1, 0) OVER (PARTITION BY query_id, doc_id ORDER BY i) AS before FROM l),
+  g AS (SELECT f.query_id, f.doc_id, f.i - r.i - (f.j - r.j) AS noise FROM f JOIN r ON r.query_id = f.query_id AND r.doc_id = f.doc_id AND r.j = f.low WHERE f.low > f.before)"""
+
+
+@query("WITH " + COVER_SQL + " SELECT query_id, doc_id, round(sum(0.1::DOUBLE / (1 + noise)) + 1e-9, 5) AS score, CAST(count(*) AS INTEGER) AS covers FROM g GROUP BY query_id, doc_id")
+def ret_05_cover(spark: SparkSession, sf: str) -> DataFrame:
+    """Text relevance by cover density, beside BM25: documents that hold the first three words of a question, by how close
+    they stand."""
+    docs, asked = read(spark, sf, "documents", "benchmark")
+    queries = asked.select(F.col("item_id").alias("query_id"), F.slice(F.array_distinct(text.folded_words("text", 4)), 1, 3).alias("terms"))
+    return cover_density(queries, docs).withColumn("score", F.round(F.col("score") + 1e-9, 5))
+
+
 @query("WITH " + SEARCHED_SQL.format(k=20) + ", weak AS (SELECT query_id FROM hits WHERE rank <= 8 AND vec_id <> query_id GROUP BY query_id HAVING max(score) < 0.42), lists AS (SELECT query_id, vec_id, rank FROM hits WHERE rank <= 8 UNION ALL SELECT query_id, vec_id, rank FROM hits SEMI JOIN weak USING (query_id)), f AS (SELECT query_id, vec_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score FROM lists GROUP BY query_id, vec_id) SELECT query_id, vec_id, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM f) WHERE rank <= 8")
 def ret_06(spark: SparkSession, sf: str) -> DataFrame:
     """Two-pass search: queries with weak first results are searched again more widely, and both lists fused."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import formulas, text, unicode
+from ..functions import documents, formulas, text, unicode
 from .base import query, read
 
 FOLD_SQL = "trim(regexp_replace(regexp_replace(lower(translate({0}, 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ', 'aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY')), '\\s+', ' ', 'g'), '^ | $', '', 'g'))"
@@ -360,11 +360,26 @@ def scl_26(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "events").select("event_id", F.date_format(day, "yyyy-MM-dd").alias("day"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("iso"), (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(day.cast("timestamp"))).alias("into_day_us"))
 
 
-@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, '{\"k\":' || json_extract_string(props, '$.k') || ',\"type\":\"' || event_type || '\"}' AS built FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) >= 10")
+#: Documents with objects and arrays in each other, made of an event; and patterns that some of them contain.
+NESTED_PATTERNS = ({"k": 10}, {"kind": {"type": "click"}}, {"tags": [1, "a"]}, {"tags": [{"user": {"odd": True}}], "none": None}, {"kind": {"type": "click", "list": [[2], []]}}, {})
+
+
+@query(
+    """WITH e AS (SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, event_type = 'click' AS click, user_id % 3 AS t, user_id % 2 = 1 AS odd, event_id % 5 = 0 AS broken,
+      '{"k":' || json_extract_string(props, '$.k') || ',"type":"' || event_type || '"}' AS built FROM events)
+    SELECT event_id, k, built, CASE WHEN broken THEN '' ELSE concat_ws(',', CASE WHEN k = 10 THEN '0' END, CASE WHEN click THEN '1' END, CASE WHEN t = 1 THEN '2' END, CASE WHEN odd THEN '3' END, CASE WHEN click AND t = 2 THEN '4' END, '5') END AS matches FROM e WHERE k >= 10"""
+)
 def scl_27(spark: SparkSession, sf: str) -> DataFrame:
-    """JSON field access, filtering on it, and building JSON."""
-    k = F.from_json("props", "k long")["k"]
-    return read(spark, sf, "events").select("event_id", k.alias("k"), F.to_json(F.struct(k.alias("k"), F.col("event_type").alias("type"))).alias("built")).where("k >= 10")
+    """JSON: field access, filtering on a field, building, and which of six patterns a nested document contains; every fifth
+    document is broken and contains none."""
+    e = read(spark, sf, "events").withColumn("doc", documents.parsed("props")).withColumn("k", documents.field(F.col("doc"), "$.k", "bigint")).where("k >= 10")
+    built = F.to_json(F.struct("k", F.col("event_type").alias("type")))
+    t = F.col("user_id") % 3
+    tags = F.concat(F.lit('["a", '), t.cast("string"), F.lit(', {"user": {"odd": '), (F.col("user_id") % 2 == 1).cast("string"), F.lit("}}]"))
+    nested = F.concat(F.lit('{"k": '), F.col("k").cast("string"), F.lit('.0, "kind": {"type": "'), "event_type", F.lit('", "list": [[], [7, '), t.cast("string"), F.lit(']]}, "none": null, "tags": '), tags, F.when(F.col("event_id") % 5 == 0, "]").otherwise("}"))
+    e = e.select("event_id", "k", built.alias("built"), nested.alias("raw")).withColumn("doc", documents.parsed("raw"))
+    hits = [F.when(documents.may_contain(F.col("raw"), p) & documents.contains(F.col("doc"), p), str(i)) for i, p in enumerate(NESTED_PATTERNS)]
+    return e.select("event_id", "k", "built", F.concat_ws(",", *hits).alias("matches"))
 
 
 @query("SELECT vec_id, list_sum(list_transform(embedding, lambda x: round(CAST(x AS DOUBLE), 6))) AS total FROM embeddings")
@@ -374,14 +389,56 @@ def scl_28(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "embeddings").select("vec_id", F.aggregate(rounded, F.lit(0.0), lambda a, x: a + x).alias("total"))
 
 
-@query(
-    """SELECT l_orderkey, l_linenumber, formula, round(CASE formula WHEN 'yield' THEN CASE WHEN l_extendedprice > 0 THEN 100 * l_quantity / l_extendedprice END WHEN 'solids' THEN 100 * (1 - l_discount) * (1 - l_tax) WHEN 'ratio' THEN CASE WHEN l_tax > 0 THEN l_discount / l_tax END WHEN 'mass' THEN l_quantity * (1 - l_discount) END, 4) AS result
-    FROM lineitem CROSS JOIN (VALUES ('yield'), ('solids'), ('ratio'), ('mass')) AS f(formula)"""
-)
+#: Inputs of the formulas from the columns of lineitem; some are out of range, missing or no number.
+INPUTS = {
+    "F": "l_quantity / 10", "C": "CASE WHEN l_linenumber <> 6 THEN l_discount * 30 END", "W": "l_discount * 11", "FRF": "0.9 - l_tax", "PTN": "3 + l_tax", "PC": "0.7 + l_discount", "FT": "1.0 - l_tax / 2",
+    "D15": "CASE WHEN l_linenumber = 5 THEN 0.0 ELSE 1 + l_tax / 2 END", "RVS": "l_quantity - 2", "L15": "CASE WHEN l_linenumber = 4 AND l_tax = 0 THEN CAST('NaN' AS DOUBLE) ELSE 1000 * l_tax END", "L20": "30 + l_discount", "D": "1 + l_tax / 3", "RFF": "CASE WHEN l_quantity < 3 THEN CAST('Infinity' AS DOUBLE) ELSE CAST(l_quantity AS DOUBLE) END",
+}
+KIND = "CASE l_returnflag WHEN 'A' THEN 'Filados ' WHEN 'N' THEN CASE WHEN l_linenumber = 3 THEN '1.25' ELSE 'duros' END ELSE CASE WHEN l_linenumber = 1 THEN 'gouda' WHEN l_linenumber > 1 THEN 'massa_mole' END END"
+_IN = {k: f"CAST({v} AS DOUBLE)" for k, v in INPUTS.items()}
+_FORMULA_SQL = {
+    "van_slyke_original": ("F C W", "(0.93::DOUBLE * F + C - 0.1::DOUBLE) * 1.09::DOUBLE / (1 - W)", "W < 0 OR W >= 1", "W must be at least 0 and below 1"),
+    "van_slyke_otimizada": ("FRF F PTN PC FT FC W", "(FRF * F + PTN * PC * FT * FC) / (1 - W)", "W < 0 OR W >= 1", "W must be at least 0 and below 1"),
+    "van_slyke_lkg": ("D15 RVS", "100 / D15 / RVS", "D15 <= 0 OR RVS <= 0", None),
+    "fleischmann": ("F D15", "1.2::DOUBLE * F + 266.5::DOUBLE * (D15 - 1) / D15 + 0.25::DOUBLE", "D15 <= 0", "D15 must be above 0"),
+    "furtado": ("F L15", "1.2::DOUBLE * F + 0.25::DOUBLE * L15 + 0.25::DOUBLE", "false", ""),
+    "esd_fleischmann_furtado": ("RFF F", "RFF - F", "false", ""),
+    "richmond_f1": ("L15 F", "L15 / 4 + 1.2::DOUBLE * F + 0.14::DOUBLE", "false", ""),
+    "richmond_f2": ("L20 F", "L20 / 4 + 1.2::DOUBLE * F + 0.50::DOUBLE", "false", ""),
+    "richmond_f3": ("L15 F", "L15 / 4 + 0.2::DOUBLE * F + 0.14::DOUBLE", "false", ""),
+    "richmond_f4": ("L20 F", "L20 / 4 + 0.2::DOUBLE * F + 0.50::DOUBLE", "false", ""),
+    "densidade_para_graus_lactometricos": ("D", "(D - 1) * 1000", "false", ""),
+    "furtado_soro": ("F L15", "1.2::DOUBLE * F + L15 / 4.33::DOUBLE + 0.25::DOUBLE", "false", ""),
+}
+
+
+def _formula_sql(name: str, keys: str, value: str, bad: str, said: str | None) -> str:
+    own = keys.split()
+    rest = [k for k in own if k != "FC"]
+    gaps = f"list_filter([{', '.join(f'CASE WHEN {k} IS NULL THEN {k!r} END' for k in rest)}], lambda x: x IS NOT NULL)"
+    odd = f"list_filter([{', '.join(f'CASE WHEN NOT isfinite({k}) THEN {k!r} END' for k in own)}], lambda x: x IS NOT NULL)"
+    kind = "WHEN kind IS NULL THEN 'missing: FC' WHEN FC IS NULL THEN 'unknown kind' " if "FC" in own else ""
+    said = "CASE WHEN D15 <= 0 THEN 'D15 must be above 0' ELSE 'RVS must be above 0' END" if said is None else f"'{said}'"
+    fault = f"CASE WHEN len({gaps}) > 0 THEN 'missing: ' || array_to_string({gaps}, ', ') {kind}WHEN len({odd}) > 0 THEN 'not finite: ' || array_to_string({odd}, ', ') WHEN {bad} THEN {said} END"
+    return f"SELECT l_orderkey, l_linenumber, '{name}' AS formula, {fault} AS error, CASE WHEN {fault} IS NULL THEN round({value}, 4) END AS result FROM n"
+
+
+FORMULAS_SQL = f"""WITH n AS (SELECT *, CASE lower(trim(kind)) {' '.join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in formulas.FACTORS.items())} ELSE try_cast(kind AS DOUBLE) END AS FC
+  FROM (SELECT l_orderkey, l_linenumber, {', '.join(f"{v} AS {k}" for k, v in _IN.items())}, {KIND} AS kind FROM lineitem)),
+  formulas AS ({' UNION ALL '.join(_formula_sql(n, *x) for n, x in _FORMULA_SQL.items())} UNION ALL SELECT l_orderkey, l_linenumber, 'no_such_formula', 'unknown formula', NULL FROM n)"""
+
+
+def measured(spark: SparkSession, sf: str) -> DataFrame:
+    """Every formula, and one that does not exist, over every row of lineitem: result and error."""
+    rows = read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", *[F.expr(v).alias(k) for k, v in _IN.items()], F.expr(KIND).alias("kind"))
+    rows = rows.withColumn("formula", F.explode(F.array(*map(F.lit, (*formulas.CATALOGUE, "no_such_formula")))))
+    return rows.select("l_orderkey", "l_linenumber", "formula", formulas.compute(F.col("formula"), {k: F.col(k) for k in INPUTS}, F.col("kind")).alias("r")).select("l_orderkey", "l_linenumber", "formula", "r.result", "r.error")
+
+
+@query(FORMULAS_SQL + " SELECT l_orderkey, l_linenumber, formula, round(result + 1e-9, 3) AS result, error FROM formulas")
 def scl_29(spark: SparkSession, sf: str) -> DataFrame:
-    """Named formulas over measurement rows; input out of range gives null."""
-    rows = read(spark, sf, "lineitem").withColumn("formula", F.explode(F.array(*map(F.lit, ("yield", "solids", "ratio", "mass")))))
-    return rows.select("l_orderkey", "l_linenumber", "formula", F.round(formulas.catalogue(F.col("formula")), 4).alias("result"))
+    """The twelve named formulas over measurement rows, with what is wrong where there is no result."""
+    return measured(spark, sf).withColumn("result", F.round(F.col("result") + 1e-9, 3))
 
 
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN l_discount > 0 THEN round(l_tax * l_quantity / l_discount, 4) END AS v2, CASE WHEN l_extendedprice > 0 THEN round(100 * l_quantity / l_extendedprice, 4) END AS percent FROM lineitem")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import algebra, text
+from ..functions import algebra, formulas, text
 from ..operators import postings, rules, upserts
 from ..operators.ranking import positions
 from ..operators.search import search
@@ -15,7 +15,7 @@ from ..sources.shared import shared_path, written
 from .base import query, read
 from .filters import SEARCHED_SQL
 from .joins import RULE_ROWS_SQL, RULE_VALUES_SQL, chunks, questions, rule_rows
-from .scalars import FOLD_SQL
+from .scalars import FOLD_SQL, FORMULAS_SQL, measured
 
 
 @query("SELECT lang, CAST(sum(length(coalesce(text, '')) + 1) AS BIGINT) AS chars, 0::BIGINT AS errors FROM documents GROUP BY lang")
@@ -187,13 +187,12 @@ def udf_03(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("l_orderkey", "l_linenumber", F.round(algebra.solve("d * x + t", "q", "x", {"q": "l_quantity", "d": "l_discount", "t": "l_tax"}), 6).alias("x"))
 
 
-@query("SELECT formula, CAST(count(result) AS BIGINT) AS usable FROM (SELECT formula, CASE formula WHEN 'yield' THEN CASE WHEN l_extendedprice > 0 THEN 1 END WHEN 'ratio' THEN CASE WHEN l_tax > 0 THEN 1 END ELSE 1 END AS result FROM lineitem CROSS JOIN (VALUES ('yield'), ('solids'), ('ratio'), ('mass')) AS f(formula)) GROUP BY formula")
+@query(FORMULAS_SQL + ", k AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{f.unit}', '{', '.join(f.inputs)}')" for n, f in formulas.CATALOGUE.items()) + ") AS t(formula, unit, inputs)) SELECT k.formula, unit, inputs, count(result) AS usable, count(DISTINCT error) AS faults FROM k JOIN formulas AS f ON f.formula = k.formula GROUP BY 1, 2, 3")
 def udf_04(spark: SparkSession, sf: str) -> DataFrame:
-    """Formula catalogue, with how many rows each formula can be used on."""
-    from ..functions import formulas
-
-    rows = read(spark, sf, "lineitem").withColumn("formula", F.explode(F.array(*map(F.lit, ("yield", "solids", "ratio", "mass")))))
-    return rows.groupBy("formula").agg(F.count(formulas.catalogue(F.col("formula"))).alias("usable"))
+    """Formula catalogue: unit and inputs of each of the twelve, on how many rows it can be used, and how many kinds of fault
+    the others have."""
+    use = measured(spark, sf).groupBy("formula").agg(F.count("result").alias("usable"), F.count_distinct("error").alias("faults"))
+    return formulas.listing(spark).join(use, "formula").select("formula", "unit", F.array_join("inputs", ", ").alias("inputs"), "usable", "faults")
 
 
 @query("SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM (SELECT doc_id, unnest(regexp_extract_all(" + FOLD_SQL.format("text") + ", '[\\p{L}\\p{N}_]{2,}')) AS term FROM documents) GROUP BY term HAVING count(DISTINCT doc_id) >= 2")
