@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 
 from ..functions import algebra, formulas, text
 from ..operators import postings, rules, upserts
+from ..operators.dedup import first_per
+from ..operators.kept import KeptPostings
 from ..operators.ranking import positions
 from ..operators.search import search
 from ..sources import readers, writers
@@ -75,20 +77,24 @@ def src_07(spark: SparkSession, sf: str) -> DataFrame:
     return rules.table(spark).join(n, ["rule_set", "kind", "term"], "left").select("rule_set", "kind", "term", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+BUCKETS = 16  # of the table of chunks; a deployment takes as many as its files are to be
+
+
 def _chunks(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "documents").select(F.substring(F.sha2("text", 256), 1, 16).alias("content_hash"), "doc_id", "lang")
 
 
-@query("WITH h AS (SELECT substr(sha256(text), 1, 16) AS k, doc_id FROM documents), t AS (SELECT DISTINCT k FROM h WHERE doc_id % 2 = 0), n AS (SELECT (SELECT count(*) FROM h) AS processed, (SELECT count(DISTINCT k) FROM h WHERE k NOT IN (SELECT k FROM t)) AS inserted) SELECT k AS content_hash, max(doc_id) AS doc_id, any_value(processed) AS processed, any_value(inserted) AS inserted, any_value(processed - inserted) AS updated FROM h CROSS JOIN n GROUP BY k")
+@query("WITH h AS (SELECT substr(sha256(text), 1, 16) AS k, doc_id FROM documents), t AS (SELECT DISTINCT k FROM h WHERE doc_id % 2 = 0), n AS (SELECT (SELECT count(*) FROM h) AS processed, (SELECT count(DISTINCT k) FROM h WHERE k NOT IN (SELECT k FROM t)) AS inserted) SELECT k AS content_hash, max(doc_id) AS doc_id, any_value(processed) AS processed, any_value(inserted) AS inserted, any_value(processed - inserted) AS updated, 0::BIGINT AS rewritten_again FROM h CROSS JOIN n GROUP BY k")
 def snk_01(spark: SparkSession, sf: str) -> DataFrame:
-    """Idempotent upsert by content hash: the table as written, with the counts of inserts and updates. Upserted twice, as a
-    job that is run again would do; the second time changes nothing."""
+    """Idempotent upsert by content hash into a table in hash buckets: the table as it is then, with the counts of inserts and
+    updates. Upserted twice, as a job that is run again would do; the second time no bucket is written."""
     every = _chunks(spark, sf)
-    target = every.where("doc_id % 2 = 0").dropDuplicates(["content_hash"])
-    after, counts = upserts.upsert(target, every, "content_hash", "doc_id")
-    stored = written(after, "upserted")
-    again = written(upserts.upsert(stored, every, "content_hash", "doc_id")[0], "upserted")
-    return again.select("content_hash", "doc_id").join(F.broadcast(counts))  # one row
+    path = shared_path(spark, "chunks")
+    upserts.in_buckets(first_per(every.where("doc_id % 2 = 0"), F.col("content_hash"), F.col("doc_id")), "content_hash", path, BUCKETS)
+    counts = upserts.upsert_in_place(path, every, "content_hash", "doc_id", BUCKETS)
+    again = upserts.upsert_in_place(path, every, "content_hash", "doc_id", BUCKETS)
+    shown = [F.lit(counts[c]).cast("long").alias(c) for c in ("processed", "inserted", "updated")]
+    return spark.read.schema(every.schema).parquet(path).select("content_hash", "doc_id", *shown, F.lit(again["rewritten"]).cast("long").alias("rewritten_again"))
 
 
 @query("SELECT content_hash, CASE WHEN min(doc_id) FILTER (WHERE doc_id % 2 = 0) IS NOT NULL THEN min(doc_id) FILTER (WHERE doc_id % 2 = 0) ELSE min(doc_id) END AS doc_id FROM (SELECT substr(sha256(text), 1, 16) AS content_hash, doc_id FROM documents) GROUP BY content_hash")
@@ -195,8 +201,14 @@ def udf_04(spark: SparkSession, sf: str) -> DataFrame:
     return formulas.listing(spark).join(use, "formula").select("formula", "unit", F.array_join("inputs", ", ").alias("inputs"), "usable", "faults")
 
 
-@query("SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM (SELECT doc_id, unnest(regexp_extract_all(" + FOLD_SQL.format("text") + ", '[\\p{L}\\p{N}_]{2,}')) AS term FROM documents) GROUP BY term HAVING count(DISTINCT doc_id) >= 2")
+@query("SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf, true AS dated FROM (SELECT doc_id, unnest(regexp_extract_all(" + FOLD_SQL.format("text") + ", '[\\p{L}\\p{N}_]{2,}')) AS term FROM documents WHERE doc_id % 10 <> 7) GROUP BY term HAVING count(DISTINCT doc_id) >= 2")
 def udf_05(spark: SparkSession, sf: str) -> DataFrame:
-    """Derived columns kept at write: the postings of the texts, summed up per term."""
-    p = postings.postings(read(spark, sf, "documents"))
-    return p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).where("df >= 2")
+    """Columns kept at write: the postings and the time of the last change, after three batches. The first has every second
+    document in an older wording, the second the others, the third changes the first ones and deletes every tenth."""
+    docs = read(spark, sf, "documents").select("doc_id", "text")
+    kept = KeptPostings(spark, shared_path(spark, "postings"))
+    kept.write(docs.where("doc_id % 2 = 0").withColumn("text", F.concat(F.lit("older wording "), "text")))
+    kept.write(docs.where("doc_id % 2 = 1"))
+    kept.write(docs.where("doc_id % 2 = 0"), deleted=docs.where("doc_id % 10 = 7").select("doc_id"))
+    dated = kept.documents().agg(F.bool_and(F.col("updated_at").isNotNull()).alias("dated"))
+    return kept.totals().where("df >= 2").join(F.broadcast(dated))  # one row

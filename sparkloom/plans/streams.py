@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..streaming import jobs
+from ..streaming import jobs, state
 from . import windows  # noqa: F401  (its oracles are used here)
 from .base import ORACLES, query
 from .filters import GATE_SQL
@@ -31,12 +31,21 @@ def str_02(spark: SparkSession, sf: str) -> DataFrame:
     return jobs.drained(jobs.unique(stream, ["user_id", "event_type", "props"], "ts", "60 days").select("user_id", "event_type", "props"))
 
 
-@query("SELECT user_id, arg_max(event_type, struct_pack(a := ts, b := event_id)) AS status, max(value) AS chunks FROM events GROUP BY user_id")
+@query("""WITH e AS (SELECT user_id, ts, event_id, CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'converting' WHEN 'click' THEN 'processing' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' END AS status,
+    CASE WHEN event_id % 3 <> 0 THEN round(value, 2) END AS chunks, CASE WHEN event_id % 4 = 1 THEN CAST(json_extract(props, '$.k') AS DOUBLE) END AS pages FROM events),
+  o AS (SELECT *, CASE status WHEN 'queued' THEN 0 WHEN 'converting' THEN 1 WHEN 'processing' THEN 2 ELSE 3 END AS r FROM e WHERE status IS NOT NULL), b AS (SELECT *, lag(r) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM o),
+  k AS (SELECT user_id, arg_max(status, struct_pack(a := ts, b := event_id)) AS status, count(*) FILTER (WHERE r < before) AS steps_back FROM b GROUP BY user_id),
+  c AS (SELECT user_id, arg_max(chunks, struct_pack(a := ts, b := event_id)) FILTER (WHERE chunks IS NOT NULL) AS chunks, arg_max(pages, struct_pack(a := ts, b := event_id)) FILTER (WHERE pages IS NOT NULL) AS pages FROM e GROUP BY user_id)
+  SELECT c.user_id AS job_id, status, coalesce(steps_back, 0) AS steps_back, chunks, pages FROM c LEFT JOIN k ON c.user_id = k.user_id""")
 def str_03(spark: SparkSession, sf: str) -> DataFrame:
-    """Last status per job."""
-    stream = jobs.table_stream(spark, sf, "events")
-    last = stream.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("status"), F.max("value").alias("chunks"))
-    return jobs.drained(last, "complete")
+    """Job status as state: the last status of each job, how often one stepped back, and counters that only change when
+    given. Users stand for jobs, kinds of events for statuses; a counter is left out of some events."""
+    status = F.create_map(*[F.lit(x) for pair in (("signup", "queued"), ("view", "converting"), ("click", "processing"), ("purchase", "completed"), ("error", "failed")) for x in pair])
+    stream = jobs.table_stream(spark, sf, "events").select(
+        F.col("user_id").alias("job_id"), "ts", "event_id", F.try_element_at(status, F.col("event_type")).alias("status"),
+        F.when(F.col("event_id") % 3 != 0, F.round("value", 2)).alias("chunks"), F.when(F.col("event_id") % 4 == 1, F.get_json_object("props", "$.k").cast("double")).alias("pages"),
+    )
+    return state.job_status(stream, ("chunks", "pages"))
 
 
 @query("SELECT strftime(d, '%Y-%m-%d') AS day, bucket, n, mean, fallback FROM (SELECT date_trunc('day', ts) AS d, event_type AS bucket, count(*) AS n, round(avg(value) + 1e-9, 4) AS mean, round(avg(CASE WHEN user_id % 5 = 0 THEN 1.0 ELSE 0.0 END), 4) AS fallback FROM events GROUP BY d, bucket) WHERE d + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR")
@@ -54,13 +63,13 @@ def str_05(spark: SparkSession, sf: str) -> DataFrame:
 @query(ORACLES["win_05"])
 def str_06(spark: SparkSession, sf: str) -> DataFrame:
     """Adaptive timeouts as state."""
-    return jobs.timeouts(jobs.table_stream(spark, sf, "events").select("event_type", "event_id", "ts", "value"))
+    return state.timeouts(jobs.table_stream(spark, sf, "events").select("event_type", "event_id", "ts", "value"))
 
 
 @query(ORACLES["win_06"])
 def str_06_streaks(spark: SparkSession, sf: str) -> DataFrame:
     """Failure streaks as state: the other half of STR-06."""
-    return jobs.streaks(jobs.table_stream(spark, sf, "events").select("user_id", "event_type", "event_id", "ts"))
+    return state.streaks(jobs.table_stream(spark, sf, "events").select("user_id", "event_type", "event_id", "ts"))
 
 
 @query("WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS first FROM events), s AS (SELECT user_id, ts, sum(first) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, start, n FROM (SELECT user_id, min(ts) AS start, max(ts) AS last, count(*) AS n FROM s GROUP BY user_id, k) WHERE last + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR")

@@ -4,14 +4,11 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
-from typing import Any
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..functions import text
 from ..operators.dedup import first_per
@@ -98,76 +95,3 @@ def compaction(stream: DataFrame, most: int = 4, keep: int = 2) -> DataFrame:
         yield pd.DataFrame({"conv_id": [key[0]] * len(out), "turn": out}).astype("int64")
 
     return stream.groupBy("conv_id").applyInPandasWithState(step, "conv_id long, turn long", "held string", "append", GroupStateTimeout.NoTimeout)
-
-
-def folded(stream: DataFrame, key: str, value: str, step: Callable[[Any, Any], tuple[Any, Any]], result: str, kind: str, label: str) -> DataFrame:
-    """Run a stream to its end, handing the values of each key to step(state, value) -> (state, result) in order of ts and
-    event_id; event_id and result where that is not None.
-
-    A micro-batch is sorted by Spark and read row by row, so a task holds one state and not a key's rows. States are
-    written with the batch's results, and are the first rows of their keys in the next one. Batches must follow each other
-    in time, as files taken a few at a time do; taken all at once, files may come in any order.
-    """
-    spark = stream.sparkSession
-    path = shared_path(spark, label)
-    kinds = {f.name: f.dataType for f in stream.schema}
-    schema = StructType([StructField(key, kinds[key]), StructField("event_id", LongType()), StructField("held", StringType())]).add(result, kind)
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        started, now, held = False, None, None
-        types = None
-        for batch in batches:
-            types = [batch.schema.field(key).type, pa.int64(), pa.string(), pa.float64() if kind == "double" else pa.int64()]
-            out = []
-            for k, i, v, before in zip(*(batch.column(c).to_pylist() for c in (key, "event_id", value, "held")), strict=True):
-                if not started or k != now:
-                    if started:
-                        out.append((now, None, json.dumps(held), None))
-                    started, now, held = True, k, None
-                if before is not None:
-                    held = json.loads(before)
-                    continue
-                held, made = step(held, v)
-                if made is not None:
-                    out.append((k, i, None, made))
-            columns = list(zip(*out, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], schema.names)
-        if started:
-            yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip((now, None, json.dumps(held), None), types, strict=True)], schema.names)
-
-    def work(batch: DataFrame, number: int) -> None:
-        states = batch.sparkSession.read.schema(schema).parquet(f"{path}/batch={number - 1}").where("held is not null")
-        names = list(dict.fromkeys([key, "ts", "event_id", value]))
-        rows = batch.select(*names).withColumn("held", F.lit(None).cast("string"))
-        rows = rows.unionByName(states.select(key, "held"), allowMissingColumns=True)
-        dealt = rows.repartition(key).sortWithinPartitions(F.col(key), F.col("held").isNull(), "ts", "event_id").drop("ts")
-        dealt.mapInArrow(fold, schema).write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    spark.createDataFrame([], schema).write.parquet(f"{path}/batch=-1")
-    stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{path}-progress").foreachBatch(work).start().awaitTermination()
-    return spark.read.schema(schema).parquet(path).where("held is null").select(key, "event_id", result)
-
-
-def timeouts(stream: DataFrame, window: int = 50, least: int = 10, low: float = 8.0, high: float = 45.0, factor: float = 1.3) -> DataFrame:
-    """Adaptive timeout after every event of a kind, from its last `window` latencies. State: those latencies."""
-
-    def step(held: list | None, value: float) -> tuple[list, float]:
-        held = [*(held or [])[-(window - 1) :], float(value)]
-        place = -(-95 * len(held) // 100)
-        return held, high if len(held) < least else round(min(max(sorted(held)[place - 1] * factor, low), high), 4)
-
-    return folded(stream, "event_type", "value", step, "timeout", "double", "timeouts").select("event_id", "timeout")
-
-
-def streaks(stream: DataFrame, least: int = 3, failure: str = "error", ignored: str = "view") -> DataFrame:
-    """Failures that are at least the `least`-th in a row of their user; a success resets, a timeout (a view) is ignored.
-    State: the length of the running streak."""
-
-    def step(held: int | None, kind: str | None) -> tuple[int, int | None]:
-        held = held or 0
-        if kind is None or kind == ignored:
-            return held, None
-        held = held + 1 if kind == failure else 0
-        return held, held if held >= least else None
-
-    return folded(stream, "user_id", "event_type", step, "streak", "long", "streaks").select("user_id", "event_id", "streak")

@@ -152,19 +152,6 @@ def test_ingest_again_adds_nothing(spark):
     assert spark.read.parquet(ledger).count() == before > 0
 
 
-def test_latencies_and_streaks_are_carried_between_batches(spark, tmp_path):
-    events = spark.read.parquet(f"{FOLDER}/events.parquet")
-    middle = events.selectExpr("percentile_approx(unix_micros(cast(ts as timestamp)), 0.5)").first()[0]
-    late = F.unix_micros(F.col("ts").cast("timestamp")) > middle
-    path = str(tmp_path / "events.parquet")
-    events.where(~late).coalesce(1).write.parquet(path)
-    events.where(late).coalesce(1).write.mode("append").parquet(path)
-    stream = jobs.table_stream(spark, str(tmp_path), "events", files_per_trigger=1)
-    for got, name in ((jobs.timeouts(stream), "win_05"), (jobs.streaks(stream), "win_06")):
-        want = QUERIES[name](spark, FOLDER)
-        assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
-
-
 def test_entities_and_cut(spark):
     df = spark.createDataFrame([("<p>a &eacute; &#233; &amp;lt; &nbsp;b</p>",), ("x &copy; &amp y",), ("w" * 30,), (None,)], "h string")
     assert [r[0] for r in df.select(text.html_to_text("h", 20)).collect()] == ["a é é &lt; b", "x © & y", "w" * 17 + "...", None]
