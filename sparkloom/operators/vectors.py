@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
+from ..sources.shared import written
 from .blocks import Best
 from .ranking import ranked, top
 
@@ -114,32 +115,44 @@ def listed(df: DataFrame, vector: str, centers: np.ndarray, many: int) -> DataFr
     return df.mapInArrow(work, StructType([*df.schema.fields, StructField("lists", ArrayType(IntegerType()))]))
 
 
-def nearest_by_centroid(queries: DataFrame, vectors: DataFrame, k: int, exact: DataFrame, recall: float = 0.9, rows: int = 4096, seed: int = 0) -> DataFrame:
+def held_out(vectors: DataFrame, queries: DataFrame, rows: int, salt: str) -> DataFrame:
+    """About `rows` vectors, chosen by hash, as queries(query_id, q); those that ask are not among them."""
+    n = max(1, vectors.count())
+    some = vectors.where(F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(n)) < 2 * rows).where("embedding is not null")
+    some = some.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")).join(queries.select("query_id"), "query_id", "left_anti")
+    return some.orderBy(F.xxhash64("query_id", F.lit(salt)), "query_id").limit(rows)
+
+
+def nearest_by_centroid(queries: DataFrame, vectors: DataFrame, k: int, recall: float = 0.95, rows: int = 4096, tune: int = 256, seed: int = 0) -> DataFrame:
     """Approximate nearest neighbours by inverted lists: vectors are filed under their nearest centroid (k-means on a
     sample of at most about `rows` vectors, or 16 a list), and a query looks into the lists nearest to it. Same columns as
     nearest().
 
-    There are about as many lists as the root of the number of vectors, 16 to 1024. exact(query_id, vec_id) holds the true
-    neighbours of the queries, or of some of them: a true neighbour is found if its list is looked into, so the fewest
-    lists that find the share `recall` of these rows are known before the search, and that many are looked into.
+    There are about as many lists as the root of the number of vectors, 16 to 1024. How many of them a query looks into is
+    tuned on at most `tune` other vectors, chosen by hash: their true neighbours are found exactly, in one scan, and the
+    fewest lists that hold the share `recall` of these are looked into. No query that asks is searched exactly; recall is
+    set above what is to be reached, as it is an estimate.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
+    vectors = vectors.select("vec_id", "embedding")
     n = max(1, vectors.count())
     many = min(1024, max(16, math.isqrt(n)))
     sample = vectors.where(F.pmod(F.xxhash64("vec_id"), F.lit(n)) < max(rows, 16 * many)).where("embedding is not null")
     model = KMeans(k=many, seed=seed, featuresCol="f", maxIter=10).fit(sample.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("f")))
     centers = np.array(model.clusterCenters())
-    filed = listed(vectors.select("vec_id", "embedding"), "embedding", centers, 1).select("vec_id", "embedding", F.col("lists")[0].alias("list"))
-    ordered = listed(queries.select("query_id", "q"), "q", centers, len(centers))
+    filed = written(listed(vectors, "embedding", centers, 1).select("vec_id", "embedding", F.col("lists")[0].alias("list")), "inverted-lists")
+    asked_to_tune = written(held_out(vectors, queries, tune, "tune"), "tuning-queries")
+    exact = nearest(asked_to_tune, vectors, k + 1).where("vec_id <> query_id").select("query_id", "vec_id")
+    ordered = listed(asked_to_tune, "q", centers, len(centers)).select("query_id", "lists")
     place = F.array_position("lists", F.col("list")).cast("int")
-    places = exact.select("query_id", "vec_id").join(ordered, "query_id").join(filed, "vec_id").groupBy(place.alias("place")).count()
+    places = exact.join(ordered, "query_id").join(filed.select("vec_id", "list"), "vec_id").groupBy(place.alias("place")).count()
     counts = np.zeros(len(centers), np.int64)
     for r in places.collect():  # a row a list at most
         counts[r["place"] - 1] = r["count"]
     found = np.cumsum(counts)
     probes = int(np.searchsorted(found, recall * found[-1])) + 1 if found[-1] else len(centers)
-    asked = ordered.select("query_id", "q", F.explode(F.slice("lists", 1, probes)).alias("list"))
+    asked = listed(queries.select("query_id", "q"), "q", centers, probes).select("query_id", "q", F.explode("lists").alias("list"))
     scored = filed.join(asked, "list").select("query_id", "vec_id", F.round(cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
     return top(scored, ["query_id"], k, F.desc("score"), F.asc("vec_id"))

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text
 from ..operators.ranking import top
+from ..operators.search import search
 from ..operators.summaries import by_and_total, exact_percentiles, rate
+from ..sources import readers
 from .base import query, read
 from .filters import BM25_SQL, SEARCHED_SQL, searched, text_hits
+from .joins import LISTS_SQL, chunks, questions
 
 VERDICT = "CASE WHEN quality = 1 AND toxic = 0 THEN 'correct' WHEN toxic = 1 THEN 'incorrect' ELSE 'partial' END"
 POINTS = "CASE WHEN quality = 1 AND toxic = 0 THEN 1.0 WHEN toxic = 1 THEN 0.0 ELSE 0.5 END"
@@ -141,24 +146,28 @@ def agg_12(spark: SparkSession, sf: str) -> DataFrame:
     return means.join(exact.select("event_type", *(F.round(c, 4).alias(c) for c in exact.columns[1:])), "event_type", "left")
 
 
-EXPERIMENTS_SQL = SEARCHED_SQL.format(k=8) + """, runs AS (SELECT e.experiment, q.label AS agent, max(CASE WHEN h.label = q.label AND h.rank <= e.k AND h.vec_id <> h.query_id THEN 1.0 ELSE 0.0 END) AS hit
-  FROM hits AS h JOIN embeddings AS q ON h.query_id = q.vec_id CROSS JOIN (VALUES ('vector', 3), ('text', 5), ('hybrid', 8)) AS e(experiment, k) GROUP BY e.experiment, q.label, h.query_id)"""
-
+EXPERIMENTS_SQL = LISTS_SQL + """, fused AS (SELECT query_id, vec_id, round(sum(s), 12) AS score FROM (SELECT query_id, vec_id, 1.5::DOUBLE / (60 + rank) AS s FROM hits WHERE rank <= 15 UNION ALL SELECT query_id, vec_id, 1.0::DOUBLE / (60 + rank) FROM txt WHERE rank <= 15) GROUP BY query_id, vec_id),
+  ranks AS (SELECT 'vector' AS experiment, query_id, vec_id, rank FROM hits UNION ALL SELECT 'text', query_id, vec_id, rank FROM txt UNION ALL SELECT 'hybrid', query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) FROM fused),
+  runs AS (SELECT e.experiment, q.label AS agent, q.vec_id AS query_id, max(CASE WHEN v.label = q.label THEN 1.0 ELSE 0.0 END) AS hit FROM (VALUES ('vector'), ('text'), ('hybrid')) AS e(experiment) JOIN embeddings AS q ON q.vec_id % 100 = 0
+    LEFT JOIN ranks AS r ON r.experiment = e.experiment AND r.query_id = q.vec_id AND r.rank <= 5 AND r.vec_id <> r.query_id LEFT JOIN embeddings AS v ON v.vec_id = r.vec_id GROUP BY ALL)"""
 
-def experiment_runs(spark: SparkSession, sf: str) -> DataFrame:
-    """One row per experiment and query: whether a hit of the right label lies in the first k."""
-    from ..sources.readers import experiments
 
+def experiment_runs(spark: SparkSession, sf: str, k: int = 5) -> DataFrame:
+    """One row per kind of search and query: whether another row of the query's label is among the first k that this kind of
+    search finds. Each kind is searched for real, at the same k."""
     labels = read(spark, sf, "embeddings").select("vec_id", "label")
-    hits = searched(spark, sf, 8).where("vec_id <> query_id").join(labels, "vec_id")
-    asked = labels.select(F.col("vec_id").alias("query_id"), F.col("label").alias("agent"))
-    each = hits.join(asked, "query_id").join(F.broadcast(experiments(spark)))
-    return each.groupBy("experiment", "agent", "query_id").agg(F.max(((F.col("label") == F.col("agent")) & (F.col("rank") <= F.col("k"))).cast("double")).alias("hit"))
+    asked = labels.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("agent"))
+    runs = []
+    for kind in readers.SEARCHES:
+        rows = search(questions(spark, sf), chunks(spark, sf), kind, k).select("query_id", "vec_id").where("vec_id <> query_id").join(labels, "vec_id")
+        hits = asked.join(rows, "query_id", "left").groupBy("query_id", "agent").agg(F.max(F.coalesce(F.col("label") == F.col("agent"), F.lit(False)).cast("double")).alias("hit"))
+        runs.append(hits.select(F.lit(kind).alias("experiment"), "agent", "query_id", "hit"))
+    return reduce(DataFrame.unionByName, runs)
 
 
 @query("WITH " + EXPERIMENTS_SQL + " SELECT experiment, agent, count(*) AS n, CAST(sum(hit) AS BIGINT) AS hits, round(avg(hit), 4) AS hit_rate FROM runs GROUP BY experiment, agent")
 def agg_13(spark: SparkSession, sf: str) -> DataFrame:
-    """Experiment results per agent."""
+    """Experiment results per agent: vector, text and hybrid search at the same k."""
     return experiment_runs(spark, sf).groupBy("experiment", "agent").agg(F.count("*").alias("n"), F.sum("hit").cast("long").alias("hits"), F.round(F.avg("hit"), 4).alias("hit_rate"))
 
 

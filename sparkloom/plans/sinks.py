@@ -64,10 +64,12 @@ def src_05(spark: SparkSession, sf: str) -> DataFrame:
     return readers.lines(read(spark, sf, "documents")).groupBy("line").agg(F.count("*").alias("n")).where("n > 1")
 
 
-@query("SELECT experiment, item_id, k FROM benchmark CROSS JOIN (VALUES ('vector', 3), ('text', 5), ('hybrid', 8)) AS e(experiment, k)")
+@query("""SELECT chunking || '-' || search_type || CASE WHEN use_hyde THEN '-hyde' ELSE '' END || CASE WHEN reranker = 'none' THEN '' ELSE '-' || reranker END AS experiment, chunking, search_type, use_hyde, reranker, item_id, 5 AS k
+  FROM benchmark CROSS JOIN (VALUES ('fixed'), ('markdown')) AS c(chunking) CROSS JOIN (VALUES ('vector'), ('text'), ('hybrid')) AS s(search_type) CROSS JOIN (VALUES (true), (false)) AS h(use_hyde) CROSS JOIN (VALUES ('none'), ('keywords')) AS r(reranker)""")
 def src_06(spark: SparkSession, sf: str) -> DataFrame:
-    """Experiment matrix by evaluation question: three fixed rows, broadcast."""
-    return read(spark, sf, "benchmark").select("item_id").join(F.broadcast(readers.experiments(spark))).select("experiment", "item_id", "k")
+    """Experiment matrix (chunking, search type, hypothetical answers, reranker) by evaluation question; 24 fixed rows,
+    broadcast."""
+    return read(spark, sf, "benchmark").select("item_id").join(F.broadcast(readers.experiments(spark))).select("experiment", "chunking", "search_type", "use_hyde", "reranker", "item_id", "k")
 
 
 @query("WITH " + RULE_ROWS_SQL + ", n AS (SELECT rule_set, kind, term, count(*) AS n FROM rule_rows GROUP BY ALL) SELECT r.rule_set, r.kind, r.term, coalesce(n.n, 0) AS n FROM " + RULE_VALUES_SQL + " LEFT JOIN n ON n.rule_set = r.rule_set AND n.kind = r.kind AND n.term = r.term")

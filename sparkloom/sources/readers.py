@@ -46,6 +46,12 @@ def lines(df: DataFrame, column: str = "text") -> DataFrame:
     return df.select(F.explode(F.split(column, "\n")).alias("line")).where((line != "") & ~line.startswith("#"))
 
 
-def experiments(spark: SparkSession) -> DataFrame:
-    """The experiment matrix: a search type and how many results count."""
-    return spark.createDataFrame([("vector", 3), ("text", 5), ("hybrid", 8)], "experiment string, k int")
+# The axes of the experiment matrix.
+CHUNKINGS, SEARCHES, RERANKERS = ("fixed", "markdown"), ("vector", "text", "hybrid"), ("none", "keywords")
+
+
+def experiments(spark: SparkSession, k: int = 5) -> DataFrame:
+    """The experiment matrix: every way of cutting chunks, kind of search, use of a hypothetical answer (which a model has to
+    write and is not run here) and reranker, with a name and the number of results that count. Fixed and small."""
+    rows = [(f"{c}-{s}" + "-hyde" * h + f"-{r}" * (r != "none"), c, s, h, r, k) for c in CHUNKINGS for s in SEARCHES for h in (False, True) for r in RERANKERS]
+    return spark.createDataFrame(rows, "experiment string, chunking string, search_type string, use_hyde boolean, reranker string, k int")

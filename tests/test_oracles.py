@@ -9,7 +9,7 @@ from sparkloom.plans.catalog import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-NO_ORACLE = {"jn_03", "set_05", "gen_01", "gen_04"}
+NO_ORACLE = {"jn_03", "jn_03_recall", "gen_03_chunks", "set_05", "gen_01", "gen_04"}
 
 
 @pytest.fixture(scope="module")
