@@ -46,20 +46,20 @@ def _cut(texts: pd.Series, size: pd.Series, overlap: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else recursive_chunks(t, int(s), int(o)) for t, s, o in zip(texts, size, overlap, strict=True)])
 
 
-def section_chunks(docs: DataFrame, size: int | Column = 800, overlap: int | Column = 200, ratio: float | Column = 1.5, most: int | Column | None = None) -> DataFrame:
+def section_chunks(docs: DataFrame, size: int | Column = 800, overlap: int | Column = 200, ratio: float | Column = 1.5, most: int | Column | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """docs(doc_id, text) to (doc_id, section, path, i, chunk, oversize): each section with text, its path in front. One
     longer than size times ratio (or than `most`, if less) is cut by recursive chunking; the others stay whole, in the JVM.
-    Sections are numbered with the empty ones, which give no chunk. A null text has none."""
+    Sections are numbered with the empty ones, which give no chunk. A null text has none. Columns named in carry come along."""
     value = lambda x: x if isinstance(x, Column) else F.lit(x)
     bound = F.floor(value(size) * value(ratio))
     bound = F.least(bound, value(most)) if most is not None else bound
-    bounds = docs.select("doc_id", "text", value(size).cast("int").alias("_size"), value(overlap).cast("int").alias("_overlap"), bound.cast("int").alias("_bound"))
-    parts = bounds.select("doc_id", "_size", "_overlap", "_bound", F.posexplode(sections("text")).alias("section", "s"))
+    bounds = docs.select("doc_id", *carry, "text", value(size).cast("int").alias("_size"), value(overlap).cast("int").alias("_overlap"), bound.cast("int").alias("_bound"))
+    parts = bounds.select("doc_id", *carry, "_size", "_overlap", "_bound", F.posexplode(sections("text")).alias("section", "s"))
     parts = parts.withColumn("path", F.array_join("s.path", " > ")).withColumn("body", text.strip(F.array_join("s.lines", "\n"))).where("body <> ''")
     parts = parts.withColumn("chunk", F.when(F.col("path") == "", F.col("body")).otherwise(F.concat_ws("\n", "path", "body")))
     parts = parts.withColumn("oversize", F.length("chunk") > F.col("_bound"))
     cut = F.coalesce(_cut(F.when(F.col("oversize"), F.col("chunk")), "_size", "_overlap"), F.array("chunk"))
-    return parts.select("doc_id", "section", "path", F.posexplode(cut).alias("i", "chunk"), "oversize")
+    return parts.select("doc_id", *carry, "section", "path", F.posexplode(cut).alias("i", "chunk"), "oversize")
 
 
 # The words that a glossary's lines begin with, what separates records, and the form of an entry.

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import text
+from ..functions import formulas, text
 from ..operators.ranking import top
 from ..operators.search import search
 from ..operators.summaries import by_and_total, exact_percentiles, rate
@@ -34,20 +34,20 @@ def agg_01(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), F.count_if(F.col("value") >= 50).alias("positive"), F.count_if(F.col("value") < 10).alias("negative"), F.round(F.avg("value") + 1e-9, 3).alias("mean"))
 
 
-@query("SELECT CAST(date_trunc('day', ts) AS DATE) AS day, event_type AS bucket, count(*) AS n, round(avg(least(value / 100, 1)), 4) AS confidence, round(avg(value) + 1e-9, 3) AS mean, round(quantile_cont(value, 0.95) + 1e-9, 3) AS p95, round(avg(CASE WHEN user_id % 5 = 0 THEN 1.0 ELSE 0.0 END), 4) AS fallback FROM events GROUP BY day, bucket")
+@query("SELECT CAST(date_trunc('day', ts) AS DATE) AS day, event_type AS bucket, count(*) AS n, round(avg(least(value / 100, 1)), 4) AS confidence, round(avg(value) + 1e-9, 3) AS mean, round(quantile_cont(value, 0.95) + 1e-9, 3) AS p95, round(avg(0.0013::DOUBLE + greatest(1, user_id % 5) * 0.0015::DOUBLE) + 1e-12, 6) AS cost, round(avg(CASE WHEN user_id % 5 = 0 THEN 1.0 ELSE 0.0 END), 4) AS fallback FROM events GROUP BY day, bucket")
 def agg_02(spark: SparkSession, sf: str) -> DataFrame:
-    """Daily routing quality per bucket."""
+    """Daily routing quality per bucket, with the mean cost of a call."""
     e = read(spark, sf, "events").select(F.to_date("ts").alias("day"), F.col("event_type").alias("bucket"), "value", "user_id")
-    means = e.groupBy("day", "bucket").agg(F.count("*").alias("n"), F.round(F.avg(F.least(F.col("value") / 100, F.lit(1.0))), 4).alias("confidence"), F.round(F.avg("value") + 1e-9, 3).alias("mean"), F.round(F.avg((F.col("user_id") % 5 == 0).cast("double")), 4).alias("fallback"))
+    means = e.groupBy("day", "bucket").agg(F.count("*").alias("n"), F.round(F.avg(F.least(F.col("value") / 100, F.lit(1.0))), 4).alias("confidence"), F.round(F.avg("value") + 1e-9, 3).alias("mean"), F.round(F.avg(formulas.routing_cost(F.col("user_id") % 5, F.lit(0))) + 1e-12, 6).alias("cost"), F.round(F.avg((F.col("user_id") % 5 == 0).cast("double")), 4).alias("fallback"))
     p95 = exact_percentiles(e, ["day", "bucket"], "value", (0.95,)).select("day", "bucket", F.round(F.col("p95") + 1e-9, 3).alias("p95"))
-    return means.join(p95, ["day", "bucket"], "left").select("day", "bucket", "n", "confidence", "mean", "p95", "fallback")
+    return means.join(p95, ["day", "bucket"], "left").select("day", "bucket", "n", "confidence", "mean", "p95", "cost", "fallback")
 
 
-@query(f"SELECT d.source, count(*) AS n, round(avg({POINTS}), 4) AS mean_score, CAST(sum(quality) AS BIGINT) AS good, CAST(sum(toxic) AS BIGINT) AS bad FROM labels JOIN documents AS d USING (doc_id) GROUP BY d.source")
+@query(f"SELECT d.source, count(*) AS n, round(avg({POINTS}), 4) AS mean_score, CAST(sum(quality) AS BIGINT) AS good, CAST(sum(toxic) AS BIGINT) AS bad, count(*) FILTER (WHERE {VERDICT} = 'partial') AS part FROM labels JOIN documents AS d USING (doc_id) GROUP BY d.source")
 def agg_03(spark: SparkSession, sf: str) -> DataFrame:
-    """Session quality, sessions being the sources."""
+    """Session quality, sessions being the sources: count, mean score and the three sums."""
     joined = verdicts(spark, sf).join(read(spark, sf, "documents").select("doc_id", "source"), "doc_id")
-    return joined.groupBy("source").agg(F.count("*").alias("n"), F.round(F.avg("points"), 4).alias("mean_score"), F.sum("quality").alias("good"), F.sum("toxic").alias("bad"))
+    return joined.groupBy("source").agg(F.count("*").alias("n"), F.round(F.avg("points"), 4).alias("mean_score"), F.sum("quality").alias("good"), F.sum("toxic").alias("bad"), F.count_if(F.col("verdict") == "partial").alias("part"))
 
 
 @query(f"SELECT doc_id % 10 AS session, count(*) FILTER (WHERE {VERDICT} = 'correct') AS correct, count(*) FILTER (WHERE {VERDICT} = 'partial') AS part, count(*) FILTER (WHERE {VERDICT} = 'incorrect') AS incorrect, round(100 * sum({POINTS}) / count(*) + 1e-9) AS score FROM labels GROUP BY session")
@@ -77,11 +77,14 @@ def routed(spark: SparkSession, sf: str) -> DataFrame:
     return plans.join(labels.select(F.col("vec_id").alias("query_id"), F.col("label").alias("expected")), "query_id")
 
 
-@query("WITH " + ROUTED_SQL + " SELECT count(*) AS n, round(100 * avg(CASE WHEN plan[1] = expected THEN 1.0 ELSE 0 END), 4) AS r1, round(100 * avg(CASE WHEN list_contains(plan[1:3], expected) THEN 1.0 ELSE 0 END), 4) AS r3, round(100 * avg(CASE WHEN best < 0.4 THEN 1.0 ELSE 0 END), 4) AS fallback, round(quantile_cont(best, 0.5), 6) AS p50, round(quantile_cont(best, 0.95), 6) AS p95, round(quantile_cont(best, 0.99), 6) AS p99 FROM routed")
+@query("WITH " + ROUTED_SQL + ", done AS (SELECT * FROM routed WHERE query_id % 400 <> 300) SELECT count(*) AS n, (SELECT count(*) FROM routed WHERE query_id % 400 = 300) AS failed, round(avg(best), 6) AS mean, round(100 * avg(CASE WHEN plan[1] = expected THEN 1.0 ELSE 0 END), 4) AS r1, round(100 * avg(CASE WHEN list_contains(plan[1:3], expected) THEN 1.0 ELSE 0 END), 4) AS r3, round(100 * avg(CASE WHEN best < 0.4 THEN 1.0 ELSE 0 END), 4) AS fallback, round(quantile_cont(best, 0.5), 6) AS p50, round(quantile_cont(best, 0.95), 6) AS p95, round(quantile_cont(best, 0.99), 6) AS p99 FROM done")
 def agg_06(spark: SparkSession, sf: str) -> DataFrame:
-    """Routing benchmark summary."""
-    r = routed(spark, sf)
-    return r.agg(F.count("*").alias("n"), F.round(rate(F.col("plan")[0] == F.col("expected")), 4).alias("r1"), F.round(rate(F.expr("array_contains(slice(plan, 1, 3), expected)")), 4).alias("r3"), F.round(rate(F.col("best") < 0.4), 4).alias("fallback"), *[F.round(F.percentile("best", p), 6).alias(f"p{round(100 * p)}") for p in (0.5, 0.95, 0.99)])
+    """Routing benchmark summary; failed cases (by id here) are counted and take no part in the rest."""
+    every = routed(spark, sf)
+    failed = every.agg(F.count_if(F.col("query_id") % 400 == 300).alias("failed"))  # one row
+    r = every.where("query_id % 400 <> 300")
+    summary = r.agg(F.count("*").alias("n"), F.round(F.avg("best"), 6).alias("mean"), F.round(rate(F.col("plan")[0] == F.col("expected")), 4).alias("r1"), F.round(rate(F.expr("array_contains(slice(plan, 1, 3), expected)")), 4).alias("r3"), F.round(rate(F.col("best") < 0.4), 4).alias("fallback"), *[F.round(F.percentile("best", p), 6).alias(f"p{round(100 * p)}") for p in (0.5, 0.95, 0.99)])
+    return summary.join(F.broadcast(failed))
 
 
 @query("WITH " + ROUTED_SQL + " SELECT expected, grouping(expected) AS total, count(*) AS n, round(100 * avg(CASE WHEN plan[1] = expected THEN 1.0 ELSE 0 END), 4) AS r1 FROM routed GROUP BY ROLLUP(expected)")
@@ -103,13 +106,25 @@ def agg_09(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "documents").groupBy(F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 120).alias("error")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT lang, source, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM documents), 4) AS share, CAST(grouping(lang) + 2 * grouping(source) AS INTEGER) AS level FROM documents GROUP BY GROUPING SETS ((lang), (source), (lang, source))")
+WANTED = ("en", "de", "fr", "es", "it", "pt")
+
+
+@query("SELECT lang, source, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM documents), 4) AS share, CAST(grouping(lang) + 2 * grouping(source) AS INTEGER) AS level FROM documents GROUP BY GROUPING SETS ((lang), (source), (lang, source)) UNION ALL SELECT l, NULL, 0, 0, 4 FROM (VALUES ('en'), ('de'), ('fr'), ('es'), ('it'), ('pt')) AS v(l) WHERE l NOT IN (SELECT lang FROM documents) UNION ALL SELECT NULL, NULL, count(*) FILTER (WHERE quality = 1 AND toxic = 1), round(100.0 * count(*) FILTER (WHERE quality = 1 AND toxic = 1) / count(*), 4), 5 FROM labels UNION ALL SELECT NULL, NULL, count(*) FILTER (WHERE quality = 0 AND toxic = 0), round(100.0 * count(*) FILTER (WHERE quality = 0 AND toxic = 0) / count(*), 4), 6 FROM labels")
 def agg_10(spark: SparkSession, sf: str) -> DataFrame:
-    """Coverage by language, source and both, with shares; one scan."""
+    """Coverage by language, source and both, with shares; then languages that are wanted and missing (level 4), and labelled
+    rows with several or no expectations (5 and 6; what a label expects are its marks)."""
     docs = read(spark, sf, "documents")
     sets = docs.groupingSets([["lang"], ["source"], ["lang", "source"]], "lang", "source").agg(F.count("*").alias("n"), (F.grouping("lang") + 2 * F.grouping("source")).cast("int").alias("level"))
     whole = docs.agg(F.count("*").alias("all"))  # one row
-    return sets.join(F.broadcast(whole)).select("lang", "source", "n", F.round(100.0 * F.col("n") / F.col("all"), 4).alias("share"), "level")
+    shares = sets.join(F.broadcast(whole)).select("lang", "source", "n", F.round(100.0 * F.col("n") / F.col("all"), 4).alias("share"), "level")
+    none = F.lit(None).cast("string")
+    missing = spark.createDataFrame([(x,) for x in WANTED], "lang string").join(docs.select("lang"), "lang", "left_anti")
+    missing = missing.select("lang", none.alias("source"), F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("share"), F.lit(4).alias("level"))
+    expected = read(spark, sf, "labels").select(F.array_compact(F.array(F.when(F.col("quality") == 1, "good"), F.when(F.col("toxic") == 1, "toxic"))).alias("e"))
+    for level, size in ((5, 2), (6, 0)):
+        n = F.count_if(F.size("e") == size)
+        missing = missing.union(expected.agg(n.alias("n"), F.round(100.0 * n / F.count("*"), 4).alias("share")).select(none, none, "n", "share", F.lit(level)))
+    return shares.union(missing)
 
 
 FOUND_SQL = BM25_SQL + ", found AS (SELECT b.item_id, b.item_id % 4 AS agent, coalesce(bool_or(contains(d.text, b.text)), false) AS hit FROM benchmark AS b LEFT JOIN bm ON bm.query_id = b.item_id AND bm.rank <= 5 LEFT JOIN documents AS d ON d.doc_id = bm.doc_id GROUP BY b.item_id)"
@@ -180,17 +195,24 @@ def agg_14(spark: SparkSession, sf: str) -> DataFrame:
     return p.withColumn("best", F.when(F.col("vector") == most, "vector").when(F.col("text") == most, "text").otherwise("hybrid"))
 
 
-TERM_STATS_SQL = """t AS (SELECT doc_id, lang AS agent, source AS grp, unnest(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{4,}'))) AS term FROM documents),
-  a AS (SELECT term, agent, count(*) AS support, count(DISTINCT grp) AS groups FROM t GROUP BY term, agent),
-  g AS (SELECT term, count(*) AS everywhere FROM t GROUP BY term), n AS (SELECT lang AS agent, count(*) AS docs FROM documents GROUP BY lang),
+TERM_STATS_SQL = """t AS (SELECT lang AS agent, source AS grp, 1 AS weight, unnest(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{4,}'))) AS term FROM documents
+    UNION ALL SELECT ['en', 'de', 'fr', 'es'][item_id % 4 + 1], 'asked', 2, unnest(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{4,}'))) FROM benchmark),
+  a AS (SELECT term, agent, CAST(sum(weight) AS BIGINT) AS support, count(DISTINCT grp) AS groups FROM t GROUP BY term, agent),
+  g AS (SELECT term, CAST(sum(weight) AS BIGINT) AS everywhere FROM t GROUP BY term), n AS (SELECT lang AS agent, count(*) AS docs FROM documents GROUP BY lang),
   stats AS (SELECT term, agent, support, everywhere, groups, support / everywhere::DOUBLE AS precision, support / docs::DOUBLE AS coverage, round(pow(support / everywhere::DOUBLE, 2) * ln(1 + support) * ln(1 + groups), 6) AS score FROM a JOIN g USING (term) JOIN n USING (agent))"""
 
 
+AGENTS = ("en", "de", "fr", "es")
+
+
 def term_stats(spark: SparkSession, sf: str) -> DataFrame:
-    """Support, precision, coverage and score of every term that at least two texts of an agent (language) hold."""
+    """Support (twice the questions and once the documents that hold a term), precision, coverage and score of every term of an
+    agent (a language; questions get one by their id) with a support of two or more."""
     docs = read(spark, sf, "documents").select("doc_id", F.col("lang").alias("agent"), F.col("source").alias("grp"), "text")
     # Counted per (term, agent, group) first; the terms of one document, the largest part, fall to the support cut before any join.
-    t = docs.select("agent", "grp", F.explode(text.keywords("text")).alias("term")).groupBy("term", "agent", "grp").agg(F.count("*").alias("n"))
+    asked = read(spark, sf, "benchmark").select(F.element_at(F.array(*map(F.lit, AGENTS)), (F.col("item_id") % len(AGENTS) + 1).cast("int")).alias("agent"), F.lit("asked").alias("grp"), "text", F.lit(2).alias("weight"))
+    rows = docs.select("agent", "grp", "text", F.lit(1).alias("weight")).unionByName(asked)
+    t = rows.select("agent", "grp", "weight", F.explode(text.keywords("text")).alias("term")).groupBy("term", "agent", "grp").agg(F.sum("weight").alias("n"))
     a = t.groupBy("term", "agent").agg(F.sum("n").alias("support"), F.count("grp").alias("groups"))
     w = Window.partitionBy("term")  # a row an agent
     a = a.withColumn("everywhere", F.sum("support").over(w)).where("support >= 2")
@@ -206,11 +228,11 @@ def agg_15(spark: SparkSession, sf: str) -> DataFrame:
     return term_stats(spark, sf).where("support >= 2").withColumns({c: F.round(c, 6) for c in ("precision", "coverage")})
 
 
-@query("SELECT user_id, count(*) AS n, count(*) FILTER (WHERE event_type = 'click') AS tools, array_to_string(list_sort(list_distinct(list(event_type))), ',') AS names, max(value) AS best, CASE WHEN count(*) >= 2 THEN epoch_us(max(ts)) - epoch_us(min(ts)) END AS latency_us FROM events GROUP BY user_id")
+@query("SELECT user_id, count(*) AS n, count(*) FILTER (WHERE event_type = 'click') AS tools, count(*) FILTER (WHERE event_type IN ('view', 'signup')) AS nodes, CASE WHEN bool_or(event_type = 'purchase') THEN 'rag' WHEN bool_or(event_type = 'click') THEN 'tool' ELSE 'model' END AS source, array_to_string(list_sort(list_distinct(list(event_type))), ',') AS names, max(value) AS best, CASE WHEN count(*) >= 2 THEN epoch_us(max(ts)) - epoch_us(min(ts)) END AS latency_us FROM events GROUP BY user_id")
 def agg_16(spark: SparkSession, sf: str) -> DataFrame:
-    """Trace roll-up."""
+    """Trace roll-up: events, tools, nodes, names, best score, latency and the class of the answer's source."""
     span = F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))
-    return read(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "click").alias("tools"), F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("names"), F.max("value").alias("best"), F.when(F.count("*") >= 2, span).alias("latency_us"))
+    return read(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "click").alias("tools"), F.count_if(F.col("event_type").isin("view", "signup")).alias("nodes"), F.when(F.bool_or(F.col("event_type") == "purchase"), "rag").when(F.bool_or(F.col("event_type") == "click"), "tool").otherwise("model").alias("source"), F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("names"), F.max("value").alias("best"), F.when(F.count("*") >= 2, span).alias("latency_us"))
 
 
 @query("SELECT conv_id, count(*) AS n, max_by(text, turn) AS last_text, min_by(text, turn) FILTER (WHERE role = 'user' AND trim(text) <> '') AS first_user, max_by(turn, turn) FILTER (WHERE role = 'assistant') AS last_answer FROM conversations GROUP BY conv_id")
@@ -244,17 +266,18 @@ def agg_19(spark: SparkSession, sf: str) -> DataFrame:
     return q.join(a, ["conv_id", "turn"]).agg(F.count("*").alias("pairs"), F.round(F.avg((F.size(F.array_except("e", "a")) == 0).cast("double")), 4).alias("preserved"), F.round(F.avg(F.lower("answer").rlike("(the|der|les)").cast("double")), 4).alias("forbidden"))
 
 
-@query(f"SELECT {VERDICT} AS cause, count(*) AS n, round(avg(CASE WHEN quality = 1 THEN 1.0 ELSE 0 END), 4) AS routing_ok, round(avg(CASE WHEN toxic = 1 THEN 1.0 ELSE 0 END), 4) AS noise, avg(CASE WHEN quality = 1 THEN 1.0 ELSE 0 END) >= 0.9 AS pass FROM labels GROUP BY cause")
+@query(f"SELECT {VERDICT} AS cause, count(*) AS n, round(avg(CASE WHEN quality = 1 THEN 1.0 ELSE 0 END), 4) AS routing_ok, round(avg(CASE WHEN toxic = 1 THEN 1.0 ELSE 0 END), 4) AS noise, round(avg(CASE WHEN quality = 1 AND toxic = 0 THEN 1.0 ELSE 0 END), 4) AS factual, round(avg(CASE WHEN quality = 1 AND toxic = 1 THEN 1.0 ELSE 0 END), 4) AS extrapolation, avg(CASE WHEN quality = 1 THEN 1.0 ELSE 0 END) >= 0.9 AS pass FROM labels GROUP BY cause")
 def agg_20(spark: SparkSession, sf: str) -> DataFrame:
-    """Homologation scorecard against targets."""
+    """Homologation scorecard against targets: routing, facts, noise and extrapolation (a good answer that is toxic) by cause."""
     ok = F.avg((F.col("quality") == 1).cast("double"))
-    return verdicts(spark, sf).groupBy(F.col("verdict").alias("cause")).agg(F.count("*").alias("n"), F.round(ok, 4).alias("routing_ok"), F.round(F.avg((F.col("toxic") == 1).cast("double")), 4).alias("noise"), (ok >= 0.9).alias("pass"))
+    return verdicts(spark, sf).groupBy(F.col("verdict").alias("cause")).agg(F.count("*").alias("n"), F.round(ok, 4).alias("routing_ok"), F.round(F.avg((F.col("toxic") == 1).cast("double")), 4).alias("noise"), F.round(F.avg(((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("double")), 4).alias("factual"), F.round(F.avg(((F.col("quality") == 1) & (F.col("toxic") == 1)).cast("double")), 4).alias("extrapolation"), (ok >= 0.9).alias("pass"))
 
 
-@query("SELECT l_suppkey AS run, round(sum(l_extendedprice * l_quantity) / sum(l_quantity), 4) AS overall, round(avg(CASE WHEN l_discount <= 0.05 THEN 1.0 ELSE 0 END), 4) AS pass_rate, count(*) FILTER (WHERE l_returnflag = 'R' AND l_discount > 0.08) AS critical, round(avg(l_tax), 6) AS cost FROM lineitem GROUP BY run")
+@query("SELECT l_suppkey AS run, round(sum(l_extendedprice * l_quantity) / sum(l_quantity), 4) AS overall, round(avg(CASE WHEN l_discount <= 0.05 THEN 1.0 ELSE 0 END), 4) AS pass_rate, count(*) FILTER (WHERE l_returnflag = 'R' AND l_discount > 0.08) AS critical, round(avg(l_tax), 6) AS cost, round(avg(date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE))), 4) AS latency FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY run")
 def agg_21(spark: SparkSession, sf: str) -> DataFrame:
-    """Run report with weighted cases."""
-    return read(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("run")).agg(F.round(F.sum(F.col("l_extendedprice") * F.col("l_quantity")) / F.sum("l_quantity"), 4).alias("overall"), F.round(F.avg((F.col("l_discount") <= 0.05).cast("double")), 4).alias("pass_rate"), F.count_if((F.col("l_returnflag") == "R") & (F.col("l_discount") > 0.08)).alias("critical"), F.round(F.avg("l_tax"), 6).alias("cost"))
+    """Run report with weighted cases; a case's latency is the days from its order to its shipment."""
+    cases = read(spark, sf, "lineitem").join(read(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate"), "l_orderkey")
+    return cases.groupBy(F.col("l_suppkey").alias("run")).agg(F.round(F.sum(F.col("l_extendedprice") * F.col("l_quantity")) / F.sum("l_quantity"), 4).alias("overall"), F.round(F.avg((F.col("l_discount") <= 0.05).cast("double")), 4).alias("pass_rate"), F.count_if((F.col("l_returnflag") == "R") & (F.col("l_discount") > 0.08)).alias("critical"), F.round(F.avg("l_tax"), 6).alias("cost"), F.round(F.avg(F.date_diff("l_shipdate", "o_orderdate")), 4).alias("latency"))
 
 
 @query("SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars, CAST(count(*) AS BIGINT) AS n_chunks, array_to_string(list(substr(text, CAST(s AS BIGINT), 120) ORDER BY s)[1:3], ' / ') AS preview FROM (SELECT doc_id, text, unnest(range(1, greatest(length(text), 1) + 1, 600)) AS s FROM documents) GROUP BY doc_id, text")

@@ -156,18 +156,28 @@ def flt_11(spark: SparkSession, sf: str) -> DataFrame:
     return asked.join(rows, "query_id", "left").select("query_id", (few | ((F.col("n") > 0) & (F.coalesce("held", F.lit(0)) < F.least("n", F.lit(2))))).alias("again"))
 
 
+LIMIT_SIGNAL = r"(^|[^\p{L}])(max|min|limit|of the|dans les|und das)([^\p{L}]|$)"  # words of limits, in the languages of the texts
+
+
 @query(
-    "WITH " + BM25_SQL + f", c AS (SELECT query_id AS item_id, doc_id, {KEYWORDS_SQL.format('b.text')} AS kw, {KEYWORDS_SQL.format('d.text')} AS dw, regexp_matches(d.text, '\\d') AS has FROM bm JOIN benchmark AS b ON b.item_id = query_id JOIN documents AS d USING (doc_id) WHERE rank <= 20) SELECT item_id, doc_id, CAST(len(list_intersect(kw, dw)) AS INTEGER) AS n_shared FROM c WHERE len(list_intersect(kw, dw)) >= 6 OR (len(list_intersect(kw, dw)) >= 5 AND has)"
+    "WITH " + BM25_SQL + f", c AS (SELECT query_id AS item_id, doc_id, {KEYWORDS_SQL.format('b.text')} AS kw, {KEYWORDS_SQL.format('d.text')} AS dw, regexp_matches(d.text, '\\d') AS has, regexp_matches(lower(d.text), '{LIMIT_SIGNAL}') AS limits FROM bm JOIN benchmark AS b ON b.item_id = query_id JOIN documents AS d USING (doc_id) WHERE rank <= 20),"
+    " f AS (SELECT item_id, doc_id, len(list_intersect(kw, dw)) AS n, len(list_intersect(list_filter(kw, lambda w: length(w) >= 9), dw)) > 0 AS topic, len(list_intersect(list_filter(kw, lambda w: length(w) BETWEEN 7 AND 8), dw)) > 0 AS product, has, limits FROM c)"
+    " SELECT item_id, doc_id, CAST(n AS INTEGER) AS n_shared, topic, product FROM f WHERE (topic AND product) OR (topic AND n >= 2) OR n >= 6 OR (limits AND has AND n >= 2)"
 )
 def flt_12(spark: SparkSession, sf: str) -> DataFrame:
-    """Evidence relevance of the twenty best documents of each question: enough shared terms, or fewer with a number in the
-    evidence. The predicate looks at evidence that a search has found, so common terms bring no further pairs."""
+    """Evidence relevance of the twenty best documents of each question: the topic matches and a product does too or two terms
+    are shared; or many terms are shared; or the evidence speaks of a limit, has a number and shares two terms. Topics are
+    the question's words of nine letters and more, products those of seven and eight. The predicate looks at evidence that
+    a search has found, so common terms bring no further pairs."""
     items, docs = read(spark, sf, "benchmark", "documents")
     items = items.select(F.col("item_id").alias("query_id"), text.keywords("text").alias("kw"))
-    docs = docs.select("doc_id", text.keywords("text").alias("dw"), F.col("text").rlike(r"\d").alias("has"))
+    docs = docs.select("doc_id", text.keywords("text").alias("dw"), F.col("text").rlike(r"\d").alias("has"), F.lower("text").rlike(LIMIT_SIGNAL).alias("limits"))
     pairs = text_hits(spark, sf, 20).select("query_id", "doc_id").join(docs, "doc_id").join(items, "query_id")
-    shared = pairs.select(F.col("query_id").alias("item_id"), "doc_id", F.size(F.array_intersect("kw", "dw")).alias("n_shared"), "has")
-    return shared.where((F.col("n_shared") >= 6) | ((F.col("n_shared") >= 5) & F.col("has"))).select("item_id", "doc_id", "n_shared")
+    shared = pairs.select(F.col("query_id").alias("item_id"), "doc_id", F.array_intersect("kw", "dw").alias("s"), "has", "limits")
+    held = lambda low, high: F.exists("s", lambda w: F.length(w).between(low, high))
+    f = shared.select("item_id", "doc_id", F.size("s").alias("n_shared"), held(9, 1 << 30).alias("topic"), held(7, 8).alias("product"), "has", "limits")
+    n = F.col("n_shared")
+    return f.where((F.col("topic") & (F.col("product") | (n >= 2))) | (n >= 6) | (F.col("limits") & F.col("has") & (n >= 2))).select("item_id", "doc_id", "n_shared", "topic", "product")
 
 
 @query("SELECT item_id, agent FROM (SELECT item_id, item_id % 4 AS agent, row_number() OVER (PARTITION BY item_id % 4 ORDER BY md5(CAST(item_id AS VARCHAR) || '-42')) AS r FROM benchmark) WHERE r <= 5 ORDER BY agent, r LIMIT 15")

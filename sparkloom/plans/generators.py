@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.unicode import nfkc
-from ..operators import chunking, sections
+from ..operators import chunking, evidence, sections
 from .base import query, read
 from .windows import HEADED_SQL, LINES_SQL, with_headings
 
@@ -50,24 +50,40 @@ def gen_04(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "documents").select("doc_id", F.posexplode(chunking.merge_headings(t, 400)).alias("i", "chunk"))
 
 
-@query("SELECT doc_id, lang AS doc_type, count(*) AS n FROM (SELECT doc_id, lang, unnest(range(1, greatest(length(text), 1) + 1, step)) AS s FROM documents JOIN (VALUES ('en', 600), ('de', 450), ('fr', 900), ('es', 300)) AS t(kind, step) ON lang = kind) GROUP BY doc_id, lang")
+#: How documents of a type are cut: size, overlap, how much longer a section may be, and the most it may have.
+#: A glossary is cut in windows. The languages of the texts stand for types.
+TYPES = {"en": ("legislation", 600, 100, 2.4, 1600), "de": ("manual", 450, 90, 1.5, None), "fr": ("glossary", 900, 150, None, None), "es": ("report", 300, 60, 1.5, None)}
+
+
+@query(
+    "WITH " + SECTIONS_SQL + ", k AS (SELECT doc_id, lang, text FROM documents), s AS (SELECT p.doc_id, CASE lang WHEN 'en' THEN 'legislation' WHEN 'de' THEN 'manual' ELSE 'report' END AS doc_type, CAST(section AS INTEGER) AS section, 0 AS i, length(chunk) > CASE lang WHEN 'en' THEN 1440 WHEN 'de' THEN 675 ELSE 450 END AS oversize, chunk FROM parts AS p JOIN k ON k.doc_id = p.doc_id WHERE lang <> 'fr'),"
+    " w AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS t FROM paths GROUP BY doc_id), f AS (SELECT doc_id, 'glossary' AS doc_type, 0 AS section, CAST((b - 1) / 750 AS INTEGER) AS i, false AS oversize, substr(t, CAST(b AS BIGINT), 900) AS chunk FROM (SELECT w.doc_id, t, unnest(range(1, greatest(length(t), 1) + 1, 750)) AS b FROM w JOIN k ON k.doc_id = w.doc_id WHERE lang = 'fr'))"
+    " SELECT doc_id, doc_type, section, i, oversize, CASE WHEN NOT oversize THEN sha256(chunk) END AS chunk FROM (SELECT * FROM s UNION ALL SELECT * FROM f)"
+)
 def gen_05(spark: SparkSession, sf: str) -> DataFrame:
-    """Chunk size by document type, from a small table."""
-    sizes = F.broadcast(spark.createDataFrame([("en", 600), ("de", 450), ("fr", 900), ("es", 300)], "lang string, step int"))  # fixed and small
-    n = F.size(F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1)), F.col("step"))).cast("long")
-    return read(spark, sf, "documents").join(sizes, "lang").select("doc_id", F.col("lang").alias("doc_type"), n.alias("n"))
+    """Chunks by document type: sections with the size, ratio and cap of their type, windows for glossaries (types come from
+    the language, headings are injected; of a section that is too long the first chunk shows that it is)."""
+    kinds = F.broadcast(spark.createDataFrame([(k, *v) for k, v in TYPES.items()], "lang string, doc_type string, size int, overlap int, ratio double, most int"))  # fixed and small
+    docs = with_headings(spark, sf).join(read(spark, sf, "documents").select("doc_id", "lang"), "doc_id").join(kinds, "lang")
+    cut = sections.section_chunks(docs.where("doc_type <> 'glossary'"), F.col("size"), F.col("overlap"), F.col("ratio"), F.coalesce("most", F.lit(1 << 30)), carry=("doc_type",)).where("i = 0")
+    fixed = docs.where("doc_type = 'glossary'").select("doc_id", "doc_type", F.lit(0).alias("section"), F.posexplode(chunking.windows("text", 900, 150)).alias("i", "chunk"), F.lit(False).alias("oversize"))
+    columns = ["doc_id", "doc_type", "section", "i", "oversize", F.when(~F.col("oversize"), F.sha2("chunk", 256)).alias("chunk")]
+    return cut.select(*columns).unionByName(fixed.select(*columns))
 
 
-@query("SELECT DISTINCT doc_id, trim(s) AS sentence FROM (SELECT doc_id, unnest(string_split_regex(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))) AS s FROM documents) WHERE length(trim(s)) >= 18")
+@query("WITH t AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN replace(text, ', ', ' Note: ') ELSE text END AS t FROM documents), p AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(regexp_replace(t, '\\|[-:\\s|]+\\|', ' ', 'g'), '([.!?])\\s+', '\\1' || chr(1), 'g'), '\\s+(\\p{Lu}[\\p{L}]{2,20}:\\s)', chr(1) || '\\1', 'g'), chr(1)) AS p FROM t) SELECT DISTINCT doc_id, s AS sentence FROM (SELECT doc_id, regexp_replace(trim(regexp_replace(regexp_replace(unnest(p), '^\\s*[-*]\\s*', ''), '\\s+', ' ', 'g')), '^[ ;]+|[ ;]+$', '', 'g') AS s FROM p) WHERE length(s) >= 18")
 def gen_06(spark: SparkSession, sf: str) -> DataFrame:
-    """Distinct sentences of eighteen characters or more."""
-    s = F.transform(text.sentences("text"), lambda x: F.trim(x))
-    return read(spark, sf, "documents").select("doc_id", F.explode(F.array_distinct(F.filter(s, lambda x: F.length(x) >= 18))).alias("sentence"))
+    """Distinct sentences of eighteen characters or more, cut before labels too (labels are injected)."""
+    t = F.when(F.col("doc_id") % 2 == 0, F.replace("text", F.lit(", "), F.lit(" Note: "))).otherwise(F.col("text"))
+    return read(spark, sf, "documents").select("doc_id", t.alias("t")).select("doc_id", F.explode(evidence.sentences("t")).alias("sentence"))
+
+
+LOW_PRECISION = ("that", "with", "der", "les", "is", "for")  # words that say little alone, in the languages of the texts
 
 
-@query("WITH w AS (SELECT item_id, list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), lambda x: x NOT IN ('the', 'of', 'and', 'in', 'to')) AS w FROM benchmark) SELECT item_id, gram, count(*) AS n FROM (SELECT item_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS gram FROM w) GROUP BY item_id, gram")
+@query("WITH w AS (SELECT item_id, list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), lambda x: x NOT IN ('the', 'of', 'and', 'in', 'to')) AS w FROM benchmark) SELECT item_id, gram, count(*) AS n FROM (SELECT item_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS gram FROM w) WHERE gram NOT IN ('that', 'with', 'der', 'les', 'is', 'for') AND NOT regexp_matches(gram, '^.{1,2}$') GROUP BY item_id, gram")
 def gen_07(spark: SparkSession, sf: str) -> DataFrame:
-    """Word n-grams of one to three, without stop words."""
+    """Word n-grams of one to three, without stop words; words that say little alone, or are too short, are no grams of their own."""
     w = F.filter(text.words(F.lower("text"), 1), lambda x: ~x.isin("the", "of", "and", "in", "to"))
     rows = read(spark, sf, "benchmark").select("item_id", w.alias("w"))
     def grams_of(n: int) -> F.Column:
@@ -75,7 +91,7 @@ def gen_07(spark: SparkSession, sf: str) -> DataFrame:
         return F.when(F.size("w") >= n, some).otherwise(F.array().cast("array<string>"))
 
     grams = [grams_of(n) for n in (1, 2, 3)]
-    return rows.select("item_id", F.explode(F.concat(*grams)).alias("gram")).groupBy("item_id", "gram").agg(F.count("*").alias("n"))
+    return rows.select("item_id", F.explode(F.concat(*grams)).alias("gram")).where(~F.col("gram").isin(*LOW_PRECISION) & (F.length("gram") > 2)).groupBy("item_id", "gram").agg(F.count("*").alias("n"))
 
 
 #: Lines of a document as a glossary in one of four forms, by its id: a table, labelled lines under records, arrows, colons.
@@ -134,8 +150,10 @@ def gen_10(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("event_id", F.explode(rows).alias("r")).select("event_id", "r.k", F.coalesce("r.content", "r.text").alias("content"), F.coalesce("r.score", "r.relevance").alias("score"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 4 <> 0 THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k FROM events")
+@query("SELECT event_id, CASE WHEN event_id % 4 <> 0 THEN place END AS place, CASE WHEN event_id % 4 <> 0 THEN CASE place WHEN 0 THEN event_type ELSE 'second' END END AS content, CASE WHEN event_id % 4 <> 0 AND place = 0 THEN round(value, 3) END AS score, CASE WHEN event_id % 4 <> 0 AND place = 0 THEN 'user ' || user_id END AS source FROM events, (VALUES (0), (1)) AS p(place) WHERE place = 0 OR event_id % 4 <> 0")
 def gen_11(spark: SparkSession, sf: str) -> DataFrame:
-    """Trace chunks from a JSON array; bad JSON gives an empty row."""
-    raw = F.when(F.col("event_id") % 4 == 0, F.lit("[broken")).otherwise(F.concat(F.lit("["), "props", F.lit("]")))
-    return read(spark, sf, "events").select("event_id", F.explode_outer(F.from_json(raw, "array<struct<k: bigint>>")).alias("x")).select("event_id", "x.k")
+    """Trace chunks from a JSON array of content, score and source, any of which may be missing; bad JSON gives an empty row."""
+    item = F.to_json(F.struct(F.col("event_type").alias("content"), F.round("value", 3).alias("score"), F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("source")))
+    raw = F.when(F.col("event_id") % 4 == 0, F.lit('[{"content": "broken')).otherwise(F.concat(F.lit("["), item, F.lit(', {"content": "second"}]')))
+    parsed = F.from_json(raw, "array<struct<content: string, score: double, source: string>>")
+    return read(spark, sf, "events").select("event_id", F.posexplode_outer(F.filter(parsed, lambda x: x["content"].isNotNull())).alias("place", "x")).select("event_id", "place", "x.content", "x.score", "x.source")

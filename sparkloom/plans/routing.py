@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import text
 from ..operators import rules
 from ..operators.ranking import top
+from ..sources.shared import written
 from .aggregates import TERM_STATS_SQL, term_stats
 from .base import query, read
 from .joins import GRAMS_SQL, WORDS_OF_SQL
@@ -168,11 +169,21 @@ def cls_09(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("conv_id", "turn", ((F.size("w") < 8) | refers).alias("rewrite"), F.coalesce(F.col("prev").endswith("?"), F.lit(False)).alias("after_question"))
 
 
-@query("SELECT conv_id, string_agg(CASE role WHEN 'user' THEN 'User: ' || substr(text, 1, 220) WHEN 'assistant' THEN 'Answer: ' || substr(text, 1, 160) ELSE 'Summary: ' || substr(text, 1, 280) END, chr(10) ORDER BY turn) AS history FROM conversations GROUP BY conv_id")
+LAST_TURNS = 2
+CAPS = {"user": ("User: ", 220), "assistant": ("Answer: ", 160), "summary": ("Summary: ", 280), "system": ("System: ", 400)}  # fixed values
+
+
+@query("WITH u AS (SELECT *, count(*) FILTER (WHERE role = 'user') OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back, role = 'user' AS asks, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations) SELECT conv_id, string_agg(CASE role " + " ".join(f"WHEN '{r}' THEN '{label}' || substr(text, 1, {n})" for r, (label, n) in CAPS.items()) + f" END, chr(10) ORDER BY turn) FILTER (WHERE back < {LAST_TURNS} OR (back = {LAST_TURNS} AND asks)) AS history FROM u GROUP BY conv_id")
 def cls_10(spark: SparkSession, sf: str) -> DataFrame:
-    """History as labelled lines, each cut by its role."""
-    line = F.when(F.col("role") == "user", F.concat(F.lit("User: "), F.substring("text", 1, 220))).when(F.col("role") == "assistant", F.concat(F.lit("Answer: "), F.substring("text", 1, 160))).otherwise(F.concat(F.lit("Summary: "), F.substring("text", 1, 280)))
-    return read(spark, sf, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("s")))), lambda x: x["s"]), "\n").alias("history"))
+    """History as labelled lines, each cut by its role, from the last turns of the user but one on. In the row of the
+    conversation: its turns are gathered, then what is before the wanted turns is cut off."""
+    line = F.lit(None).cast("string")
+    for role, (label, most) in CAPS.items():
+        line = F.when(F.col("role") == role, F.concat(F.lit(label), F.substring("text", 1, most))).otherwise(line)
+    said = read(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", line.alias("s")))).alias("l"))
+    asked = F.filter("l", lambda x: x["role"] == "user")
+    since = F.when(F.size(asked) >= LAST_TURNS, F.element_at(asked, -LAST_TURNS)["turn"]).otherwise(F.lit(-(1 << 62)))
+    return said.select("conv_id", "l", since.alias("since")).select("conv_id", F.nullif(F.array_join(F.transform(F.filter("l", lambda x: x["turn"] >= F.col("since")), lambda x: x["s"]), "\n"), F.lit("")).alias("history"))
 
 
 @query("SELECT doc_id, CASE WHEN quality = 1 AND toxic = 0 THEN 1.0 WHEN toxic = 1 THEN 0.0 ELSE 0.5 END AS score, CASE WHEN quality = 1 AND toxic = 0 THEN 'approved' WHEN toxic = 1 THEN 'rejected' ELSE 'review' END AS status, CASE WHEN NOT (quality = 1 AND toxic = 0) THEN coalesce(CASE WHEN toxic = 1 THEN 'noise' END, 'incomplete') END AS error_category FROM labels")
@@ -190,10 +201,24 @@ def cls_12(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "events").groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_set(agent)).cast("array<string>"), ",").alias("agents"), source.alias("source"))
 
 
-@query("WITH " + HINTS_SQL + " SELECT term, agent FROM hints WHERE NOT regexp_matches(term, '\\d') AND term NOT IN ('that', 'with', 'sich', 'para') AND length(term) <= 12 UNION SELECT term, agent FROM (VALUES ('the', 'en'), ('und', 'de')) AS d(term, agent)")
+#: What the filter knows: defaults that always stay, noise, words that say little alone, and the domain's vocabulary.
+DEFAULT_HINTS = (("the", "en"), ("und", "de"))
+NOISE_HINTS, NOISE_TOKENS, LOW_PRECISION_HINTS = ("that with",), ("that", "with", "sich", "para"), ("the and",)
+PAIRED_SQL = HINTS_SQL + ", pairs AS (SELECT term, agent FROM hints UNION SELECT a.term || ' ' || b.term, a.agent FROM hints AS a JOIN hints AS b ON a.agent = b.agent AND a.kind = b.kind AND b.place = a.place + 1), vocabulary AS (SELECT DISTINCT agent, term AS word FROM hints WHERE kind = 'strong' AND place % 2 = 1)"
+
+
+@query("WITH " + PAIRED_SQL + f""" SELECT term, agent FROM pairs AS p WHERE contains(term, ' ') AND len(string_split(term, ' ')) <= 2 AND term NOT IN ('{NOISE_HINTS[0]}', '{LOW_PRECISION_HINTS[0]}') AND NOT regexp_matches(term, '\\d')
+  AND NOT list_has_any(string_split(term, ' '), {list(NOISE_TOKENS)!r}) AND list_has_any(list_filter(string_split(term, ' '), lambda w: length(w) >= 4), (SELECT list(word) FROM vocabulary AS v WHERE v.agent = p.agent)) UNION SELECT term, agent FROM (VALUES {', '.join(map(repr, DEFAULT_HINTS))}) AS d(term, agent)""")
 def cls_13(spark: SparkSession, sf: str) -> DataFrame:
-    """Hint filter: digits, noise and overlong terms go; the defaults always stay."""
-    noise = spark.createDataFrame([("that",), ("with",), ("sich",), ("para",)], "term string")
-    kept = hints(spark, sf).where(~F.col("term").rlike(r"\d") & (F.length("term") <= 12)).join(F.broadcast(noise), "term", "left_anti")  # fixed and small
-    defaults = spark.createDataFrame([("the", "en"), ("und", "de")], "term string, agent string")
-    return kept.select("term", "agent").union(defaults).distinct()
+    """Hint filter: out go noise terms, terms with digits or noise words, single words, terms of more than two words, terms
+    that say little, and those without a word of the domain's vocabulary; the defaults always stay. Terms are the mined
+    hints and pairs of neighbours in their lists; every second strong hint is the vocabulary."""
+    mined = written(hints(spark, sf), "hints")
+    after = mined.select("agent", "kind", (F.col("place") - 1).alias("place"), F.col("term").alias("next"))
+    pairs = mined.join(after, ["agent", "kind", "place"]).select(F.concat_ws(" ", "term", "next").alias("term"), "agent")
+    vocabulary = mined.where("kind = 'strong' and place % 2 = 1").select("agent", F.col("term").alias("word")).distinct()
+    words = F.split("term", " ")
+    terms = mined.select("term", "agent").union(pairs).distinct().where((F.size(words) == 2) & ~F.col("term").isin(*NOISE_HINTS, *LOW_PRECISION_HINTS) & ~F.col("term").rlike(r"\d"))
+    terms = terms.where(~F.arrays_overlap(words, F.array(*map(F.lit, NOISE_TOKENS))))
+    known = terms.select("term", "agent", F.explode(F.filter(words, lambda w: F.length(w) >= 4)).alias("word")).join(vocabulary, ["agent", "word"], "left_semi")
+    return known.select("term", "agent").union(spark.createDataFrame(DEFAULT_HINTS, "term string, agent string")).distinct()

@@ -253,12 +253,23 @@ def scl_15(spark: SparkSession, sf: str) -> DataFrame:
     return b.select("conv_id", "turn", (F.lower("t").rlike(ABSENT) | (F.trim("t") == "")).alias("uncertain"), F.sha2("u", 256).alias("without_hedge"), F.sha2("head", 256).alias("without_tail"), F.when(factual, F.sha2("head", 256)).alias("factual"))
 
 
-@query("SELECT conv_id, turn, sha256(trim(regexp_replace(regexp_replace(regexp_replace('Certainly! ' || text || chr(10) || 'Let me know if you need more.', '^(Certainly|Of course|Sure)[!,.]?\\s*', ''), '\\n?Let me know[^\\n]*$', ''), '(?i)internal tool', '', 'g'))) AS clean FROM conversations WHERE role = 'assistant'")
+#: What an answer should not say: how it may open, how its last paragraph or line may begin, and words for insiders.
+OPENINGS, CLOSINGS, FOLLOWUPS, INTERNAL = "Certainly|Of course|Sure", "Disclaimer|In summary|Please note", "Let me know|Feel free", "internal tool"
+
+
+@query(f"""WITH t AS (SELECT conv_id, turn, 'Certainly! ' || text || CASE turn % 3 WHEN 0 THEN chr(10) || chr(10) || 'In summary, all of it.' || chr(10) || 'Really.' WHEN 1 THEN chr(10) || chr(10) || 'Other words by an internal tool' ELSE '' END || chr(10) || 'Let me know if you need more.' AS t FROM conversations WHERE role = 'assistant'),
+  a AS (SELECT *, trim(regexp_replace(regexp_replace(t, '^({OPENINGS})[!,.]?\\s*', ''), '\\n?({FOLLOWUPS})[^\\n]*$', '')) AS a FROM t), p AS (SELECT *, string_split_regex(a, '\\n\\s*\\n') AS p FROM a)
+  SELECT conv_id, turn, sha256(trim(regexp_replace(CASE WHEN len(p) > 1 AND regexp_matches(p[-1], '^({CLOSINGS})') THEN array_to_string(p[:-2], chr(10) || chr(10)) ELSE array_to_string(p, chr(10) || chr(10)) END, '(?i){INTERNAL}', '', 'g'))) AS clean FROM p""")
 def scl_16(spark: SparkSession, sf: str) -> DataFrame:
-    """Banned phrases out: opening courtesy, closing offer, internal terms (they are injected)."""
-    t = F.concat(F.lit("Certainly! "), "text", F.lit("\nLet me know if you need more."))
-    out = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"^(Certainly|Of course|Sure)[!,.]?\s*", ""), r"\n?Let me know[^\n]*$", ""), "(?i)internal tool", "")
-    return read(spark, sf, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.sha2(F.trim(out), 256).alias("clean"))
+    """Banned phrases out: an opening courtesy, a last paragraph that disclaims or sums up (an only one stays), a closing
+    offer, internal terms. They are injected."""
+    extra = F.when(F.col("turn") % 3 == 0, "\n\nIn summary, all of it.\nReally.").when(F.col("turn") % 3 == 1, "\n\nOther words by an internal tool").otherwise("")
+    t = F.concat(F.lit("Certainly! "), "text", extra, F.lit("\nLet me know if you need more."))
+    a = F.trim(F.regexp_replace(F.regexp_replace(t, rf"^({OPENINGS})[!,.]?\s*", ""), rf"\n?({FOLLOWUPS})[^\n]*$", ""))
+    said = read(spark, sf, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.split(a, r"\n\s*\n").alias("p"))
+    closes = (F.size("p") > 1) & F.element_at("p", -1).rlike(f"^({CLOSINGS})")
+    kept = F.array_join(F.when(closes, F.slice(F.col("p"), F.lit(1), F.size("p") - 1)).otherwise(F.col("p")), "\n\n")
+    return said.select("conv_id", "turn", F.sha2(F.trim(F.regexp_replace(kept, f"(?i){INTERNAL}", "")), 256).alias("clean"))
 
 
 #: Seventeen rules in order, eight kinds with "general"; the first that matches names the question. Own wording, for the

@@ -183,7 +183,13 @@ def top_05(spark: SparkSession, sf: str) -> DataFrame:
     return searched(spark, sf).join(labels, "vec_id").groupBy("query_id").agg(F.min_by("vec_id", key).alias("best"))
 
 
-@query("SELECT o_custkey, arg_max(o_orderkey, struct_pack(a := o_orderstatus = 'O', b := o_orderdate, c := o_orderkey)) AS session FROM orders GROUP BY o_custkey")
+@query("""SELECT o_custkey, o_orderkey AS session, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS INTEGER) AS place,
+  o_orderkey = first_value(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderstatus = 'O' DESC, o_orderdate DESC, o_orderkey DESC) AS active FROM orders QUALIFY place <= 5 OR active""")
 def top_06(spark: SparkSession, sf: str) -> DataFrame:
-    """The active session of each customer, else the latest."""
-    return read(spark, sf, "orders").groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct(F.col("o_orderstatus") == "O", "o_orderdate", "o_orderkey")).alias("session"))
+    """Recency list: the five newest sessions (orders) of each thread (customer), newest first, and which session is active: the
+    newest open one, else the newest. An active one further back is listed too."""
+    o = read(spark, sf, "orders").select("o_custkey", F.col("o_orderkey").alias("session"), "o_orderdate", (F.col("o_orderstatus") == "O").alias("open"))
+    newest = ranked(o, ["o_custkey"], F.desc("o_orderdate"), F.desc("session"), name="place")
+    active = o.groupBy("o_custkey").agg(F.max_by("session", F.struct("open", "o_orderdate", "session")).alias("chosen"))
+    listed = newest.join(active, "o_custkey").withColumn("active", F.col("session") == F.col("chosen"))
+    return listed.where("place <= 5 or active").select("o_custkey", "session", "place", "active")
