@@ -31,7 +31,8 @@ PLACE_BITS = 20
 SEGMENT = (1 << PLACE_BITS) - 1
 LANES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 SAMPLE_ONE_IN, CROWD = 32, 64  # an anchor is spread from so many sampled occurrences on, or more than 1 in 2^16 of all
-GROUP = 4096  # contents of an anchor that are extended together
+GROUP = 512  # contents of an anchor that are extended together
+SALTS = 32  # parts that the occurrences of a window are dealt to, as one may be in very many documents
 NO_ID = -(1 << 63)
 
 
@@ -233,7 +234,9 @@ def repeated_spans(docs: DataFrame, length: int, k: int) -> DataFrame:
 
     cuts = written(map_batches(texts.where("kind = 2"), windows, "one long, two long, doc long, mark long, first int"), "repeat-windows")
     often = cuts.groupBy("one", "two").agg(F.count("*").alias("n")).where("n > 1")
-    seen = cuts.join(often, ["one", "two"]).select("doc", "mark", "first", F.col("first").alias("last"))
+    often = often.select("one", "two", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = cuts.withColumn("salt", F.pmod(F.xxhash64("doc", "mark", "first"), F.lit(SALTS)).cast("int"))
+    seen = salted.join(often, ["one", "two", "salt"]).select("doc", "mark", "first", F.col("first").alias("last"))
     return sure.union(matched).union(seen)
 
 
