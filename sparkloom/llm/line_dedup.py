@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from .common import in_arrow, map_batches, utf8, written
 
 SLOTS, KICKS = 4, 500
+LEAST_SHARDS, SHARD_KEYS = 64, 1 << 16  # a shard's filter is to hold about that many keys
 
 
 def line_keys(text: bytes) -> list[bytes]:
@@ -44,10 +45,43 @@ class CuckooFilter:
         buckets = 1 << max(2, int(np.ceil(np.log2(max(1, len(hashes)) / (SLOTS * 0.8)))))
         while True:
             made = cls(np.zeros((buckets, SLOTS), np.uint16))
-            if all(made.insert(h) for h in hashes.tolist()):
+            if made.insert_all(hashes):
                 return made
             buckets *= 2
 
+    def insert_all(self, hashes: np.ndarray) -> bool:
+        """Insert many hashes in rounds: in each, every bucket takes as many of those that wait for it as it has free slots;
+        what is left goes to its other bucket, and then pushes out one entry a bucket, which waits for its own other one.
+        False if some find no place; the table is then of no use."""
+        if not len(hashes):
+            return True
+        mask = np.uint64(len(self.table) - 1)
+        marks = np.maximum(hashes >> np.uint64(48), np.uint64(1)).astype(np.uint16)
+        at = (hashes & mask).astype(np.int64)
+        for step in range(KICKS):
+            order = np.argsort(at, kind="stable")
+            marks, at = marks[order], at[order]
+            starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+            rank = np.arange(len(at)) - np.repeat(starts, np.diff(np.append(starts, len(at))))
+            free = self.table[at] == 0
+            fits = rank < free.sum(axis=1)
+            slot = np.argsort(~free[fits], axis=1, kind="stable")[np.arange(int(fits.sum())), rank[fits]]
+            self.table[at[fits], slot] = marks[fits]
+            marks, at = marks[~fits], at[~fits]
+            if not len(at):
+                return True
+            if step:
+                heads = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+                place = at[heads], np.full(len(heads), step % SLOTS)
+                marks[heads], self.table[place] = self.table[place].copy(), marks[heads].copy()
+                at[heads] = self._others(at[heads], marks[heads])
+            else:
+                at = self._others(at, marks)
+        return False
+
+    def _others(self, buckets: np.ndarray, marks: np.ndarray) -> np.ndarray:
+        return ((buckets.astype(np.uint64) ^ ((marks.astype(np.uint64) * np.uint64(0x5BD1E995)) & np.uint64(0xFFFFFFFF))) & np.uint64(len(self.table) - 1)).astype(np.int64)
+
     def _places(self, h: int) -> tuple[int, int, int]:
         mark = (h >> 48) or 1
         first = h & (len(self.table) - 1)
@@ -114,14 +148,15 @@ def reference_counts(docs: DataFrame, min_chars: int = 1) -> DataFrame:
 class LineIndex:
     """counts(key, n) and filters(shard, table): written tables, replaced as a whole by each update."""
 
-    def __init__(self, counts: DataFrame, filters: DataFrame, min_docs: int, shards: int, min_chars: int):
-        self.counts, self.filters, self.min_docs, self.shards, self.min_chars = counts, filters, min_docs, shards, min_chars
+    def __init__(self, counts: DataFrame, filters: DataFrame, min_docs: int, shards: int, min_chars: int, sized: bool = False):
+        self.counts, self.filters, self.min_docs, self.shards, self.min_chars, self.sized = counts, filters, min_docs, shards, min_chars, sized
 
     @classmethod
-    def build(cls, docs: DataFrame, min_docs: int = 10, shards: int = 64, min_chars: int = 1) -> LineIndex:
+    def build(cls, docs: DataFrame, min_docs: int = 10, shards: int | None = None, min_chars: int = 1) -> LineIndex:
+        """Without a number of shards there are as many as the frequent keys need, and more once they have grown."""
         empty = docs.sparkSession.createDataFrame([], "key binary, n long")
         filters = docs.sparkSession.createDataFrame([], "shard long, table binary")
-        return cls(empty, filters, min_docs, shards, min_chars)._changed(reference_counts(docs, min_chars))
+        return cls(empty, filters, min_docs, shards or LEAST_SHARDS, min_chars, shards is None)._changed(reference_counts(docs, min_chars))
 
     def insert(self, docs: DataFrame) -> LineIndex:
         return self._changed(reference_counts(docs, self.min_chars))
@@ -134,9 +169,12 @@ class LineIndex:
         old = self.counts.withColumn("was", F.col("n"))
         both = old.unionByName(deltas.withColumn("was", F.lit(0).cast("long"))).groupBy("key").agg(F.sum("n").alias("n"), F.sum("was").alias("was"))
         both = written(both, "line-counts")
-        low, shards = self.min_docs, self.shards
+        low, shards, filters = self.min_docs, self.shards, self.filters
+        wanted = shards_for(both.where(F.col("n") >= low).count()) if self.sized else shards
+        if wanted > shards:  # all filters anew, in more shards
+            shards, filters, both = wanted, filters.limit(0), both.withColumn("was", F.lit(0).cast("long"))
         moves = both.where((F.col("n") >= low) != (F.col("was") >= low)).select("key", (F.col("n") >= low).alias("enters"))
-        grouped = moves.withColumn("shard", _shard_column(shards)).groupBy("shard").cogroup(self.filters.groupBy("shard"))
+        grouped = moves.withColumn("shard", _shard_column(shards)).groupBy("shard").cogroup(filters.groupBy("shard"))
 
         def update(key: tuple, changed: pa.Table, held: pa.Table) -> pa.Table:
             enters = np.array(changed.column("enters").to_pylist(), bool)
@@ -148,7 +186,7 @@ class LineIndex:
                 made = CuckooFilter(np.frombuffer(held.column("table")[0].as_py(), np.uint16).reshape(-1, SLOTS).copy())
                 for h in leaving.tolist():
                     made.delete(h)
-                table = made.table if all(made.insert(h) for h in entering.tolist()) else None
+                table = made.table if made.insert_all(entering) else None
             return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "table": pa.array([None if table is None else table.tobytes()], pa.binary())})
 
         def remake(key: tuple, frequent: pa.Table) -> pa.Table:
@@ -161,12 +199,17 @@ class LineIndex:
             keys = both.where(F.col("n") >= low).select("key", _shard_column(shards).alias("shard")).where(F.col("shard").isin(full))
             remade = keys.groupBy("shard").applyInArrow(remake, "shard long, table binary")
             filters = written(filters.where("table is not null").unionByName(remade), "line-filters")
-        return LineIndex(both.where("n > 0").select("key", "n"), filters, low, shards, self.min_chars)
+        return LineIndex(both.where("n > 0").select("key", "n"), filters, low, shards, self.min_chars, self.sized)
 
     def frequent(self) -> DataFrame:
         return self.counts.where(F.col("n") >= self.min_docs).select("key")
 
 
+def shards_for(keys: int) -> int:
+    """A power of two of shards, so that each holds SHARD_KEYS keys at most on average."""
+    return max(LEAST_SHARDS, 1 << max(0, -(-keys // SHARD_KEYS) - 1).bit_length())
+
+
 def _shard_column(shards: int):
     """The shard of a key, as _shards computes it: bytes 9 to 12, lowest first."""
     hexed = F.hex(F.substring("key", 9, 4))
@@ -309,7 +352,7 @@ def _schema(docs: DataFrame) -> str:
     return ", ".join([*types, "n_lines long", "n_dropped long", "kept string"])
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 10, shards: int = 64, min_chars: int = 1, broadcast_keys: int = 1 << 20) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = 10, shards: int | None = None, min_chars: int = 1, broadcast_keys: int = 1 << 20) -> DataFrame:
     """docs(doc_id, text, ...) without the lines found in at least min_docs of them: an index built of docs, applied to them.
 
     Columns, nulls, empty texts, repeated rows and clashing names as in drop_frequent_lines; texts of any length are split
