@@ -69,12 +69,13 @@ def jn_04(spark: SparkSession, sf: str) -> DataFrame:
     return both.where(F.size(F.array_except("w", "held")) == 0).select("item_id", "doc_id")
 
 
-LISTS_SQL = (
-    SEARCHED_SQL.format(k=24)
-    + ", "
-    + bm25_sql("SELECT doc_id AS query_id, text FROM documents WHERE doc_id % 100 = 0 AND text IS NOT NULL AND doc_id IN (SELECT vec_id FROM embeddings)", "SELECT doc_id, text FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings)")
-    + ", txt AS (SELECT query_id, doc_id AS vec_id, rank FROM bm WHERE rank <= 24)"
-)
+def lists_sql(k: int) -> str:
+    """hits and txt: the k best rows of every stated query by vector, and by text."""
+    bm = bm25_sql("SELECT doc_id AS query_id, text FROM documents WHERE doc_id % 100 = 0 AND text IS NOT NULL AND doc_id IN (SELECT vec_id FROM embeddings)", "SELECT doc_id, text FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings)")
+    return f"{SEARCHED_SQL.format(k=k)}, {bm}, txt AS (SELECT query_id, doc_id AS vec_id, rank FROM bm WHERE rank <= {k})"
+
+
+LISTS_SQL = lists_sql(24)
 
 
 def chunks(spark: SparkSession, sf: str) -> DataFrame:

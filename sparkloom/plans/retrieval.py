@@ -14,7 +14,7 @@ from ..operators.ranking import boosted, fuse, top
 from ..operators.search import search, two_pass
 from .base import query, read
 from .filters import BM25_SQL, FOLDED_WORDS_SQL, HOST_SQL, KEYWORDS_SQL, SEARCHED_SQL, asking, searched, text_hits
-from .joins import LISTS_SQL, chunks, questions, text_list
+from .joins import LISTS_SQL, chunks, lists_sql, questions, text_list
 from .scalars import HTML_SQL
 
 
@@ -24,12 +24,14 @@ def ret_01(spark: SparkSession, sf: str) -> DataFrame:
     return search(questions(spark, sf), chunks(spark, sf), "hybrid", 8).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
-@query("WITH " + LISTS_SQL + ", far AS (SELECT query_id, vec_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY vec_id DESC) AS INTEGER) AS rank FROM hits), f AS (SELECT query_id, vec_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score FROM (SELECT query_id, vec_id, rank FROM hits UNION ALL SELECT query_id, vec_id, rank FROM txt UNION ALL SELECT query_id, vec_id, rank FROM far) GROUP BY query_id, vec_id) SELECT query_id, vec_id, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM f) WHERE rank <= 10")
+@query("WITH " + LISTS_SQL + ", again AS (SELECT query_id, vec_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY vec_id * 37 % 101 DESC, vec_id) AS INTEGER) AS rank FROM hits WHERE vec_id % 3 <> 0), f AS (SELECT query_id, vec_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score FROM (SELECT query_id, vec_id, rank FROM hits UNION ALL SELECT query_id, vec_id, rank FROM txt UNION ALL SELECT query_id, vec_id, rank FROM again) GROUP BY query_id, vec_id) SELECT query_id, vec_id, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM f) WHERE rank <= 10")
 def ret_02(spark: SparkSession, sf: str) -> DataFrame:
-    """Unweighted fusion of three lists."""
+    """Unweighted fusion of three lists: by vector, by text, and by a relevance score from outside (as in top_03), which some
+    rows lack."""
     hits = searched(spark, sf, 24)
-    far = hits.select("query_id", "vec_id", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("vec_id"))).alias("rank"))
-    fused = fuse({"a": (hits, 1.0), "b": (text_list(spark, sf), 1.0), "c": (far, 1.0)}, ["query_id"], "vec_id").withColumn("score", F.round("score", 12))
+    scored = hits.where("vec_id % 3 <> 0").withColumn("relevance", F.col("vec_id") * 37 % 101)
+    again = scored.select("query_id", "vec_id", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("relevance"), "vec_id")).alias("rank"))
+    fused = fuse({"vector": (hits, 1.0), "text": (text_list(spark, sf), 1.0), "relevance": (again, 1.0)}, ["query_id"], "vec_id").withColumn("score", F.round("score", 12))
     return top(fused, ["query_id"], 10, F.desc("score"), F.asc("vec_id")).select("query_id", "vec_id", "rank")
 
 
@@ -89,10 +91,15 @@ def ret_05_cover(spark: SparkSession, sf: str) -> DataFrame:
     return cover_density(queries, docs).withColumn("score", F.round(F.col("score") + 1e-9, 5))
 
 
-@query("WITH " + SEARCHED_SQL.format(k=20) + ", weak AS (SELECT query_id FROM hits WHERE rank <= 8 AND vec_id <> query_id GROUP BY query_id HAVING max(score) < 0.42), lists AS (SELECT query_id, vec_id, rank FROM hits WHERE rank <= 8 UNION ALL SELECT query_id, vec_id, rank FROM hits SEMI JOIN weak USING (query_id)), f AS (SELECT query_id, vec_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score FROM lists GROUP BY query_id, vec_id) SELECT query_id, vec_id, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM f) WHERE rank <= 8")
+@query("WITH " + lists_sql(60) + """, first AS (SELECT * FROM hits WHERE rank <= 8), weak AS (SELECT query_id FROM first GROUP BY query_id HAVING count(*) < 3 OR coalesce(max(score) FILTER (WHERE vec_id <> query_id), -1) < 0.42),
+  wide AS (SELECT query_id, vec_id, round(sum(s), 12) AS s FROM (SELECT query_id, vec_id, 1.5::DOUBLE / (60 + rank) AS s FROM hits UNION ALL SELECT query_id, vec_id, 1.0::DOUBLE / (60 + rank) FROM txt) SEMI JOIN weak USING (query_id) GROUP BY query_id, vec_id),
+  again AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM wide), lists AS (SELECT query_id, vec_id, rank FROM first UNION ALL SELECT query_id, vec_id, rank FROM again WHERE rank <= 20),
+  f AS (SELECT query_id, vec_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score FROM lists GROUP BY query_id, vec_id)
+  SELECT query_id, vec_id, rank, query_id IN (SELECT query_id FROM weak) AS second FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM f) WHERE rank <= 8""")
 def ret_06(spark: SparkSession, sf: str) -> DataFrame:
-    """Two-pass search: queries with weak first results are searched again more widely, and both lists fused."""
-    return two_pass(asking(spark, sf), read(spark, sf, "embeddings").select("vec_id", "embedding"), k=8, weak_below=0.42)
+    """Two-pass search: queries with weak first results are searched again more widely by vector and text, and both lists
+    fused."""
+    return two_pass(questions(spark, sf), chunks(spark, sf), k=8, weak_below=0.42)
 
 
 @query("WITH " + SEARCHED_SQL.format(k=16) + ", f AS (SELECT query_id // 400 AS asked, vec_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score FROM hits GROUP BY asked, vec_id) SELECT asked, vec_id, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY asked ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM f) WHERE rank <= 8")
@@ -182,13 +189,25 @@ def ret_12(spark: SparkSession, sf: str) -> DataFrame:
     return kept.select("query_id", "doc_id", "x.i", "x.s", "x.score", (F.col("p") + 1).alias("place"))
 
 
-@query(f"WITH p AS (SELECT {HOST_SQL} AS host, min(page_id) AS page_id FROM pages GROUP BY url), a AS (SELECT * FROM p WHERE host = 'example.com' OR ends_with(host, '.example.com')) SELECT host, page_id, sha256(CASE WHEN length({HTML_SQL.format('html')}) > 600 THEN rtrim(substr({HTML_SQL.format('html')}, 1, 597)) || '...' ELSE {HTML_SQL.format('html')} END) AS snippet FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY page_id) AS r FROM a) JOIN pages USING (page_id) WHERE r <= 3")
+SHORT_SQL = f"CASE WHEN length({HTML_SQL.format('html')}) > 600 THEN rtrim(substr({HTML_SQL.format('html')}, 1, 597)) || '...' ELSE {HTML_SQL.format('html')} END"
+
+
+@query(f"""WITH p AS (SELECT page_id // 4 AS query_id, {HOST_SQL} AS host, url, min(page_id) AS page_id FROM pages GROUP BY ALL), a AS (SELECT *, host = 'docs.example.org' OR ends_with(host, '.docs.example.org') OR host = 'www2.example.com' OR host = 'example.com' OR ends_with(host, '.example.com') AS listed FROM p),
+  k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY page_id) AS r FROM (SELECT *, bool_or(listed) OVER (PARTITION BY query_id) AS any_listed FROM a) WHERE listed OR NOT any_listed),
+  s AS (SELECT k.query_id, k.host, k.url, page_id, {SHORT_SQL} AS body FROM k JOIN pages USING (page_id) WHERE r <= 6), n AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY page_id) AS INTEGER) AS place FROM s WHERE body <> '')
+  SELECT query_id, place, host, page_id, sha256('[' || place || '] ' || url || ' (' || host || ') - ' || body) AS line_sha256 FROM n WHERE place <= 3""")
 def ret_13(spark: SparkSession, sf: str) -> DataFrame:
-    """Web evidence: allowed hosts, one page per URL, three pages per host, 600 characters of text."""
-    pages = read(spark, sf, "pages")
-    one = pages.groupBy("url").agg(F.min("page_id").alias("page_id")).select(text.host("url").alias("host"), "page_id")
-    some = top(one.where(text.is_allowed(F.col("host"), ("example.com",))), ["host"], 3, F.asc("page_id")).select("host", "page_id")
-    return some.join(pages, "page_id").select("host", "page_id", F.sha2(text.html_to_text("html", 600), 256).alias("snippet"))
+    """Web evidence of each query: results of allowed hosts, or of all where that leaves none; one a URL, six at most; the first
+    three of them with text, cut at 600 characters, as numbered lines. Four pages in a row stand for a query's results."""
+    pages = read(spark, sf, "pages").withColumn("query_id", F.floor(F.col("page_id") / 4))
+    one = pages.groupBy("query_id", "url").agg(F.min("page_id").alias("page_id")).withColumn("host", text.host("url"))
+    listed = one.withColumn("listed", text.is_allowed(F.col("host"), ("docs.example.org", "www2.example.com", "example.com")))
+    some = listed.withColumn("some", F.bool_or("listed").over(Window.partitionBy("query_id"))).where("listed or not some")
+    six = top(some, ["query_id"], 6, F.asc("page_id")).select("query_id", "page_id", "host")
+    bodies = six.join(pages.select("page_id", "url", "html"), "page_id").withColumn("body", text.html_to_text("html", 600)).where("body <> ''")
+    three = top(bodies, ["query_id"], 3, F.asc("page_id"), name="place")
+    line = F.concat(F.lit("["), F.col("place").cast("string"), F.lit("] "), "url", F.lit(" ("), "host", F.lit(") - "), "body")
+    return three.select("query_id", "place", "host", "page_id", F.sha2(line, 256).alias("line_sha256"))
 
 
 @query("WITH " + EVIDENCE_SQL + """, r AS (SELECT DISTINCT j.query_id, j.doc_id, j.rank, j.source, head, kept, top_score FROM js AS j LEFT JOIN jk AS k ON k.query_id = j.query_id AND k.doc_id = j.doc_id),
