@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
 from . import vectors
 from .postings import bm25_top
 from .ranking import fuse, top
@@ -37,11 +38,14 @@ def wider(k: int) -> int:
     return min(max(k + 2, round(2.5 * k)), max(k + 2, 20))
 
 
-def two_pass(queries: DataFrame, chunks: DataFrame, k: int, weak_below: float) -> DataFrame:
-    """query_id, vec_id, rank: queries whose best other hit is below weak_below are searched again at wider(k)."""
-    first = vectors.nearest(queries, chunks, k)
-    best = first.where("vec_id <> query_id").groupBy("query_id").agg(F.max("score").alias("best"))
-    weak = queries.join(best.where(F.col("best") < weak_below), "query_id", "left_semi")
-    second = vectors.nearest(weak, chunks, wider(k))
+def two_pass(queries: DataFrame, chunks: DataFrame, k: int, weak_below: float, mode: str = "vector") -> DataFrame:
+    """query_id, vec_id, rank, second: a search in the given mode; queries that get no rows, fewer than min(k, 3), or whose best
+    other hit is below weak_below are searched again at wider(k), always by vector and text, and both lists fused. second
+    says whether a query was. queries and chunks as in search()."""
+    first = written(search(queries, chunks, mode, k), "first-pass")
+    best = first.groupBy("query_id").agg(F.max(F.when(F.col("vec_id") != F.col("query_id"), F.col("score"))).alias("best"), F.count("*").alias("n"))
+    judged = queries.join(best, "query_id", "left").withColumn("second", (F.coalesce("n", F.lit(0)) < min(k, 3)) | (F.coalesce("best", F.lit(-1.0)) < weak_below))
+    second = search(judged.where("second").select(*queries.columns), chunks, "hybrid", wider(k))
     fused = fuse({"first": (first, 1.0), "second": (second, 1.0)}, ["query_id"], "vec_id").withColumn("score", F.round("score", 12))
-    return top(fused, ["query_id"], k, F.desc("score"), F.asc("vec_id")).select("query_id", "vec_id", "rank")
+    ranked = top(fused, ["query_id"], k, F.desc("score"), F.asc("vec_id"))
+    return ranked.join(judged.select("query_id", "second"), "query_id").select("query_id", "vec_id", "rank", "second")

@@ -123,7 +123,7 @@ def held_out(vectors: DataFrame, queries: DataFrame, rows: int, salt: str) -> Da
     return some.orderBy(F.xxhash64("query_id", F.lit(salt)), "query_id").limit(rows)
 
 
-def nearest_by_centroid(queries: DataFrame, vectors: DataFrame, k: int, recall: float = 0.95, rows: int = 4096, tune: int = 256, seed: int = 0) -> DataFrame:
+def nearest_by_centroid(queries: DataFrame, vectors: DataFrame, k: int, recall: float = 0.95, rows: int = 4096, tune: int = 256, seed: int = 0, block: int = 1 << 13) -> DataFrame:
     """Approximate nearest neighbours by inverted lists: vectors are filed under their nearest centroid (k-means on a
     sample of at most about `rows` vectors, or 16 a list), and a query looks into the lists nearest to it. Same columns as
     nearest().
@@ -153,6 +153,20 @@ def nearest_by_centroid(queries: DataFrame, vectors: DataFrame, k: int, recall:
         counts[r["place"] - 1] = r["count"]
     found = np.cumsum(counts)
     probes = int(np.searchsorted(found, recall * found[-1])) + 1 if found[-1] else len(centers)
-    asked = listed(queries.select("query_id", "q"), "q", centers, probes).select("query_id", "q", F.explode("lists").alias("list"))
-    scored = filed.join(asked, "list").select("query_id", "vec_id", F.round(cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
+    # A list meets its queries in parts of about `block` vectors, so a list of very many is no task of its own.
+    sizes = filed.groupBy("list").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    asked = listed(queries.select("query_id", "q"), "q", centers, probes).select("query_id", F.col("q").cast("array<double>").alias("q"), F.explode("lists").alias("list"))
+    asked = asked.join(F.broadcast(sizes), "list").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))  # at most 1024 lists
+    dealt = filed.toDF(*filed.columns).select("list", F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    dealt = dealt.join(F.broadcast(sizes.toDF("list", "parts")), "list").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
+
+    def meet(asking: pa.Table, held: pa.Table) -> pa.Table:
+        places, units = _units(asking.column("q").combine_chunks())
+        best, ids = Best(len(places), k), asking.column("query_id").to_numpy()[places]
+        for batch in held.combine_chunks().to_batches() if len(places) else ():
+            _scored(best, units, batch)
+        at, found, scores, _ = best.taken()
+        return pa.table({"query_id": pa.array(ids[at].astype(np.int64)), "vec_id": pa.array(found.astype(np.int64)), "score": pa.array(scores)})
+
+    scored = asked.groupBy("list", "part").cogroup(dealt.groupBy("list", "part")).applyInArrow(meet, "query_id long, vec_id long, score double")
     return top(scored, ["query_id"], k, F.desc("score"), F.asc("vec_id"))
