@@ -183,7 +183,8 @@ def encode_documents(docs: DataFrame, path: str, keep_ids: bool = False, keep_te
     """One row per row of docs(doc_id, text): doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids, decoded if asked).
 
     A null or empty text has no tokens and decodes to the empty text. Repeated rows give repeated rows, a null doc_id
-    stays null, other columns are not read.
+    stays null, other columns are not read. No rows give no rows. A text of any length is read in slices; what is held beyond
+    a slice is the open word.
     """
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -96,7 +96,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, recall: float =
     n_links counts the other rows found linked, component_id is the smallest vec_id reached by links, kept marks
     vec_id = component_id. A vector that is null, empty, zero, or holds a null or non-finite component links with nothing,
     nor do vectors of different lengths. Repeated rows are vectors of their own (of rows with one vec_id all can be kept);
-    a null vec_id stays null and does not count as a component's smallest unless nothing else does.
+    a null vec_id stays null and does not count as a component's smallest unless nothing else does. No rows give no rows;
+    vectors of any length are taken, those of one length meet each other.
 
     Buckets of more than `block` vectors are compared in pairs of blocks, so no task holds more than two blocks; no bucket
     is cut short. `recall` is the chance that a pair exactly at the threshold shares a band; closer pairs share more.

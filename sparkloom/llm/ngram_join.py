@@ -183,7 +183,7 @@ def jaccard_classes(docs: DataFrame, n: int = 3, percent: int = 90, pair_run: in
     Rows link when 100 * shared >= percent * joint shingles; component_id is the smallest doc_id reached by links. A null
     or empty text, or one without words, has no shingles, links with nothing and is its own component. Repeated rows are
     linked copies. A null doc_id keeps its row and its links but names a component only when nothing else does. Other
-    columns are not read. Sets that meet by one element are all paired up to pair_run sets; longer runs are compared in
+    columns are not read. No rows give no rows; a text of any length is one set of all its shingles, held in a task. Sets that meet by one element are all paired up to pair_run sets; longer runs are compared in
     blocks. Neither that nor the blocks of a cluster leave out a link. Up to broadcast_rows clustered sets are looked up in
     the texts by broadcast; beyond, by a shuffled join.
     """

@@ -11,46 +11,56 @@ from .common import table
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document left when 100-byte strings that also start earlier are gone."""
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=100).drop("spans")
 
 
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors by cosine of 0.95 or more."""
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token files, written and read back."""
     return token_files.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document."""
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all documents by source, with shards and places of the draws."""
     mixed = mixing.mix(table(spark, sf_dir, "documents"), weights=(1, 2, 3), cap=3)
     return mixed.select("doc_id", "size", "source_size", "target", "taken", F.col("draws.shard").alias("shards"), F.col("draws.place").alias("places"))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected severity of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model).select("doc_id", F.round("severity", 6).alias("severity"), "grade", "toxic")
 
 
 def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty best rows for every twentieth vector, by integer inner product."""
     return knn_join.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
 def op8_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded text of every document."""
     return bpe_stream.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without lines found in ten documents or more."""
     lines = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10)
     return lines.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents by Jaccard similarity of 0.9 or more of their 3-word shingles."""
     return ngram_join.jaccard_classes(table(spark, sf_dir, "documents"), n=3, percent=90).select("doc_id", "n_shingles", "component_id")
 
 

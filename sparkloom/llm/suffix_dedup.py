@@ -250,7 +250,8 @@ def remove_repeats(docs: DataFrame, length: int = 100, k: int = 32, keep_text: b
     A byte goes if a string of `length` bytes that covers it also starts earlier: in a document with a smaller doc_id or
     further left in the same one, judged on the input. A null or empty text has no bytes. A null doc_id counts as the
     smallest. Rows that share a doc_id are ordered by a hash of their text; equal rows are one document and get one result
-    each. Matches are of bytes and never cross documents. Other columns are not read.
+    each. Matches are of bytes and never cross documents. Other columns are not read. No rows give no rows; very long texts
+    are read in pieces of 2^20 bytes that overlap.
     """
     keyed = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     keyed = keyed.withColumn("doc", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("mark", F.xxhash64("text"))

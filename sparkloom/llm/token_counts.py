@@ -62,7 +62,9 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, chunk: int = 1 <
     """One row per row of docs(doc_id, text): doc_id, n_bytes, n_tokens, over_limit, n_chunked.
 
     A null or empty text counts as no bytes and no tokens. Repeated rows give repeated rows; a null doc_id stays null.
-    Other columns are not read. n_chunked is true where the text was long enough to be cut in chunks.
+    Other columns are not read. No rows give no rows. n_chunked is true where the text was long enough to be cut in chunks;
+    a task holds one text, its ids, and the pieces of the longest stretch without a stable edge in it (letters, digits or
+    signs of one kind without end), which is encoded in doubling pieces, so memory goes with that stretch.
     """
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -73,8 +73,9 @@ def fit(docs: DataFrame, labels: DataFrame, grades: int = 4, max_rows: int = 20_
     At most about max_rows labelled rows are used, drawn by a hash of doc_id (all of them where there are fewer); that and
     max_features bound what reaches the driver, where the convex fit runs. Grades of toxic rows are the thirds (for four
     grades) of how many of their words carry a chosen feature; a labels column `grade` (0 clean .. grades-1) is used
-    instead where there is one. Null labels and labels without a document are left out. Without toxic rows everything is
-    scored clean.
+    instead where there is one. Null labels and labels without a document are left out. Without toxic rows,
+    or without any rows, everything is scored clean. Texts of any length are read whole; repeated rows count as often as they
+    come, and rows with one doc_id share its labels.
     """
     spark = docs.sparkSession
     given = "grade" in labels.columns
