@@ -45,24 +45,25 @@ def bm25(queries: DataFrame, docs: DataFrame, k1: float = 1.2, b: float = 0.75,
     return hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"), F.count("*").alias("matched"))
 
 
-def bm25_top(queries: DataFrame, docs: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, least: int = 4, most_terms: int = 1 << 19) -> DataFrame:
+def bm25_top(queries: DataFrame, docs: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, least: int = 4, most_terms: int = 1 << 19, salt: int = 0) -> DataFrame:
     """query_id, doc_id, score, matched, rank: the k documents with the highest BM25 score for each query, ties to the
     smaller doc_id. queries(query_id, text), docs(doc_id, text); null texts take no part.
 
     The distinct (query, term) rows go to the tasks that scan the documents, if there are at most most_terms: one scan
     writes which of the terms each document holds; from that, document frequencies are counted and documents scored in
     blocks, and a task returns k rows a query, so no pair of query and document is shuffled. More rows than that are asked in
-    parts of about that many, each with scans of its own; a single query is never split.
+    parts of about that many, each with scans of its own; a single query is never split, and meets
+    the postings by shuffle if it is that large. salt deals queries anew where a part is still too large.
     """
     asked = terms(queries.where("text is not null").select(F.col("query_id").cast("long").alias("query_id"), "text"), "query_id", least).distinct()
     given = asked.limit(most_terms + 1).toArrow()
     docs = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     order = (F.desc("score"), F.asc("doc_id"))
     if given.num_rows > most_terms:
-        parts = min(-(-2 * asked.count() // most_terms), max(1, asked.select("query_id").distinct().count()))
+        parts = min(-(-2 * asked.count() // max(1, most_terms)), asked.select("query_id").distinct().count())
         if parts > 1:
-            part = F.pmod(F.xxhash64(F.col("query_id").cast("long")), F.lit(parts))
-            return reduce(DataFrame.unionByName, [bm25_top(queries.where(part == i), docs, k, k1, b, least, most_terms) for i in range(parts)])
+            part = F.pmod(F.xxhash64(F.col("query_id").cast("long"), F.lit(salt)), F.lit(parts))
+            return reduce(DataFrame.unionByName, [bm25_top(queries.where(part == i), docs, k, k1, b, least, most_terms, salt + 1) for i in range(parts)])
         return top(bm25(queries, docs, k1, b, least), ["query_id"], k, *order)
     ids, number = np.unique(given.column("query_id").to_numpy(), return_inverse=True)
     coded = pc.dictionary_encode(given.column("term").combine_chunks())

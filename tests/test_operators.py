@@ -183,8 +183,11 @@ def test_exact_percentiles(spark):
 def test_text_search_by_scan_and_by_shuffle(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text")
     asked = spark.read.parquet(f"{FOLDER}/benchmark.parquet").select(F.col("item_id").alias("query_id"), "text")
-    ways = [sorted((r.query_id, r.rank, r.doc_id, r.matched) for r in postings.bm25_top(asked, docs, 5, most_terms=n).collect()) for n in (1 << 19, 0)]
+    ways = [sorted((r.query_id, r.rank, r.doc_id, r.matched) for r in postings.bm25_top(asked, docs, 5, most_terms=n).collect()) for n in (1 << 19, 400)]
     assert ways[0] == ways[1] and ways[0]
+    one = asked.where("query_id = 7")
+    by_join = sorted((r.query_id, r.rank, r.doc_id, r.matched) for r in postings.bm25_top(one, docs, 5, most_terms=0).collect())
+    assert by_join == [w for w in ways[0] if w[0] == 7] and by_join
     assert postings.bm25_top(asked.limit(0), docs, 5).count() == postings.bm25_top(asked, docs.limit(0), 5).count() == 0
 
 
