@@ -355,7 +355,7 @@ def scl_24(spark: SparkSession, sf: str) -> DataFrame:
     s = F.regexp_replace(text.collapse("text"), r"^(?i)(please|the|la|der) ", "")
     said = said.select("conv_id", "turn", s.alias("s")).withColumn("back", F.instr(F.reverse(F.substring("s", 1, 52)), " "))
     t = F.when(F.length("s") <= 52, F.col("s")).when((F.col("back") > 0) & (52 - F.col("back") > 20), F.expr("substring(s, 1, 52 - back)")).otherwise(F.substring("s", 1, 52))
-    return said.select("conv_id", "turn", t.alias("t")).select("conv_id", "turn", F.concat(F.upper(F.substring("t", 1, 1)), F.expr("substring(t, 2)")).alias("title"))
+    return said.select("conv_id", "turn", t.alias("t")).select("conv_id", "turn", F.concat(text.capital(F.substring("t", 1, 1)), F.expr("substring(t, 2)")).alias("title"))
 
 
 @query("SELECT conv_id, turn, CASE WHEN length(text) > 60 THEN rtrim(substr(text, 1, 57), ' ') || '...' ELSE text END AS short, string_split(text, '. ')[1] AS segment, concat_ws(' | ', role, substr(text, 1, 20)) AS search FROM conversations")

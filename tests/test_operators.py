@@ -198,3 +198,12 @@ def test_nearest_by_blocks(spark):
         one, many = (sorted(map(tuple, vectors.nearest(asked, v, most_queries=n, block=64, **how).collect())) for n in (4096, 7))
         assert one == many and one
     assert vectors.nearest(asked.limit(0), v, 3).count() == vectors.nearest(asked, v.limit(0), 3).count() == 0
+
+
+def test_capitals_stay_single_characters(spark, tmp_path):
+    """A title that begins with a letter whose capital is several characters (scl_24)."""
+    said = {"ßzu und dann": "ẞzu und dann", "ŉa und dann": "ŉa und dann", "ﬁn und dann": "ﬁn und dann", "ᾀ und dann so": "ᾈ und dann so", "élan und dann": "Élan und dann"}
+    rows = [(i, 0, "user", t) for i, t in enumerate(said)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r.conv_id: r.title for r in QUERIES["scl_24"](spark, str(tmp_path)).collect()}
+    assert [got[i] for i in range(len(said))] == list(said.values())
