@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..sources.shared import written
-from .blocks import Best
+from .blocks import CELLS, Best, spans
 from .ranking import top
 
+WORDS = 1 << 19  # looked up at once
+
 
 def postings(docs: DataFrame, least: int = 2) -> DataFrame:
     """term, doc_id, tf, positions, of folded words. Counted inside a document before anything is shuffled."""
@@ -45,6 +47,25 @@ def bm25(queries: DataFrame, docs: DataFrame, k1: float = 1.2, b: float = 0.75,
     return hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"), F.count("*").alias("matched"))
 
 
+def filled(offsets: np.ndarray, term: np.ndarray, part: np.ndarray, who: np.ndarray, starts: np.ndarray, asked: int, most: int = CELLS) -> tuple[np.ndarray, np.ndarray]:
+    """(scores, matched), documents x queries: the sums of part, and how many there are, over the terms of a document that a
+    query asks for. offsets, term, part: the terms of each document; who[starts[t]:starts[t + 1]] ask for term t.
+
+    A term that many ask for counts once for each of them, so documents are taken as far as `most` such rows go."""
+    many = starts[term + 1] - starts[term]
+    docs = len(offsets) - 1
+    scores, matched = np.zeros((docs, asked)), np.zeros((docs, asked), np.int32)
+    for at, to in spans(np.append(0, np.cumsum(many))[offsets], most):
+        here = slice(offsets[at], offsets[to])
+        times = many[here]
+        asker = who[np.repeat(starts[term[here]] - (np.cumsum(times) - times), times) + np.arange(times.sum())]
+        place = np.repeat(np.arange(to - at), np.diff(offsets[at : to + 1]))
+        cell, size = asker + np.repeat(place * asked, times), (to - at) * asked
+        matched[at:to] = np.bincount(cell, minlength=size).reshape(to - at, asked)
+        scores[at:to] = np.bincount(cell, np.repeat(part[here], times), size).reshape(to - at, asked)
+    return scores, matched
+
+
 def bm25_top(queries: DataFrame, docs: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, least: int = 4, most_terms: int = 1 << 19, salt: int = 0) -> DataFrame:
     """query_id, doc_id, score, matched, rank: the k documents with the highest BM25 score for each query, ties to the
     smaller doc_id. queries(query_id, text), docs(doc_id, text); null texts take no part.
@@ -75,14 +96,18 @@ def bm25_top(queries: DataFrame, docs: DataFrame, k: int, k1: float = 1.2, b: fl
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of each document: its words, and which of the terms asked for it holds, how often."""
+        known = vocabulary.value
+        many = max(1, len(known))
         for batch in batches:
-            w, known = pa.concat_arrays([batch.column("w")]), vocabulary.value
-            codes = pc.index_in(w.flatten().cast(pa.string()), value_set=known)
-            place = np.repeat(np.arange(len(w)), np.diff(w.offsets.to_numpy()))[codes.is_valid().to_numpy(zero_copy_only=False)]
-            keys, n = np.unique(place * max(1, len(known)) + codes.drop_null().to_numpy(), return_counts=True)
-            offsets = pa.array(np.searchsorted(keys, np.arange(len(w) + 1) * max(1, len(known))).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (keys % max(1, len(known)), n)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(w.offsets.to_numpy()), pa.int64()), *lists], ["doc_id", "len", "terms", "n"])
+            w = pa.concat_arrays([batch.column("w")])
+            ends = w.offsets.to_numpy()
+            for at, to in spans(ends, WORDS):
+                codes = pc.index_in(w.slice(at, to - at).flatten().cast(pa.string()), value_set=known)
+                place = np.repeat(np.arange(to - at), np.diff(ends[at : to + 1]))[codes.is_valid().to_numpy(zero_copy_only=False)]
+                keys, n = np.unique(place * many + codes.drop_null().to_numpy(), return_counts=True)
+                offsets = pa.array(np.searchsorted(keys, np.arange(to - at + 1) * many).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (keys % many, n)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, to - at), pa.array(np.diff(ends[at : to + 1]), pa.int64()), *lists], ["doc_id", "len", "terms", "n"])
 
     words = docs.select("doc_id", text.folded_words("text", least).alias("w"))
     words = written(words.mapInArrow(code, "doc_id long, len long, terms array<int>, n array<int>"), "term-counts")
@@ -94,22 +119,19 @@ def bm25_top(queries: DataFrame, docs: DataFrame, k: int, k1: float = 1.2, b: fl
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, who, starts = asking.value
-        best, step = Best(len(ids), k), max(1, (1 << 22) // max(1, len(ids)))
+        best, step = Best(len(ids), k), max(1, CELLS // max(1, len(ids)))
         for batch in batches:
             for at in range(0, batch.num_rows, step):
                 some = batch.slice(at, step)
                 held = pa.concat_arrays([some.column("terms")])
-                term, n = held.flatten().to_numpy(), pa.concat_arrays([some.column("n")]).flatten().to_numpy()
-                place = np.repeat(np.arange(len(held)), np.diff(held.offsets.to_numpy()))
-                length = some.column("len").to_numpy()[place]
+                offsets, term = held.offsets.to_numpy(), held.flatten().to_numpy()
+                n = pa.concat_arrays([some.column("n")]).flatten().to_numpy()
+                length = np.repeat(some.column("len").to_numpy(), np.diff(offsets))
                 part = idf[term] * n * (k1 + 1) / (n + k1 * (1 - b + b * length / max(mean, 1e-9)))
-                many = starts[term + 1] - starts[term]
-                asker = who[np.repeat(starts[term] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
-                cell = asker * some.num_rows + np.repeat(place, many)
-                shape = (len(ids), some.num_rows)
-                matched = np.bincount(cell, minlength=shape[0] * shape[1]).reshape(shape)
-                scores = np.bincount(cell, np.repeat(part, many), shape[0] * shape[1]).reshape(shape)
-                best.add(np.where(matched > 0, np.round(scores, 6), np.nan), some.column("doc_id").to_numpy(), matched)
+                scores, matched = filled(offsets, term, part, who, starts, len(ids))
+                scores = np.round(scores, 6, out=scores)
+                scores[matched == 0] = np.nan
+                best.add(scores.T, some.column("doc_id").to_numpy(), matched.T)
         at, docs_found, scores, matched = best.taken()
         yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(docs_found), pa.array(scores), pa.array(matched)], ["query_id", "doc_id", "score", "matched"])
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from ..sources.shared import written
-from .blocks import Best
+from .blocks import CELLS, Best
 from .ranking import ranked, top
 
 
@@ -43,11 +43,12 @@ def _units(column: pa.Array, size: int | None = None) -> tuple[np.ndarray, np.nd
 
 
 def _scored(best: Best, asked: np.ndarray, batch: pa.RecordBatch, vector: str = "embedding") -> None:
-    places, rows = _units(batch.column(vector), asked.shape[1])
-    ids = batch.column("vec_id").to_numpy(zero_copy_only=False)[places]
-    step = max(1, (1 << 22) // max(1, len(asked)))
-    for at in range(0, len(rows), step):
-        best.add(np.round(asked @ rows[at : at + step].T, 6) + 0.0, ids[at : at + step])
+    step = max(1, min(1 << 11, CELLS // max(1, len(asked))))
+    for at in range(0, batch.num_rows, step):
+        some = batch.slice(at, step)
+        places, rows = _units(some.column(vector), asked.shape[1])
+        scores = asked @ rows.T
+        best.add(np.add(np.round(scores, 6, out=scores), 0.0, out=scores), some.column("vec_id").to_numpy(zero_copy_only=False)[places])
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int | None, most_queries: int = 4096, threshold: float | None = None, within: str | None = None, block: int = 1 << 14) -> DataFrame:

@@ -1,11 +1,16 @@
 """Operators without an SQL oracle, and cases that the given tables do not hold."""
 
+import tracemalloc
+
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sparkloom.functions import algebra, text
 from sparkloom.operators import chunking, postings, routing, upserts, vectors
+from sparkloom.operators.blocks import Best
 from sparkloom.operators.dedup import not_contained
 from sparkloom.operators.ranking import in_blocks, positions
 from sparkloom.operators.summaries import exact_percentiles
@@ -207,3 +212,30 @@ def test_capitals_stay_single_characters(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     got = {r.conv_id: r.title for r in QUERIES["scl_24"](spark, str(tmp_path)).collect()}
     assert [got[i] for i in range(len(said))] == list(said.values())
+
+
+def peak_of(work):
+    """The result of work(), and the most bytes that it held at once."""
+    tracemalloc.start()
+    try:
+        return work(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_search_blocks_are_bounded():
+    """Whole texts as queries: many ask for the same terms, so a block of documents meets a hundred rows a cell."""
+    asked, docs, terms = 500, 400, 100
+    who, starts = np.tile(np.arange(asked), terms), np.arange(terms + 1) * asked
+    offsets, term = np.arange(docs + 1) * terms, np.tile(np.arange(terms), docs)
+    (scores, matched), peak = peak_of(lambda: postings.filled(offsets, term, np.full(docs * terms, 0.5), who, starts, asked))
+    assert (scores == 50).all() and (matched == 100).all() and peak < 1e8  # 20,000,000 rows of 8 bytes
+    odd = postings.filled(np.array([0, 0, 2]), np.array([0, 1]), np.array([1.0, 2.0]), np.array([1, 0, 1]), np.array([0, 1, 3]), 3, most=1)
+    assert odd[0].tolist() == [[0, 0, 0], [2, 3, 0]] and odd[1].tolist() == [[0, 0, 0], [1, 2, 0]]
+    rows = np.random.default_rng(0).normal(size=(10000, 4))
+    batch = pa.RecordBatch.from_pydict({"vec_id": np.arange(10000), "embedding": rows.tolist()})
+    units = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    best = Best(1000, 3)
+    _, peak = peak_of(lambda: vectors._scored(best, units[:1000], batch))
+    at, ids, scores, _ = best.taken()
+    assert peak < 8e7 and len(at) == 3000 and (ids[::3] == np.arange(1000)).all() and (scores[::3] == 1).all()
