@@ -40,6 +40,7 @@ ACCENTED = "".join(c for c, plain in MARKED.items() if c != plain)
 FOLDED = "".join(MARKED[c] for c in ACCENTED)
 NEEDS_NFKD = char_class([ord(c) for c in MARKED])
 NEEDS_NFKC = char_class([p for p in BLOCKS if unicodedata.is_normalized("NFKC", chr(p)) and not unicodedata.combining(chr(p))])
+BEYOND_ASCII = r"(?=[^\x00-\x7F])"  # in front of a class: ASCII is passed over by one test, not by one for each of its ranges
 
 
 @F.pandas_udf(StringType())
@@ -59,12 +60,12 @@ def column(c: Column | str) -> Column:
 def unmarked(c: Column | str) -> Column:
     """NFKD without combining marks, for any text."""
     c = column(c)
-    return F.coalesce(_unmarked(F.when(c.rlike(NEEDS_NFKD), c)), F.translate(c, ACCENTED, FOLDED))
+    return F.coalesce(_unmarked(F.when(c.rlike(BEYOND_ASCII + NEEDS_NFKD), c)), F.translate(c, ACCENTED, FOLDED))
 
 
 def nfkc(c: Column | str) -> Column:
     c = column(c)
-    return F.coalesce(_composed(F.when(c.rlike(NEEDS_NFKC), c)), c)
+    return F.coalesce(_composed(F.when(c.rlike(BEYOND_ASCII + NEEDS_NFKC), c)), c)
 
 
 # What is left of UTF-8 read as Latin-1 or cp1252, the least number of such marks that tells a garbled text,
