@@ -47,6 +47,98 @@ def bm25(queries: DataFrame, docs: DataFrame, k1: float = 1.2, b: float = 0.75,
     return hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"), F.count("*").alias("matched"))
 
 
+def holding(queries: DataFrame, docs: DataFrame, least: int = 2, places: bool = False, most_terms: int = 1 << 19, salt: int = 0) -> DataFrame:
+    """query_id, doc_id of each document that holds all terms of a query. queries(query_id, terms), docs(doc_id, text);
+    terms are distinct folded words of at least `least` characters; a query without any holds nothing. places adds n, the
+    number of terms, and where they stand: an array of (pos, term), by pos, term the place in the query's list from 1 on.
+
+    Texts are folded in one scan, which writes the terms asked for that each document holds. A document is looked at for a
+    query only if it holds the query's rarest term; that is done in the task, so no pair is shuffled. More than most_terms
+    (query, term) rows are asked in parts, as in bm25_top; a single query is never split."""
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.posexplode("terms").alias("number", "term"))
+    given = asked.limit(most_terms + 1).toArrow()
+    if given.num_rows > most_terms:
+        parts = min(-(-2 * asked.count() // max(1, most_terms)), asked.select("query_id").distinct().count())
+        if parts > 1:
+            part = F.pmod(F.xxhash64(F.col("query_id").cast("long"), F.lit(salt)), F.lit(parts))
+            return reduce(DataFrame.unionByName, [holding(queries.where(part == i), docs, least, places, most_terms, salt + 1) for i in range(parts)])
+        given = asked.toArrow()  # of one query
+    given = given.sort_by([("query_id", "ascending"), ("number", "ascending")])
+    ids, first = np.unique(given.column("query_id").to_numpy(), return_index=True)
+    coded = pc.dictionary_encode(given.column("term").combine_chunks())
+    terms_of, ends = coded.indices.to_numpy().astype(np.int64), np.append(first, given.num_rows)
+    size = max(1, len(coded.dictionary))
+    vocabulary = docs.sparkSession.sparkContext.broadcast(coded.dictionary.cast(pa.string()))
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            w = pa.concat_arrays([batch.column("w")])
+            offsets = w.offsets.to_numpy()
+            for at, to in spans(offsets, WORDS):
+                codes = pc.index_in(w.slice(at, to - at).flatten().cast(pa.string()), value_set=vocabulary.value)
+                known, held = codes.is_valid().to_numpy(zero_copy_only=False), codes.drop_null().to_numpy()
+                sizes = np.diff(offsets[at : to + 1])
+                place = np.repeat(np.arange(to - at), sizes)[known]
+                pos = (np.arange(len(known)) - np.repeat(offsets[at:to] - offsets[at], sizes))[known]
+                if not places:
+                    keys = np.unique(place * size + held)
+                    place, held, pos = keys // size, keys % size, keys[:0]
+                cut = np.searchsorted(place, np.arange(to - at + 1)).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(pa.array(c), pa.array(x.astype(np.int32))) for c, x in ((cut, held), (cut if places else cut * 0, pos))]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, to - at), *lists], ["doc_id", "terms", "pos"])
+
+    words = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text.folded_words("text", least).alias("w"))
+    words = written(words.mapInArrow(code, "doc_id long, terms array<int>, pos array<int>"), "held-terms")
+    sums = words.select(F.explode(F.array_distinct("terms") if places else "terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).toArrow()  # a row a term
+    df = np.zeros(size, np.int64)
+    df[sums.column("term").to_numpy()] = sums.column("n").to_numpy()
+    rarest = np.array([terms_of[a + np.argmin(df[terms_of[a:b]])] for a, b in zip(ends, ends[1:], strict=False)], np.int64)
+    by_term = np.argsort(rarest, kind="stable")
+    sent = docs.sparkSession.sparkContext.broadcast((ids, terms_of, ends, by_term, np.searchsorted(rarest[by_term], np.arange(size + 1))))
+    kind = "array<struct<pos: int, term: int>>"
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, terms_of, ends, by_term, starts = sent.value
+        asks = np.diff(ends)
+        work = np.append(0, np.cumsum(asks[by_term]))
+        number = np.zeros(size, np.int32)
+        for batch in batches:
+            held = pa.concat_arrays([batch.column("terms")])
+            cut, codes = held.offsets.to_numpy(), held.flatten().to_numpy().astype(np.int64)
+            pos = pa.concat_arrays([batch.column("pos")]).flatten().to_numpy()
+            keys = np.unique(np.repeat(np.arange(len(held)), np.diff(cut)) * size + codes)
+            place, term = keys // size, keys % size
+            docs = np.searchsorted(place, np.arange(len(held) + 1))
+            for at, to in spans(np.append(0, np.cumsum(work[starts[term + 1]] - work[starts[term]]))[docs], CELLS >> 2):
+                here = slice(docs[at], docs[to])
+                times = starts[term[here] + 1] - starts[term[here]]
+                who = by_term[np.repeat(starts[term[here]] - (np.cumsum(times) - times), times) + np.arange(times.sum())]
+                where = np.repeat(place[here], times)
+                if not len(who):
+                    continue
+                n = asks[who]
+                before = np.cumsum(n) - n
+                wanted = np.repeat(where * size, n) + terms_of[np.repeat(ends[who] - before, n) + np.arange(n.sum())]
+                found = keys[np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)] == wanted
+                all_held = np.logical_and.reduceat(found, before)
+                who, where = who[all_held], where[all_held]
+                made = [pa.array(ids[who]), pa.array(batch.column("doc_id").to_numpy()[where])]
+                if places:
+                    spots = []
+                    for q, d in zip(who, where, strict=True):
+                        mine = terms_of[ends[q] : ends[q + 1]]
+                        number[mine] = np.arange(1, len(mine) + 1)
+                        numbers = number[codes[cut[d] : cut[d + 1]]]
+                        spots.append((pos[cut[d] : cut[d + 1]][numbers > 0], numbers[numbers > 0]))
+                        number[mine] = 0
+                    flat = [np.concatenate([np.zeros(0, np.int32), *(s[i] for s in spots)]) for i in (0, 1)]
+                    offsets = np.cumsum([0, *(len(s[0]) for s in spots)]).astype(np.int32)
+                    made += [pa.array(asks[who].astype(np.int32)), pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(x) for x in flat], ["pos", "term"]))]
+                yield pa.RecordBatch.from_arrays(made, ["query_id", "doc_id", "n", "places"][: len(made)])
+
+    return words.mapInArrow(met, "query_id long, doc_id long" + (f", n int, places {kind}" if places else ""))
+
+
 def filled(offsets: np.ndarray, term: np.ndarray, part: np.ndarray, who: np.ndarray, starts: np.ndarray, asked: int, most: int = CELLS) -> tuple[np.ndarray, np.ndarray]:
     """(scores, matched), documents x queries: the sums of part, and how many there are, over the terms of a document that a
     query asks for. offsets, term, part: the terms of each document; who[starts[t]:starts[t + 1]] ask for term t.

@@ -59,14 +59,9 @@ def jn_03_recall(spark: SparkSession, sf: str) -> DataFrame:
 def jn_04(spark: SparkSession, sf: str) -> DataFrame:
     """Documents that hold all terms of a query. A document is looked at for a query only if it holds the query's rarest
     term, so common terms pair nothing."""
-    docs, asked = (read(spark, sf, t).select(k, F.array_distinct(text.folded_words("text")).alias("w")) for t, k in (("documents", "doc_id"), ("benchmark", "item_id")))
-    q, d = asked.select("item_id", F.explode("w").alias("term")), docs.select("doc_id", F.explode("w").alias("term"))
-    df = d.join(q.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    # A term that no document holds leaves its query without answers: it is the rarest, and joins nothing.
-    rarest = q.join(df, "term", "left").groupBy("item_id").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term")).alias("term"))
-    pairs = rarest.join(d, "term").select("item_id", "doc_id")
-    both = pairs.join(asked, "item_id").join(docs.withColumnRenamed("w", "held"), "doc_id")
-    return both.where(F.size(F.array_except("w", "held")) == 0).select("item_id", "doc_id")
+    docs, asked = read(spark, sf, "documents", "benchmark")
+    asked = asked.select(F.col("item_id").alias("query_id"), F.array_distinct(text.folded_words("text")).alias("terms"))
+    return postings.holding(asked, docs.select("doc_id", "text")).select(F.col("query_id").alias("item_id"), "doc_id")
 
 
 def lists_sql(k: int) -> str:

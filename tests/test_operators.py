@@ -239,3 +239,18 @@ def test_search_blocks_are_bounded():
     _, peak = peak_of(lambda: vectors._scored(best, units[:1000], batch))
     at, ids, scores, _ = best.taken()
     assert peak < 8e7 and len(at) == 3000 and (ids[::3] == np.arange(1000)).all() and (scores[::3] == 1).all()
+
+
+def test_documents_that_hold_all_terms(spark):
+    """In one part, and in parts, against a loop; with the places of the terms, and without."""
+    texts = {1: "aa bb cc aa", 2: "bb aa", 3: "Áa, bb! cc zz", 4: "", 5: None, 6: "cc bb"}
+    asked = {10: ["aa", "bb"], 20: ["cc", "aa", "bb"], 30: ["aa", "none"], 40: [], 50: ["bb"], 60: ["zz"]}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    queries = spark.createDataFrame(list(asked.items()), "query_id long, terms array<string>")
+    words = {1: ["aa", "bb", "cc", "aa"], 2: ["bb", "aa"], 3: ["aa", "bb", "cc", "zz"], 4: [], 5: [], 6: ["cc", "bb"]}
+    want = [(q, d, len(t), [(i, t.index(x) + 1) for i, x in enumerate(w) if x in t]) for q, t in asked.items() for d, w in words.items() if t and set(t) <= set(w)]
+    for most in (1 << 19, 2):
+        got = postings.holding(queries, docs, places=True, most_terms=most).collect()
+        assert sorted((r.query_id, r.doc_id, r.n, [tuple(p) for p in r.places]) for r in got) == want
+        assert sorted(map(tuple, postings.holding(queries, docs, most_terms=most).collect())) == [w[:2] for w in want]
+    assert postings.holding(queries.limit(0), docs).count() == postings.holding(queries, docs.limit(0)).count() == 0
