@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from .postings import holding
 
 WEIGHT = 0.1  # fixed value: what a cover without other words in it counts
 
@@ -48,18 +49,8 @@ def cover_density(queries: DataFrame, docs: DataFrame, least: int = 4) -> DataFr
     """(query_id, doc_id, score, covers) for each pair where the document holds all terms of the query: the distinct folded
     words of at least `least` characters. queries(query_id, terms or text), docs(doc_id, text).
 
-    A query meets documents by its rarest term only, so a frequent word makes no pairs of its own; whether the other terms
-    are there, and where, is found in the document's row. A query without terms, or with a term that no document holds, has
-    no rows; null texts hold nothing."""
+    Which documents hold all terms of a query, and where, is found in the tasks that scan them (postings.holding). A query
+    without terms, or with a term that no document holds, has no rows; null texts hold nothing."""
     terms = F.col("terms") if "terms" in queries.columns else F.array_distinct(text.folded_words("text", least))
-    asked = queries.select("query_id", terms.alias("terms")).where("size(terms) > 0")
-    words = docs.select("doc_id", text.folded_words("text", 1).alias("w"))
-    each = asked.select("query_id", "terms", F.explode("terms").alias("term"))
-    held = words.select("doc_id", F.explode(F.array_distinct("w")).alias("term")).join(each.select("term").distinct(), "term", "left_semi")
-    often = held.groupBy("term").agg(F.count("*").alias("n"))
-    rarest = each.join(often, "term").groupBy("query_id").agg(F.min_by("term", F.struct("n", "term")).alias("term"), F.count("*").alias("known"), F.first("terms").alias("terms"))
-    rarest = rarest.where(F.col("known") == F.size("terms")).select("query_id", "term", "terms")
-    pairs = held.join(rarest, "term").select("query_id", "doc_id", "terms").join(words, "doc_id").where(F.size(F.array_except("terms", "w")) == 0)
-    places = F.filter(F.transform("w", lambda x, i: F.struct(i.alias("pos"), F.array_position("terms", x).cast("int").alias("term"))), lambda p: p["term"] > 0)
-    found = pairs.select("query_id", "doc_id", F.size("terms").alias("n"), places.alias("places")).withColumn("spans", covers(F.col("places"), F.col("n")))
+    found = holding(queries.select("query_id", terms.alias("terms")), docs.select("doc_id", "text"), 1, places=True).withColumn("spans", covers(F.col("places"), F.col("n")))
     return found.select("query_id", "doc_id", density(F.col("spans")).alias("score"), F.size("spans").alias("covers"))
