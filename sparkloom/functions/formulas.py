@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,41 +75,40 @@ def factor(kind: Column) -> Column:
     return F.coalesce(F.try_element_at(names, F.lower(F.trim(kind))), kind.try_cast("double"))
 
 
-def compute(slug: Column, inputs: dict[str, Column], kind: Column | None = None, digits: int = 4) -> Column:
-    """Struct of result and error for the formula that `slug` names, by row: exactly one of them is null. inputs are
-    columns by name; kind (a name or a number written out) gives FC where it is not among them. The first fault counts: a
-    formula nobody knows, inputs that are null, inputs that are no finite number, an input out of its range, a result that
-    is no finite number."""
+def compute(slug: Column | str, inputs: dict[str, Column], kind: Column | None = None, digits: int = 4) -> Column:
+    """Struct of result and error for the formula that `slug` names, by row if it is a column: exactly one of them is null.
+    inputs are columns by name; kind (a name or a number written out) gives FC where it is not among them. The first fault
+    counts: a formula nobody knows, inputs that are null, inputs that are no finite number, an input out of its range, a
+    result that is no finite number."""
     known = {k: v.cast("double") for k, v in inputs.items()}
-    by_kind = kind is not None and "FC" not in known
+    unknown = F.struct(F.lit(None).cast("double").alias("result"), F.lit("unknown formula").alias("error"))
+    if isinstance(slug, str):
+        return _computed(CATALOGUE[slug], slug, known, kind, digits) if slug in CATALOGUE else unknown
+    chosen = F
+    for name, formula in CATALOGUE.items():
+        chosen = chosen.when(slug == name, _computed(formula, name, known, kind, digits))
+    return chosen.otherwise(unknown)
+
+
+def _computed(formula: Formula, name: str, known: dict[str, Column], kind: Column | None, digits: int) -> Column:
+    by_kind = kind is not None and "FC" in formula.inputs and "FC" not in known
+    own = {k: known.get(k, F.lit(None).cast("double")) for k in formula.inputs}
     if by_kind:
-        known["FC"] = factor(kind)
-    nothing = F.lit(None).cast("double")
+        own["FC"] = factor(kind)
     finite = lambda x: ~F.isnan(x) & (F.abs(x) < float("inf"))
-    chosen = None
-    for name, formula in CATALOGUE.items():
-        own = {k: known.get(k, nothing) for k in formula.inputs}
-        missing = F.concat_ws(", ", *[F.when(x.isNull(), k) for k, x in own.items() if k != "FC" or not by_kind])
-        odd = F.concat_ws(", ", *[F.when(~finite(x), k) for k, x in own.items()])
-        out, guarded = F.lit(None).cast("string"), dict(own)
-        for formulas, key, test, said in reversed(RANGES):
-            if name in formulas:
-                out = F.when(~test(own[key]), said).otherwise(out)
-                guarded[key] = F.when(test(own[key]), own[key])
-        if by_kind and "FC" in own:
-            unknown = F.when(kind.isNull(), "missing: FC").when(own["FC"].isNull(), "unknown kind")
-        else:
-            unknown = F.lit(None).cast("string")
-        one = F.struct(formula.of(**guarded).alias("value"), missing.alias("missing"), unknown.alias("unknown"), odd.alias("odd"), out.alias("out"))
-        chosen = F.when(slug == name, one) if chosen is None else chosen.when(slug == name, one)
-
-    def told(c: Column) -> Column:
-        fault = F.when(c.isNull(), "unknown formula").when(c["missing"] != "", F.concat(F.lit("missing: "), c["missing"])).when(c["unknown"].isNotNull(), c["unknown"])
-        fault = fault.when(c["odd"] != "", F.concat(F.lit("not finite: "), c["odd"])).when(c["out"].isNotNull(), c["out"]).when(~finite(c["value"]), "result not finite")
-        return F.struct(c["value"].alias("value"), fault.alias("error"))
-
-    once = lambda c, f: F.transform(F.array(c), f)[0]  # evaluates c once
-    return once(once(chosen, told), lambda c: F.struct(F.when(c["error"].isNull(), F.round(c["value"], digits)).alias("result"), c["error"].alias("error")))
+    named = lambda said, tests: F.concat(F.lit(said), F.concat_ws(", ", *[F.when(test, k) for k, test in tests.items()]))
+    gaps = {k: x.isNull() for k, x in own.items() if k != "FC" or not by_kind}
+    odd = {k: ~finite(x) for k, x in own.items()}
+    fault = F.when(reduce(Column.__or__, gaps.values()), named("missing: ", gaps))
+    if by_kind:
+        fault = fault.when(kind.isNull(), "missing: FC").when(own["FC"].isNull(), "unknown kind")
+    fault, guarded = fault.when(reduce(Column.__or__, odd.values()), named("not finite: ", odd)), dict(own)
+    for formulas, key, test, said in RANGES:
+        if name in formulas:
+            fault, guarded[key] = fault.when(~test(own[key]), said), F.when(test(own[key]), own[key])
+    value = formula.of(**guarded)
+    fault = fault.when(~finite(value), "result not finite")
+    return F.struct(F.when(fault.isNull(), F.round(value, digits)).alias("result"), fault.alias("error"))
 
 
 def listing(spark: SparkSession) -> DataFrame:

@@ -105,3 +105,15 @@ def test_every_fault_is_told(spark):
     assert computed(spark, "van_slyke_otimizada", kind=None, FC=1.11)[0] == computed(spark, "van_slyke_otimizada")[0]
     assert computed(spark, None) == computed(spark, "other") == (None, "unknown formula")
     assert {r.formula for r in formulas.listing(spark).collect()} == set(RESULTS)
+
+
+def test_formulas_named_beforehand_agree_with_those_chosen_by_row(spark):
+    """A name known beforehand gives the one formula's columns, without a function called for each row."""
+    rows = [(2.0, None, 0.5, 0.0, 1.0, "duros"), (float("nan"), 3.0, 1.5, 1.1, 0.0, "gouda"), (1.0, 2.0, 0.2, 1.2, float("inf"), None), (3.5, 2.5, 0.4, 1.03, 30.0, "1.25")]
+    df = spark.createDataFrame(rows, "F double, C double, W double, D15 double, L15 double, kind string")
+    inputs = {k: F.col(k) for k in df.columns[:-1]} | {k: F.col("L15") for k in ("FRF", "PTN", "PC", "FT", "RVS", "L20", "D", "RFF")}
+    for name in (*formulas.CATALOGUE, "no_such_formula"):
+        one = df.select(formulas.compute(name, inputs, F.col("kind")).alias("r"))
+        by_row = df.withColumn("slug", F.lit(name)).select(formulas.compute(F.col("slug"), inputs, F.col("kind")).alias("r"))
+        assert one.collect() == by_row.collect()
+        assert "lambda" not in one._jdf.queryExecution().executedPlan().toString()
