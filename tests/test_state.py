@@ -4,6 +4,8 @@ import os
 import random
 import shutil
 
+import numpy as np
+import pandas as pd
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -103,3 +105,30 @@ def test_a_batch_reads_only_what_it_changes(spark, tmp_path):
     store.write(spark.createDataFrame([(1, "three")], "doc_id long, text string"))
     assert half < files(str(tmp_path / "kept/postings"))
     assert {r.term: (r.df, r.cf) for r in store.totals().collect()} == {"one": (49, 49), "two": (49, 49), "three": (1, 1)}
+
+
+def test_processors_hold_one_piece_of_a_key():
+    """Results come out before the next piece is taken in, and rows out of order are refused."""
+    from unittest.mock import Mock
+
+    taken = []
+
+    def pieces(starts):
+        for start in starts:
+            taken.append(start)
+            ids = np.arange(start, start + 100)
+            yield pd.DataFrame({"ts": pd.to_datetime(ids, unit="s"), "event_id": ids, "value": ids % 7 * 5.0})
+
+    window = state.LatencyWindow()
+    window.held = Mock(exists=lambda: False)
+    made = window.handleInputRows(("a",), pieces([0, 100, 200]), None)
+    some = [next(made)]
+    assert taken == [0]
+    some += list(made)
+    whole = state.LatencyWindow()
+    whole.held = Mock(exists=lambda: False)
+    want = pd.concat(whole.handleInputRows(("a",), iter([pd.concat(pieces([0, 100, 200]))]), None))
+    assert pd.concat(some)["timeout"].tolist() == want["timeout"].tolist()
+    assert window.held.put.call_args == whole.held.put.call_args and len(window.held.put.call_args[0][0]) == 50
+    with pytest.raises(ValueError, match="not in order"):
+        list(window.handleInputRows(("a",), pieces([100, 0]), None))
