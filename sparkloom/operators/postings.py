@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..sources.shared import written
-from .blocks import CELLS, Best, spans
+from .blocks import CELLS, Best, in_arrow, spans
 from .ranking import top
 
 WORDS = 1 << 19  # looked up at once
@@ -88,7 +88,7 @@ def holding(queries: DataFrame, docs: DataFrame, least: int = 2, places: bool =
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, to - at), *lists], ["doc_id", "terms", "pos"])
 
     words = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text.folded_words("text", least).alias("w"))
-    words = written(words.mapInArrow(code, "doc_id long, terms array<int>, pos array<int>"), "held-terms")
+    words = written(in_arrow(words, code, "doc_id long, terms array<int>, pos array<int>"), "held-terms")
     sums = words.select(F.explode(F.array_distinct("terms") if places else "terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).toArrow()  # a row a term
     df = np.zeros(size, np.int64)
     df[sums.column("term").to_numpy()] = sums.column("n").to_numpy()
@@ -136,10 +136,10 @@ def holding(queries: DataFrame, docs: DataFrame, least: int = 2, places: bool =
                     made += [pa.array(asks[who].astype(np.int32)), pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(x) for x in flat], ["pos", "term"]))]
                 yield pa.RecordBatch.from_arrays(made, ["query_id", "doc_id", "n", "places"][: len(made)])
 
-    return words.mapInArrow(met, "query_id long, doc_id long" + (f", n int, places {kind}" if places else ""))
+    return in_arrow(words, met, "query_id long, doc_id long" + (f", n int, places {kind}" if places else ""))
 
 
-def filled(offsets: np.ndarray, term: np.ndarray, part: np.ndarray, who: np.ndarray, starts: np.ndarray, asked: int, most: int = CELLS) -> tuple[np.ndarray, np.ndarray]:
+def filled(offsets: np.ndarray, term: np.ndarray, part: np.ndarray, who: np.ndarray, starts: np.ndarray, asked: int, most: int = CELLS >> 2) -> tuple[np.ndarray, np.ndarray]:
     """(scores, matched), documents x queries: the sums of part, and how many there are, over the terms of a document that a
     query asks for. offsets, term, part: the terms of each document; who[starts[t]:starts[t + 1]] ask for term t.
 
@@ -162,21 +162,23 @@ def bm25_top(queries: DataFrame, docs: DataFrame, k: int, k1: float = 1.2, b: fl
     """query_id, doc_id, score, matched, rank: the k documents with the highest BM25 score for each query, ties to the
     smaller doc_id. queries(query_id, text), docs(doc_id, text); null texts take no part.
 
-    The distinct (query, term) rows go to the tasks that scan the documents, if there are at most most_terms: one scan
-    writes which of the terms each document holds; from that, document frequencies are counted and documents scored in
-    blocks, and a task returns k rows a query, so no pair of query and document is shuffled. More rows than that are asked in
-    parts of about that many, each with scans of its own; a single query is never split, and meets
-    the postings by shuffle if it is that large. salt deals queries anew where a part is still too large.
+    The distinct (query, term) rows go to the tasks that scan the documents, if there are at most most_terms, and as many
+    rows to return (k a query): one scan writes which of the terms each document holds; from that, document frequencies are
+    counted and documents scored in blocks, and a task returns k rows a query, so no pair of query and document is shuffled.
+    More rows than that are asked in parts of about that many, each with scans of its own; a single query is never split, and
+    meets the postings by shuffle if it is that large. salt deals queries anew where a part is still too large.
     """
     asked = terms(queries.where("text is not null").select(F.col("query_id").cast("long").alias("query_id"), "text"), "query_id", least).distinct()
     given = asked.limit(most_terms + 1).toArrow()
     docs = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     order = (F.desc("score"), F.asc("doc_id"))
-    if given.num_rows > most_terms:
-        parts = min(-(-2 * asked.count() // max(1, most_terms)), asked.select("query_id").distinct().count())
+    if max(given.num_rows, k * len(pc.unique(given.column("query_id")))) > most_terms:
+        n = asked.select("query_id").distinct().count()
+        parts = min(-(-2 * max(asked.count(), k * n) // max(1, most_terms)), n)
         if parts > 1:
             part = F.pmod(F.xxhash64(F.col("query_id").cast("long"), F.lit(salt)), F.lit(parts))
             return reduce(DataFrame.unionByName, [bm25_top(queries.where(part == i), docs, k, k1, b, least, most_terms, salt + 1) for i in range(parts)])
+    if given.num_rows > most_terms:
         return top(bm25(queries, docs, k1, b, least), ["query_id"], k, *order)
     ids, number = np.unique(given.column("query_id").to_numpy(), return_inverse=True)
     coded = pc.dictionary_encode(given.column("term").combine_chunks())
@@ -202,7 +204,7 @@ def bm25_top(queries: DataFrame, docs: DataFrame, k: int, k1: float = 1.2, b: fl
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, to - at), pa.array(np.diff(ends[at : to + 1]), pa.int64()), *lists], ["doc_id", "len", "terms", "n"])
 
     words = docs.select("doc_id", text.folded_words("text", least).alias("w"))
-    words = written(words.mapInArrow(code, "doc_id long, len long, terms array<int>, n array<int>"), "term-counts")
+    words = written(in_arrow(words, code, "doc_id long, len long, terms array<int>, n array<int>"), "term-counts")
     n_docs, mean = words.agg(F.count("*"), F.coalesce(F.avg("len"), F.lit(0.0))).first()
     sums = words.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).toArrow()  # a row a term
     df = np.zeros(len(coded.dictionary))
@@ -227,4 +229,4 @@ def bm25_top(queries: DataFrame, docs: DataFrame, k: int, k1: float = 1.2, b: fl
         at, docs_found, scores, matched = best.taken()
         yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(docs_found), pa.array(scores), pa.array(matched)], ["query_id", "doc_id", "score", "matched"])
 
-    return top(words.mapInArrow(score, "query_id long, doc_id long, score double, matched long"), ["query_id"], k, *order)
+    return top(in_arrow(words, score, "query_id long, doc_id long, score double, matched long"), ["query_id"], k, *order)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from ..sources.shared import written
-from .blocks import CELLS, Best
+from .blocks import CELLS, Best, in_arrow
 from .ranking import ranked, top
 
 
@@ -84,7 +84,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int | None, most_queries:
         places, units = _units(asked.column("q").combine_chunks())
         ids = asked.column("query_id").to_numpy()[places]
         sent = queries.sparkSession.sparkContext.broadcast((ids, units))
-        found = rows.mapInArrow(lambda batches: collected(*sent.value, batches), schema)
+        found = in_arrow(rows, lambda batches: collected(*sent.value, batches), schema)
     else:
         q_blocks, v_blocks = -(-queries.count() // most_queries), max(1, -(-rows.count() // block))
         left = queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks))).withColumn("vb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(v_blocks - 1).cast("long"))))

@@ -241,6 +241,28 @@ def test_search_blocks_are_bounded():
     assert peak < 8e7 and len(at) == 3000 and (ids[::3] == np.arange(1000)).all() and (scores[::3] == 1).all()
 
 
+def test_search_tasks_hold_little(spark):
+    """Long texts make short Arrow batches, also where they are folded; a term that many ask for is taken in small blocks;
+    queries of one word that have many rows to return are asked in parts."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.unset(setting)
+    docs = spark.range(300, numPartitions=1).select(F.col("id").alias("doc_id"), F.expr("concat(repeat('some words ', 6000), 'word', id % 50)").alias("text"))
+    asked = spark.range(50).select(F.col("id").alias("query_id"), F.expr("concat('word', id)").alias("text"))
+    one = postings.bm25_top(asked, docs, 5)
+    parts = postings.bm25_top(asked, docs.withColumn("text", F.expr("right(text, 10)")), 5, most_terms=100)
+    found = sorted((r.query_id, r.rank, r.doc_id) for r in one.collect())
+    assert found == [(q, i + 1, q + 50 * i) for q in range(50) for i in range(5)] == sorted((r.query_id, r.rank, r.doc_id) for r in parts.collect())
+    scans = [df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") for df in (one, parts)]
+    assert scans[0] == 1 and scans[1] > 1
+    sizes = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long").collect()
+    assert sum(r.n for r in sizes) > 16 << 20 and max(r.n for r in sizes) < 5 << 20
+    spark.conf.set(setting, before)
+    who, starts = np.tile(np.arange(500), 100), np.arange(101) * 500
+    _, peak = peak_of(lambda: postings.filled(np.arange(401) * 100, np.tile(np.arange(100), 400), np.full(40000, 0.5), who, starts, 500))
+    assert peak < 3e7
+
+
 def test_documents_that_hold_all_terms(spark):
     """In one part, and in parts, against a loop; with the places of the terms, and without."""
     texts = {1: "aa bb cc aa", 2: "bb aa", 3: "Áa, bb! cc zz", 4: "", 5: None, 6: "cc bb"}
