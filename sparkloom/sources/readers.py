@@ -22,11 +22,14 @@ def decoded(content: Column) -> Column:
     return F.regexp_replace(F.when(F.is_valid_utf8(plain), plain).otherwise(F.decode(content, "ISO-8859-1")), "^﻿", "")
 
 
-def uploads(files: DataFrame) -> DataFrame:
-    """files(name, content binary): name, text and error; kinds not taken, empty and oversize files give an error."""
+def uploads(files: DataFrame, limit: int | None = UPLOAD_LIMIT) -> DataFrame:
+    """files(name, content binary): name, text and error; kinds not taken, empty and oversize files (without a limit, none is
+    that) give an error."""
     kind = F.lower(F.regexp_extract("name", r"\.([^./\\]+)$", 1))
     size = F.length("content")
-    error = F.when(~kind.isin(*EXTENSIONS), "kind not taken").when(size == 0, "empty").when(size > UPLOAD_LIMIT, "too large")
+    error = F.when(~kind.isin(*EXTENSIONS), "kind not taken").when(size == 0, "empty")
+    if limit is not None:
+        error = error.when(size > limit, "too large")
     return files.select("name", F.when(error.isNull(), decoded(F.col("content"))).alias("text"), error.alias("error"))
 
 

@@ -2,6 +2,7 @@
 
 import tracemalloc
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -14,7 +15,7 @@ from sparkloom.operators.blocks import Best
 from sparkloom.operators.dedup import not_contained
 from sparkloom.operators.ranking import in_blocks, positions
 from sparkloom.operators.summaries import exact_percentiles
-from sparkloom.plans.catalog import QUERIES
+from sparkloom.plans.catalog import ORACLES, QUERIES
 from sparkloom.sources import readers, writers
 from sparkloom.streaming import jobs
 
@@ -276,3 +277,14 @@ def test_documents_that_hold_all_terms(spark):
         assert sorted((r.query_id, r.doc_id, r.n, [tuple(p) for p in r.places]) for r in got) == want
         assert sorted(map(tuple, postings.holding(queries, docs, most_terms=most).collect())) == [w[:2] for w in want]
     assert postings.holding(queries.limit(0), docs).count() == postings.holding(queries, docs.limit(0)).count() == 0
+
+
+def test_src_02_like_its_sql_on_odd_texts(spark, tmp_path):
+    mark = "﻿"
+    texts = [None, "", mark, mark + "abc", mark + mark + "é", "a" + mark, "\x00a", " ", "x" * (readers.UPLOAD_LIMIT + 1)]
+    rows = [(10 * i + j, t) for i, t in enumerate(texts) for j in ((0, 1, 2) if t is None or len(t) < 9 else (1,))] + [(-1, ""), (-2, mark), (-5, "a"), (None, "a"), (None, None), (1, mark)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["src_02"](spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert sorted(map(tuple, got), key=repr) == sorted(con.sql(ORACLES["src_02"]).fetchall(), key=repr)
