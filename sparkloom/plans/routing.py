@@ -169,19 +169,20 @@ def cls_09(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("conv_id", "turn", ((F.size("w") < 8) | refers).alias("rewrite"), F.coalesce(F.col("prev").endswith("?"), F.lit(False)).alias("after_question"))
 
 
-LAST_TURNS = 2
+LAST_TURNS = 3  # as the reference asks for; a blank message is no turn
 CAPS = {"user": ("User: ", 220), "assistant": ("Answer: ", 160), "summary": ("Summary: ", 280), "system": ("System: ", 400)}  # fixed values
 
 
-@query("WITH u AS (SELECT *, count(*) FILTER (WHERE role = 'user') OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back, role = 'user' AS asks, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations) SELECT conv_id, string_agg(CASE role " + " ".join(f"WHEN '{r}' THEN '{label}' || substr(text, 1, {n})" for r, (label, n) in CAPS.items()) + f" END, chr(10) ORDER BY turn) FILTER (WHERE back < {LAST_TURNS} OR (back = {LAST_TURNS} AND asks)) AS history FROM u GROUP BY conv_id")
+@query("WITH u AS (SELECT *, count(*) FILTER (WHERE role = 'user' AND regexp_matches(text, '[^\\x20\\x09-\\x0D]')) OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back, role = 'user' AND regexp_matches(text, '[^\\x20\\x09-\\x0D]') AS asks, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations) SELECT conv_id, string_agg(CASE role " + " ".join(f"WHEN '{r}' THEN '{label}' || substr(text, 1, {n})" for r, (label, n) in CAPS.items()) + f" END, chr(10) ORDER BY turn) FILTER (WHERE back < {LAST_TURNS} OR (back = {LAST_TURNS} AND asks)) AS history FROM u GROUP BY conv_id")
 def cls_10(spark: SparkSession, sf: str) -> DataFrame:
-    """History as labelled lines, each cut by its role, from the last turns of the user but one on. In the row of the
+    """History as labelled lines, each cut by its role, from the user's third last message on. In the row of the
     conversation: its turns are gathered, then what is before the wanted turns is cut off."""
     line = F.lit(None).cast("string")
     for role, (label, most) in CAPS.items():
         line = F.when(F.col("role") == role, F.concat(F.lit(label), F.substring("text", 1, most))).otherwise(line)
-    said = read(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", line.alias("s")))).alias("l"))
-    asked = F.filter("l", lambda x: x["role"] == "user")
+    asks = (F.col("role") == "user") & F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    said = read(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", line.alias("s"), asks.alias("asks")))).alias("l"))
+    asked = F.filter("l", lambda x: x["asks"])
     since = F.when(F.size(asked) >= LAST_TURNS, F.element_at(asked, -LAST_TURNS)["turn"]).otherwise(F.lit(-(1 << 62)))
     return said.select("conv_id", "l", since.alias("since")).select("conv_id", F.nullif(F.array_join(F.transform(F.filter("l", lambda x: x["turn"] >= F.col("since")), lambda x: x["s"]), "\n"), F.lit("")).alias("history"))
 

@@ -288,3 +288,14 @@ def test_src_02_like_its_sql_on_odd_texts(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
     assert sorted(map(tuple, got), key=repr) == sorted(con.sql(ORACLES["src_02"]).fetchall(), key=repr)
+
+
+def test_history_goes_back_three_messages_of_the_user(spark, tmp_path):
+    said = [(1, t, r, x) for t, (r, x) in enumerate([("system", "s"), ("user", "a"), ("assistant", "b"), ("user", "c"), ("assistant", "d"), ("user", "e"), ("user", " \t\n"), ("user", None), ("assistant", "f"), ("user", "g"), ("assistant", "h" * 200)])]
+    said += [(2, 0, "system", "s"), (2, 1, "assistant", "b"), (2, 2, "user", "a"), (2, 3, "user", ""), (2, 4, "user", "c"), (3, 0, "user", None), (4, 0, "tool", "x")]
+    spark.createDataFrame(said, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: r.history for r in QUERIES["cls_10"](spark, str(tmp_path)).collect()}
+    assert got == {1: "User: c\nAnswer: d\nUser: e\nUser:  \t\n\nAnswer: f\nUser: g\nAnswer: " + "h" * 160, 2: "System: s\nAnswer: b\nUser: a\nUser: \nUser: c", 3: None, 4: None}
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    assert got == dict(con.sql(ORACLES["cls_10"]).fetchall())
